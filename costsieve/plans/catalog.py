@@ -313,3 +313,218 @@ def pipeline_stats_q(spark, sf_dir):
 def waste_estimates_q(spark, sf_dir):
     ft = _features(spark, sf_dir)
     return Fs.waste_estimates(ft.resources, ft.services)
+
+
+# ================================================================== C: CUR normalization and ingest
+from costsieve.operators import cur as C  # noqa: E402
+from costsieve.operators import explore as I  # noqa: E402
+from costsieve.operators import normalize as N  # noqa: E402
+from costsieve.sources.tables import cur  # noqa: E402
+
+_code_case = "case trim(coalesce(product_servicecode, 'Unknown')) " + " ".join(
+    f"when '{k}' then '{v}'" for k, v in C.SERVICE_CODE_MAPPING.items()) + " end"
+CUR_X = f"""cur_x as (select seq, try_cast(line_item_usage_start_date as date) as date,
+    coalesce({_code_case}, coalesce(product_servicecode, 'Unknown')) as service,
+    trim(coalesce(line_item_resource_id, '')) as resource_id,
+    split_part(coalesce(line_item_usage_type, 'Unknown'), '-', 1) as usage_type,
+    coalesce(try_cast(line_item_usage_amount as double), 0.0) as usage,
+    coalesce(try_cast(line_item_unblended_cost as double), 0.0) as cost,
+    coalesce(product_region, 'Unknown') as region,
+    line_item_line_item_type as item_type,
+    reservation_unused_quantity, reservation_unused_recurring_fee
+  from {{src}} where try_cast(line_item_usage_start_date as date) is not null
+    and line_item_line_item_type in ('Usage', 'DiscountedUsage', 'Fee'))"""
+CUR_AGG = """cur_agg as (select date, service, resource_id, usage_type,
+    round_even(sum(cost) * 1e6, 0) / 1e6 as cost, round_even(sum(usage) * 1e6, 0) / 1e6 as usage,
+    arg_min(region, seq) filter (where region is not null) as region
+  from cur_x group by date, service, resource_id, usage_type)"""
+CUR_BASE = [O.CUR_CTE, CUR_X.format(src="cur"), CUR_AGG]
+
+
+def _ingested(spark, sf_dir):
+    return C.cur_ingest(cur(spark, sf_dir))
+
+
+@register("normalize_aws", q("""select seq, try_cast(line_item_usage_start_date as date) as date, 'AWS' as provider,
+    case when product_servicecode = 'Amazon Elastic Block Store' then 'AmazonEBS' else product_servicecode end as service,
+    """ + O.pr("line_item_unblended_cost", 6) + " as cost, " + O.pr("line_item_usage_amount", 6) + """ as usage,
+    line_item_resource_id as resource_id, product_region as region
+    from cur where line_item_line_item_type is distinct from 'Tax'""", [O.CUR_CTE]))
+def normalize_aws_q(spark, sf_dir):
+    n = N.normalize_aws(cur(spark, sf_dir))
+    return n.select("seq", "date", "provider", "service", r6("cost").alias("cost"), r6("usage").alias("usage"),
+                    "resource_id", "region")
+
+
+@register("tax_filter", q("""select line_item_line_item_type, count(*) as rows,
+    """ + O.pr("sum(line_item_unblended_cost)", 6) + """ as cost
+    from cur where line_item_line_item_type is distinct from 'Tax' group by line_item_line_item_type""", [O.CUR_CTE]))
+def tax_filter_q(spark, sf_dir):
+    t = N.drop_tax_rows(cur(spark, sf_dir))
+    return t.groupBy("line_item_line_item_type").agg(
+        F.count(F.lit(1)).alias("rows"), r6(F.sum("line_item_unblended_cost")).alias("cost"))
+
+
+def _ebs_frame(c: DataFrame) -> DataFrame:
+    """CUR rows with a product name column, some of them EBS (for C4)."""
+    code = F.when(F.col("line_item_usage_type") == "BoxUsage-7", F.lit("Amazon Elastic Block Store")).otherwise(
+        F.col("product_servicecode"))
+    name = (F.when(F.col("product_region") == "r1", F.lit("Amazon Elastic Block Store Volume"))
+            .when(F.col("product_region") == "r2", F.lit(None).cast("string"))
+            .otherwise(F.concat(F.lit("Amazon "), F.col("product_servicecode"))))
+    return c.withColumn("product_servicecode", code).withColumn("product_product_name", name)
+
+
+EBS_SQL = """ebs as (select * replace (
+    case when line_item_usage_type = 'BoxUsage-7' then 'Amazon Elastic Block Store' else product_servicecode end
+      as product_servicecode),
+    case when product_region = 'r1' then 'Amazon Elastic Block Store Volume' when product_region = 'r2' then null
+         else 'Amazon ' || product_servicecode end as product_product_name from cur)"""
+
+
+@register("ebs_relabel", q("""select case when coalesce(contains(product_product_name, 'Elastic Block Store'), false)
+      then 'AmazonEBS' when product_servicecode = 'Amazon Elastic Block Store' then 'AmazonEBS'
+      else product_servicecode end as service, count(*) as rows,
+    """ + O.pr("sum(line_item_unblended_cost)", 6) + """ as cost
+    from ebs where line_item_line_item_type is distinct from 'Tax' group by 1""", [O.CUR_CTE, EBS_SQL]))
+def ebs_relabel_q(spark, sf_dir):
+    n = N.normalize_aws(_ebs_frame(cur(spark, sf_dir)))
+    return n.groupBy("service").agg(F.count(F.lit(1)).alias("rows"), r6(F.sum("cost")).alias("cost"))
+
+
+def _dirty_frame(c: DataFrame) -> DataFrame:
+    """Unified-looking rows with text numbers, bad dates, bad numbers and missing services (for C6)."""
+    ut = F.col("line_item_usage_type")
+    return c.select(
+        F.when(ut == "BoxUsage-5", F.lit("n/a")).otherwise(F.col("line_item_usage_start_date")).alias("date"),
+        F.when((ut == "BoxUsage-2") & (F.col("product_region") == "r3"), F.lit(None).cast("string"))
+        .otherwise(F.col("product_servicecode")).alias("service"),
+        F.when(ut == "BoxUsage-6", F.lit("bad")).otherwise(F.col("line_item_unblended_cost").cast("string")).alias("cost"),
+        F.when(ut == "BoxUsage-3", F.lit("NaN")).otherwise(F.col("line_item_usage_amount").cast("string")).alias("usage"),
+        F.col("product_region").alias("region"),
+    )
+
+
+@register("enforce_schema", q("""select service, count(*) as rows, """ + O.pr("sum(cost)", 6) + """ as cost,
+    count(usage) as usage_rows, min(date) as first_date, max(date) as last_date from (
+      select try_cast(date as date) as date, service, try_cast(cost as double) as cost,
+             case when isnan(try_cast(usage as double)) then null else try_cast(usage as double) end as usage
+      from (select case when line_item_usage_type = 'BoxUsage-5' then 'n/a' else line_item_usage_start_date end as date,
+                   case when line_item_usage_type = 'BoxUsage-2' and product_region = 'r3' then null
+                        else product_servicecode end as service,
+                   case when line_item_usage_type = 'BoxUsage-6' then 'bad' else cast(line_item_unblended_cost as varchar) end as cost,
+                   case when line_item_usage_type = 'BoxUsage-3' then 'NaN' else cast(line_item_usage_amount as varchar) end as usage
+            from cur))
+    where date is not null and service is not null and cost is not null group by service""", [O.CUR_CTE]))
+def enforce_schema_q(spark, sf_dir):
+    e = N.enforce_schema(_dirty_frame(cur(spark, sf_dir)))
+    return e.groupBy("service").agg(
+        F.count(F.lit(1)).alias("rows"), r6(F.sum("cost")).alias("cost"), F.count("usage").alias("usage_rows"),
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+@register("cur_extract", q("""select seq, date, service, resource_id, usage_type, """ + O.pr("usage", 6) + """ as usage,
+    """ + O.pr("cost", 6) + """ as cost, region, item_type from cur_x""", CUR_BASE))
+def cur_extract_q(spark, sf_dir):
+    x = C.cur_extract(cur(spark, sf_dir))
+    return x.select("seq", "date", "service", "resource_id", "usage_type", r6("usage").alias("usage"),
+                    r6("cost").alias("cost"), "region", "item_type")
+
+
+@register("cur_aggregate", q("select * from cur_agg", CUR_BASE))
+def cur_aggregate_q(spark, sf_dir):
+    return C.cur_aggregate(C.cur_extract(cur(spark, sf_dir)))
+
+
+@register("cur_ingest", q("select date, service, cost, usage_type, resource_id, usage, region from cur_agg", CUR_BASE))
+def cur_ingest_q(spark, sf_dir):
+    return _ingested(spark, sf_dir)
+
+
+@register("sample_rows", q("select date, service, cost, usage_type, resource_id, usage, region from cur_agg",
+                           [O.CUR_CTE, "cur_head as (select * from cur order by seq limit 1000)",
+                            CUR_X.format(src="cur_head"), CUR_AGG]))
+def sample_rows_q(spark, sf_dir):
+    return C.cur_ingest(cur(spark, sf_dir), sample_rows=1000)
+
+
+@register("cur_stats", q("""select count(*) as total_rows, """ + O.pr("sum(cost)", 6) + """ as total_cost,
+    count(distinct service) as unique_services, count(distinct resource_id) as unique_resources,
+    cast(min(date) as varchar) as date_start, cast(max(date) as varchar) as date_end,
+    'date,service,cost,usage_type,resource_id,usage,region' as columns_available from cur_agg""", CUR_BASE))
+def cur_stats_q(spark, sf_dir):
+    s = C.cur_stats(_ingested(spark, sf_dir))
+    return s.withColumn("total_cost", r6("total_cost"))
+
+
+# ---- E9 / E10 over the raw CUR view
+@register("leak_savings_plan", q("""select 'RI_SAVINGS_PLAN_WASTE' as leak_type, 'AWS' as provider,
+    'Savings Plans' as service, null::varchar as resource_id,
+    'Unused savings plan commitment costing $' || """ + O.fg("total", 2) + """ || ' in this billing period' as reason,
+    """ + O.pr("total", 2) + """ as exact_waste from (
+      select count(*) as n, coalesce(sum(try_cast(line_item_unblended_cost as double)), 0.0) as total from cur
+      where line_item_line_item_type in ('SavingsPlanNegation', 'SavingsPlanRecurringFee'))
+    where n > 0 and total >= 10""", [O.CUR_CTE]))
+def leak_savings_plan_q(spark, sf_dir):
+    return E.detect_savings_plan(cur(spark, sf_dir)).select(*LEAK_OUT, "exact_waste")
+
+
+@register("leak_unused_ri", q("""select 'RI_UNUSED_RESERVATION' as leak_type, 'AWS' as provider,
+    'Reserved Instances' as service, null::varchar as resource_id,
+    'Unused reserved capacity costing $' || """ + O.fg("t.total", 2) + """ || ' (' || d.detail || ')' as reason,
+    """ + O.pr("t.total", 2) + """ as exact_waste
+    from (select count(*) as n, coalesce(sum(try_cast(reservation_unused_recurring_fee as double)), 0.0) as total
+          from cur where coalesce(try_cast(reservation_unused_quantity as double), 0.0) > 0) t,
+         (select string_agg(product_servicecode || ': $' || """ + O.fg("fee", 2) + """, ', '
+                 order by fee desc, product_servicecode) as detail
+          from (select product_servicecode, fee, row_number() over (order by fee desc, product_servicecode) as rk
+                from (select product_servicecode, coalesce(sum(try_cast(reservation_unused_recurring_fee as double)), 0.0) as fee
+                      from cur where coalesce(try_cast(reservation_unused_quantity as double), 0.0) > 0
+                        and product_servicecode is not null group by product_servicecode))
+          where rk <= 3) d
+    where t.n > 0 and t.total >= 10""", [O.CUR_CTE]))
+def leak_unused_ri_q(spark, sf_dir):
+    return E.detect_unused_reservation(cur(spark, sf_dir)).select(*LEAK_OUT, "exact_waste")
+
+
+# ================================================================== I: exploratory aggregates
+@register("cost_by_service", q("select service, " + O.pr("sum(cost)", 6) + " as cost from cur_agg group by service",
+                               CUR_BASE))
+def cost_by_service_q(spark, sf_dir):
+    return I.cost_by_service(_ingested(spark, sf_dir)).withColumn("cost", r6("cost"))
+
+
+@register("top_resources", q("select resource_id, " + O.pr("sum(cost)", 6) + """ as cost from cur_agg
+    where resource_id <> '' group by resource_id order by sum(cost) desc, resource_id limit 10""", CUR_BASE))
+def top_resources_q(spark, sf_dir):
+    return I.top_resources(_ingested(spark, sf_dir)).withColumn("cost", r6("cost"))
+
+
+@register("inefficient_resources", q("""select service, resource_id, """ + O.pr("sum(cost)", 6) + """ as cost
+    from (select *, cost / (usage + 0.001) as cpu from cur_agg)
+    where cpu > (select quantile_cont(cost / (usage + 0.001), 0.9) from cur_agg)
+    group by service, resource_id order by sum(cost) desc, service, resource_id limit 10""", CUR_BASE))
+def inefficient_resources_q(spark, sf_dir):
+    return I.inefficient_resources(_ingested(spark, sf_dir)).withColumn("cost", r6("cost"))
+
+
+@register("daily_total", q("select date, " + O.pr("sum(cost)", 6) + " as cost from cur_agg group by date", CUR_BASE))
+def daily_total_q(spark, sf_dir):
+    return I.daily_total(_ingested(spark, sf_dir)).withColumn("cost", r6("cost"))
+
+
+PIVOT_SERVICES = ["EC2", "Lambda", "RDS", "S3"]
+
+
+@register("daily_service_pivot", q("select date, " + ", ".join(
+    f"{O.pr(f'coalesce(sum(case when service = {chr(39)}{s}{chr(39)} then cost end), 0.0)', 6)} as \"{s}\""
+    for s in PIVOT_SERVICES) + " from cur_agg group by date", CUR_BASE))
+def daily_service_pivot_q(spark, sf_dir):
+    p = I.daily_service_pivot(_ingested(spark, sf_dir), PIVOT_SERVICES)
+    return p.select("date", *[r6(F.col(f"`{s}`")).alias(s) for s in PIVOT_SERVICES])
+
+
+@register("service_usage_types", q("select usage_type, " + O.pr("sum(cost)", 6) + """ as cost from cur_agg
+    where service = 'EC2' group by usage_type""", CUR_BASE))
+def service_usage_types_q(spark, sf_dir):
+    return I.service_usage_types(_ingested(spark, sf_dir), "EC2").withColumn("cost", r6("cost"))
