@@ -528,3 +528,196 @@ def daily_service_pivot_q(spark, sf_dir):
     where service = 'EC2' group by usage_type""", CUR_BASE))
 def service_usage_types_q(spark, sf_dir):
     return I.service_usage_types(_ingested(spark, sf_dir), "EC2").withColumn("cost", r6("cost"))
+
+
+# ================================================================== H, A5-A7, A10: reporting
+from pyspark.sql import Window  # noqa: E402
+
+from costsieve.operators import enrich as G  # noqa: E402
+from costsieve.operators import report as H  # noqa: E402
+from costsieve.session import scratch_path  # noqa: E402
+
+PREV_CUTOFF = "2024-01-16"  # the "previous run" saw the first half of the month
+DELTA_CTES = BASE + O.pipeline_ctes(where=f"date < date '{PREV_CUTOFF}'", prefix="prev_") + [
+    """prev_ids as (select coalesce(leak_type, 'None') || '::' || coalesce(provider, 'None') || '::'
+        || coalesce(service, 'None') || '::' || coalesce(resource_id, 'None') as leak_id from prev_primary_leaks)""",
+    """tagged as (select p.*, case when exists (select 1 from prev_ids i where i.leak_id = p.leak_id)
+        then 'EXISTING' else 'NEW' end as status from (
+          select *, coalesce(leak_type, 'None') || '::' || coalesce(provider, 'None') || '::'
+            || coalesce(service, 'None') || '::' || coalesce(resource_id, 'None') as leak_id from primary_order) p)""",
+]
+
+
+def _tagged(spark, sf_dir):
+    """Current primary leaks tagged NEW / EXISTING against a previous run's id snapshot."""
+    b = billing(spark, sf_dir)
+    prev = analyze(b.where(F.col("date") < F.lit(PREV_CUTOFF).cast("date")), already_normalized=True)
+    snapshot = scratch_path(spark, "leak-ids")
+    H.save_current_ids(prev.primary, snapshot)
+    cur_run = analyze(b, already_normalized=True)
+    return H.apply_delta(cur_run.primary, H.load_previous_ids(spark, snapshot))
+
+
+@register("delta_status", q("select leak_type, provider, service, resource_id, leak_id, status from tagged", DELTA_CTES))
+def delta_status_q(spark, sf_dir):
+    return _tagged(spark, sf_dir).select("leak_type", "provider", "service", "resource_id", "leak_id", "status")
+
+
+@register("report_summary", q(f"""select count(*) as total_leaks, count_if(status = 'NEW') as new_leaks,
+    count_if(severity = 'HIGH') as high, count_if(severity = 'MEDIUM') as medium, count_if(severity = 'LOW') as low,
+    {O.money('coalesce(sum(estimated_monthly_waste), 0.0)')} as estimated_total_monthly_waste_usd,
+    {O.money('coalesce(sum(estimated_monthly_waste), 0.0) * 12')} as estimated_total_annual_waste_usd
+    from tagged""", DELTA_CTES))
+def report_summary_q(spark, sf_dir):
+    return H.report_summary(_tagged(spark, sf_dir))
+
+
+@register("report_table", q("""select primary_pos as row_no, severity, leak_type, service,
+    substring(case when resource_id is not null and resource_id <> '' then resource_id else 'N/A' end, 1, 30) as resource,
+    estimated_monthly_waste, confidence, status from tagged""", DELTA_CTES))
+def report_table_q(spark, sf_dir):
+    return H.report_table(_tagged(spark, sf_dir))
+
+
+@register("high_findings", q("""select leak_type, provider, service, resource_id, estimated_monthly_waste from primary_order
+    where severity = 'HIGH' order by primary_pos limit 15"""))
+def high_findings_q(spark, sf_dir):
+    return H.high_findings(_analysis(spark, sf_dir).primary).select(
+        "leak_type", "provider", "service", "resource_id", "estimated_monthly_waste")
+
+
+@register("sanitize_floats", q("""select seq, strftime(date, '%Y-%m-%d') as date,
+    case when seq % 7 in (0, 1, 2) then null else cost end as x from billing""", [O.BILLING_CTE]))
+def sanitize_floats_q(spark, sf_dir):
+    b = billing(spark, sf_dir)
+    k = F.col("seq") % 7
+    x = (F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf")))
+         .when(k == 2, F.lit(float("-inf"))).otherwise(F.col("cost")))
+    return H.sanitize_frame(b.select("seq", "date", x.alias("x")))
+
+
+@register("leak_type_rollup", q(f"""select leak_type, count(*) as findings, count_if(severity = 'HIGH') as high,
+    count_if(severity = 'MEDIUM') as medium, count_if(severity = 'LOW') as low, count_if(status = 'NEW') as new,
+    {O.money('sum(estimated_monthly_waste)')} as monthly_waste, any_value(priority) as priority
+    from tagged group by leak_type""", DELTA_CTES))
+def leak_type_rollup_q(spark, sf_dir):
+    return H.leak_type_rollup(_tagged(spark, sf_dir))
+
+
+_NL = "chr(10)"
+
+
+@register("insights", q(f"""select '[' || severity || '] ' || leak_type || ' detected in ' || provider || ' ' || service
+    || {_NL} || '→ Resource: ' || coalesce(resource_id, 'None') || {_NL} || '→ Reason: ' || reason
+    || {_NL} || '→ Recommended action: ' || recommended_action as insight from primary_order"""))
+def insights_q(spark, sf_dir):
+    return H.insights(_analysis(spark, sf_dir).primary)
+
+
+@register("filter_severity", q(f"select {SCORED_SQL_OUT} from primary_order where severity = 'HIGH'"))
+def filter_severity_q(spark, sf_dir):
+    return H.filter_severity(_analysis(spark, sf_dir).primary, "HIGH").select(*SCORED_OUT)
+
+
+_RATES_SQL = "rates as (select * from (values " + ", ".join(
+    f"('{k}', {v!r}::double)" for k, v in S.CURRENCY_RATES.items()) + ") t(currency, rate))"
+
+
+@register("convert_currency", q(f"""select leak_type, provider, service, resource_id, currency, rate,
+    {O.pr('estimated_monthly_waste * rate', 6)} as estimated_monthly_waste,
+    {O.pr('estimated_annual_waste * rate', 6)} as estimated_annual_waste
+    from primary_order, rates""", BASE + [_RATES_SQL]))
+def convert_currency_q(spark, sf_dir):
+    p = _analysis(spark, sf_dir).primary.select(
+        "leak_type", "provider", "service", "resource_id", "estimated_monthly_waste", "estimated_annual_waste")
+    c = H.convert_currency(p, H.currency_rates(spark), ["estimated_monthly_waste", "estimated_annual_waste"])
+    return c.select("leak_type", "provider", "service", "resource_id", "currency", "rate",
+                    r6("estimated_monthly_waste").alias("estimated_monthly_waste"),
+                    r6("estimated_annual_waste").alias("estimated_annual_waste"))
+
+
+@register("forecast_top", q("""select *, trend_pct > 15 as trend_alert from forecast
+    order by projected_monthly_cost desc, provider, service limit 10""", FORECAST_CTES))
+def forecast_top_q(spark, sf_dir):
+    return H.forecast_top(D.forecast_30d(D.daily_cost(billing(spark, sf_dir))))
+
+
+# ================================================================== G: enrichment (set-based)
+CAND_CTES = BASE + ["""cand as (select *, row_number() over (order by primary_pos) as cand_pos from (
+    select * from primary_order where severity in ('HIGH', 'MEDIUM') order by primary_pos limit 10))"""]
+
+
+def _candidates(spark, sf_dir):
+    c = G.enrich_candidates(_analysis(spark, sf_dir).primary)
+    # at most ENRICH_MAX rows: a window over them is bounded by construction
+    return c.withColumn("cand_pos", F.row_number().over(Window.orderBy("first_key")))
+
+
+@register("enrich_candidates", q("select leak_type, provider, service, resource_id, severity, cand_pos from cand",
+                                 CAND_CTES))
+def enrich_candidates_q(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("leak_type", "provider", "service", "resource_id", "severity",
+                                             F.col("cand_pos").cast("long").alias("cand_pos"))
+
+
+def _jv(col: str) -> str:
+    return f"coalesce(cast(to_json({col}) as varchar), 'null')"
+
+
+_PROMPT_SQL = ("'" + G.PROMPT_HEAD.replace("\n", "' || chr(10) || '") + "' || '{' || chr(10) || " + " || ".join(
+    f"'  \"{name}\": ' || {_jv(name)} || '{',' if i < len(G.PROMPT_FIELDS) - 1 else ''}' || chr(10)"
+    for i, name in enumerate(G.PROMPT_FIELDS)) + " || '}' || '" + G.PROMPT_TAIL.replace("\n", "' || chr(10) || '")
+    + "'")
+
+
+@register("enrich_prompts", q(f"select leak_type, provider, service, resource_id, {_PROMPT_SQL} as prompt from cand",
+                              CAND_CTES))
+def enrich_prompts_q(spark, sf_dir):
+    return G.enrich_prompts(_candidates(spark, sf_dir))
+
+
+def _replies(cands: DataFrame) -> DataFrame:
+    """Replies derived from the candidates: fenced JSON, bare JSON, or not JSON at all."""
+    body = F.to_json(F.struct(
+        F.col("reason").alias("root_cause"),
+        F.concat(F.lit("review "), F.coalesce(F.col("resource_id"), F.col("service"))).alias("fix_command"),
+        F.col("severity_score").alias("estimated_remediation_minutes"),
+        F.col("severity").alias("risk_level"), F.col("confidence").alias("risk_note"),
+        F.col("recommended_action").alias("priority_reason"),
+    ))
+    k = F.col("cand_pos") % 3
+    reply = (F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+             .when(k == 1, body).otherwise(F.concat(F.lit("not json: "), F.col("reason"))))
+    return cands.select(*G.LEAK_KEY, "cand_pos", reply.alias("reply"))
+
+
+REC_FIELDS = [f.name for f in G.RECOMMENDATION.fields]
+_REC_SQL = """recs as (select leak_type, provider, service, resource_id, cand_pos,
+    case when cand_pos % 3 <> 2 then reason end as root_cause,
+    case when cand_pos % 3 <> 2 then 'review ' || coalesce(resource_id, service) end as fix_command,
+    case when cand_pos % 3 <> 2 then severity_score end as estimated_remediation_minutes,
+    case when cand_pos % 3 <> 2 then severity end as risk_level,
+    case when cand_pos % 3 <> 2 then confidence end as risk_note,
+    case when cand_pos % 3 <> 2 then recommended_action end as priority_reason from cand)"""
+
+
+@register("parse_recommendations", q("select leak_type, provider, service, resource_id, " + ", ".join(REC_FIELDS)
+                                     + " from recs", CAND_CTES + [_REC_SQL]))
+def parse_recommendations_q(spark, sf_dir):
+    parsed = G.parse_recommendations(_replies(_candidates(spark, sf_dir)))
+    return parsed.select(*G.LEAK_KEY, *[F.col(f"llm_recommendation.{f}").alias(f) for f in REC_FIELDS])
+
+
+@register("attach_recommendations", q("""select p.leak_type, p.provider, p.service, p.resource_id,
+    r.root_cause, r.risk_level from primary_order p left join recs r
+    on r.leak_type = p.leak_type and r.provider is not distinct from p.provider
+    and r.service is not distinct from p.service and r.resource_id is not distinct from p.resource_id""",
+                                      CAND_CTES + [_REC_SQL]))
+def attach_recommendations_q(spark, sf_dir):
+    a = _analysis(spark, sf_dir)
+    cands = G.enrich_candidates(a.primary).withColumn(
+        "cand_pos", F.row_number().over(Window.orderBy("first_key")))
+    attached = G.attach_recommendations(a.primary, G.parse_recommendations(_replies(cands)))
+    return attached.select("leak_type", "provider", "service", "resource_id",
+                           F.col("llm_recommendation.root_cause").alias("root_cause"),
+                           F.col("llm_recommendation.risk_level").alias("risk_level"))
