@@ -24,7 +24,7 @@ from costsieve.functions import (
     py_round,
     service_category,
 )
-from costsieve.operators.features import RESOURCE_KEYS, SERVICE_KEYS, owner_columns
+from costsieve.operators.features import RESOURCE_KEYS, SERVICE_KEYS
 from costsieve.operators.ranking import join_back, kth_smallest
 from costsieve.session import reliable_checkpoint
 
@@ -62,7 +62,7 @@ def _fallback_threshold(provider: Column) -> Column:
 
 
 # ---------------------------------------------------------------- E1
-def detect_zombie(features: DataFrame, use_percentiles: bool = True) -> DataFrame:
+def detect_zombie(features: DataFrame, use_percentiles: bool = True, materialized: bool = False) -> DataFrame:
     """ZOMBIE_RESOURCE: days_active >= 14 and ratio < the service's p25 ratio.
 
     p25 is the nearest-rank value ``sorted(ratios)[max(0, int(n*0.25) - 1)]`` over the
@@ -70,10 +70,12 @@ def detect_zombie(features: DataFrame, use_percentiles: bool = True) -> DataFram
     be undercut); otherwise AWS 0.05, AZURE 0.10, other 3.0. Null ratios are ignored
     (the reference would drop the whole detector on one).
     """
-    # materialised once: the thresholds and the candidates must see bit-identical ratios
-    ratios = reliable_checkpoint(
-        features.where(F.col("usage_to_cost_ratio").isNotNull())
-        .select(*RESOURCE_KEYS, "days_active", "usage_to_cost_ratio"))
+    # the thresholds and the candidates must see bit-identical ratios: materialise them
+    # once unless the caller's features already are (float sums differ per evaluation)
+    ratios = features.where(F.col("usage_to_cost_ratio").isNotNull()).select(
+        *RESOURCE_KEYS, "days_active", "usage_to_cost_ratio")
+    if not materialized:
+        ratios = reliable_checkpoint(ratios)
     fallback = _fallback_threshold(F.col("provider"))
     cand = ratios.where(F.col("days_active") >= S.ZOMBIE_MIN_DAYS)
     if use_percentiles:
@@ -154,22 +156,17 @@ def detect_runaway(svc_stats: DataFrame, features: DataFrame | None) -> DataFram
 
 
 # ---------------------------------------------------------------- E4
-def detect_always_on(daily: DataFrame, svc_stats: DataFrame, norm: DataFrame) -> DataFrame:
+def detect_always_on(daily: DataFrame, svc_stats: DataFrame) -> DataFrame:
     """ALWAYS_ON_HIGH_COST: compute/database, mean daily >= 50, present on >= 90 % of all
-    billing days, and no owner/project/environment value on any row of the service."""
+    billing days, and no owner/project/environment value on any row of the service
+    (``owned`` flag carried by the daily aggregate)."""
     total_days = daily.agg(F.countDistinct("date").alias("total_days"))  # one row
     s = svc_stats.where(
         service_category("service").isin("compute", "database")
         & (F.col("avg_daily_cost") >= S.ALWAYS_ON_MIN_DAILY_COST)
     ).crossJoin(F.broadcast(total_days))
     s = s.where(F.col("days_present") / F.greatest(F.col("total_days"), F.lit(1)) >= S.ALWAYS_ON_PRESENCE_RATIO)
-    owners = owner_columns(norm)
-    if owners:
-        any_owner = F.lit(False)
-        for c in owners:
-            any_owner = any_owner | F.col(c).isNotNull()
-        owned = norm.where(any_owner).select(*SERVICE_KEYS).distinct()
-        s = s.join(owned, SERVICE_KEYS, "left_anti")
+    s = s.where(~F.coalesce(F.col("owned"), F.lit(False)))
     reason = F.concat(
         F.lit("Always-on service costing $"), fmt_fixed("avg_daily_cost", 2),
         F.lit("/day with no ownership metadata"),
@@ -177,31 +174,36 @@ def detect_always_on(daily: DataFrame, svc_stats: DataFrame, norm: DataFrame) ->
     return s.select(*_leak_cols(S.ALWAYS_ON, reason), "avg_daily_cost", "days_present", "total_days")
 
 
+def _first_by_resource(slots: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Provider/service (and ``extra`` fields) of each resource id's first row."""
+    fields = ["provider", "service", *(extra or [])]
+    first = slots.groupBy("resource_id").agg(
+        F.min_by(F.struct(*fields), "first_seq").alias("_first"), F.min("first_seq").alias("first_seq"))
+    return first.select("resource_id", "first_seq", *[F.col(f"_first.{c}").alias(c.split(".")[-1]) for c in fields])
+
+
 # ---------------------------------------------------------------- E5
-def detect_orphaned_storage(norm: DataFrame) -> DataFrame:
+def detect_orphaned_storage(slots: DataFrame) -> DataFrame:
     """ORPHANED_STORAGE: block-storage resource none of whose (provider, date, region)
     slots had any compute. Null/"" region is "unknown"; a row that is compute never
-    counts as storage. Keyed by resource id alone, provider/service of its first row."""
-    rows = norm.where(has_text("resource_id")).select(
-        "seq", "provider", "service", "resource_id", "date",
-        F.when(has_text("region"), F.col("region")).otherwise(F.lit("unknown")).alias("slot_region"),
+    counts as storage. Keyed by resource id alone, provider/service of its first row.
+
+    ``slots`` is ``features.resource_day_slots`` (one row per resource, day, region).
+    """
+    tagged = slots.where(has_text("resource_id")).select(
+        "resource_id", "provider", "service", "date", "slot_region", "first_seq",
         is_compute("service", "provider").alias("_compute"),
         is_block_storage("service", "provider").alias("_block"),
     )
     slot = ["provider", "date", "slot_region"]
-    compute_slots = rows.where("_compute").select(*slot).distinct()
-    storage = rows.where(~F.col("_compute") & F.col("_block"))
-    first = storage.groupBy("resource_id").agg(
-        F.min_by(F.struct("provider", "service"), "seq").alias("_first"),
-        F.min("seq").alias("first_seq"),
-    )
+    compute_slots = tagged.where("_compute").select(*slot).distinct()
+    storage = tagged.where(~F.col("_compute") & F.col("_block"))
     covered = (
         storage.select("resource_id", *slot).distinct()
         .join(compute_slots, slot, "left_semi")
         .select("resource_id").distinct()
     )
-    orphans = first.join(covered, "resource_id", "left_anti").select(
-        "resource_id", "first_seq", F.col("_first.provider").alias("provider"), F.col("_first.service").alias("service"))
+    orphans = _first_by_resource(storage).join(covered, "resource_id", "left_anti")
     return orphans.select(*_leak_cols(S.ORPHANED, F.lit(ORPHANED_REASON), F.col("resource_id"),
                                       order_seq=F.col("first_seq")))
 
@@ -232,50 +234,46 @@ def detect_idle_database(features: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- E7
-def detect_snapshot_sprawl(norm: DataFrame) -> DataFrame:
+def detect_snapshot_sprawl(slots: DataFrame) -> DataFrame:
     """SNAPSHOT_SPRAWL: snapshot/backup resource id that never appears on a compute or
-    database row (any provider or service)."""
-    rows = norm.where(has_text("resource_id"))
-    active = rows.where(service_category("service").isin("compute", "database")).select("resource_id").distinct()
-    snaps = rows.where(is_snapshot("service", "provider")).groupBy("resource_id").agg(
-        F.min_by(F.struct("provider", "service"), "seq").alias("_first"),
-        F.min("seq").alias("first_seq"),
-    )
-    out = snaps.join(active, "resource_id", "left_anti").select(
-        "resource_id", "first_seq", F.col("_first.provider").alias("provider"), F.col("_first.service").alias("service"))
+    database row (any provider or service). ``slots`` as for E5."""
+    slots = slots.where(has_text("resource_id"))
+    active = slots.where(service_category("service").isin("compute", "database")).select("resource_id").distinct()
+    snaps = _first_by_resource(slots.where(is_snapshot("service", "provider")))
+    out = snaps.join(active, "resource_id", "left_anti")
     return out.select(*_leak_cols(S.SNAPSHOT, F.lit(SNAPSHOT_REASON), F.col("resource_id"),
                                   order_seq=F.col("first_seq")))
 
 
 # ---------------------------------------------------------------- E8
-def untagged_candidates(norm: DataFrame) -> DataFrame:
-    """All untagged resources before the top-N cap (judged on each resource's first row)."""
-    owners = owner_columns(norm)
-    first_fields = ["provider", "service", *owners]
-    rows = norm.where(has_text("resource_id"))
-    first = rows.groupBy("resource_id").agg(
-        F.min_by(F.struct(*first_fields), "seq").alias("_first"),
-        F.min("seq").alias("first_seq"),
-    ).select("resource_id", "first_seq", *[F.col(f"_first.{c}").alias(c) for c in first_fields])
-    resource_total = norm.where(F.col("resource_id").isNotNull()).groupBy("resource_id").agg(
-        F.sum("cost").alias("resource_cost"))
-    service_total = norm.where(F.col("service").isNotNull()).groupBy(*SERVICE_KEYS).agg(
-        F.sum("cost").alias("service_cost"))
+def untagged_candidates(slots: DataFrame, svc_stats: DataFrame) -> DataFrame:
+    """All untagged resources before the top-N cap, judged on each resource's first row.
+
+    Skipped when both the resource's total cost (all its rows) and its first row's
+    service total are below 0.01; untagged when every owner-like value of the first row
+    is null, "", unknown, none or nan (any case).
+    """
+    slots = slots.where(has_text("resource_id"))
+    has_owner = "first_owner" in slots.columns
+    owners = [f.name for f in slots.schema["first_owner"].dataType.fields] if has_owner else []
+    first = _first_by_resource(slots, ["first_owner"] if has_owner else [])
+    resource_total = slots.groupBy("resource_id").agg(F.sum("cost").alias("resource_cost"))
     cand = first.join(resource_total, "resource_id", "left")
-    cand = join_back(cand, service_total, SERVICE_KEYS, "left")
+    cand = join_back(cand, svc_stats.select(*SERVICE_KEYS, F.col("total_cost").alias("service_cost")),
+                     SERVICE_KEYS, "left")
     rc = F.coalesce(F.col("resource_cost"), F.lit(0.0))
     sc = F.coalesce(F.col("service_cost"), F.lit(0.0))
     cand = cand.where(~((rc < 0.01) & (sc < 0.01)))
     owned = F.lit(False)
     for c in owners:
-        v = F.col(c).cast("string")
+        v = F.col("first_owner")[c].cast("string")
         owned = owned | (has_text(v) & ~F.lower(v).isin(*S.UNTAGGED_EMPTY_VALUES))
-    return cand.where(~owned).withColumn("resource_cost", rc)
+    return cand.where(~owned).withColumn("resource_cost", rc).drop("first_owner")
 
 
-def detect_untagged(norm: DataFrame, top_n: int | None = S.UNTAGGED_TOP_N) -> DataFrame:
+def detect_untagged(slots: DataFrame, svc_stats: DataFrame, top_n: int | None = S.UNTAGGED_TOP_N) -> DataFrame:
     """UNTAGGED_RESOURCE: the ``top_n`` costliest untagged resources (ties: first seen)."""
-    cand = untagged_candidates(norm)
+    cand = untagged_candidates(slots, svc_stats)
     if top_n is not None:
         cand = cand.orderBy(F.col("resource_cost").desc(), F.col("first_seq").asc()).limit(int(top_n))
     return cand.select(

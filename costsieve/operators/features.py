@@ -29,9 +29,73 @@ def owner_columns(df: DataFrame) -> list[str]:
 
 
 # ---------------------------------------------------------------- D1
-def daily_cost(norm: DataFrame) -> DataFrame:
-    """(date, provider, service, daily_cost)."""
-    return norm.groupBy("date", "provider", "service").agg(F.sum("cost").alias("daily_cost"))
+def daily_cost(norm: DataFrame, with_owner_flag: bool = False) -> DataFrame:
+    """(date, provider, service, daily_cost[, owned]).
+
+    ``owned`` (optional) says whether any row of that service-day carries an owner /
+    project / environment value; it rides on the same aggregation for free and spares
+    the always-on detector another scan of the rows.
+    """
+    aggs = [F.sum("cost").alias("daily_cost")]
+    if with_owner_flag:
+        owners = owner_columns(norm)
+        any_owner = F.lit(False)
+        for c in owners:
+            any_owner = any_owner | F.col(c).isNotNull()
+        aggs.append(F.bool_or(any_owner).alias("owned"))
+    return norm.groupBy("date", "provider", "service").agg(*aggs)
+
+
+# ---------------------------------------------------------------- resource-day slots (one pass)
+def resource_day_slots(norm: DataFrame) -> DataFrame:
+    """The ONE aggregation over billing rows: one row per
+    (resource_id, provider, service, date, slot_region), null / "" resource ids included
+    as their own groups, null / "" region as "unknown".
+
+    Everything else derives from this table, which is far smaller than the rows (line
+    items are hourly or finer): daily costs (D1), resource features (D3/D4/E6), and the
+    orphaned-storage, snapshot and untagged detectors (first row = smallest ``seq``).
+    """
+    from costsieve.functions import has_text
+
+    owners = owner_columns(norm)
+    usage = F.col("usage") if "usage" in norm.columns else F.lit(None).cast("double")
+    any_owner = F.lit(False)
+    for c in owners:
+        any_owner = any_owner | F.col(c).isNotNull()
+    region = F.when(has_text("region"), F.col("region")).otherwise(F.lit("unknown"))
+    aggs = [
+        F.min("seq").alias("first_seq"),
+        F.sum("cost").alias("cost"),
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.when(usage.isNotNull(), F.col("cost"))).alias("usage_cost_sum"),
+        F.sum(usage).alias("usage_sum"),
+        F.count(usage).alias("usage_rows"),
+        F.bool_or(any_owner).alias("owned"),
+    ]
+    if owners:
+        aggs.append(F.min_by(F.struct(*[F.col(c) for c in owners]), "seq").alias("first_owner"))
+    return norm.withColumn("slot_region", region).groupBy(
+        "resource_id", "provider", "service", "date", "slot_region").agg(*aggs)
+
+
+def daily_from_slots(slots: DataFrame) -> DataFrame:
+    """D1 from the slots table: (date, provider, service, daily_cost, owned)."""
+    return slots.groupBy("date", "provider", "service").agg(
+        F.sum("cost").alias("daily_cost"), F.bool_or("owned").alias("owned"))
+
+
+def resource_features_from_slots(slots: DataFrame) -> DataFrame:
+    """``resource_features`` computed from the slots table instead of the rows."""
+    g = slots.where(F.col("resource_id").isNotNull()).groupBy(*RESOURCE_KEYS).agg(
+        F.countDistinct("date").alias("days_active"),
+        F.sum("cost").alias("cost_sum"),
+        F.sum("rows").alias("rows"),
+        F.sum("usage_cost_sum").alias("usage_cost_sum"),
+        F.sum("usage_sum").alias("usage_sum"),
+        F.sum("usage_rows").alias("usage_rows"),
+    )
+    return _resource_columns(g)
 
 
 # ---------------------------------------------------------------- D5
@@ -72,8 +136,9 @@ def service_stats(daily_z: DataFrame) -> DataFrame:
         F.min_by("daily_cost", "date").alias("first_cost"),
         F.max_by(last, "date").alias("_last"),
         F.sum("daily_cost").alias("total_cost"),
+        (F.bool_or("owned") if "owned" in daily_z.columns else F.lit(None).cast("boolean")).alias("owned"),
     ).select(
-        *SERVICE_KEYS, "avg_daily_cost", "days", "days_present", "first_cost", "total_cost",
+        *SERVICE_KEYS, "avg_daily_cost", "days", "days_present", "first_cost", "total_cost", "owned",
         F.col("_last.cost").alias("last_cost"),
         F.col("_last.z").alias("last_z"),
         F.col("_last.mean").alias("last_rolling_mean"),
@@ -118,6 +183,10 @@ def resource_features(norm: DataFrame) -> DataFrame:
         F.sum(usage).alias("usage_sum"),
         F.count(usage).alias("usage_rows"),
     )
+    return _resource_columns(g)
+
+
+def _resource_columns(g: DataFrame) -> DataFrame:
     ratio = F.when(
         (F.col("usage_rows") > 0) & (F.col("usage_cost_sum") != 0),
         F.col("usage_sum") / F.col("usage_cost_sum"),
@@ -189,7 +258,7 @@ def forecast_30d(daily: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- D7
-def cost_percentiles(norm_or_features: DataFrame) -> DataFrame:
+def cost_percentiles(norm_or_features: DataFrame, materialized: bool = False) -> DataFrame:
     """Percentile (average rank, 0–100, 1 decimal) of each resource's total cost in its service.
 
     Accepts the normalized rows or ``resource_features`` (uses ``cost_sum``).
@@ -201,5 +270,5 @@ def cost_percentiles(norm_or_features: DataFrame) -> DataFrame:
             norm_or_features.where(F.col("resource_id").isNotNull())
             .groupBy(*RESOURCE_KEYS).agg(F.sum("cost").alias("cost"))
         )
-    ranked = average_rank_pct(totals, SERVICE_KEYS, "cost", "pct")
+    ranked = average_rank_pct(totals, SERVICE_KEYS, "cost", "pct", materialized=materialized)
     return ranked.select(*RESOURCE_KEYS, "cost", py_round(F.col("pct") * 100, 1).alias("percentile"))

@@ -82,13 +82,15 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, slices: int | None =
     )
 
 
-def average_rank_pct(df: DataFrame, keys: list[str], value: str, out: str = "pct") -> DataFrame:
+def average_rank_pct(df: DataFrame, keys: list[str], value: str, out: str = "pct",
+                     materialized: bool = False) -> DataFrame:
     """pandas ``rank(pct=True)`` (method='average') of ``value`` inside ``keys``, 0..1.
 
     ``df`` is materialised first: the ranks are joined back on the value itself, which
     must be bit-identical on both sides (float sums are not, if evaluated twice).
     """
-    df = reliable_checkpoint(df)
+    if not materialized:
+        df = reliable_checkpoint(df)
     ranks = value_ranks(df, keys, value)
     ranks = ranks.select(
         *keys, value,

@@ -120,13 +120,19 @@ def score_leaks(leaks: DataFrame, svc_stats: DataFrame | None, lifespan: DataFra
     else:
         out = out.withColumn("days_active", F.lit(None).cast("long"))
     lt, z = F.col("leak_type"), F.col("z_score")
-    out = out.withColumn("severity_score", severity_score(F.col("reason"), lt, F.col("days_active"), z))
-    out = out.withColumn("severity", severity_label(F.col("severity_score")))
-    out = out.withColumn("recommended_action", recommended_action(F.col("severity")))
-    out = out.withColumn("estimated_monthly_waste", monthly_waste(lt, F.col("exact_waste"), F.col("avg_daily_cost")))
-    out = out.withColumn("estimated_annual_waste", money(F.col("estimated_monthly_waste") * 12))
-    out = out.withColumn("confidence", confidence(lt, F.col("days_active"), F.col("avg_daily_cost"), z))
-    return out.withColumn("rank_key", rank_key())
+    # two selects instead of a withColumn chain (each withColumn re-analyses the plan)
+    out = out.select(
+        "*",
+        severity_score(F.col("reason"), lt, F.col("days_active"), z).alias("severity_score"),
+        monthly_waste(lt, F.col("exact_waste"), F.col("avg_daily_cost")).alias("estimated_monthly_waste"),
+        confidence(lt, F.col("days_active"), F.col("avg_daily_cost"), z).alias("confidence"),
+    )
+    sev = severity_label(F.col("severity_score"))
+    return out.select(
+        "*", sev.alias("severity"), recommended_action(sev).alias("recommended_action"),
+        money(F.col("estimated_monthly_waste") * 12).alias("estimated_annual_waste"),
+        rank_key().alias("rank_key"),
+    )
 
 
 # ---------------------------------------------------------------- F7

@@ -128,7 +128,7 @@ def forecast_q(spark, sf_dir):
     {O.pr('(rank() over w - 1 + (count(*) over (partition by provider, service, cost_sum) + 1) / 2e0) / (count(*) over (partition by provider, service)) * 100', 1)} as percentile
     from resf window w as (partition by provider, service order by cost_sum)"""))
 def cost_percentiles_q(spark, sf_dir):
-    p = D.cost_percentiles(_features(spark, sf_dir).resources)
+    p = D.cost_percentiles(_features(spark, sf_dir).resources, materialized=True)
     return p.select("provider", "service", "resource_id", r6("cost").alias("cost"), "percentile")
 
 
@@ -162,7 +162,7 @@ def _leak_sql(cte: str, extra: str = "", where: str = "") -> str:
     'Active ' || days_active || ' days with usage-to-cost ratio of ' || {O.ff('ratio', 4)}
       || ' (below service p25 threshold ' || {O.ff('threshold', 4)} || ')' as reason from zombie"""))
 def leak_zombie_q(spark, sf_dir):
-    z = E.detect_zombie(_features(spark, sf_dir).resources)
+    z = E.detect_zombie(_features(spark, sf_dir).resources, materialized=True)
     return z.select(*LEAK_OUT, "days_active", r6("usage_to_cost_ratio").alias("usage_to_cost_ratio"),
                     r6("threshold").alias("threshold"))
 
@@ -172,7 +172,7 @@ def leak_zombie_q(spark, sf_dir):
     'Low usage detected over ' || days_active || ' days' as reason from idle"""))
 def leak_idle_q(spark, sf_dir):
     ft = _features(spark, sf_dir)
-    z = E.detect_zombie(ft.resources)
+    z = E.detect_zombie(ft.resources, materialized=True)
     i = E.detect_idle(ft.resources, ft.services, z.select("resource_id"))
     return i.select(*LEAK_OUT, "days_active", r6("usage_to_cost_ratio").alias("usage_to_cost_ratio"),
                     r6("avg_daily_cost").alias("avg_daily_cost"))
@@ -196,13 +196,13 @@ def leak_runaway_q(spark, sf_dir):
     {O.pr('avg_daily_cost', 6)} as avg_daily_cost, days_present, total_days from always_on"""))
 def leak_always_on_q(spark, sf_dir):
     ft = _features(spark, sf_dir)
-    a = E.detect_always_on(ft.daily, ft.services, ft.norm)
+    a = E.detect_always_on(ft.daily, ft.services)
     return a.select(*LEAK_OUT, r6("avg_daily_cost").alias("avg_daily_cost"), "days_present", "total_days")
 
 
 @register("leak_orphaned_storage", _leak_sql("ORPHANED_STORAGE", ", order_seq as first_seq"))
 def leak_orphaned_q(spark, sf_dir):
-    o = E.detect_orphaned_storage(billing(spark, sf_dir))
+    o = E.detect_orphaned_storage(D.resource_day_slots(billing(spark, sf_dir)))
     return o.select(*LEAK_OUT, F.col("order_seq").alias("first_seq"))
 
 
@@ -217,7 +217,7 @@ def leak_idle_db_q(spark, sf_dir):
 
 @register("leak_snapshot_sprawl", _leak_sql("SNAPSHOT_SPRAWL", ", order_seq as first_seq"))
 def leak_snapshot_q(spark, sf_dir):
-    s = E.detect_snapshot_sprawl(billing(spark, sf_dir))
+    s = E.detect_snapshot_sprawl(D.resource_day_slots(billing(spark, sf_dir)))
     return s.select(*LEAK_OUT, F.col("order_seq").alias("first_seq"))
 
 
@@ -225,14 +225,16 @@ def leak_snapshot_q(spark, sf_dir):
     'Resource has no ownership tags (owner / project / environment missing)' as reason,
     {O.pr('resource_cost', 6)} as resource_cost, first_seq from untagged"""))
 def leak_untagged_q(spark, sf_dir):
-    u = E.detect_untagged(billing(spark, sf_dir))
+    ft = _features(spark, sf_dir)
+    u = E.detect_untagged(ft.slots, ft.services)
     return u.select(*LEAK_OUT, r6("resource_cost").alias("resource_cost"), F.col("order_seq").alias("first_seq"))
 
 
 @register("untagged_candidates", q(f"""select resource_id, provider, service, {O.pr('resource_cost', 6)} as resource_cost,
     first_seq from untagged_all"""))
 def untagged_candidates_q(spark, sf_dir):
-    u = E.untagged_candidates(billing(spark, sf_dir))
+    ft = _features(spark, sf_dir)
+    u = E.untagged_candidates(ft.slots, ft.services)
     return u.select("resource_id", "provider", "service", r6("resource_cost").alias("resource_cost"), "first_seq")
 
 

@@ -5,9 +5,9 @@ z-scores, per-service stats, per-resource features) -> ten detectors -> union ->
 dedupe -> score -> primary -> summary / stats / forecast. Nothing is collected: the
 result holds DataFrames, and the driver only ever sees column names and parameters.
 
-Shared aggregates are persisted (``persist_features=True``) because up to ten plans read
-them; they are small next to the input (one row per service-day, per service, per
-resource). A lost executor only means recomputing those blocks from lineage.
+Shared aggregates are materialised in the reliable checkpoint folder because up to ten
+plans read them; they are small next to the input (one row per service-day, per service,
+per resource, per resource-day-region).
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +24,7 @@ from costsieve.operators import features as D
 from costsieve.operators import scoring as Fs
 from costsieve.operators.detect import detect_provider
 from costsieve.operators.normalize import SLASH_TO_UNDERSCORE, normalize
+from costsieve.session import reliable_checkpoint
 
 log = logging.getLogger(__name__)
 
@@ -32,9 +32,11 @@ log = logging.getLogger(__name__)
 @dataclass
 class Features:
     norm: DataFrame
-    daily: DataFrame          # D1 + D5 columns
+    daily: DataFrame          # D1 + D5 columns (+ owned flag)
     services: DataFrame       # per (provider, service)
     resources: DataFrame      # per (provider, service, resource_id)
+    slots: DataFrame          # per (resource_id, provider, service, date, region)
+    materialized: bool = False
 
 
 @dataclass
@@ -63,14 +65,26 @@ def with_seq(df: DataFrame) -> DataFrame:
     return df.withColumn("seq", F.monotonically_increasing_id())
 
 
-def build_features(norm: DataFrame, persist: bool = False) -> Features:
-    daily = D.cost_zscore(D.daily_cost(norm))
+def build_features(norm: DataFrame, materialize: bool = True) -> Features:
+    """The four shared aggregates every detector reads, built from ONE pass over the rows.
+
+    With ``materialize`` (default) they are written to the reliable checkpoint folder:
+    up to ten plans read them, lineage back to the raw scan is cut (a lost executor
+    re-reads the checkpoint, not the input), and every detector sees bit-identical
+    float sums (a re-evaluated sum may differ in the last bit).
+    """
+    slots = D.resource_day_slots(norm)              # the only pass over the rows
+    if materialize:
+        slots = reliable_checkpoint(slots)
+    daily = D.cost_zscore(D.daily_from_slots(slots))
+    resources = D.resource_features_from_slots(slots)
+    if materialize:
+        daily, resources = reliable_checkpoint(daily), reliable_checkpoint(resources)
     services = D.service_stats(daily)
-    resources = D.resource_features(norm)
-    if persist:
-        level = StorageLevel.MEMORY_AND_DISK
-        daily, services, resources = (x.persist(level) for x in (daily, services, resources))
-    return Features(norm=norm, daily=daily, services=services, resources=resources)
+    if materialize:
+        services = reliable_checkpoint(services)
+    return Features(norm=norm, daily=daily, services=services, resources=resources, slots=slots,
+                    materialized=materialize)
 
 
 def run_detectors(ft: Features, raw_for_ri: DataFrame | None = None,
@@ -78,15 +92,15 @@ def run_detectors(ft: Features, raw_for_ri: DataFrame | None = None,
     """All detectors in reference order. A detector whose inputs are missing is skipped
     with a warning *at plan time* (the plans themselves are not wrapped in try/except)."""
     out, skipped = [], []
-    zombie = E.detect_zombie(ft.resources)
+    zombie = E.detect_zombie(ft.resources, materialized=ft.materialized)
     out.append(zombie)
     out.append(E.detect_idle(ft.resources, ft.services, zombie.select("resource_id")))
     out.append(E.detect_runaway(ft.services, ft.resources))
-    out.append(E.detect_always_on(ft.daily, ft.services, ft.norm))
-    out.append(E.detect_orphaned_storage(ft.norm))
+    out.append(E.detect_always_on(ft.daily, ft.services))
+    out.append(E.detect_orphaned_storage(ft.slots))
     out.append(E.detect_idle_database(ft.resources))
-    out.append(E.detect_snapshot_sprawl(ft.norm))
-    out.append(E.detect_untagged(ft.norm, top_untagged))
+    out.append(E.detect_snapshot_sprawl(ft.slots))
+    out.append(E.detect_untagged(ft.slots, ft.services, top_untagged))
     if raw_for_ri is not None:
         raw = raw_for_ri
         if "lineItem/UnblendedCost" in raw.columns:
@@ -98,7 +112,7 @@ def run_detectors(ft: Features, raw_for_ri: DataFrame | None = None,
 
 def analyze(raw: DataFrame, provider: str | None = None, already_normalized: bool = False,
             top_untagged: int | None = S.UNTAGGED_TOP_N, forecast: bool = True,
-            persist_features: bool = False) -> Analysis:
+            materialize: bool = True) -> Analysis:
     """Run the whole analysis lazily. ``already_normalized`` input keeps its own
     ``provider`` column when it has one (multi-provider tables), else is stamped."""
     raw = with_seq(raw)
@@ -117,7 +131,7 @@ def analyze(raw: DataFrame, provider: str | None = None, already_normalized: boo
         except Exception as exc:  # noqa: BLE001 - plan-time error in the mapping
             raise ValueError(f"Normalization failed: {exc}") from exc
         ri_input = raw if label == "AWS" else None
-    ft = build_features(norm, persist=persist_features)
+    ft = build_features(norm, materialize=materialize)
     frames, skipped = run_detectors(ft, ri_input, top_untagged)
     leaks = Fs.dedupe_leaks(Fs.union_leaks(frames))
     scored = Fs.score_leaks(leaks, ft.services, ft.resources)
