@@ -50,7 +50,8 @@ BASE = [O.BILLING_CTE] + O.pipeline_ctes()
 
 
 def q(sql: str, ctes: list[str] | None = None) -> str:
-    return O.with_ctes(*(ctes if ctes is not None else BASE)) + sql
+    ctes = ctes if ctes is not None else BASE
+    return (O.with_ctes(*ctes) + sql) if ctes else sql
 
 
 # ------------------------------------------------------------------ shared Spark pieces
@@ -723,3 +724,123 @@ def attach_recommendations_q(spark, sf_dir):
     return attached.select("leak_type", "provider", "service", "resource_id",
                            F.col("llm_recommendation.root_cause").alias("root_cause"),
                            F.col("llm_recommendation.risk_level").alias("risk_level"))
+
+
+# ================================================================== A8, A9: saved API payloads
+from costsieve.operators import detect as B  # noqa: E402
+from costsieve.sources import landing as L  # noqa: E402
+from costsieve.sources import payloads as A  # noqa: E402
+
+API_REGION = "us-east-1"
+
+
+@register("flatten_aws_api", q(f"""select date, service, {O.pr('sum(cost)', 6)} as cost,
+    case when service = 'AmazonS3' then 0.0 else {O.pr('sum(usage)', 6)} end as usage,
+    'AWS' as provider, '' as resource_id, '{API_REGION}' as region
+    from billing where provider = 'AWS' group by date, service having sum(cost) > 0""", [O.BILLING_CTE]))
+def flatten_aws_api_q(spark, sf_dir):
+    path = scratch_path(spark, "ce-pages")
+    A.aws_pages_from_billing(billing(spark, sf_dir)).write.json(path)
+    flat = A.flatten_aws_cost_explorer(A.read_aws_pages(spark, path), API_REGION)
+    return flat.select("date", "service", r6("cost").alias("cost"), r6("usage").alias("usage"),
+                       "provider", "resource_id", "region")
+
+
+@register("flatten_azure_api", q(f"""select date, service, {O.pr('sum(cost)', 6)} as cost, 0.0::double as usage,
+    'AZURE' as provider, '' as resource_id, '' as region
+    from billing where provider = 'AZURE' and service <> 'Storage' group by date, service having sum(cost) > 0""",
+                                 [O.BILLING_CTE]))
+def flatten_azure_api_q(spark, sf_dir):
+    path = scratch_path(spark, "cm-pages")
+    A.azure_pages_from_billing(billing(spark, sf_dir)).write.json(path)
+    flat = A.flatten_azure_query(A.read_azure_pages(spark, path))
+    return flat.select("date", "service", r6("cost").alias("cost"), "usage", "provider", "resource_id", "region")
+
+
+# ================================================================== C7-C10: Azure / GCP exports read from CSV
+def _landing_export(spark, sf_dir, name):
+    return L.read_csv_export(spark, f"{L.write_landing_zone(spark, sf_dir)}/{name}")
+
+
+NORM_OUT = ["date", "provider", "service", "resource_id", "region"]
+
+
+@register("normalize_azure", q(f"""select date, 'AZURE' as provider, service, resource_id, region,
+    {O.pr('cost', 6)} as cost, {O.pr('usage', 6)} as usage,
+    case when labels_owner is not null and region = 'r0' then 'apollo' end as labels_project,
+    labels_owner,
+    case when labels_owner is not null then case when cost > 20 then 'prod' else 'dev' end end as labels_environment
+    from billing where provider = 'AZURE'""", [O.BILLING_CTE]))
+def normalize_azure_q(spark, sf_dir):
+    n = N.normalize(_landing_export(spark, sf_dir, "azure_export"), "AZURE")
+    return n.select(*NORM_OUT, r6("cost").alias("cost"), r6("usage").alias("usage"),
+                    "labels_project", "labels_owner", "labels_environment")
+
+
+@register("azure_tags", q("""select labels_owner, labels_environment, labels_project, count(*) as rows from (
+    select labels_owner,
+      case when labels_owner is not null then case when cost > 20 then 'prod' else 'dev' end end as labels_environment,
+      case when labels_owner is not null and region = 'r0' then 'apollo' end as labels_project
+    from billing where provider = 'AZURE') group by all""", [O.BILLING_CTE]))
+def azure_tags_q(spark, sf_dir):
+    x = _landing_export(spark, sf_dir, "azure_export")
+    tags = x.select(*N.azure_tags(N.pick(x, N.AZURE_CANDIDATES["tags"])))
+    return tags.groupBy("labels_owner", "labels_environment", "labels_project").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("normalize_gcp", q(f"""select date, 'GCP' as provider, service,
+    case when seq % 10 <> 0 then resource_id else 'unknown' end as resource_id, region,
+    {O.pr('cost', 6)} as cost, {O.pr('usage', 6)} as usage,
+    case when labels_owner is not null then 'prod' end as labels_environment
+    from billing where provider = 'GCP'""", [O.BILLING_CTE]))
+def normalize_gcp_q(spark, sf_dir):
+    n = N.normalize(_landing_export(spark, sf_dir, "gcp_export"), "GCP")
+    return n.select(*NORM_OUT, r6("cost").alias("cost"), r6("usage").alias("usage"), "labels_environment")
+
+
+# ================================================================== B: landing-zone detection
+def _headers(spark, sf_dir):
+    return L.landing_headers(spark, L.write_landing_zone(spark, sf_dir))
+
+
+_EXPORTS = ["aws_cur", "aws_cur_slash", "azure_export", "gcp_export", "invoice", "nation"]
+
+
+@register("detect_provider", q("""select * from (values
+    ('aws_cur', true, false, false, 'AWS'), ('aws_cur_slash', true, false, false, 'AWS'),
+    ('azure_export', false, true, false, 'AZURE'), ('gcp_export', false, false, true, 'GCP'),
+    ('invoice', false, false, false, null), ('nation', false, false, false, null))
+    t(source, is_aws, is_azure, is_gcp, provider)""", []))
+def detect_provider_q(spark, sf_dir):
+    return B.detect_provider_files(_headers(spark, sf_dir))
+
+
+@register("detect_file_kind", q("""select * from (values ('aws_cur', 'COST_USAGE'), ('aws_cur_slash', 'UNKNOWN'),
+    ('azure_export', 'COST_USAGE'), ('gcp_export', 'COST_USAGE'), ('invoice', 'INVOICE'), ('nation', 'UNKNOWN'))
+    t(source, file_kind)""", []))
+def detect_file_kind_q(spark, sf_dir):
+    return B.detect_file_kind(_headers(spark, sf_dir))
+
+
+@register("validate_billing", q("""select source, rows, has_cost_signal, rows > 0 and has_cost_signal as is_valid,
+    case when rows <= 0 then 'CSV file is empty' when not has_cost_signal then 'CSV does not contain cost or usage data'
+         else 'CSV is valid for analysis' end as message from (
+    select 'aws_cur' as source, (select count(*) from lineitem) as rows, true as has_cost_signal
+    union all select 'aws_cur_slash', (select count(*) from lineitem), true
+    union all select 'azure_export', (select count(*) from billing where provider = 'AZURE'), true
+    union all select 'gcp_export', (select count(*) from billing where provider = 'GCP'), true
+    union all select 'invoice', (select count(*) from orders), true
+    union all select 'nation', (select count(*) from nation), false)""", [O.BILLING_CTE]))
+def validate_billing_q(spark, sf_dir):
+    root = L.write_landing_zone(spark, sf_dir)
+    return B.validate_billing_files(L.landing_headers(spark, root), L.landing_row_counts(spark, root))
+
+
+@register("cur_column_map", q("select * from (values " + ", ".join(
+    f"('aws_cur', '{raw}', '{std}')" for raw, std in B.CUR_COLUMNS.items()
+    if raw in {"line_item_usage_start_date", "product_servicecode", "line_item_resource_id", "line_item_usage_type",
+               "line_item_usage_amount", "line_item_unblended_cost", "product_region", "line_item_line_item_type"})
+    + ", ('aws_cur', 'pricing_currency', 'currency'), ('aws_cur_slash', 'line_item_usage_type', 'usage_type'))"
+    " t(source, raw_column, standard_name)", []))
+def cur_column_map_q(spark, sf_dir):
+    return B.cur_column_map_files(_headers(spark, sf_dir))
