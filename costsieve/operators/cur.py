@@ -37,7 +37,9 @@ INGEST_COLUMNS = ["date", "service", "cost", "usage_type", "resource_id", "usage
                   "owner_tag", "environment_tag"]
 # ---- end of fixed values ----
 
-_CODE_MAP = F.create_map(*[F.lit(x) for x in chain.from_iterable(SERVICE_CODE_MAPPING.items())])
+
+def _code_map():
+    return F.create_map(*[F.lit(x) for x in chain.from_iterable(SERVICE_CODE_MAPPING.items())])
 
 
 def _strip(c):
@@ -56,7 +58,7 @@ def cur_extract(df: DataFrame, column_mapping: dict[str, str] | None = None) ->
         out = out.withColumn("date", parse_date(out, "date")).where(F.col("date").isNotNull())
     if "service" in cols:
         s = F.coalesce(F.col("service").cast("string"), F.lit("Unknown"))
-        out = out.withColumn("service", F.coalesce(_CODE_MAP[_strip(s)], s))
+        out = out.withColumn("service", F.coalesce(_code_map()[_strip(s)], s))
     for c in ("cost", "usage"):
         if c in cols:
             out = out.withColumn(c, F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)))
