@@ -844,3 +844,20 @@ def validate_billing_q(spark, sf_dir):
     " t(source, raw_column, standard_name)", []))
 def cur_column_map_q(spark, sf_dir):
     return B.cur_column_map_files(_headers(spark, sf_dir))
+
+
+# ================================================================== end to end over a raw AWS CUR export
+CUR_PIPELINE_CTES = [O.CUR_CTE, O.CUR_NORM_CTE] + O.RI_LEAK_CTES + O.pipeline_ctes(
+    source="cur_norm", extra_leaks=["ri_sp", "ri_un"])
+
+
+@register("cur_pipeline", q(f"select {SCORED_SQL_OUT}, primary_key, primary_pos from primary_order",
+                            CUR_PIPELINE_CTES))
+def cur_pipeline_q(spark, sf_dir):
+    """Provider detection -> AWS normalization (Tax dropped) -> all detectors incl. the
+    commitment ones on the raw rows -> scored primary leaks with report positions."""
+    from costsieve.operators.ranking import global_positions
+
+    a = analyze(cur(spark, sf_dir))
+    p = global_positions(a.primary, [F.col("first_key")], "primary_pos")
+    return p.select(*SCORED_OUT, "primary_key", F.col("primary_pos").cast("long").alias("primary_pos"))

@@ -123,10 +123,11 @@ def _case_map(col: str, mapping: dict, default) -> str:
 
 # ---------------------------------------------------------------- pipeline CTE chain
 def pipeline_ctes(source: str = "billing", where: str | None = None, top_n: int = S.UNTAGGED_TOP_N,
-                  prefix: str = "") -> list[str]:
+                  prefix: str = "", extra_leaks: list[str] | None = None) -> list[str]:
     """CTEs computing features, detectors, scored and primary leaks over ``source``.
 
-    ``prefix`` lets two runs (e.g. previous vs current) live in one statement.
+    ``prefix`` lets two runs (e.g. previous vs current) live in one statement;
+    ``extra_leaks`` names CTEs already in LEAK shape to add to the union (RI leaks).
     """
     p = prefix
     filt = f" where {where}" if where else ""
@@ -262,7 +263,8 @@ def pipeline_ctes(source: str = "billing", where: str | None = None, top_n: int
             union all
             select 'UNTAGGED_RESOURCE', provider, service, resource_id,
                    'Resource has no ownership tags (owner / project / environment missing)',
-                   null, null, 8, -resource_cost, first_seq from {p}untagged)""",
+                   null, null, 8, -resource_cost, first_seq from {p}untagged"""
+        + "".join(f"\n            union all select * from {x}" for x in (extra_leaks or [])) + ")",
     ]
     ctes += scoring_ctes(p)
     return ctes
@@ -320,3 +322,35 @@ def scoring_ctes(p: str = "") -> list[str]:
 
 def with_ctes(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
+
+
+RI_LEAK_CTES = [
+    """ri_sp as (select 'RI_SAVINGS_PLAN_WASTE' as leak_type, 'AWS' as provider, 'Savings Plans' as service,
+        null::varchar as resource_id,
+        'Unused savings plan commitment costing $' || """ + fg("total", 2) + """ || ' in this billing period' as reason,
+        null::double as z_score, """ + pr("total", 2) + """ as exact_waste, 9 as detector_rank,
+        null::double as order_num, null::bigint as order_seq from (
+          select count(*) as n, coalesce(sum(try_cast(line_item_unblended_cost as double)), 0.0) as total from cur
+          where line_item_line_item_type in ('SavingsPlanNegation', 'SavingsPlanRecurringFee'))
+        where n > 0 and total >= 10)""",
+    """ri_un as (select 'RI_UNUSED_RESERVATION' as leak_type, 'AWS' as provider, 'Reserved Instances' as service,
+        null::varchar as resource_id,
+        'Unused reserved capacity costing $' || """ + fg("t.total", 2) + """ || ' (' || d.detail || ')' as reason,
+        null::double as z_score, """ + pr("t.total", 2) + """ as exact_waste, 10 as detector_rank,
+        null::double as order_num, null::bigint as order_seq
+        from (select count(*) as n, coalesce(sum(try_cast(reservation_unused_recurring_fee as double)), 0.0) as total
+              from cur where coalesce(try_cast(reservation_unused_quantity as double), 0.0) > 0) t,
+             (select string_agg(product_servicecode || ': $' || """ + fg("fee", 2) + """, ', '
+                     order by fee desc, product_servicecode) as detail
+              from (select product_servicecode, fee, row_number() over (order by fee desc, product_servicecode) as rk
+                    from (select product_servicecode,
+                                 coalesce(sum(try_cast(reservation_unused_recurring_fee as double)), 0.0) as fee
+                          from cur where coalesce(try_cast(reservation_unused_quantity as double), 0.0) > 0
+                            and product_servicecode is not null group by product_servicecode))
+              where rk <= 3) d
+        where t.n > 0 and t.total >= 10)""",
+]
+CUR_NORM_CTE = """cur_norm as (select seq, try_cast(line_item_usage_start_date as date) as date, 'AWS' as provider,
+    product_servicecode as service, line_item_unblended_cost as cost, line_item_usage_amount as usage,
+    line_item_resource_id as resource_id, product_region as region, null::varchar as labels_owner
+  from cur where line_item_line_item_type is distinct from 'Tax')"""
