@@ -1,0 +1 @@
+"""Incremental (scheduled) runs over a landing folder; see ``scheduled.run_scheduled``."""
