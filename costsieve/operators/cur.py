@@ -102,7 +102,7 @@ def cur_aggregate(df: DataFrame, group_by: list[str] | None = None) -> DataFrame
 def cur_ingest(raw: DataFrame, aggregate: bool = True, sample_rows: int | None = None) -> DataFrame:
     """A3 sample -> B5 validation -> C13 -> C14 -> fixed projection."""
     if sample_rows:
-        raw = (raw.orderBy("seq") if "seq" in raw.columns else raw).limit(int(sample_rows))
+        raw = first_rows(raw, int(sample_rows))
     ok, message = validate_cur_columns(raw.columns)
     if not ok:
         raise ValueError(f"Validation failed: {message}")
@@ -112,6 +112,13 @@ def cur_ingest(raw: DataFrame, aggregate: bool = True, sample_rows: int | None =
     return out.select(*[c for c in INGEST_COLUMNS if c in out.columns])
 
 
+def first_rows(raw: DataFrame, n: int) -> DataFrame:
+    """A3: the first n rows in ``seq`` order, ties broken by the row values (a total order,
+    so the sample is the same on every run); a top-n, not a full sort."""
+    order = (["seq"] if "seq" in raw.columns else []) + [c for c in raw.columns if c != "seq"]
+    return raw.orderBy(*[F.col(f"`{c}`") for c in order]).limit(n)
+
+
 def cur_stats(df: DataFrame) -> DataFrame:
     """Rows, total cost, distinct services / resources, date range, column list (one row)."""
     cols = df.columns

@@ -175,11 +175,15 @@ def detect_always_on(daily: DataFrame, svc_stats: DataFrame) -> DataFrame:
 
 
 def _first_by_resource(slots: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Provider/service (and ``extra`` fields) of each resource id's first row."""
+    """Provider/service (and ``extra`` fields) of each resource id's first row.
+
+    "First" is the smallest ``first_seq``; equal ``seq`` values (inputs without a unique
+    row order) are broken by the values themselves, so the pick is the same every run.
+    """
     fields = ["provider", "service", *(extra or [])]
-    first = slots.groupBy("resource_id").agg(
-        F.min_by(F.struct(*fields), "first_seq").alias("_first"), F.min("first_seq").alias("first_seq"))
-    return first.select("resource_id", "first_seq", *[F.col(f"_first.{c}").alias(c.split(".")[-1]) for c in fields])
+    first = slots.groupBy("resource_id").agg(F.min(F.struct("first_seq", *fields)).alias("_first"))
+    return first.select("resource_id", F.col("_first.first_seq").alias("first_seq"),
+                        *[F.col(f"_first.{c}").alias(c) for c in fields])
 
 
 # ---------------------------------------------------------------- E5
@@ -251,12 +255,10 @@ def untagged_candidates(slots: DataFrame, svc_stats: DataFrame) -> DataFrame:
 
     Skipped when both the resource's total cost (all its rows) and its first row's
     service total are below 0.01; untagged when every owner-like value of the first row
-    is null, "", unknown, none or nan (any case).
+    is null, "", unknown, none or nan (any case) — ``first_row_owned`` in the slots.
     """
     slots = slots.where(has_text("resource_id"))
-    has_owner = "first_owner" in slots.columns
-    owners = [f.name for f in slots.schema["first_owner"].dataType.fields] if has_owner else []
-    first = _first_by_resource(slots, ["first_owner"] if has_owner else [])
+    first = _first_by_resource(slots, ["first_row_owned"])
     resource_total = slots.groupBy("resource_id").agg(F.sum("cost").alias("resource_cost"))
     cand = first.join(resource_total, "resource_id", "left")
     cand = join_back(cand, svc_stats.select(*SERVICE_KEYS, F.col("total_cost").alias("service_cost")),
@@ -264,11 +266,8 @@ def untagged_candidates(slots: DataFrame, svc_stats: DataFrame) -> DataFrame:
     rc = F.coalesce(F.col("resource_cost"), F.lit(0.0))
     sc = F.coalesce(F.col("service_cost"), F.lit(0.0))
     cand = cand.where(~((rc < 0.01) & (sc < 0.01)))
-    owned = F.lit(False)
-    for c in owners:
-        v = F.col("first_owner")[c].cast("string")
-        owned = owned | (has_text(v) & ~F.lower(v).isin(*S.UNTAGGED_EMPTY_VALUES))
-    return cand.where(~owned).withColumn("resource_cost", rc).drop("first_owner")
+    return cand.where(~F.coalesce(F.col("first_row_owned"), F.lit(False))).withColumn(
+        "resource_cost", rc).drop("first_row_owned")
 
 
 def detect_untagged(slots: DataFrame, svc_stats: DataFrame, top_n: int | None = S.UNTAGGED_TOP_N) -> DataFrame:

@@ -60,10 +60,14 @@ def resource_day_slots(norm: DataFrame) -> DataFrame:
 
     owners = owner_columns(norm)
     usage = F.col("usage") if "usage" in norm.columns else F.lit(None).cast("double")
-    any_owner = F.lit(False)
+    any_owner = F.lit(False)     # E4: any owner-like value at all (not null)
+    row_owned = F.lit(False)     # E8: an owner-like value that is not blank/unknown/none/nan
     for c in owners:
+        v = F.col(c).cast("string")
         any_owner = any_owner | F.col(c).isNotNull()
+        row_owned = row_owned | (has_text(v) & ~F.lower(v).isin(*S.UNTAGGED_EMPTY_VALUES))
     region = F.when(has_text("region"), F.col("region")).otherwise(F.lit("unknown"))
+    # every buffer is fixed-width (long / double / boolean), so this stays a hash aggregate
     aggs = [
         F.min("seq").alias("first_seq"),
         F.sum("cost").alias("cost"),
@@ -72,11 +76,12 @@ def resource_day_slots(norm: DataFrame) -> DataFrame:
         F.sum(usage).alias("usage_sum"),
         F.count(usage).alias("usage_rows"),
         F.bool_or(any_owner).alias("owned"),
+        # first row's flag, packed with its seq into one long (ties on seq: owned first)
+        F.min(F.col("seq") * 2 + F.when(row_owned, 0).otherwise(1)).alias("_first_key"),
     ]
-    if owners:
-        aggs.append(F.min_by(F.struct(*[F.col(c) for c in owners]), "seq").alias("first_owner"))
-    return norm.withColumn("slot_region", region).groupBy(
+    out = norm.withColumn("slot_region", region).groupBy(
         "resource_id", "provider", "service", "date", "slot_region").agg(*aggs)
+    return out.withColumn("first_row_owned", F.col("_first_key") % 2 == 0).drop("_first_key")
 
 
 def daily_from_slots(slots: DataFrame) -> DataFrame:

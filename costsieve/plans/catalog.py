@@ -339,7 +339,7 @@ CUR_X = f"""cur_x as (select seq, try_cast(line_item_usage_start_date as date) a
     and line_item_line_item_type in ('Usage', 'DiscountedUsage', 'Fee'))"""
 CUR_AGG = """cur_agg as (select date, service, resource_id, usage_type,
     round_even(sum(cost) * 1e6, 0) / 1e6 as cost, round_even(sum(usage) * 1e6, 0) / 1e6 as usage,
-    arg_min(region, seq) filter (where region is not null) as region
+    (min({'s': seq, 'r': region}) filter (where region is not null)).r as region
   from cur_x group by date, service, resource_id, usage_type)"""
 CUR_BASE = [O.CUR_CTE, CUR_X.format(src="cur"), CUR_AGG]
 
@@ -445,7 +445,7 @@ def cur_ingest_q(spark, sf_dir):
 
 
 @register("sample_rows", q("select date, service, cost, usage_type, resource_id, usage, region from cur_agg",
-                           [O.CUR_CTE, "cur_head as (select * from cur order by seq limit 1000)",
+                           [O.CUR_CTE, "cur_head as (select * from cur order by all limit 1000)",
                             CUR_X.format(src="cur_head"), CUR_AGG]))
 def sample_rows_q(spark, sf_dir):
     return C.cur_ingest(cur(spark, sf_dir), sample_rows=1000)

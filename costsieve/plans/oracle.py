@@ -191,9 +191,9 @@ def pipeline_ctes(source: str = "billing", where: str | None = None, top_n: int
               case when region is not null and region <> '' then region else 'unknown' end as slot_region,
               {is_compute()} as c, {is_block()} as b
             from {p}norm where resource_id is not null and resource_id <> '')""",
-        f"""{p}orphaned as (select f.resource_id, f.fst.provider as provider, f.fst.service as service, f.first_seq
-            from (select resource_id, arg_min({{'provider': provider, 'service': service}}, seq) as fst,
-                         min(seq) as first_seq
+        f"""{p}orphaned as (select f.resource_id, f.fst.provider as provider, f.fst.service as service,
+                   f.fst.s as first_seq
+            from (select resource_id, min({{'s': seq, 'provider': provider, 'service': service}}) as fst
                   from {p}rows5 where not c and b group by resource_id) f
             where f.resource_id not in (
               select distinct st.resource_id from {p}rows5 st
@@ -205,26 +205,27 @@ def pipeline_ctes(source: str = "billing", where: str | None = None, top_n: int
             where {category('service')} = 'database' and days_active >= 7 and ratio is not null
               and ratio <= 0.2 and mean_row_cost >= 10)""",
         # E7
-        f"""{p}snapshot as (select f.resource_id, f.fst.provider as provider, f.fst.service as service, f.first_seq
-            from (select resource_id, arg_min({{'provider': provider, 'service': service}}, seq) as fst,
-                         min(seq) as first_seq
+        f"""{p}snapshot as (select f.resource_id, f.fst.provider as provider, f.fst.service as service,
+                   f.fst.s as first_seq
+            from (select resource_id, min({{'s': seq, 'provider': provider, 'service': service}}) as fst
                   from {p}norm where resource_id is not null and resource_id <> '' and {is_snapshot()}
                   group by resource_id) f
             where f.resource_id not in (select resource_id from {p}norm where resource_id is not null
                 and resource_id <> '' and {category('service')} in ('compute', 'database')))""",
         # E8
         f"""{p}untagged_all as (select u.resource_id, u.fst.provider as provider, u.fst.service as service,
-              u.first_seq, coalesce(rt.resource_cost, 0) as resource_cost
-            from (select resource_id, arg_min({{'provider': provider, 'service': service, 'owner': labels_owner}}, seq) as fst,
-                         min(seq) as first_seq
+              u.fst.s as first_seq, coalesce(rt.resource_cost, 0) as resource_cost
+            from (select resource_id, min({{'s': seq, 'provider': provider, 'service': service,
+                                            'untagged': not (labels_owner is not null and labels_owner <> ''
+                                                          and lower(labels_owner) not in ('', 'unknown', 'none', 'nan'))}})
+                         as fst
                   from {p}norm where resource_id is not null and resource_id <> '' group by resource_id) u
             left join (select resource_id, sum(cost) as resource_cost from {p}norm where resource_id is not null
                        group by resource_id) rt on rt.resource_id = u.resource_id
             left join (select provider, service, sum(cost) as service_cost from {p}norm group by provider, service) st
               on st.provider = u.fst.provider and st.service = u.fst.service
             where not (coalesce(rt.resource_cost, 0) < 0.01 and coalesce(st.service_cost, 0) < 0.01)
-              and not (u.fst.owner is not null and u.fst.owner <> ''
-                       and lower(u.fst.owner) not in ('', 'unknown', 'none', 'nan')))""",
+              and u.fst.untagged)""",
         f"""{p}untagged as (select * from {p}untagged_all order by resource_cost desc, first_seq limit {int(top_n)})""",
         # union in LEAK shape
         f"""{p}leaks as (
