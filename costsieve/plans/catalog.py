@@ -59,6 +59,20 @@ def _features(spark, sf_dir):
     return build_features(billing(spark, sf_dir))
 
 
+# single-operator queries build only the aggregate they read (one job, no materialisation);
+# the pipeline (``analyze``) materialises all of them once for its ten readers
+def _resources(spark, sf_dir):
+    return D.resource_features(billing(spark, sf_dir))
+
+
+def _daily(spark, sf_dir):
+    return D.cost_zscore(D.daily_cost(billing(spark, sf_dir), with_owner_flag=True))
+
+
+def _services(spark, sf_dir):
+    return D.service_stats(_daily(spark, sf_dir))
+
+
 def _analysis(spark, sf_dir):
     return analyze(billing(spark, sf_dir), already_normalized=True)
 
@@ -89,13 +103,13 @@ def cost_trend_q(spark, sf_dir):
 
 @register("resource_lifespan", q("select provider, service, resource_id, days_active from resf"))
 def resource_lifespan_q(spark, sf_dir):
-    return D.resource_lifespan(_features(spark, sf_dir).resources)
+    return D.resource_lifespan(_resources(spark, sf_dir))
 
 
 @register("usage_cost_ratio", q(
     "select provider, service, resource_id, " + O.pr("ratio", 6) + " as usage_to_cost_ratio from resf where has_usage"))
 def usage_cost_ratio_q(spark, sf_dir):
-    r = D.usage_cost_ratio(_features(spark, sf_dir).resources)
+    r = D.usage_cost_ratio(_resources(spark, sf_dir))
     return r.select("provider", "service", "resource_id", r6("usage_to_cost_ratio").alias("usage_to_cost_ratio"))
 
 
@@ -129,7 +143,7 @@ def forecast_q(spark, sf_dir):
     {O.pr('(rank() over w - 1 + (count(*) over (partition by provider, service, cost_sum) + 1) / 2e0) / (count(*) over (partition by provider, service)) * 100', 1)} as percentile
     from resf window w as (partition by provider, service order by cost_sum)"""))
 def cost_percentiles_q(spark, sf_dir):
-    p = D.cost_percentiles(_features(spark, sf_dir).resources, materialized=True)
+    p = D.cost_percentiles(_resources(spark, sf_dir))
     return p.select("provider", "service", "resource_id", r6("cost").alias("cost"), "percentile")
 
 
@@ -163,7 +177,7 @@ def _leak_sql(cte: str, extra: str = "", where: str = "") -> str:
     'Active ' || days_active || ' days with usage-to-cost ratio of ' || {O.ff('ratio', 4)}
       || ' (below service p25 threshold ' || {O.ff('threshold', 4)} || ')' as reason from zombie"""))
 def leak_zombie_q(spark, sf_dir):
-    z = E.detect_zombie(_features(spark, sf_dir).resources, materialized=True)
+    z = E.detect_zombie(_resources(spark, sf_dir))
     return z.select(*LEAK_OUT, "days_active", r6("usage_to_cost_ratio").alias("usage_to_cost_ratio"),
                     r6("threshold").alias("threshold"))
 
@@ -172,9 +186,9 @@ def leak_zombie_q(spark, sf_dir):
     {O.pr('ratio', 6)} as usage_to_cost_ratio, {O.pr('avg_daily_cost', 6)} as avg_daily_cost,
     'Low usage detected over ' || days_active || ' days' as reason from idle"""))
 def leak_idle_q(spark, sf_dir):
-    ft = _features(spark, sf_dir)
-    z = E.detect_zombie(ft.resources, materialized=True)
-    i = E.detect_idle(ft.resources, ft.services, z.select("resource_id"))
+    res = _resources(spark, sf_dir)
+    z = E.detect_zombie(res)
+    i = E.detect_idle(res, _services(spark, sf_dir), z.select("resource_id"))
     return i.select(*LEAK_OUT, "days_active", r6("usage_to_cost_ratio").alias("usage_to_cost_ratio"),
                     r6("avg_daily_cost").alias("avg_daily_cost"))
 
@@ -185,8 +199,7 @@ def leak_idle_q(spark, sf_dir):
     from leaks l join runaway r on r.provider = l.provider and r.service = l.service
     where l.leak_type = 'RUNAWAY_COST'"""))
 def leak_runaway_q(spark, sf_dir):
-    ft = _features(spark, sf_dir)
-    r = E.detect_runaway(ft.services, ft.resources)
+    r = E.detect_runaway(_services(spark, sf_dir), _resources(spark, sf_dir))
     return r.select(*LEAK_OUT, "z_score", "path", "days", r6("first_cost").alias("first_cost"),
                     r6("last_cost").alias("last_cost"))
 
@@ -196,8 +209,8 @@ def leak_runaway_q(spark, sf_dir):
     'Always-on service costing $' || {O.ff('avg_daily_cost', 2)} || '/day with no ownership metadata' as reason,
     {O.pr('avg_daily_cost', 6)} as avg_daily_cost, days_present, total_days from always_on"""))
 def leak_always_on_q(spark, sf_dir):
-    ft = _features(spark, sf_dir)
-    a = E.detect_always_on(ft.daily, ft.services)
+    daily = _daily(spark, sf_dir)
+    a = E.detect_always_on(daily, D.service_stats(daily))
     return a.select(*LEAK_OUT, r6("avg_daily_cost").alias("avg_daily_cost"), "days_present", "total_days")
 
 
@@ -212,7 +225,7 @@ def leak_orphaned_q(spark, sf_dir):
     days_active, {O.money('mean_row_cost * 30')} as exact_waste, {O.pr('mean_row_cost', 6)} as mean_row_cost
     from idle_db"""))
 def leak_idle_db_q(spark, sf_dir):
-    i = E.detect_idle_database(_features(spark, sf_dir).resources)
+    i = E.detect_idle_database(_resources(spark, sf_dir))
     return i.select(*LEAK_OUT, "days_active", "exact_waste", r6("mean_row_cost").alias("mean_row_cost"))
 
 
@@ -226,16 +239,14 @@ def leak_snapshot_q(spark, sf_dir):
     'Resource has no ownership tags (owner / project / environment missing)' as reason,
     {O.pr('resource_cost', 6)} as resource_cost, first_seq from untagged"""))
 def leak_untagged_q(spark, sf_dir):
-    ft = _features(spark, sf_dir)
-    u = E.detect_untagged(ft.slots, ft.services)
+    u = E.detect_untagged(D.resource_day_slots(billing(spark, sf_dir)), _services(spark, sf_dir))
     return u.select(*LEAK_OUT, r6("resource_cost").alias("resource_cost"), F.col("order_seq").alias("first_seq"))
 
 
 @register("untagged_candidates", q(f"""select resource_id, provider, service, {O.pr('resource_cost', 6)} as resource_cost,
     first_seq from untagged_all"""))
 def untagged_candidates_q(spark, sf_dir):
-    ft = _features(spark, sf_dir)
-    u = E.untagged_candidates(ft.slots, ft.services)
+    u = E.untagged_candidates(D.resource_day_slots(billing(spark, sf_dir)), _services(spark, sf_dir))
     return u.select("resource_id", "provider", "service", r6("resource_cost").alias("resource_cost"), "first_seq")
 
 
@@ -314,8 +325,7 @@ def pipeline_stats_q(spark, sf_dir):
       as runaway_projected_waste
     from resf r left join svc2 s on s.provider = r.provider and s.service = r.service"""))
 def waste_estimates_q(spark, sf_dir):
-    ft = _features(spark, sf_dir)
-    return Fs.waste_estimates(ft.resources, ft.services)
+    return Fs.waste_estimates(_resources(spark, sf_dir), _services(spark, sf_dir))
 
 
 # ================================================================== C: CUR normalization and ingest
