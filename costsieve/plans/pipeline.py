@@ -15,6 +15,7 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,6 +137,10 @@ def analyze(raw: DataFrame, provider: str | None = None, already_normalized: boo
     leaks = Fs.dedupe_leaks(Fs.union_leaks(frames))
     scored = Fs.score_leaks(leaks, ft.services, ft.resources)
     primary = Fs.select_primary(scored)
+    if materialize:
+        # small (one row per resource with a finding) and read by every report output:
+        # computed once by the first action, then served from memory / local disk
+        primary = primary.persist(StorageLevel.MEMORY_AND_DISK)
     forecasts = D.forecast_30d(ft.daily) if forecast else None
     return Analysis(
         provider=label, features=ft, leaks=leaks, scored=scored, primary=primary,
