@@ -270,7 +270,7 @@ def score_q(spark, sf_dir):
     return s.select(*SCORED_OUT, "reason", "recommended_action", F.col("report_pos").cast("long").alias("report_pos"))
 
 
-@register("severity_rollup", q("""select severity, count(*) as leaks, sum(severity_score) as score_sum,
+@register("severity_rollup", q("""select severity, count(*) as leaks, cast(sum(severity_score) as bigint) as score_sum,
     min(severity_score) as min_score, max(severity_score) as max_score from scored group by severity"""))
 def severity_rollup_q(spark, sf_dir):
     s = _analysis(spark, sf_dir).scored
@@ -302,8 +302,8 @@ def primary_q(spark, sf_dir):
     return p.select(*SCORED_OUT, "primary_key", F.col("primary_pos").cast("long").alias("primary_pos"))
 
 
-@register("summary", q(f"""select count(*) as total_leaks, count_if(severity = 'HIGH') as high,
-    count_if(severity = 'MEDIUM') as medium, count_if(severity = 'LOW') as low,
+@register("summary", q(f"""select count(*) as total_leaks, cast(count_if(severity = 'HIGH') as bigint) as high,
+    cast(count_if(severity = 'MEDIUM') as bigint) as medium, cast(count_if(severity = 'LOW') as bigint) as low,
     {O.money('coalesce(sum(estimated_monthly_waste), 0.0)')} as estimated_monthly_waste_usd,
     {O.money('coalesce(sum(estimated_monthly_waste), 0.0) * 12')} as estimated_annual_waste_usd
     from primary_leaks"""))
@@ -576,8 +576,8 @@ def delta_status_q(spark, sf_dir):
     return _tagged(spark, sf_dir).select("leak_type", "provider", "service", "resource_id", "leak_id", "status")
 
 
-@register("report_summary", q(f"""select count(*) as total_leaks, count_if(status = 'NEW') as new_leaks,
-    count_if(severity = 'HIGH') as high, count_if(severity = 'MEDIUM') as medium, count_if(severity = 'LOW') as low,
+@register("report_summary", q(f"""select count(*) as total_leaks, cast(count_if(status = 'NEW') as bigint) as new_leaks,
+    cast(count_if(severity = 'HIGH') as bigint) as high, cast(count_if(severity = 'MEDIUM') as bigint) as medium, cast(count_if(severity = 'LOW') as bigint) as low,
     {O.money('coalesce(sum(estimated_monthly_waste), 0.0)')} as estimated_total_monthly_waste_usd,
     {O.money('coalesce(sum(estimated_monthly_waste), 0.0) * 12')} as estimated_total_annual_waste_usd
     from tagged""", DELTA_CTES))
@@ -609,8 +609,8 @@ def sanitize_floats_q(spark, sf_dir):
     return H.sanitize_frame(b.select("seq", "date", x.alias("x")))
 
 
-@register("leak_type_rollup", q(f"""select leak_type, count(*) as findings, count_if(severity = 'HIGH') as high,
-    count_if(severity = 'MEDIUM') as medium, count_if(severity = 'LOW') as low, count_if(status = 'NEW') as new,
+@register("leak_type_rollup", q(f"""select leak_type, count(*) as findings, cast(count_if(severity = 'HIGH') as bigint) as high,
+    cast(count_if(severity = 'MEDIUM') as bigint) as medium, cast(count_if(severity = 'LOW') as bigint) as low, cast(count_if(status = 'NEW') as bigint) as new,
     {O.money('sum(estimated_monthly_waste)')} as monthly_waste, any_value(priority) as priority
     from tagged group by leak_type""", DELTA_CTES))
 def leak_type_rollup_q(spark, sf_dir):

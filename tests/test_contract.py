@@ -8,8 +8,10 @@ from conftest import SF_SMALL
 from costsieve.sources.tables import TABLES
 from oracle_check import frame_hash
 
+SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "DateType()": "DATE", "BooleanType()": "BOOLEAN"}
 SAMPLE = ["daily_cost", "leak_runaway", "leak_idle", "leak_orphaned_storage", "forecast_30d", "cur_aggregate",
-          "leak_unused_ri", "primary_leaks", "summary", "detect_file_kind"]
+          "leak_unused_ri", "primary_leaks", "summary", "detect_file_kind", "severity_rollup"]
 
 
 def test_entry_smoke(spark):
@@ -35,3 +37,6 @@ def test_query_matches_oracle(spark, name):
     srows, orows = [tuple(r) for r in sdf.collect()], cur.fetchall()
     assert len(srows) == len(orows)
     assert frame_hash(srows, sdf.columns)[0] == frame_hash(orows, ocols)[0]
+    rel = con.sql(entry_mod.oracle_sql()[name])
+    duck_types = dict(zip(rel.columns, map(str, rel.types)))
+    assert {f.name: SPARK_TO_DUCK.get(str(f.dataType)) for f in sdf.schema.fields} == duck_types
