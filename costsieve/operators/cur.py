@@ -43,8 +43,8 @@ def _code_map():
 
 
 def _strip(c):
-    """Python ``str.strip()``: leading/trailing whitespace of any kind."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Python ``str.strip()`` for ASCII whitespace (space, tab, newlines, VT, FF)."""
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def cur_extract(df: DataFrame, column_mapping: dict[str, str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costsieve.operators.ranking import exact_quantile
+from costsieve.session import reliable_checkpoint
 
 
 def cost_by_service(df: DataFrame) -> DataFrame:
@@ -22,7 +23,9 @@ def top_resources(df: DataFrame, n: int = 10) -> DataFrame:
 def inefficient_resources(df: DataFrame, q: float = 0.9, n: int = 10) -> DataFrame:
     """Rows whose cost per unit (cost / (usage + 0.001)) is above its exact q-quantile,
     summed per (service, resource_id); the n costliest."""
-    per_unit = df.withColumn("cost_per_unit", F.col("cost") / (F.col("usage") + F.lit(0.001)))
+    # read twice (quantile, then the filter): materialise once instead of re-running the
+    # ingest; the checkpoint also pins the float values the threshold is compared with
+    per_unit = reliable_checkpoint(df.withColumn("cost_per_unit", F.col("cost") / (F.col("usage") + F.lit(0.001))))
     threshold = exact_quantile(per_unit, "cost_per_unit", q)  # one row
     hot = per_unit.crossJoin(F.broadcast(threshold)).where(F.col("cost_per_unit") > F.col("quantile"))
     return (hot.groupBy("service", "resource_id").agg(F.sum("cost").alias("cost"))
