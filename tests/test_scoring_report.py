@@ -158,3 +158,41 @@ def test_scheduled_runs_tag_new_then_existing(spark, tmp_path):
     run_scheduled(spark, landing, b.schema, out, ck, already_normalized=True)
     second = spark.read.parquet(f"{out}/leaks").where("batch = 1")
     assert {r.status for r in second.select("status").distinct().collect()} == {"EXISTING"}
+
+
+def test_primary_selection_matches_model(spark):
+    """F7 against a plain-Python model: best leak per key by (score, type priority, waste),
+    keys listed in the order of their first leak in the scored report order."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(300):
+        lt = rnd.choice(list(S.LEAK_PRIORITY))
+        rid = rnd.choice([None, "", f"r{rnd.randint(0, 40)}"])
+        rows.append((lt, "AWS", f"s{rnd.randint(0, 3)}", rid, "x", None, None, S.DETECTOR_RANK[lt],
+                     None, i, rnd.choice([10, 30, 45, 65, 80]), float(rnd.choice([0, 5, 12.5, 99]))))
+    # one leak per (type, provider, service, resource) as after dedupe
+    seen, uniq = set(), []
+    for r in rows:
+        if r[:4] not in seen:
+            seen.add(r[:4])
+            uniq.append(r)
+    from pyspark.sql import types as T
+
+    schema = T.StructType(S.LEAK.fields + [T.StructField("severity_score", T.IntegerType()),
+                                           T.StructField("estimated_monthly_waste", T.DoubleType())])
+    df = spark.createDataFrame(uniq, schema)
+    df = df.withColumn("rank_key", Fs.rank_key())
+    got = [(r.leak_type, r.service, r.resource_id) for r in Fs.select_primary(df).orderBy("first_key").collect()]
+
+    def order(r):  # report order: score desc, waste desc, detector order
+        return (-r[10], -r[11], r[7], r[9], r[1], r[2], r[3] or "")
+    scored = sorted(uniq, key=order)
+    groups = {}
+    for r in scored:
+        key = r[3] or f"{r[1]}:{r[2]}"
+        groups.setdefault(key, []).append(r)
+    want = []
+    for key, leaks in groups.items():       # dict keeps first-appearance order
+        best = sorted(leaks, key=lambda r: (-r[10], -S.LEAK_PRIORITY[r[0]], -r[11]))[0]
+        want.append((best[0], best[2], best[3]))
+    assert got == want
