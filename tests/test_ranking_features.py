@@ -62,3 +62,27 @@ def test_forecast_matches_numpy(spark):
     monthly = round(min(monthly, max(actual, 0.01) * 3), 2)
     assert r["projected_monthly_cost"] == monthly and r["last_30d_actual"] == actual
     assert r["trend_pct"] == round(max(-150.0, min(150.0, (monthly - actual) / max(actual, 0.01) * 100)), 1)
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+from costsieve.operators.ranking import value_ranks  # noqa: E402
+
+_rows = st.lists(
+    st.tuples(st.sampled_from(["hot", "hot", "hot", "a", "b", None]), st.integers(min_value=0, max_value=6)),
+    min_size=1, max_size=120)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=_rows, slices=st.integers(min_value=1, max_value=9))
+def test_value_ranks_property(spark, rows, slices):
+    """lt / eq / n per distinct (group, value) equal brute-force counts, for any slicing,
+    with a hot group, heavy ties and a null group key."""
+    df = spark.createDataFrame([(g, float(v)) for g, v in rows], "g string, v double")
+    got = {(r.g, r.v): (r.lt, r.eq, r.n) for r in value_ranks(df, ["g"], "v", slices=slices).collect()}
+    want = {}
+    for g, v in set(rows):
+        same = [x for gg, x in rows if gg == g]
+        want[(g, float(v))] = (sum(x < v for x in same), sum(x == v for x in same), len(same))
+    assert got == want
