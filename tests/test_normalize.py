@@ -118,3 +118,18 @@ def test_cur_extract_and_aggregate(spark):
     # null region became "Unknown" during extraction, and seq 0 is the first row
     assert ec2["cost"] == 2.5 and ec2["usage"] == 3.0 and ec2["region"] == "Unknown"
     assert agg[0].__fields__ == ["date", "service", "cost", "usage_type", "resource_id", "usage", "region"]
+
+
+def test_commitment_detector_prunes_and_pushes_down(spark, tmp_path):
+    """On a raw CUR Parquet table the savings-plan detector reads two columns and pushes
+    its item-type filter into the scan."""
+    from conftest import SF_SMALL
+
+    from costsieve.operators import detectors as E
+    from costsieve.sources.tables import cur
+
+    path = str(tmp_path / "cur")
+    cur(spark, SF_SMALL).write.parquet(path)
+    plan = E.detect_savings_plan(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(line_item_line_item_type" in plan
+    assert "ReadSchema: struct<line_item_unblended_cost:double,line_item_line_item_type:string>" in plan
