@@ -90,8 +90,11 @@ def build_features(norm: DataFrame, materialize: bool = True) -> Features:
 
 def run_detectors(ft: Features, raw_for_ri: DataFrame | None = None,
                   top_untagged: int | None = S.UNTAGGED_TOP_N) -> tuple[list[DataFrame], list[str]]:
-    """All detectors in reference order. A detector whose inputs are missing is skipped
-    with a warning *at plan time* (the plans themselves are not wrapped in try/except)."""
+    """All detectors in reference order (the order dedupe keeps). Missing inputs never
+    fail a run: absent usage makes ratios NULL (zombie / idle / idle-DB find nothing),
+    absent reservation or item-type columns make the commitment detectors empty (their
+    names are returned in ``skipped``). Plans are not wrapped in
+    try/except at action time."""
     out, skipped = [], []
     zombie = E.detect_zombie(ft.resources, materialized=ft.materialized)
     out.append(zombie)
@@ -106,7 +109,11 @@ def run_detectors(ft: Features, raw_for_ri: DataFrame | None = None,
         raw = raw_for_ri
         if "lineItem/UnblendedCost" in raw.columns:
             raw = raw.withColumnsRenamed({k: v for k, v in SLASH_TO_UNDERSCORE.items() if k in raw.columns})
-        for fn in (E.detect_savings_plan, E.detect_unused_reservation):
+        needs = {E.detect_savings_plan: {"line_item_line_item_type", "line_item_unblended_cost"},
+                 E.detect_unused_reservation: {"reservation_unused_quantity", "reservation_unused_recurring_fee"}}
+        for fn, cols in needs.items():
+            if not cols <= set(raw.columns):
+                skipped.append(fn.__name__)
             out.append(fn(raw))
     return out, skipped
 
@@ -134,6 +141,8 @@ def analyze(raw: DataFrame, provider: str | None = None, already_normalized: boo
         ri_input = raw if label == "AWS" else None
     ft = build_features(norm, materialize=materialize)
     frames, skipped = run_detectors(ft, ri_input, top_untagged)
+    for name in skipped:
+        log.warning("detector %s has no input columns; it finds nothing", name)
     leaks = Fs.dedupe_leaks(Fs.union_leaks(frames))
     scored = Fs.score_leaks(leaks, ft.services, ft.resources)
     primary = Fs.select_primary(scored)
