@@ -86,3 +86,20 @@ def test_value_ranks_property(spark, rows, slices):
         same = [x for gg, x in rows if gg == g]
         want[(g, float(v))] = (sum(x < v for x in same), sum(x == v for x in same), len(same))
     assert got == want
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(vals=st.lists(st.one_of(
+    st.floats(min_value=-1e9, max_value=1e9, allow_nan=False, allow_infinity=False),
+    st.sampled_from([2.675, 0.125, 1.005, 2.5, -2.5, 1234567.125, 0.0, -0.001])), min_size=1, max_size=200))
+def test_python_rounding_and_formatting(spark, vals):
+    """py_round / fmt_fixed / fmt_grouped equal Python's round() and format specs."""
+    from costsieve.functions import fmt_fixed, fmt_grouped, py_round
+
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i long, x double")
+    rows = df.select("i", py_round("x", 2).alias("r2"), fmt_fixed("x", 4).alias("f4"),
+                     fmt_grouped("x", 2).alias("g2"), fmt_fixed("x", 0).alias("f0")).collect()
+    for r in rows:
+        x = vals[r.i]
+        assert r.r2 == round(x, 2) + 0.0
+        assert r.f4 == f"{x:.4f}" and r.g2 == f"{x:,.2f}" and r.f0 == f"{x:.0f}"
