@@ -2,7 +2,8 @@
 
 ``write_landing_zone`` writes CSV exports shaped like each provider's billing export
 (derived from the driver tables) into a folder under the shared checkpoint folder;
-``landing_headers`` reads every export's header with one Spark text scan.
+``landing_headers`` lists the files (metadata only) and reads one header line per export;
+``landing_row_counts`` counts the data lines of every file in one Spark scan.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costsieve.operators.detect import csv_header_table
 from costsieve.operators.normalize import SLASH_TO_UNDERSCORE
 from costsieve.session import scratch_path
 from costsieve.sources.tables import billing, cur, read_table
@@ -109,9 +109,26 @@ def export_name(source) -> "F.Column":
 
 
 def landing_headers(spark: SparkSession, root: str) -> DataFrame:
-    """(source = export name, position, column) over every file of the landing zone."""
-    h = csv_header_table(spark, f"{root}/*/*.csv")
-    return h.select(export_name(F.col("source")).alias("source"), "position", "column").distinct()
+    """(source = export name, position, column) for every export folder of the landing zone.
+
+    Files are listed from the file index (``inputFiles``: metadata, no scan); each export's
+    header is read from one of its files by the CSV reader, which touches only the first
+    line. Reading headers therefore costs O(exports), not O(bytes).
+    ``operators.detect.csv_header_table`` is the per-file variant (one text scan).
+    """
+    import re
+
+    files = spark.read.text(f"{root}/*/*.csv").inputFiles()
+    first_file: dict[str, str] = {}
+    for f in sorted(files):
+        m = re.search(r"/([^/]+)/[^/]+$", f)
+        if m:
+            first_file.setdefault(m.group(1), f)
+    rows = []
+    for export, f in sorted(first_file.items()):
+        cols = read_csv_export(spark, f).columns
+        rows += [(export, i, c) for i, c in enumerate(cols)]
+    return spark.createDataFrame(rows, "source string, position int, column string")
 
 
 def landing_row_counts(spark: SparkSession, root: str) -> DataFrame:
