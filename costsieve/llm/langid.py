@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from costsieve.llm.common import col, fresh, groups_of, id_text, text_bytes
+from costsieve.llm.common import col, fresh, groups_of, id_text, materialise, text_bytes
 
 ORDER = 3
 MAX_DOCS = 400
 MAX_DOC_BYTES = 65_536
 CHUNK = 1 << 20
+FEW_LANGUAGES = 4096
 UND = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -68,7 +69,10 @@ def training_sample(docs: DataFrame, learn: Column, text_col: str = "text", lang
         (F.shiftrightunsigned(F.xxhash64(id_text(id_col)), 1) / F.lit(float(2**63))).alias("u"))
     usable = usable.where(F.length("t").between(1, max_doc_bytes))
     share = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * max_docs) / F.count(F.lit(1))).alias("share"))
-    near = usable.join(share.withColumnRenamed("lang", "l"), F.col("lang") == F.col("l")).where("u <= share")
+    share = materialise(share.withColumnRenamed("lang", "l"), "languages")
+    if share.count() <= FEW_LANGUAGES:  # else a shuffle join
+        share = F.broadcast(share)
+    near = usable.join(share, F.col("lang") == F.col("l")).where("u <= share")
     first = Window.partitionBy("lang").orderBy("u", "t")
     return near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max_docs).select("lang", "t")
 
