@@ -226,3 +226,11 @@ def identify(docs: DataFrame, model: Ppm | None, text_col: str = "text") -> Data
     out = docs.select(*keep, col(text_col).cast("binary").alias(raw), F.lit("").alias("lang_pred"),
                       F.lit(0.0).alias("score"))
     return out.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), raw), out.schema).drop(raw)
+
+
+def keep_identified(docs: DataFrame, model: Ppm | None, text_col: str = "text") -> DataFrame:
+    """The documents that have a language, with their own columns."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]  # so that the columns added clash with none
+    renamed = docs.select(*[col(c).alias(n) for c, n in zip(docs.columns, names)])
+    found = identify(renamed, model, dict(zip(docs.columns, names))[text_col])
+    return found.where(F.col("lang_pred") != UND).select(*[col(n).alias(c) for c, n in zip(docs.columns, names)])

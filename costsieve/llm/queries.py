@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costsieve.llm import bitslice, chat, ctw, decontaminate, langid, licenses, simhash
+from costsieve.llm import bitslice, chat, ctw, decontaminate, langid, licenses, mixing, paragraphs, pii, simhash
 from costsieve.llm.common import crc_mod, read_table
 
 QUERIES: dict = {}
@@ -172,3 +172,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
+
+
+SURROGATE_KEY = b"corpus surrogate key"
+
+
+@query
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, SURROGATE_KEY)[0]
+
+
+@query
+def op7_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
+
+
+@query
+def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
