@@ -89,3 +89,11 @@ def groups_of(values: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         size += len(v)
     if start < len(values):
         yield start, len(values)
+
+
+def map_arrow(df: DataFrame, run) -> DataFrame:
+    """``df.mapInArrow`` with the same columns in and out, also where names hold dots or ticks."""
+    odd = {c: f"__odd{i}" for i, c in enumerate(df.columns) if "." in c or "`" in c}
+    plain = df.select(*[col(c).alias(odd.get(c, c)) for c in df.columns]) if odd else df
+    out = plain.mapInArrow(run, plain.schema)
+    return out.select(*[col(odd.get(c, c)).alias(c) for c in df.columns]) if odd else out

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costsieve.llm.common import LOWER_ALNUM, col, fresh, materialise, text_bytes
+from costsieve.llm.common import LOWER_ALNUM, col, fresh, map_arrow, materialise, text_bytes
 
 WINDOW = 13
 BLOCK_WORDS = 4_000_000
@@ -197,7 +197,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         mine = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(n_blocks)) == k)
         rows = [(r[0], bytes(r[1])) for r in mine.collect()]
         block = spark.sparkContext.broadcast(Suffixes(sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1])), window))
-        out = out.mapInArrow(_find(block, raw, "n_words", "matches"), out.schema)
+        out = map_arrow(out, _find(block, raw, "n_words", "matches"))
         if k < n_blocks - 1:  # no long chain of Python workers
             out = materialise(out, "decontaminate")
     return out.drop(raw)

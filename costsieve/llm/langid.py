@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from costsieve.llm.common import col, fresh, groups_of, id_text, materialise, text_bytes
+from costsieve.llm.common import col, fresh, groups_of, id_text, map_arrow, materialise, text_bytes
 
 ORDER = 3
 MAX_DOCS = 400
@@ -225,7 +225,7 @@ def identify(docs: DataFrame, model: Ppm | None, text_col: str = "text") -> Data
     keep = [col(c) for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     out = docs.select(*keep, col(text_col).cast("binary").alias(raw), F.lit("").alias("lang_pred"),
                       F.lit(0.0).alias("score"))
-    return out.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), raw), out.schema).drop(raw)
+    return map_arrow(out, _predict(docs.sparkSession.sparkContext.broadcast(model), raw)).drop(raw)
 
 
 def keep_identified(docs: DataFrame, model: Ppm | None, text_col: str = "text") -> DataFrame:

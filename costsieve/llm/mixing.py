@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from costsieve.llm.common import col, fresh, id_text, materialise, text_bytes
+from costsieve.llm.common import col, fresh, id_text, map_arrow, materialise, text_bytes
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
@@ -57,7 +57,7 @@ def with_size(docs: DataFrame, out: str, text_col: str) -> DataFrame:
     """``docs`` with the number of white space words of the text."""
     (raw,) = fresh(docs, "__raw")
     ready = docs.withColumns({raw: text_bytes(text_col), out: F.lit(0).cast("long")})
-    return ready.mapInArrow(_count_words(raw, out), ready.schema).drop(raw)
+    return map_arrow(ready, _count_words(raw, out)).drop(raw)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:

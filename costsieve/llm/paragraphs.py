@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costsieve.llm.common import col, fresh, materialise, text_bytes
+from costsieve.llm.common import col, fresh, map_arrow, materialise, text_bytes
 from costsieve.llm.components import connected_components
 
 MIN_WORDS = 25
@@ -306,13 +306,13 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     th, lines, ids = fresh(docs, "__th", "__lines", "__ids")
     keep = [col(c) for c in docs.columns if c.lower() not in ("removed", "kept_in")]
     ready = docs.select(*keep, F.lit(0).cast("long").alias(th))
-    hashed = ready.mapInArrow(_hash_texts(th, text_col), ready.schema)
+    hashed = map_arrow(ready, _hash_texts(th, text_col))
     own = lists.select(F.col("id").alias("__i"), F.col("th").alias("__t"), F.col("lines").alias(lines), F.col("ids").alias(ids))
-    some = hashed.mapInArrow(_marked_rows(block, th, True), hashed.schema).join(
+    some = map_arrow(hashed, _marked_rows(block, th, True)).join(
         own, (col(th) == F.col("__t")) & col(id_col).cast("long").eqNullSafe(F.col("__i")), "left").drop("__i", "__t")
     hit = some.where(col(lines).isNotNull())
-    changed = hit.mapInArrow(_remove(text_col, lines), hit.schema).select(*keep, col(lines).alias("removed"), col(ids).alias("kept_in"))
+    changed = map_arrow(hit, _remove(text_col, lines)).select(*keep, col(lines).alias("removed"), col(ids).alias("kept_in"))
     none = [F.array().cast("array<int>").alias("removed"), F.array().cast("array<long>").alias("kept_in")]
     same = some.where(col(lines).isNull()).select(*keep, *none)
-    rest = hashed.mapInArrow(_marked_rows(block, th, False), hashed.schema).select(*keep, *none)
+    rest = map_arrow(hashed, _marked_rows(block, th, False)).select(*keep, *none)
     return changed.union(same).union(rest)

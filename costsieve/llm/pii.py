@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costsieve.llm.common import col, fresh, materialise
+from costsieve.llm.common import col, fresh, map_arrow, materialise
 
 ROUNDS = 64
 WIDEN_AFTER = 8
@@ -278,7 +278,7 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> tup
     (named by ``fresh(docs, "n_entities")``), and the surrogate table."""
     count, row, spans, pairs = fresh(docs, "n_entities", "__row", "__spans", "__pairs")
     empty = docs.withColumn(spans, F.array().cast(SPANS))
-    hits = materialise(empty.mapInArrow(_detect(text_col, spans, True), empty.schema)
+    hits = materialise(map_arrow(empty, _detect(text_col, spans, True))
                        .withColumn(row, F.monotonically_increasing_id()), "with-entities")
     each = hits.select(row, F.explode(F.transform(col(spans), lambda s: F.struct(s["kind"], s["entity"]))).alias("s")).select(
         row, F.col("s.kind").alias("kind"), F.col("s.entity").alias("entity")).distinct()
@@ -287,8 +287,8 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> tup
                     (F.col("kind") == F.col("k")) & (F.col("entity") == F.col("e")))
     own = own.groupBy(F.col(row).alias("__at")).agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias(pairs))
     joined = hits.join(own, col(row) == F.col("__at")).drop("__at")
-    changed = joined.mapInArrow(_replace(text_col, spans, pairs), joined.schema)
-    clean = docs.mapInArrow(_detect(text_col, spans, False), docs.schema)
+    changed = map_arrow(joined, _replace(text_col, spans, pairs))
+    clean = map_arrow(docs, _detect(text_col, spans, False))
     own_columns = [col(c) for c in docs.columns]
     out = changed.select(*own_columns, F.size(col(spans)).cast("long").alias(count)).union(
         clean.select(*own_columns, F.lit(0).cast("long").alias(count)))

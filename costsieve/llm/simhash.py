@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costsieve.llm.common import col, fresh, materialise, text_bytes
+from costsieve.llm.common import col, fresh, map_arrow, materialise, text_bytes
 from costsieve.llm.components import connected_components
 
 SHINGLE = 3
@@ -75,7 +75,7 @@ def with_fingerprint(docs: DataFrame, out: str, text_col: str = "text", shingle:
     (raw,) = fresh(docs, "__raw")
     ready = docs.select(*[col(c) for c in docs.columns if c.lower() != out.lower()], text_bytes(text_col).alias(raw),
                         F.lit(0).cast("bigint").alias(out))
-    return ready.mapInArrow(_fingerprints(raw, out, shingle), ready.schema).drop(raw)
+    return map_arrow(ready, _fingerprints(raw, out, shingle)).drop(raw)
 
 
 def _masks(m: int) -> list[int]:
