@@ -4,8 +4,8 @@ Vectors are quantised to whole numbers (floor(scale * x), x as double). Each blo
 for every component, bitmaps over its rows: one for each bit of (component - least) and of
 (greatest - component), and their multiples by the digits 0 to 15. A query's score is the sum of
 its components times the row's; with the greater or the lesser form chosen by the sign, all
-summands are whole numbers from 0 on. They are added as bitmaps: carry-save full adders work on
-64 rows at a time, many queries side by side, and leave the score's slices. The top rows are then
+summands are whole numbers from 0 on. They are added as bitmaps: full adders work on 64 rows at a
+time and leave the score's slices. The top rows are then
 selected from the most significant slice downward: rows surely in, rows still possible, until the
 slices end; the rows that are then still possible tie at the boundary, and those of smaller ids
 fill the places. That is exact for each block; the blocks' winners meet in a last top-k.
@@ -35,7 +35,6 @@ TOP = 20
 EVERY = 20
 ROW_BLOCK = 16_384
 QUERY_BLOCK = 8_192
-SIDE_BY_SIDE = 32
 DIGIT = 4
 
 
@@ -83,7 +82,8 @@ class Block:
         self.ids, vecs = ids[by], vecs[by].astype(np.int64)
         self.n, self.dims = vecs.shape
         self.words = ceil(self.n / 64)
-        self.least, self.greatest = (vecs.min(axis=0), vecs.max(axis=0)) if self.dims else (vecs.sum(axis=0),) * 2
+        self.every = self._bitmap(np.ones(self.n, bool))
+        self.least, self.greatest = vecs.min(axis=0).tolist(), vecs.max(axis=0).tolist()
         self.table = [[self._multiples(x) for x in (vecs[:, j] - self.least[j], self.greatest[j] - vecs[:, j])]
                       for j in range(self.dims)]
 
@@ -93,58 +93,52 @@ class Block:
         out[: len(packed)] = packed
         return out.view(np.uint64)
 
-    def _multiples(self, x: np.ndarray) -> np.ndarray:
-        """Slices of 0x to 15x: an array (digit, slice, word)."""
-        one = [self._bitmap((x >> s) & 1 > 0) for s in range(max(1, int(x.max()).bit_length()))]
+    def _multiples(self, x: np.ndarray) -> list[list[np.ndarray]]:
+        """Slices of 0x to 15x."""
+        one = [self._bitmap((x >> s) & 1 > 0) for s in range(int(x.max()).bit_length())]
         zero = np.zeros(self.words, np.uint64)
-        made = [[zero], one]
+        made = [[], one]
         for d in range(2, 1 << DIGIT):
-            made.append([zero, *made[d // 2]] if d % 2 == 0 else add(made[d - 1], one))
-        deep = max(map(len, made))
-        return np.stack([np.stack(m + [zero] * (deep - len(m))) for m in made])
-
-    def slices(self, queries: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Slices of every query's scores (each queries x words), and what they lack by query."""
-        size = np.abs(queries)
-        total: list[np.ndarray] = [np.zeros((len(queries), self.words), np.uint64)]
-        for j in range(self.dims):
-            for shift in range(0, max(1, int(size[:, j].max()).bit_length()), DIGIT):
-                digit = (size[:, j] >> shift) & 15
-                plus, minus = self.table[j]
-                deep = max(plus.shape[1], minus.shape[1])
-                part = np.zeros((len(queries), deep, self.words), np.uint64)
-                up = queries[:, j] >= 0
-                part[up, : plus.shape[1]] = plus[digit[up]]
-                part[~up, : minus.shape[1]] = minus[digit[~up]]
-                total = add(total, [np.ascontiguousarray(part[:, s]) for s in range(deep)], shift)
-        base = np.where(queries >= 0, queries * self.least, queries * self.greatest).sum(axis=1)
+            made.append([zero, *made[d // 2]] if d % 2 == 0 and one else add(made[d - 1], one))
+        return made
+
+    def slices(self, query: list[int]) -> tuple[list[np.ndarray], int]:
+        """Slices of the scores of all rows, and what they lack of the score."""
+        total: list[np.ndarray] = []
+        base = 0
+        for x, (plus, minus), least, greatest in zip(query, self.table, self.least, self.greatest):
+            base += x * (least if x >= 0 else greatest)
+            forms, size, shift = (plus if x >= 0 else minus), abs(x), 0
+            while size:
+                if forms[size & 15]:
+                    total = add(total, forms[size & 15], shift)
+                size >>= DIGIT
+                shift += DIGIT
         return total, base
 
-    def top(self, queries: np.ndarray, own: np.ndarray, k: int):
-        """For each query (row number, score) arrays of its k highest scores in this block."""
-        slices, base = self.slices(queries)
-        every = self._bitmap(np.ones(self.n, bool))
-        possible = np.broadcast_to(every, (len(queries), self.words)).copy()
-        first, last = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
-        for i, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
-            for r in range(a, b):
-                possible[i, r // 64] &= ~np.uint64(1 << (r % 64))
+    def top(self, query: list[int], own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row numbers, scores) of the query's k highest scores in this block."""
+        slices, base = self.slices(query)
+        possible = self.every.copy()
+        for r in range(*np.searchsorted(self.ids, [own, own + 1]).tolist()):
+            possible[r // 64] &= ~np.uint64(1 << (r % 64))
         sure = np.zeros_like(possible)
         for s in reversed(slices):
             upper = possible & s
-            n = np.bitwise_count(sure | upper).sum(axis=1)
-            over = (n > k)[:, None]
-            sure = np.where(over, sure, sure | upper)
-            possible = np.where(over, upper, possible & ~s)
-        for i in range(len(queries)):
-            rows = self._rows(sure[i])
-            if len(rows) < k:  # ids rise with the row numbers
-                rows = np.sort(np.r_[rows, self._rows(possible[i])[: k - len(rows)]])
-            word, bit = rows // 64, (rows % 64).astype(np.uint64)
-            scores = np.full(len(rows), base[i])
-            for s, bitmap in enumerate(slices):
-                scores += ((bitmap[i, word] >> bit) & np.uint64(1)).astype(np.int64) << s
-            yield rows, scores
+            both = sure | upper
+            if int(np.bitwise_count(both).sum()) > k:
+                possible = upper
+            else:
+                sure = both
+                possible &= ~s
+        rows = self._rows(sure)
+        if len(rows) < k:  # ids rise with the row numbers
+            rows = np.sort(np.r_[rows, self._rows(possible)[: k - len(rows)]])
+        word, bit = rows // 64, (rows % 64).astype(np.uint64)
+        scores = np.full(len(rows), base, np.int64)
+        for s, bitmap in enumerate(slices):
+            scores += ((bitmap[word] >> bit) & np.uint64(1)).astype(np.int64) << s
+        return rows, scores
 
     @staticmethod
     def _rows(bitmap: np.ndarray) -> np.ndarray:
@@ -162,15 +156,11 @@ def _search(block, k: int, row_block: int):
                 continue
             index = Block(np.array([ids[i] for i in here], np.int64),
                           np.array([vecs[i] for i in here], np.int64).reshape(len(here), dims))
-            for a in range(0, len(queries), SIDE_BY_SIDE):
-                own = query_ids[a:a + SIDE_BY_SIDE]
-                q_out, id_out, score_out = [], [], []
-                for query_id, (rows, scores) in zip(own.tolist(), index.top(queries[a:a + SIDE_BY_SIDE], own, k)):
-                    q_out.append(np.full(len(rows), query_id))
-                    id_out.append(index.ids[rows])
-                    score_out.append(scores)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x), pa.int64()) for x in (q_out, id_out, score_out)], schema=schema)
+            out = [(query_id, *index.top(query, query_id, k)) for query_id, query in zip(query_ids, queries)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]), pa.int64()),
+                 pa.array(np.concatenate([index.ids[o[1]] for o in out]), pa.int64()),
+                 pa.array(np.concatenate([o[2] for o in out]), pa.int64())], schema=schema)
 
     def run(batches):
         ids, vecs = [], []
@@ -192,10 +182,8 @@ def top_k(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     the smaller id."""
     spark = table.sparkSession
     rows = materialise(quantised(table, id_col, vec_col, scale), "vectors")
-    n, parts = rows.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # blocks even in size, and as many as there are tasks where the table is small
-    blocks = max(1, ceil(n / row_block), min(parts, ceil(n / 2048)))
-    dealt = rows.repartition(blocks)
+    n = rows.count()
+    dealt = rows.repartition(max(1, ceil(n / row_block)))
     asked = materialise(rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("vec").alias("vec")), "queries")
     n_blocks = max(1, ceil(asked.count() / query_block))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -206,8 +194,7 @@ def top_k(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
             own = mine.setdefault(len(r["vec"]), ([], []))
             own[0].append(r["id"])
             own[1].append(r["vec"])
-        block = spark.sparkContext.broadcast(
-            {d: (np.array(i, np.int64), np.array(v, np.int64).reshape(len(i), d)) for d, (i, v) in mine.items()})
+        block = spark.sparkContext.broadcast(mine)
         found = dealt.mapInArrow(_search(block, k, row_block), "query_id long, vec_id long, score long")
         ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         out = ranked if out is None else out.union(ranked)
