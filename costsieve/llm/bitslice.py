@@ -33,7 +33,7 @@ from costsieve.llm.common import col, materialise
 SCALE = 64
 TOP = 20
 EVERY = 20
-ROW_BLOCK = 16_384
+ROW_BLOCK = 32_768
 QUERY_BLOCK = 8_192
 DIGIT = 4
 

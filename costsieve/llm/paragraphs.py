@@ -108,8 +108,8 @@ def band_keys(hashes: list[list[int]], bands: int = BANDS, rows: int = ROWS) ->
     return keys.view(np.int64)
 
 
-def text_hash(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+def text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(col(text_col), F.lit("")))
 
 
 def _scan(min_words: int):
@@ -126,8 +126,7 @@ def _scan(min_words: int):
     def run(batches):
         rows, hashes, size = [], [], 0
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                th = text_hash(text)
+            for i, th, text in zip(*[batch.column(k).to_pylist() for k in range(3)]):
                 for line, words in paragraphs(text, min_words):
                     rows.append((i, th, line, class_id(words)))
                     hashes.append(shingle_hashes(words))
@@ -173,7 +172,7 @@ def _shingle_sets(block, min_words: int):
                         seen.add(digest)
                         classes.append(digest)
                         sets.append(np.unique(np.array(shingle_hashes(words), np.uint64)).view(np.int64))
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()  # it only saves repeats
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
@@ -196,22 +195,32 @@ def similar_classes(members: DataFrame, sets: DataFrame, similarity: float) -> D
     few, many = sized.where(F.col("n") <= BUCKET_LIMIT), sized.where(F.col("n") > BUCKET_LIMIT)
     x, y = few.select("key", F.col("c").alias("u")), few.select(F.col("key").alias("k"), F.col("c").alias("v"))
     links = materialise(_verified(x.join(y, (F.col("key") == F.col("k")) & (F.col("u") > F.col("v"))).select("u", "v"), sets, similarity), "links")
+    roots = connected_components(links)
     if many.isEmpty():
-        return connected_components(links)
+        return roots
     for again in range(PIVOTS):
-        open_ = materialise(_open_buckets(many, connected_components(links)), "open")
+        open_ = materialise(_open_buckets(many, roots), "open")
+        if open_.isEmpty():
+            return roots
         pivots = _pivots(open_)
         if again:  # from outside the component of the most copied class
             outside = open_.join(pivots, F.col("key") == F.col("k")).where(F.col("root") != F.col("p.root"))
             pivots = _pivots(outside.select("key", "c", "copies", "root"))
         met = open_.join(pivots, F.col("key") == F.col("k")).where(F.col("root") != F.col("p.root")).select(
             F.col("c").alias("u"), F.col("p.c").alias("v"))
-        links = materialise(links.union(_verified(met, sets, similarity)), "links")
-    rest = materialise(_open_buckets(many, connected_components(links)), "open")
+        roots = _with_links(roots, _verified(met, sets, similarity))
+    rest = materialise(_open_buckets(many, roots), "open")
+    if rest.isEmpty():
+        return roots
     x = rest.select("key", F.col("c").alias("u"), F.col("root").alias("ru"))
     y = rest.select(F.col("key").alias("k"), F.col("c").alias("v"), F.col("root").alias("rv"))
     across = x.join(y, (F.col("key") == F.col("k")) & (F.col("ru") > F.col("rv"))).select("u", "v")
-    return connected_components(materialise(links.union(_verified(across, sets, similarity)), "links"))
+    return _with_links(roots, _verified(across, sets, similarity))
+
+
+def _with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after adding links; a star stands for each component so far."""
+    return connected_components(roots.select(F.col("vertex").alias("u"), F.col("root").alias("v")).union(links))
 
 
 def _open_buckets(many: DataFrame, roots: DataFrame) -> DataFrame:
@@ -232,8 +241,8 @@ def _remove(text: str, gone: str):
             names = batch.schema.names
             out = []
             for t, lines in zip(batch.column(names.index(text)).to_pylist(), batch.column(names.index(gone)).to_pylist()):
-                drop = set(lines)
-                out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop))
+                drop = set(lines or ())
+                out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop) if drop else t)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out, pa.string()) if n == text else batch.column(k) for k, n in enumerate(names)], names=names)
 
@@ -251,22 +260,12 @@ def _marked_rows(block, key: str, wanted: bool):
     return run
 
 
-def _hash_texts(key: str, text: str):
-    def run(batches):
-        for batch in batches:
-            names = batch.schema.names
-            new = pa.array([text_hash((t or "").encode()) for t in batch.column(names.index(text)).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([new if n == key else batch.column(k) for k, n in enumerate(names)], names=names)
-
-    return run
-
-
 def repeated_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY,
                         min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, line, cluster, first_id, first_line, stays): every paragraph that is repeated, its
     cluster, and the cluster's first occurrence. th: hash of the whole text."""
     spark = docs.sparkSession
-    read = docs.select(col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"))
+    read = docs.select(col(id_col).cast("long").alias("id"), text_hash(text_col).alias("th"), text_bytes(text_col).alias("t"))
     bands = ", ".join(f"b{i} long" for i in range(BANDS))
     found = materialise(read.mapInArrow(_scan(min_words), f"id long, th long, line int, class binary, {bands}"), "paragraphs")
     classes = materialise(
@@ -305,14 +304,13 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     block = spark.sparkContext.broadcast(marks(lists, F.col("th")))
     th, lines, ids = fresh(docs, "__th", "__lines", "__ids")
     keep = [col(c) for c in docs.columns if c.lower() not in ("removed", "kept_in")]
-    ready = docs.select(*keep, F.lit(0).cast("long").alias(th))
-    hashed = map_arrow(ready, _hash_texts(th, text_col))
+    hashed = docs.select(*keep, text_hash(text_col).alias(th))
     own = lists.select(F.col("id").alias("__i"), F.col("th").alias("__t"), F.col("lines").alias(lines), F.col("ids").alias(ids))
     some = map_arrow(hashed, _marked_rows(block, th, True)).join(
         own, (col(th) == F.col("__t")) & col(id_col).cast("long").eqNullSafe(F.col("__i")), "left").drop("__i", "__t")
-    hit = some.where(col(lines).isNotNull())
-    changed = map_arrow(hit, _remove(text_col, lines)).select(*keep, col(lines).alias("removed"), col(ids).alias("kept_in"))
-    none = [F.array().cast("array<int>").alias("removed"), F.array().cast("array<long>").alias("kept_in")]
-    same = some.where(col(lines).isNull()).select(*keep, *none)
-    rest = map_arrow(hashed, _marked_rows(block, th, False)).select(*keep, *none)
-    return changed.union(same).union(rest)
+    changed = map_arrow(some, _remove(text_col, lines)).select(
+        *keep, F.coalesce(col(lines), F.array().cast("array<int>")).alias("removed"),
+        F.coalesce(col(ids), F.array().cast("array<long>")).alias("kept_in"))
+    rest = map_arrow(hashed, _marked_rows(block, th, False)).select(
+        *keep, F.array().cast("array<int>").alias("removed"), F.array().cast("array<long>").alias("kept_in"))
+    return changed.union(rest)

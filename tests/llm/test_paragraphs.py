@@ -1,12 +1,19 @@
 import random
 
 import pytest
+import xxhash
 from helpers import LONG, SF, components, documents, read
 
 import __spark_entry__ as entry
 from costsieve.llm import paragraphs as P
 
 
+def text_hash(text):
+    """Spark's xxhash64 of a string."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute(docs, similarity=P.SIMILARITY, min_words=P.MIN_WORDS):
     """{(id, text): removed lines} by comparing all classes that share a shingle."""
     places, sets = {}, {}
@@ -14,7 +21,7 @@ def brute(docs, similarity=P.SIMILARITY, min_words=P.MIN_WORDS):
         for line, words in enumerate((text or "").split("\n")):
             words = tuple("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in words).split())
             if len(words) >= min_words:
-                places.setdefault(words, []).append((i is None, i or 0, P.text_hash(text.encode()), line, text))
+                places.setdefault(words, []).append((i is None, i or 0, text_hash(text), line, text))
                 sets[words] = {words[k:k + 5] for k in range(max(1, len(words) - 4))}
     by_shingle = {}
     for w, s in sets.items():
