@@ -75,28 +75,24 @@ def cur_extract(df: DataFrame, column_mapping: dict[str, str] | None = None) ->
     return out
 
 
-def _first_non_null(c: str):
-    """pandas ``first``: first non-null value in row order (``seq``)."""
-    return F.min(F.when(F.col(c).isNotNull(), F.struct(F.col("seq"), F.col(c))))[c]
-
-
 def cur_aggregate(df: DataFrame, group_by: list[str] | None = None) -> DataFrame:
     """C14: sum cost/usage, first non-null region/tags per (date, service, resource_id,
-    usage_type) — the ones present, nulls kept as their own group; rounded to 6 places."""
+    usage_type) — the ones present, nulls kept as their own group; rounded to 6 places.
+
+    Two steps. The rows meet a hash aggregate by the keys and the region / tag values, with
+    long and double buffers only (sums and the smallest ``seq``), so the export is neither
+    sorted nor shipped row by row; the first value of each is picked from the few rows that
+    a key has after that. Without ``seq`` the smallest value is taken, the same every run.
+    """
     keys = [c for c in (group_by or DEFAULT_GROUP_BY) if c in df.columns]
-    if not keys:
-        return df
-    aggs = []
-    for c in ("cost", "usage"):
-        if c in df.columns:
-            aggs.append(np_round(F.sum(c), 6).alias(c))
-    has_seq = "seq" in df.columns
-    for c in ("region", "owner_tag", "environment_tag"):
-        if c in df.columns:
-            aggs.append((_first_non_null(c) if has_seq else F.first(c, ignorenulls=True)).alias(c))
-    if not aggs:
+    sums = [c for c in ("cost", "usage") if c in df.columns]
+    firsts = [c for c in ("region", "owner_tag", "environment_tag") if c in df.columns]
+    if not keys or not (sums or firsts):
         return df
-    return df.groupBy(*keys).agg(*aggs)
+    seq = F.min("seq") if "seq" in df.columns else F.min(F.lit(0))
+    small = df.groupBy(*keys, *firsts).agg(*[F.sum(c).alias(c) for c in sums], seq.alias("_seq"))
+    pick = [F.min(F.when(F.col(c).isNotNull(), F.struct("_seq", c)))[c].alias(c) for c in firsts]
+    return small.groupBy(*keys).agg(*[np_round(F.sum(c), 6).alias(c) for c in sums], *pick)
 
 
 def cur_ingest(raw: DataFrame, aggregate: bool = True, sample_rows: int | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ def daily_cost(norm: DataFrame, with_owner_flag: bool = False) -> DataFrame:
         owners = owner_columns(norm)
         any_owner = F.lit(False)
         for c in owners:
-            any_owner = any_owner | F.col(c).isNotNull()
+            any_owner = any_owner | F.col(f"`{c}`").isNotNull()
         aggs.append(F.bool_or(any_owner).alias("owned"))
     return norm.groupBy("date", "provider", "service").agg(*aggs)
 
@@ -63,8 +63,8 @@ def resource_day_slots(norm: DataFrame) -> DataFrame:
     any_owner = F.lit(False)     # E4: any owner-like value at all (not null)
     row_owned = F.lit(False)     # E8: an owner-like value that is not blank/unknown/none/nan
     for c in owners:
-        v = F.col(c).cast("string")
-        any_owner = any_owner | F.col(c).isNotNull()
+        v = F.col(f"`{c}`").cast("string")
+        any_owner = any_owner | F.col(f"`{c}`").isNotNull()
         row_owned = row_owned | (has_text(v) & ~F.lower(v).isin(*S.UNTAGGED_EMPTY_VALUES))
     region = F.when(has_text("region"), F.col("region")).otherwise(F.lit("unknown"))
     # every buffer is fixed-width (long / double / boolean), so this stays a hash aggregate

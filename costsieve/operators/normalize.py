@@ -25,6 +25,8 @@ SLASH_TO_UNDERSCORE = {
     "product/servicecode": "product_servicecode",
     "product/region": "product_region",
     "product/ProductName": "product_product_name",
+    "reservation/UnusedQuantity": "reservation_unused_quantity",
+    "reservation/UnusedRecurringFee": "reservation_unused_recurring_fee",
 }
 CUR_TO_UNIFIED = {
     "line_item_usage_start_date": "date",
@@ -51,8 +53,19 @@ AZURE_TAG_PATTERNS = {
     "labels_owner": r"[Oo]wner=([^;,]+)",
     "labels_environment": r"[Ee]nvironment=([^;,]+)",
 }
-# Date layouts tried in order when a date arrives as text (ISO forms go through the cast).
-DATE_FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "yyyyMMdd", "yyyy/MM/dd"]
+# Date layouts of text dates: a shape that chooses the layout (its first group is the date,
+# a time of day and an offset may follow), and the layout's pattern.
+_TIME = r"(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?: ?(?:Z|UTC|[+-]\d{2}:?\d{2}))?)?$"
+DATE_LAYOUTS = [
+    (r"^(\d{4}-\d{1,2}-\d{1,2})" + _TIME, "yyyy-M-d"),
+    (r"^(\d{1,2}/\d{1,2}/\d{4})" + _TIME, "M/d/yyyy"),
+    (r"^(\d{4}/\d{1,2}/\d{1,2})" + _TIME, "yyyy/M/d"),
+    (r"^(\d{8})$", "yyyyMMdd"),
+    (r"^(\d{1,2}-[A-Za-z]{3}-\d{4})" + _TIME, "d-MMM-yyyy"),
+    (r"^(\d{1,2} [A-Za-z]{3} \d{4})" + _TIME, "d MMM yyyy"),
+    (r"^([A-Za-z]{3} \d{1,2}, \d{4})" + _TIME, "MMM d, yyyy"),
+    (r"^([A-Za-z]{4,9} \d{1,2}, \d{4})" + _TIME, "MMMM d, yyyy"),
+]
 # ---- end of fixed values ----
 
 
@@ -62,7 +75,11 @@ def _q(name: str) -> Column:
 
 
 def parse_date(df: DataFrame, name: str) -> Column:
-    """Any date-like column -> DATE; unparseable text -> NULL (per row)."""
+    """Any date-like column -> DATE; unparseable text -> NULL (per row).
+
+    A text's shape chooses its one layout; the date is taken from the text itself, so a
+    stamp with an offset keeps its own calendar day whatever the session's time zone.
+    """
     dtype = df.schema[name].dataType
     c = _q(name)
     if isinstance(dtype, T.DateType):
@@ -70,10 +87,30 @@ def parse_date(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return c.cast("date")
     s = F.trim(c.cast("string"))
-    return F.coalesce(
-        F.to_date(F.try_to_timestamp(s)),
-        *[F.to_date(F.try_to_timestamp(s, F.lit(fmt))) for fmt in DATE_FORMATS],
-    )
+    parsed = None
+    for shape, layout in DATE_LAYOUTS:
+        text = F.regexp_extract(s, shape, 1)
+        text = F.initcap(text) if "MMM" in layout else text
+        value = F.to_date(F.try_to_timestamp(text, F.lit(layout)))
+        parsed = F.when(s.rlike(shape), value) if parsed is None else parsed.when(s.rlike(shape), value)
+    return parsed
+
+
+def exact_names(df: DataFrame, prefer: list[str] | None = None) -> DataFrame:
+    """Names that differ only by case made distinct, so that each can be selected: the one that
+    comes first in ``prefer`` (else in the table) keeps its name, the others get a suffix."""
+    order = {c: i for i, c in enumerate(prefer or [])}
+    by_lower: dict[str, list[int]] = {}
+    for i, c in enumerate(df.columns):
+        by_lower.setdefault(c.lower(), []).append(i)
+    if len(by_lower) == len(df.columns):
+        return df
+    names = list(df.columns)
+    for places in by_lower.values():
+        ranked = sorted(places, key=lambda i: (order.get(df.columns[i], len(order)), i))
+        for k, i in enumerate(ranked[1:], 1):
+            names[i] = f"{names[i]}__{k}"
+    return df.toDF(*names)
 
 
 def to_double(df: DataFrame, name: str) -> Column:
@@ -133,11 +170,13 @@ def relabel_ebs(df: DataFrame) -> DataFrame:
 
 
 def normalize_aws(df: DataFrame) -> DataFrame:
-    """AWS CUR (underscore or slash layout) -> unified rows, provider AWS."""
-    df = rename_slash_columns(df)
+    """AWS CUR (underscore or slash layout) -> unified rows, provider AWS. A column that
+    already has a unified name gives way to the CUR column mapped to it."""
+    df = rename_slash_columns(exact_names(df, [*SLASH_TO_UNDERSCORE, *CUR_TO_UNIFIED]))
     df = drop_tax_rows(df)
     present = {k: v for k, v in CUR_TO_UNIFIED.items() if k in df.columns}
-    df = df.withColumnsRenamed(present)
+    taken = {v.lower() for v in present.values()} | {"provider"}
+    df = df.select(*[_q(c) for c in df.columns if c in present or c.lower() not in taken]).withColumnsRenamed(present)
     df = relabel_ebs(df)
     if "date" in df.columns:
         df = df.withColumn("date", parse_date(df, "date"))
@@ -163,6 +202,7 @@ def azure_tags(tags: Column) -> list[Column]:
 def normalize_azure(df: DataFrame) -> DataFrame:
     """Azure Cost Management / EA / MCA exports -> unified rows (provider "Azure",
     stamped upper-case by the pipeline)."""
+    df = exact_names(df, [c for names in AZURE_CANDIDATES.values() for c in names])
     tmp = df.select(
         pick(df, AZURE_CANDIDATES["date"]).alias("date"),
         pick(df, AZURE_CANDIDATES["service"]).cast("string").alias("service"),
@@ -179,6 +219,7 @@ def normalize_azure(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- C10
 def normalize_gcp(df: DataFrame) -> DataFrame:
     """GCP billing export (flattened) -> unified rows; missing resource_name -> "unknown"."""
+    df = exact_names(df, ["usage_start_time", "service_description", "cost", "usage_amount", "resource_name", "region"])
     for need in ("usage_start_time", "service_description", "cost", "usage_amount", "resource_name"):
         if need not in df.columns:
             raise ValueError(f"GCP export lacks column {need!r}")

@@ -22,10 +22,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    parts = shuffle_partitions or int(os.environ.get("COSTSIEVE_SHUFFLE_PARTITIONS", "8"))
+    parts = shuffle_partitions or os.environ.get("COSTSIEVE_SHUFFLE_PARTITIONS")
+    if not parts and (master or "").startswith("local"):
+        parts = 8  # a cluster keeps its own setting
+    if parts:
+        b = b.config("spark.sql.shuffle.partitions", str(parts))
     b = (
         b.config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -39,7 +42,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only where none is configured.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; that is always used.
-    Only a local-mode session (tests) without the setting gets a fresh temporary folder;
+    The one branch by master is for tests: a local-mode session without the setting gets a fresh temporary folder;
     a cluster session without it is an error, because a machine-local folder would not
     survive the loss of that machine.
     """
@@ -78,6 +81,28 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialise(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet to the shared checkpoint folder and read it back.
+
+    For aggregates that many plans read: lineage is cut as with a checkpoint, and each
+    reader prunes columns, pushes filters down and sees the table's size. ``made`` collects
+    the folder for ``remove_paths``.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    if made is not None:
+        made.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders that ``materialise`` made, wherever the shared folder lies."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(hadoop).delete(p, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for intermediate tables."""
     import uuid
