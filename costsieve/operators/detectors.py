@@ -34,9 +34,28 @@ ORPHANED_REASON = (
 )
 SNAPSHOT_REASON = "Snapshot or backup generating cost with no active parent resource"
 UNTAGGED_REASON = "Resource has no ownership tags (owner / project / environment missing)"
+ZOMBIE_REASON = ("Active ", " days with usage-to-cost ratio of ", " (below service p25 threshold ", ")")
+IDLE_REASON = ("Low usage detected over ", " days")
+SPIKE_REASON = ("Cost spike: $", "/day is ", " stddevs above ")
+SPIKE_BASELINE = ("7-day baseline of $", "recent baseline")
+GROWTH_REASON = ("Daily cost increased from $", " to $", " over ", " days (+", "%)")
+ALWAYS_ON_REASON = ("Always-on service costing $", "/day with no ownership metadata")
+IDLE_DB_REASON = ("Database active ", " days with minimal usage (ratio ", ")")
+SAVINGS_REASON = ("Unused savings plan commitment costing $", " in this billing period")
+UNUSED_RI_REASON = ("Unused reserved capacity costing $", " (", ": $", ", ", ")")
+UNUSED_RI_PLAIN_REASON = ("Unused reserved instance capacity costing $", " in this billing period")
+SAVINGS_ITEM_TYPES = ["SavingsPlanNegation", "SavingsPlanRecurringFee"]
 # ---- end of fixed values ----
 
 
+def _text(pieces: tuple[str, ...], *values: Column) -> Column:
+    """The pieces of a reason text with values between them."""
+    parts = [F.lit(pieces[0])]
+    for i, value in enumerate(values, 1):
+        parts += [value, *([F.lit(pieces[i])] if i < len(pieces) else [])]
+    return F.concat(*parts)
+
+
 def _leak_cols(leak_type: str, reason: Column, resource_id: Column | None = None,
                z_score: Column | None = None, exact_waste: Column | None = None,
                order_num: Column | None = None, order_seq: Column | None = None) -> list[Column]:
@@ -88,11 +107,8 @@ def detect_zombie(features: DataFrame, use_percentiles: bool = True, materialize
     else:
         threshold = fallback
     cand = cand.withColumn("threshold", threshold).where(F.col("usage_to_cost_ratio") < F.col("threshold"))
-    reason = F.concat(
-        F.lit("Active "), F.col("days_active").cast("string"),
-        F.lit(" days with usage-to-cost ratio of "), fmt_fixed("usage_to_cost_ratio", 4),
-        F.lit(" (below service p25 threshold "), fmt_fixed("threshold", 4), F.lit(")"),
-    )
+    reason = _text(ZOMBIE_REASON, F.col("days_active").cast("string"), fmt_fixed("usage_to_cost_ratio", 4),
+                   fmt_fixed("threshold", 4))
     return cand.select(
         *_leak_cols(S.ZOMBIE, reason, F.col("resource_id")),
         "days_active", "usage_to_cost_ratio", "threshold",
@@ -112,7 +128,7 @@ def detect_idle(features: DataFrame, svc_stats: DataFrame, zombie_ids: DataFrame
     cand = cand.where(F.coalesce(F.col("avg_daily_cost"), F.lit(0.0)) >= S.IDLE_MIN_DAILY_COST)
     if zombie_ids is not None:
         cand = cand.join(zombie_ids.select("resource_id").distinct(), "resource_id", "left_anti")
-    reason = F.concat(F.lit("Low usage detected over "), F.col("days_active").cast("string"), F.lit(" days"))
+    reason = _text(IDLE_REASON, F.col("days_active").cast("string"))
     return cand.select(
         *_leak_cols(S.IDLE, reason, F.col("resource_id")),
         "days_active", "usage_to_cost_ratio", "avg_daily_cost",
@@ -134,18 +150,11 @@ def detect_runaway(svc_stats: DataFrame, features: DataFrame | None) -> DataFram
     s = s.withColumn("growth_pct", growth).withColumn("z_path", z_hit)
     s = s.where(F.col("z_path") | (F.col("growth_pct") >= S.RUNAWAY_COST_GROWTH_PERCENT))
     baseline = F.when(
-        F.col("last_rolling_mean").isNotNull(),
-        F.concat(F.lit("7-day baseline of $"), fmt_fixed("last_rolling_mean", 2)),
-    ).otherwise(F.lit("recent baseline"))
-    z_reason = F.concat(
-        F.lit("Cost spike: $"), fmt_fixed("last_cost", 2), F.lit("/day is "), fmt_fixed("last_z", 1),
-        F.lit(" stddevs above "), baseline,
-    )
-    g_reason = F.concat(
-        F.lit("Daily cost increased from $"), fmt_fixed("first_cost", 2), F.lit(" to $"),
-        fmt_fixed("last_cost", 2), F.lit(" over "), F.col("days").cast("string"),
-        F.lit(" days (+"), fmt_fixed("growth_pct", 0), F.lit("%)"),
-    )
+        F.col("last_rolling_mean").isNotNull(), F.concat(F.lit(SPIKE_BASELINE[0]), fmt_fixed("last_rolling_mean", 2)),
+    ).otherwise(F.lit(SPIKE_BASELINE[1]))
+    z_reason = _text(SPIKE_REASON, fmt_fixed("last_cost", 2), fmt_fixed("last_z", 1), baseline)
+    g_reason = _text(GROWTH_REASON, fmt_fixed("first_cost", 2), fmt_fixed("last_cost", 2), F.col("days").cast("string"),
+                     fmt_fixed("growth_pct", 0))
     reason = F.when(F.col("z_path"), z_reason).otherwise(g_reason)
     z_out = F.when(F.col("z_path"), py_round("last_z", 2))
     return s.select(
@@ -167,23 +176,22 @@ def detect_always_on(daily: DataFrame, svc_stats: DataFrame) -> DataFrame:
     ).crossJoin(F.broadcast(total_days))
     s = s.where(F.col("days_present") / F.greatest(F.col("total_days"), F.lit(1)) >= S.ALWAYS_ON_PRESENCE_RATIO)
     s = s.where(~F.coalesce(F.col("owned"), F.lit(False)))
-    reason = F.concat(
-        F.lit("Always-on service costing $"), fmt_fixed("avg_daily_cost", 2),
-        F.lit("/day with no ownership metadata"),
-    )
+    reason = _text(ALWAYS_ON_REASON, fmt_fixed("avg_daily_cost", 2))
     return s.select(*_leak_cols(S.ALWAYS_ON, reason), "avg_daily_cost", "days_present", "total_days")
 
 
-def _first_by_resource(slots: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Provider/service (and ``extra`` fields) of each resource id's first row.
+def _first_by_resource(slots: DataFrame, extra: list[str] | None = None, *aggs: Column) -> DataFrame:
+    """Provider/service (and ``extra`` fields) of each resource id's first row, with further
+    aggregates over its slots: one pass by resource.
 
     "First" is the smallest ``first_seq``; equal ``seq`` values (inputs without a unique
     row order) are broken by the values themselves, so the pick is the same every run.
     """
     fields = ["provider", "service", *(extra or [])]
-    first = slots.groupBy("resource_id").agg(F.min(F.struct("first_seq", *fields)).alias("_first"))
+    first = slots.groupBy("resource_id").agg(F.min(F.struct("first_seq", *fields)).alias("_first"), *aggs)
     return first.select("resource_id", F.col("_first.first_seq").alias("first_seq"),
-                        *[F.col(f"_first.{c}").alias(c) for c in fields])
+                        *[F.col(f"_first.{c}").alias(c) for c in fields],
+                        *[c for c in first.columns if c not in ("resource_id", "_first")])
 
 
 # ---------------------------------------------------------------- E5
@@ -192,7 +200,9 @@ def detect_orphaned_storage(slots: DataFrame) -> DataFrame:
     slots had any compute. Null/"" region is "unknown"; a row that is compute never
     counts as storage. Keyed by resource id alone, provider/service of its first row.
 
-    ``slots`` is ``features.resource_day_slots`` (one row per resource, day, region).
+    ``slots`` is ``features.resource_day_slots`` (one row per resource, day, region). Storage
+    slots meet the distinct compute slots once, then one aggregate by resource says whether
+    any of its slots was covered.
     """
     tagged = slots.where(has_text("resource_id")).select(
         "resource_id", "provider", "service", "date", "slot_region", "first_seq",
@@ -200,16 +210,11 @@ def detect_orphaned_storage(slots: DataFrame) -> DataFrame:
         is_block_storage("service", "provider").alias("_block"),
     )
     slot = ["provider", "date", "slot_region"]
-    compute_slots = tagged.where("_compute").select(*slot).distinct()
-    storage = tagged.where(~F.col("_compute") & F.col("_block"))
-    covered = (
-        storage.select("resource_id", *slot).distinct()
-        .join(compute_slots, slot, "left_semi")
-        .select("resource_id").distinct()
-    )
-    orphans = _first_by_resource(storage).join(covered, "resource_id", "left_anti")
-    return orphans.select(*_leak_cols(S.ORPHANED, F.lit(ORPHANED_REASON), F.col("resource_id"),
-                                      order_seq=F.col("first_seq")))
+    compute_slots = tagged.where("_compute").select(*slot).distinct().withColumn("_covered", F.lit(True))
+    storage = tagged.where(~F.col("_compute") & F.col("_block")).join(compute_slots, slot, "left")
+    found = _first_by_resource(storage, None, F.coalesce(F.bool_or("_covered"), F.lit(False)).alias("_covered"))
+    return found.where(~F.col("_covered")).select(
+        *_leak_cols(S.ORPHANED, F.lit(ORPHANED_REASON), F.col("resource_id"), order_seq=F.col("first_seq")))
 
 
 # ---------------------------------------------------------------- E6
@@ -226,10 +231,7 @@ def detect_idle_database(features: DataFrame) -> DataFrame:
         & (F.col("usage_to_cost_ratio") <= S.IDLE_DB_USAGE_RATIO_THRESHOLD)
         & (F.col("mean_row_cost") >= S.IDLE_DB_MIN_DAILY_COST)
     )
-    reason = F.concat(
-        F.lit("Database active "), F.col("days_active").cast("string"),
-        F.lit(" days with minimal usage (ratio "), fmt_fixed("usage_to_cost_ratio", 4), F.lit(")"),
-    )
+    reason = _text(IDLE_DB_REASON, F.col("days_active").cast("string"), fmt_fixed("usage_to_cost_ratio", 4))
     return cand.select(
         *_leak_cols(S.IDLE_DB, reason, F.col("resource_id"),
                     exact_waste=money(F.col("mean_row_cost") * 30)),
@@ -258,9 +260,7 @@ def untagged_candidates(slots: DataFrame, svc_stats: DataFrame) -> DataFrame:
     is null, "", unknown, none or nan (any case) — ``first_row_owned`` in the slots.
     """
     slots = slots.where(has_text("resource_id"))
-    first = _first_by_resource(slots, ["first_row_owned"])
-    resource_total = slots.groupBy("resource_id").agg(F.sum("cost").alias("resource_cost"))
-    cand = first.join(resource_total, "resource_id", "left")
+    cand = _first_by_resource(slots, ["first_row_owned"], F.sum("cost").alias("resource_cost"))
     cand = join_back(cand, svc_stats.select(*SERVICE_KEYS, F.col("total_cost").alias("service_cost")),
                      SERVICE_KEYS, "left")
     rc = F.coalesce(F.col("resource_cost"), F.lit(0.0))
@@ -287,55 +287,72 @@ def _num(c: str) -> Column:
     return F.col(c).try_cast("double")
 
 
-def detect_savings_plan(raw: DataFrame) -> DataFrame:
-    """RI_SAVINGS_PLAN_WASTE: unblended cost of SavingsPlanNegation + SavingsPlanRecurringFee
-    rows (raw CUR, underscore names) totals >= 10. Carries the total (rounded to cents)."""
-    need = {"line_item_line_item_type", "line_item_unblended_cost"}
-    if not need <= set(raw.columns):
-        return _empty_leaks(raw)
-    sp = raw.where(F.col("line_item_line_item_type").isin("SavingsPlanNegation", "SavingsPlanRecurringFee"))
-    agg = sp.agg(F.count(F.lit(1)).alias("n"),
-                 F.coalesce(F.sum(_num("line_item_unblended_cost")), F.lit(0.0)).alias("total"))
+def commitment_totals(raw: DataFrame) -> DataFrame:
+    """One row per service code of the raw CUR (underscore names): what E9 and E10 and the raw
+    row count need, from one scan. A missing column leaves its totals at 0 rows."""
+    have = set(raw.columns)
+    service = F.col("product_servicecode").cast("string") if "product_servicecode" in have else F.lit(None).cast("string")
+    none = F.lit(False)
+    plan = F.col("line_item_line_item_type").isin(*SAVINGS_ITEM_TYPES) if SAVINGS_COLUMNS <= have else none
+    unused = F.coalesce(_num("reservation_unused_quantity"), F.lit(0.0)) > 0 if UNUSED_COLUMNS <= have else none
+    cost = _num("line_item_unblended_cost") if "line_item_unblended_cost" in have else F.lit(0.0)
+    fee = _num("reservation_unused_recurring_fee") if "reservation_unused_recurring_fee" in have else F.lit(0.0)
+    return raw.groupBy(service.alias("code")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(plan).alias("plan_rows"), F.coalesce(F.sum(F.when(plan, cost)), F.lit(0.0)).alias("plan_cost"),
+        F.count_if(unused).alias("unused_rows"), F.coalesce(F.sum(F.when(unused, fee)), F.lit(0.0)).alias("unused_fee"),
+    )
+
+
+SAVINGS_COLUMNS = {"line_item_line_item_type", "line_item_unblended_cost"}
+UNUSED_COLUMNS = {"reservation_unused_quantity", "reservation_unused_recurring_fee"}
+
+
+def savings_plan_leak(totals: DataFrame) -> DataFrame:
+    """E9 from ``commitment_totals``."""
+    agg = totals.agg(F.coalesce(F.sum("plan_rows"), F.lit(0)).alias("n"), F.coalesce(F.sum("plan_cost"), F.lit(0.0)).alias("total"))
     agg = agg.where((F.col("n") > 0) & (F.col("total") >= S.RI_MIN_WASTE_USD)).select(
         "total", F.lit("AWS").alias("provider"), F.lit("Savings Plans").alias("service"))
-    reason = F.concat(F.lit("Unused savings plan commitment costing $"), fmt_grouped("total", 2),
-                      F.lit(" in this billing period"))
+    reason = _text(SAVINGS_REASON, fmt_grouped("total", 2))
     return agg.select(*_leak_cols(S.RI_SAVINGS, reason, exact_waste=py_round("total", 2)), "total")
 
 
-def detect_unused_reservation(raw: DataFrame) -> DataFrame:
-    """RI_UNUSED_RESERVATION: rows with unused quantity > 0 whose unused fee totals >= 10;
-    the reason names the top 3 services by fee."""
-    need = {"reservation_unused_quantity", "reservation_unused_recurring_fee"}
-    if not need <= set(raw.columns):
-        return _empty_leaks(raw)
-    unused = raw.where(F.coalesce(_num("reservation_unused_quantity"), F.lit(0.0)) > 0)
-    fee = _num("reservation_unused_recurring_fee")
-    total = unused.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(fee), F.lit(0.0)).alias("total"))
+def unused_reservation_leak(totals: DataFrame, by_service: bool = True) -> DataFrame:
+    """E10 from ``commitment_totals``. The three largest services are cut out before anything is
+    gathered, so the reason is made of three rows."""
+    total = totals.agg(F.coalesce(F.sum("unused_rows"), F.lit(0)).alias("n"), F.coalesce(F.sum("unused_fee"), F.lit(0.0)).alias("total"))
     total = total.where((F.col("n") > 0) & (F.col("total") >= S.RI_MIN_WASTE_USD))
-    if "product_servicecode" in raw.columns:
-        # one row per service code (bounded by the provider's service catalogue)
-        by_service = unused.where(F.col("product_servicecode").isNotNull()).groupBy("product_servicecode").agg(
-            F.coalesce(F.sum(fee), F.lit(0.0)).alias("fee"))
-        top = by_service.agg(
-            F.slice(
-                F.sort_array(F.collect_list(F.struct(-F.col("fee"), F.col("product_servicecode"), F.col("fee")))),
-                1, 3,
-            ).alias("top")
-        )
+    if by_service:
+        top = (totals.where(F.col("code").isNotNull() & (F.col("unused_rows") > 0))
+               .orderBy(F.col("unused_fee").desc(), "code").limit(3))
+        named = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("unused_fee")).alias("k"), "code", "unused_fee"))).alias("top"))
         detail = F.array_join(
-            F.transform("top", lambda t: F.concat(t["product_servicecode"], F.lit(": $"), fmt_grouped(t["fee"], 2))),
-            ", ",
-        )
-        total = total.crossJoin(top.select(detail.alias("detail")))
-        reason = F.concat(F.lit("Unused reserved capacity costing $"), fmt_grouped("total", 2),
-                          F.lit(" ("), F.col("detail"), F.lit(")"))
+            F.transform("top", lambda t: F.concat(t["code"], F.lit(UNUSED_RI_REASON[2]), fmt_grouped(t["unused_fee"], 2))), UNUSED_RI_REASON[3])
+        total = total.crossJoin(named.select(detail.alias("detail")))  # one row beside one row
+        reason = F.concat(F.lit(UNUSED_RI_REASON[0]), fmt_grouped("total", 2), F.lit(UNUSED_RI_REASON[1]), F.col("detail"),
+                          F.lit(UNUSED_RI_REASON[4]))
     else:
-        reason = F.concat(F.lit("Unused reserved instance capacity costing $"), fmt_grouped("total", 2),
-                          F.lit(" in this billing period"))
+        reason = _text(UNUSED_RI_PLAIN_REASON, fmt_grouped("total", 2))
     total = total.select("*", F.lit("AWS").alias("provider"), F.lit("Reserved Instances").alias("service"))
     return total.select(*_leak_cols(S.RI_UNUSED, reason, exact_waste=py_round("total", 2)), "total")
 
 
+def detect_savings_plan(raw: DataFrame) -> DataFrame:
+    """RI_SAVINGS_PLAN_WASTE: unblended cost of SavingsPlanNegation + SavingsPlanRecurringFee
+    rows (raw CUR, underscore names) totals >= 10. Carries the total (rounded to cents)."""
+    if not SAVINGS_COLUMNS <= set(raw.columns):
+        return _empty_leaks(raw)
+    return savings_plan_leak(commitment_totals(raw.where(F.col("line_item_line_item_type").isin(*SAVINGS_ITEM_TYPES)).select(
+        *SAVINGS_COLUMNS)))
+
+
+def detect_unused_reservation(raw: DataFrame) -> DataFrame:
+    """RI_UNUSED_RESERVATION: rows with unused quantity > 0 whose unused fee totals >= 10;
+    the reason names the top 3 services by fee."""
+    if not UNUSED_COLUMNS <= set(raw.columns):
+        return _empty_leaks(raw)
+    return unused_reservation_leak(commitment_totals(raw), "product_servicecode" in raw.columns)
+
+
 def _empty_leaks(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], S.LEAK)

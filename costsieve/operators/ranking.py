@@ -44,7 +44,9 @@ def join_back(df: DataFrame, lookup: DataFrame, on: list[str], how: str = "left"
         *[c for c in lookup.columns if c not in on],
     )
     cond = null_safe_join_cond(df, renamed, [(c, f"__k{i}") for i, c in enumerate(on)])
-    joined = df.join(renamed, cond, how) if cond is not None else df.crossJoin(renamed)
+    if cond is None:
+        raise ValueError("join_back needs a key")
+    joined = df.join(renamed, cond, how)
     return joined.drop(*[f"__k{i}" for i in range(len(on))])
 
 
@@ -118,25 +120,3 @@ def global_positions(df: DataFrame, order_cols: list[Column], out: str = "positi
     keyed = reliable_checkpoint(df.withColumn("_order_key", F.struct(*order_cols)))
     ranks = value_ranks(keyed, [], "_order_key").select("_order_key", (F.col("lt") + 1).alias(out))
     return join_back(keyed, ranks, ["_order_key"], "left").drop("_order_key")
-
-
-def exact_quantile(df: DataFrame, value: str, q: float) -> DataFrame:
-    """Exact linear-interpolation quantile (numpy / pandas default) as a one-row frame.
-
-    ``F.percentile`` merges every distinct value into one task; here the two order
-    statistics around position ``q * (n - 1)`` are found with ``value_ranks`` (range
-    slices), then interpolated the way numpy does.
-    """
-    ranks = value_ranks(df, [], value)
-    pos = F.lit(float(q)) * (F.col("n") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
-    covers = lambda k: (F.col("lt") <= k) & (k < F.col("lt") + F.col("eq"))
-    picked = ranks.select(
-        "n", pos.alias("pos"),
-        F.when(covers(lo), F.col(value)).alias("_lo"),
-        F.when(covers(hi), F.col(value)).alias("_hi"),
-    ).groupBy().agg(F.max("_lo").alias("a"), F.max("_hi").alias("b"), F.max("pos").alias("pos"))
-    t = F.col("pos") - F.floor(F.col("pos"))
-    diff = F.col("b") - F.col("a")
-    lerp = F.when(t >= 0.5, F.col("b") - diff * (F.lit(1.0) - t)).otherwise(F.col("a") + diff * t)
-    return picked.select(lerp.alias("quantile"))

@@ -172,14 +172,12 @@ def summary(primary: DataFrame) -> DataFrame:
     )
 
 
-def pipeline_stats(raw: DataFrame, norm: DataFrame, forecasts: DataFrame | None, provider: str,
+def pipeline_stats(total: DataFrame, normalized: DataFrame, forecasts: DataFrame | None, provider: str,
                    llm_enabled: bool = False) -> DataFrame:
-    """provider, total_records, normalized_records, forecast_services, llm_enabled (one row)."""
-    spark = raw.sparkSession
-    parts = [
-        raw.agg(F.count(F.lit(1)).alias("total_records")),
-        norm.agg(F.count(F.lit(1)).alias("normalized_records")),
-    ]
+    """provider, total_records, normalized_records, forecast_services, llm_enabled (one row).
+    ``total`` and ``normalized`` hold the counts, taken from aggregates that are there anyway."""
+    spark = total.sparkSession
+    parts = [total, normalized]
     if forecasts is not None:
         parts.append(forecasts.agg(F.count(F.lit(1)).alias("forecast_services")))
     else:

@@ -1,13 +1,15 @@
-"""The end-to-end waste analysis as one set of lazy Spark plans.
+"""The end-to-end waste analysis.
 
 ``analyze`` wires: detect provider -> normalize -> shared features (daily series with
 z-scores, per-service stats, per-resource features) -> ten detectors -> union ->
-dedupe -> score -> primary -> summary / stats / forecast. Nothing is collected: the
-result holds DataFrames, and the driver only ever sees column names and parameters.
-
-Shared aggregates are materialised in the reliable checkpoint folder because up to ten
-plans read them; they are small next to the input (one row per service-day, per service,
-per resource, per resource-day-region).
+dedupe -> score -> primary -> summary / stats / forecast. It runs the jobs that write the
+shared aggregates and returns DataFrames over them; rows never come to the driver, which
+only sees column names, parameters and single totals.
+
+Aggregates that several plans read (one row per service-day, per service, per resource, per
+resource-day-region, per finding) are written as Parquet under the shared checkpoint
+folder: lineage is cut and each reader takes the columns it needs. ``Analysis.close()``
+deletes them.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from costsieve.operators import features as D
 from costsieve.operators import scoring as Fs
 from costsieve.operators.detect import detect_provider
 from costsieve.operators.normalize import SLASH_TO_UNDERSCORE, normalize
-from costsieve.session import reliable_checkpoint
+from costsieve.session import materialise, remove_paths
 
 log = logging.getLogger(__name__)
 
@@ -38,6 +39,7 @@ class Features:
     resources: DataFrame      # per (provider, service, resource_id)
     slots: DataFrame          # per (resource_id, provider, service, date, region)
     materialized: bool = False
+    paths: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -52,6 +54,10 @@ class Analysis:
     stats: DataFrame
     skipped: list[str] = field(default_factory=list)
 
+    def close(self) -> None:
+        """Delete the tables that the analysis wrote; its DataFrames can't be read after that."""
+        remove_paths(self.features.norm.sparkSession, self.features.paths)
+
     def ordered_primary(self) -> DataFrame:
         return self.primary.orderBy("first_key")
 
@@ -66,37 +72,47 @@ def with_seq(df: DataFrame) -> DataFrame:
     return df.withColumn("seq", F.monotonically_increasing_id())
 
 
+def with_optional(df: DataFrame) -> DataFrame:
+    """Optional columns that the input lacks, as typed nulls."""
+    kinds = {"usage": "double", "resource_id": "string", "region": "string"}
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in df.columns})
+
+
 def build_features(norm: DataFrame, materialize: bool = True) -> Features:
     """The four shared aggregates every detector reads, built from ONE pass over the rows.
 
-    With ``materialize`` (default) they are written to the reliable checkpoint folder:
-    up to ten plans read them, lineage back to the raw scan is cut (a lost executor
-    re-reads the checkpoint, not the input), and every detector sees bit-identical
-    float sums (a re-evaluated sum may differ in the last bit).
+    With ``materialize`` (default) they are written to the shared checkpoint folder: up to ten
+    plans read them, a lost executor re-reads them instead of the input, and every detector sees
+    bit-identical float sums (a re-evaluated sum may differ in the last bit).
     """
-    slots = D.resource_day_slots(norm)              # the only pass over the rows
-    if materialize:
-        slots = reliable_checkpoint(slots)
-    daily = D.cost_zscore(D.daily_from_slots(slots))
-    resources = D.resource_features_from_slots(slots)
-    if materialize:
-        daily, resources = reliable_checkpoint(daily), reliable_checkpoint(resources)
-    services = D.service_stats(daily)
-    if materialize:
-        services = reliable_checkpoint(services)
+    norm, paths = with_optional(norm), []
+    keep = (lambda df, name: materialise(df, name, paths)) if materialize else (lambda df, name: df)
+    slots = keep(D.resource_day_slots(norm), "slots")  # the only pass over the rows
+    daily = keep(D.cost_zscore(D.daily_from_slots(slots)), "daily")
+    resources = keep(D.resource_features_from_slots(slots), "resources")
+    services = keep(D.service_stats(daily), "services")
     return Features(norm=norm, daily=daily, services=services, resources=resources, slots=slots,
-                    materialized=materialize)
+                    materialized=materialize, paths=paths)
+
 
+def underscore_names(raw: DataFrame) -> DataFrame:
+    """A raw CUR with slash names under its underscore names."""
+    if "lineItem/UnblendedCost" not in raw.columns:
+        return raw
+    return raw.withColumnsRenamed({k: v for k, v in SLASH_TO_UNDERSCORE.items() if k in raw.columns})
 
-def run_detectors(ft: Features, raw_for_ri: DataFrame | None = None,
+
+def run_detectors(ft: Features, commitments: DataFrame | None = None, raw_columns: set[str] = frozenset(),
                   top_untagged: int | None = S.UNTAGGED_TOP_N) -> tuple[list[DataFrame], list[str]]:
     """All detectors in reference order (the order dedupe keeps). Missing inputs never
     fail a run: absent usage makes ratios NULL (zombie / idle / idle-DB find nothing),
     absent reservation or item-type columns make the commitment detectors empty (their
     names are returned in ``skipped``). Plans are not wrapped in
-    try/except at action time."""
+    try/except at action time. ``commitments``: ``detectors.commitment_totals`` of the raw CUR."""
     out, skipped = [], []
     zombie = E.detect_zombie(ft.resources, materialized=ft.materialized)
+    if ft.materialized:  # read by the idle detector too
+        zombie = materialise(zombie, "zombies", ft.paths)
     out.append(zombie)
     out.append(E.detect_idle(ft.resources, ft.services, zombie.select("resource_id")))
     out.append(E.detect_runaway(ft.services, ft.resources))
@@ -105,25 +121,26 @@ def run_detectors(ft: Features, raw_for_ri: DataFrame | None = None,
     out.append(E.detect_idle_database(ft.resources))
     out.append(E.detect_snapshot_sprawl(ft.slots))
     out.append(E.detect_untagged(ft.slots, ft.services, top_untagged))
-    if raw_for_ri is not None:
-        raw = raw_for_ri
-        if "lineItem/UnblendedCost" in raw.columns:
-            raw = raw.withColumnsRenamed({k: v for k, v in SLASH_TO_UNDERSCORE.items() if k in raw.columns})
-        needs = {E.detect_savings_plan: {"line_item_line_item_type", "line_item_unblended_cost"},
-                 E.detect_unused_reservation: {"reservation_unused_quantity", "reservation_unused_recurring_fee"}}
-        for fn, cols in needs.items():
-            if not cols <= set(raw.columns):
-                skipped.append(fn.__name__)
-            out.append(fn(raw))
+    if commitments is not None:
+        if E.SAVINGS_COLUMNS <= raw_columns:
+            out.append(E.savings_plan_leak(commitments))
+        else:
+            skipped.append("detect_savings_plan")
+        if E.UNUSED_COLUMNS <= raw_columns:
+            out.append(E.unused_reservation_leak(commitments, "product_servicecode" in raw_columns))
+        else:
+            skipped.append("detect_unused_reservation")
     return out, skipped
 
 
 def analyze(raw: DataFrame, provider: str | None = None, already_normalized: bool = False,
             top_untagged: int | None = S.UNTAGGED_TOP_N, forecast: bool = True,
             materialize: bool = True) -> Analysis:
-    """Run the whole analysis lazily. ``already_normalized`` input keeps its own
-    ``provider`` column when it has one (multi-provider tables), else is stamped."""
+    """Run the whole analysis. ``already_normalized`` input keeps its own ``provider`` column
+    when it has one (multi-provider tables), else is stamped. The rows are read once for the
+    features and, for a raw AWS export, once more for the commitment totals."""
     raw = with_seq(raw)
+    commitments, raw_columns = None, set()
     if already_normalized:
         if "provider" in raw.columns and provider is None:
             norm = raw
@@ -131,28 +148,36 @@ def analyze(raw: DataFrame, provider: str | None = None, already_normalized: boo
         else:
             label = (provider or "AWS").upper()
             norm = raw.withColumn("provider", F.lit(label))
-        ri_input = None
     else:
         label = detect_provider(raw, provider)
         try:
             norm = normalize(raw, label)
         except Exception as exc:  # noqa: BLE001 - plan-time error in the mapping
             raise ValueError(f"Normalization failed: {exc}") from exc
-        ri_input = raw if label == "AWS" else None
+        if label == "AWS":
+            plain = underscore_names(raw)
+            raw_columns, commitments = set(plain.columns), E.commitment_totals(plain)
     ft = build_features(norm, materialize=materialize)
-    frames, skipped = run_detectors(ft, ri_input, top_untagged)
+    if materialize and commitments is not None:
+        commitments = materialise(commitments, "commitments", ft.paths)
+    frames, skipped = run_detectors(ft, commitments, raw_columns, top_untagged)
     for name in skipped:
         log.warning("detector %s has no input columns; it finds nothing", name)
     leaks = Fs.dedupe_leaks(Fs.union_leaks(frames))
     scored = Fs.score_leaks(leaks, ft.services, ft.resources)
     primary = Fs.select_primary(scored)
-    if materialize:
-        # small (one row per resource with a finding) and read by every report output:
-        # computed once by the first action, then served from memory / local disk
-        primary = primary.persist(StorageLevel.MEMORY_AND_DISK)
+    if materialize:  # one row per resource with a finding, read by every report
+        primary = materialise(primary, "primary", ft.paths)
     forecasts = D.forecast_30d(ft.daily) if forecast else None
+    normalized = ft.slots.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("normalized_records"))
+    if commitments is not None:
+        total = commitments.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total_records"))
+    elif already_normalized:  # every row is one of the slots
+        total = normalized.withColumnRenamed("normalized_records", "total_records")
+    else:
+        total = raw.agg(F.count(F.lit(1)).alias("total_records"))
     return Analysis(
         provider=label, features=ft, leaks=leaks, scored=scored, primary=primary,
         summary=Fs.summary(primary), forecasts=forecasts,
-        stats=Fs.pipeline_stats(raw, norm, forecasts, label), skipped=skipped,
+        stats=Fs.pipeline_stats(total, normalized, forecasts, label), skipped=skipped,
     )
