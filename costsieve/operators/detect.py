@@ -3,9 +3,9 @@
 Two forms:
 * one-table helpers that look at ``df.columns`` (schema metadata on the driver, never
   rows) — used by the pipeline;
-* landing-zone operators over a *header table* (one row per (file, column)), which join
-  a broadcast signal table and aggregate per file, so thousands of exports are classified
-  in one Spark job.
+* landing-zone operators over a *header table* (one row per (source, position, column); a
+  source is a file), which join a broadcast signal table and aggregate per file, and
+  roll-ups of the files to exports. Files of one export that don't agree make it ``mixed``.
 """
 
 from __future__ import annotations
@@ -99,30 +99,6 @@ def validate_cur_columns(columns: list[str], required: bool = False) -> tuple[bo
 
 
 # ================================================================ landing-zone operators
-def header_table_from_frames(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
-    """(source, position, column) rows from the schemas of already-opened frames."""
-    rows = [(name, i, c) for name, df in frames.items() for i, c in enumerate(df.columns)]
-    return spark.createDataFrame(rows, "source string, position int, column string")
-
-
-def csv_header_table(spark: SparkSession, path: str) -> DataFrame:
-    """(source, position, column) for every CSV file under ``path``, read by Spark.
-
-    The header is the first line of each file: the row with the smallest
-    ``monotonically_increasing_id`` among the rows read from the file's first split
-    (block start 0). Works for any number of files; no file is opened on the driver.
-    """
-    lines = spark.read.text(path).select(
-        F.input_file_name().alias("source"), F.input_file_block_start().alias("_block"),
-        F.monotonically_increasing_id().alias("_id"), F.col("value"),
-    ).where(F.col("_block") == 0)
-    first = lines.groupBy("source").agg(F.min_by("value", "_id").alias("header"))
-    # simple CSV header split: commas outside double quotes, quotes stripped
-    cols = F.split(F.col("header"), ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return first.select("source", F.posexplode(cols).alias("position", "raw")).select(
-        "source", "position", F.regexp_replace(F.trim("raw"), '^"|"$', "").alias("column"))
-
-
 def _signal_table(spark: SparkSession, table: dict[str, list[str]], kind: str) -> DataFrame:
     rows = [(kind, p, s) for p, sig in table.items() for s in sig]
     return spark.createDataFrame(rows, "kind string, provider string, signal string")
@@ -195,3 +171,31 @@ def cur_column_map_files(headers: DataFrame) -> DataFrame:
     a = h.join(F.broadcast(alias), "raw_column", "inner")
     a = a.join(d.select("source", "standard_name"), ["source", "standard_name"], "left_anti")
     return d.unionByName(a).select("source", "raw_column", "standard_name")
+
+
+# ================================================================ files -> exports
+def provider_by_export(files: DataFrame, export) -> DataFrame:
+    """Providers found in an export's files; the one provider if all files agree."""
+    found = F.array_sort(F.collect_set("provider"))  # three values at most
+    g = files.groupBy(export.alias("source")).agg(
+        *[F.bool_or(f"is_{p.lower()}").alias(f"is_{p.lower()}") for p in PROVIDER_ORDER],
+        found.alias("_found"), F.bool_and(F.col("provider").isNotNull()).alias("_all"))
+    return g.select("source", *[f"is_{p.lower()}" for p in PROVIDER_ORDER],
+                    F.when(F.col("_all") & (F.size("_found") == 1), F.col("_found")[0]).alias("provider"),
+                    (F.size("_found") > 1).alias("mixed"))
+
+
+def kind_by_export(files: DataFrame, export) -> DataFrame:
+    """The kinds of an export's files, joined by ``+``."""
+    return files.groupBy(export.alias("source")).agg(F.array_join(F.array_sort(F.collect_set("file_kind")), "+").alias("file_kind"))
+
+
+def validity_by_export(files: DataFrame, export) -> DataFrame:
+    """Rows of all files; an export is valid if each of its files is."""
+    return files.groupBy(export.alias("source")).agg(
+        F.sum("rows").alias("rows"), F.bool_and("has_cost_signal").alias("has_cost_signal"), F.bool_and("is_valid").alias("is_valid"),
+        F.min(F.struct("is_valid", "message"))["message"].alias("message"))
+
+
+def cur_map_by_export(files: DataFrame, export) -> DataFrame:
+    return files.select(export.alias("source"), "raw_column", "standard_name").distinct()

@@ -335,7 +335,7 @@ from costsieve.operators import normalize as N  # noqa: E402
 from costsieve.sources.tables import cur  # noqa: E402
 
 _code_case = "case trim(coalesce(product_servicecode, 'Unknown')) " + " ".join(
-    f"when '{k}' then '{v}'" for k, v in C.SERVICE_CODE_MAPPING.items()) + " end"
+    f"when '{k}' then '{v}'" for k, v in O.SERVICE_CODE_MAPPING.items()) + " end"
 CUR_X = f"""cur_x as (select seq, try_cast(line_item_usage_start_date as date) as date,
     coalesce({_code_case}, coalesce(product_servicecode, 'Unknown')) as service,
     trim(coalesce(line_item_resource_id, '')) as resource_id,
@@ -360,13 +360,12 @@ def _ingested(spark, sf_dir):
 
 @register("normalize_aws", q("""select seq, try_cast(line_item_usage_start_date as date) as date, 'AWS' as provider,
     case when product_servicecode = 'Amazon Elastic Block Store' then 'AmazonEBS' else product_servicecode end as service,
-    """ + O.pr("line_item_unblended_cost", 6) + " as cost, " + O.pr("line_item_usage_amount", 6) + """ as usage,
+    line_item_unblended_cost as cost, line_item_usage_amount as usage,
     line_item_resource_id as resource_id, product_region as region
     from cur where line_item_line_item_type is distinct from 'Tax'""", [O.CUR_CTE]))
 def normalize_aws_q(spark, sf_dir):
     n = N.normalize_aws(cur(spark, sf_dir))
-    return n.select("seq", "date", "provider", "service", r6("cost").alias("cost"), r6("usage").alias("usage"),
-                    "resource_id", "region")
+    return n.select("seq", "date", "provider", "service", "cost", "usage", "resource_id", "region")
 
 
 @register("tax_filter", q("""select line_item_line_item_type, count(*) as rows,
@@ -436,12 +435,11 @@ def enforce_schema_q(spark, sf_dir):
         F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-@register("cur_extract", q("""select seq, date, service, resource_id, usage_type, """ + O.pr("usage", 6) + """ as usage,
-    """ + O.pr("cost", 6) + """ as cost, region, item_type from cur_x""", CUR_BASE))
+@register("cur_extract", q("""select seq, date, service, resource_id, usage_type, usage, cost, region, item_type
+    from cur_x""", CUR_BASE))
 def cur_extract_q(spark, sf_dir):
     x = C.cur_extract(cur(spark, sf_dir))
-    return x.select("seq", "date", "service", "resource_id", "usage_type", r6("usage").alias("usage"),
-                    r6("cost").alias("cost"), "region", "item_type")
+    return x.select("seq", "date", "service", "resource_id", "usage_type", "usage", "cost", "region", "item_type")
 
 
 @register("cur_aggregate", q("select * from cur_agg", CUR_BASE))
@@ -526,15 +524,15 @@ def daily_total_q(spark, sf_dir):
     return I.daily_total(_ingested(spark, sf_dir)).withColumn("cost", r6("cost"))
 
 
-PIVOT_SERVICES = ["EC2", "Lambda", "RDS", "S3"]
+PIVOT_SERVICES = ["EC2", "Lambda", "RDS", "S3"]  # the services that the tables hold; the query itself finds them
 
 
 @register("daily_service_pivot", q("select date, " + ", ".join(
     f"{O.pr(f'coalesce(sum(case when service = {chr(39)}{s}{chr(39)} then cost end), 0.0)', 6)} as \"{s}\""
     for s in PIVOT_SERVICES) + " from cur_agg group by date", CUR_BASE))
 def daily_service_pivot_q(spark, sf_dir):
-    p = I.daily_service_pivot(_ingested(spark, sf_dir), PIVOT_SERVICES)
-    return p.select("date", *[r6(F.col(f"`{s}`")).alias(s) for s in PIVOT_SERVICES])
+    p = I.daily_service_pivot(_ingested(spark, sf_dir))
+    return p.select("date", *[r6(F.col(f"`{s}`")).alias(s) for s in p.columns if s != "date"])
 
 
 @register("service_usage_types", q("select usage_type, " + O.pr("sum(cost)", 6) + """ as cost from cur_agg
@@ -632,18 +630,14 @@ def filter_severity_q(spark, sf_dir):
     return H.filter_severity(_analysis(spark, sf_dir).primary, "HIGH").select(*SCORED_OUT)
 
 
-_RATES_SQL = "rates as (select * from (values " + ", ".join(
-    f"('{k}', {v!r}::double)" for k, v in S.CURRENCY_RATES.items()) + ") t(currency, rate))"
-
-
-@register("convert_currency", q(f"""select leak_type, provider, service, resource_id, currency, rate,
-    {O.pr('estimated_monthly_waste * rate', 6)} as estimated_monthly_waste,
-    {O.pr('estimated_annual_waste * rate', 6)} as estimated_annual_waste
-    from primary_order, rates""", BASE + [_RATES_SQL]))
+@register("convert_currency", q(f"""select leak_type, provider, service, resource_id, 'EUR' as currency, 0.92e0 as rate,
+    {O.pr('estimated_monthly_waste * 0.92e0', 6)} as estimated_monthly_waste,
+    {O.pr('estimated_annual_waste * 0.92e0', 6)} as estimated_annual_waste
+    from primary_order"""))
 def convert_currency_q(spark, sf_dir):
     p = _analysis(spark, sf_dir).primary.select(
         "leak_type", "provider", "service", "resource_id", "estimated_monthly_waste", "estimated_annual_waste")
-    c = H.convert_currency(p, H.currency_rates(spark), ["estimated_monthly_waste", "estimated_annual_waste"])
+    c = H.convert_currency(p, "EUR", ["estimated_monthly_waste", "estimated_annual_waste"])
     return c.select("leak_type", "provider", "service", "resource_id", "currency", "rate",
                     r6("estimated_monthly_waste").alias("estimated_monthly_waste"),
                     r6("estimated_annual_waste").alias("estimated_annual_waste"))
@@ -768,23 +762,38 @@ def flatten_azure_api_q(spark, sf_dir):
 
 
 # ================================================================== C7-C10: Azure / GCP exports read from CSV
-def _landing_export(spark, sf_dir, name):
-    return L.read_csv_export(spark, f"{L.write_landing_zone(spark, sf_dir)}/{name}")
+def _landing_export(spark, sf_dir, layout):
+    return L.read_csv_export(spark, L.write_export(layout(billing(spark, sf_dir)), layout.__name__))
 
 
 NORM_OUT = ["date", "provider", "service", "resource_id", "region"]
 
 
-@register("normalize_azure", q(f"""select date, 'AZURE' as provider, service, resource_id, region,
-    {O.pr('cost', 6)} as cost, {O.pr('usage', 6)} as usage,
+AZURE_SQL = q("""select date, 'AZURE' as provider, service, resource_id, region, cost, usage,
     case when labels_owner is not null and region = 'r0' then 'apollo' end as labels_project,
     labels_owner,
     case when labels_owner is not null then case when cost > 20 then 'prod' else 'dev' end end as labels_environment
-    from billing where provider = 'AZURE'""", [O.BILLING_CTE]))
+    from billing where provider = 'AZURE'""", [O.BILLING_CTE])
+
+
+@register("normalize_azure", AZURE_SQL)
 def normalize_azure_q(spark, sf_dir):
-    n = N.normalize(_landing_export(spark, sf_dir, "azure_export"), "AZURE")
-    return n.select(*NORM_OUT, r6("cost").alias("cost"), r6("usage").alias("usage"),
-                    "labels_project", "labels_owner", "labels_environment")
+    return _normalized_azure(spark, sf_dir, L.azure_export)
+
+
+def _normalized_azure(spark, sf_dir, layout):
+    n = N.normalize(_landing_export(spark, sf_dir, layout), "AZURE")
+    return n.select(*NORM_OUT, "cost", "usage", "labels_project", "labels_owner", "labels_environment")
+
+
+@register("normalize_azure_ea", AZURE_SQL)
+def normalize_azure_ea_q(spark, sf_dir):
+    return _normalized_azure(spark, sf_dir, L.azure_ea_export)
+
+
+@register("normalize_azure_mca", AZURE_SQL)
+def normalize_azure_mca_q(spark, sf_dir):
+    return _normalized_azure(spark, sf_dir, L.azure_mca_export)
 
 
 @register("azure_tags", q("""select labels_owner, labels_environment, labels_project, count(*) as rows from (
@@ -793,67 +802,137 @@ def normalize_azure_q(spark, sf_dir):
       case when labels_owner is not null and region = 'r0' then 'apollo' end as labels_project
     from billing where provider = 'AZURE') group by all""", [O.BILLING_CTE]))
 def azure_tags_q(spark, sf_dir):
-    x = _landing_export(spark, sf_dir, "azure_export")
+    x = _landing_export(spark, sf_dir, L.azure_export)
     tags = x.select(*N.azure_tags(N.pick(x, N.AZURE_CANDIDATES["tags"])))
     return tags.groupBy("labels_owner", "labels_environment", "labels_project").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("normalize_gcp", q(f"""select date, 'GCP' as provider, service,
-    case when seq % 10 <> 0 then resource_id else 'unknown' end as resource_id, region,
-    {O.pr('cost', 6)} as cost, {O.pr('usage', 6)} as usage,
+@register("normalize_gcp", q("""select date, 'GCP' as provider, service,
+    case when seq % 10 <> 0 then resource_id else 'unknown' end as resource_id, region, cost, usage,
     case when labels_owner is not null then 'prod' end as labels_environment
     from billing where provider = 'GCP'""", [O.BILLING_CTE]))
 def normalize_gcp_q(spark, sf_dir):
-    n = N.normalize(_landing_export(spark, sf_dir, "gcp_export"), "GCP")
-    return n.select(*NORM_OUT, r6("cost").alias("cost"), r6("usage").alias("usage"), "labels_environment")
+    n = N.normalize(_landing_export(spark, sf_dir, L.gcp_export), "GCP")
+    return n.select(*NORM_OUT, "cost", "usage", "labels_environment")
 
 
 # ================================================================== B: landing-zone detection
-def _headers(spark, sf_dir):
-    return L.landing_headers(spark, L.write_landing_zone(spark, sf_dir))
+# Every file of the zone is classified; an account's answer follows from its rows.
+ACCOUNT_CTE = """acct as (select *, least(cast(regexp_extract(resource_id, '([0-9]+)$', 1) as int), 24) as account from billing)"""
+OTHER_ACCOUNTS = """(select distinct cast(o_orderkey % 5 + 100 as varchar) as source, 'INVOICE' as file_kind from orders
+    union all select distinct cast(n_regionkey + 200 as varchar), 'UNKNOWN' from nation)"""
 
 
-_EXPORTS = ["aws_cur", "aws_cur_slash", "azure_export", "gcp_export", "invoice", "nation"]
+def _headers(spark, root):
+    files = L.file_headers(spark, f"{root}/*/*.csv")
+    return files.select(F.col("file").alias("source"), "position", "column")
 
 
-@register("detect_provider", q("""select * from (values
-    ('aws_cur', true, false, false, 'AWS'), ('aws_cur_slash', true, false, false, 'AWS'),
-    ('azure_export', false, true, false, 'AZURE'), ('gcp_export', false, false, true, 'GCP'),
-    ('invoice', false, false, false, null), ('nation', false, false, false, null))
-    t(source, is_aws, is_azure, is_gcp, provider)""", []))
+@register("detect_provider", q(f"""select cast(account as varchar) as source, bool_or(provider = 'AWS') as is_aws,
+      bool_or(provider = 'AZURE') as is_azure, bool_or(provider = 'GCP') as is_gcp,
+      case when count(distinct provider) = 1 then min(provider) end as provider, count(distinct provider) > 1 as mixed
+    from acct group by account
+    union all select source, false, false, false, null, false from {OTHER_ACCOUNTS}""", [O.BILLING_CTE, ACCOUNT_CTE]))
 def detect_provider_q(spark, sf_dir):
-    return B.detect_provider_files(_headers(spark, sf_dir))
+    files = B.detect_provider_files(_headers(spark, L.write_accounts(spark, sf_dir)))
+    return B.provider_by_export(files, L.export_name(F.col("source")))
 
 
-@register("detect_file_kind", q("""select * from (values ('aws_cur', 'COST_USAGE'), ('aws_cur_slash', 'UNKNOWN'),
-    ('azure_export', 'COST_USAGE'), ('gcp_export', 'COST_USAGE'), ('invoice', 'INVOICE'), ('nation', 'UNKNOWN'))
-    t(source, file_kind)""", []))
+@register("detect_file_kind", q(f"""select cast(account as varchar) as source, string_agg(distinct kind, '+' order by kind) as file_kind
+    from (select account, case when provider = 'AWS' and account % 2 = 1 then 'UNKNOWN' else 'COST_USAGE' end as kind from acct)
+    group by account union all select source, file_kind from {OTHER_ACCOUNTS}""", [O.BILLING_CTE, ACCOUNT_CTE]))
 def detect_file_kind_q(spark, sf_dir):
-    return B.detect_file_kind(_headers(spark, sf_dir))
-
-
-@register("validate_billing", q("""select source, rows, has_cost_signal, rows > 0 and has_cost_signal as is_valid,
-    case when rows <= 0 then 'CSV file is empty' when not has_cost_signal then 'CSV does not contain cost or usage data'
-         else 'CSV is valid for analysis' end as message from (
-    select 'aws_cur' as source, (select count(*) from lineitem) as rows, true as has_cost_signal
-    union all select 'aws_cur_slash', (select count(*) from lineitem), true
-    union all select 'azure_export', (select count(*) from billing where provider = 'AZURE'), true
-    union all select 'gcp_export', (select count(*) from billing where provider = 'GCP'), true
-    union all select 'invoice', (select count(*) from orders), true
-    union all select 'nation', (select count(*) from nation), false)""", [O.BILLING_CTE]))
+    files = B.detect_file_kind(_headers(spark, L.write_accounts(spark, sf_dir)))
+    return B.kind_by_export(files, L.export_name(F.col("source")))
+
+
+@register("validate_billing", q("""select source, cast(rows as bigint) as rows, has_cost_signal, has_cost_signal as is_valid,
+    case when has_cost_signal then 'CSV is valid for analysis' else 'CSV does not contain cost or usage data' end as message from (
+    select cast(account as varchar) as source, count(*) as rows, true as has_cost_signal from acct group by account
+    union all select cast(o_orderkey % 5 + 100 as varchar), count(*), true from orders group by 1
+    union all select cast(n_regionkey + 200 as varchar), count(*), false from nation group by 1)""", [O.BILLING_CTE, ACCOUNT_CTE]))
 def validate_billing_q(spark, sf_dir):
-    root = L.write_landing_zone(spark, sf_dir)
-    return B.validate_billing_files(L.landing_headers(spark, root), L.landing_row_counts(spark, root))
+    root = L.write_accounts(spark, sf_dir)
+    rows = L.file_row_counts(spark, f"{root}/*/*.csv").withColumnRenamed("file", "source")
+    return B.validity_by_export(B.validate_billing_files(_headers(spark, root), rows), L.export_name(F.col("source")))
 
 
-@register("cur_column_map", q("select * from (values " + ", ".join(
-    f"('aws_cur', '{raw}', '{std}')" for raw, std in B.CUR_COLUMNS.items()
-    if raw in {"line_item_usage_start_date", "product_servicecode", "line_item_resource_id", "line_item_usage_type",
-               "line_item_usage_amount", "line_item_unblended_cost", "product_region", "line_item_line_item_type"})
-    + ", ('aws_cur', 'pricing_currency', 'currency'), ('aws_cur_slash', 'line_item_usage_type', 'usage_type'))"
-    " t(source, raw_column, standard_name)", []))
+@register("cur_column_map", q("""select distinct cast(account as varchar) as source, raw_column, standard_name
+    from acct join (values (0, 'line_item_usage_start_date', 'date'), (0, 'product_servicecode', 'service'),
+      (0, 'line_item_resource_id', 'resource_id'), (0, 'line_item_usage_type', 'usage_type'), (0, 'line_item_usage_amount', 'usage'),
+      (0, 'line_item_unblended_cost', 'cost'), (0, 'product_region', 'region'), (0, 'line_item_line_item_type', 'item_type'),
+      (0, 'pricing_currency', 'currency'), (1, 'line_item_usage_type', 'usage_type'), (1, 'pricing_currency', 'currency'))
+      t(odd, raw_column, standard_name) on account % 2 = odd where provider = 'AWS'""", [O.BILLING_CTE, ACCOUNT_CTE]))
 def cur_column_map_q(spark, sf_dir):
-    return B.cur_column_map_files(_headers(spark, sf_dir))
+    files = B.cur_column_map_files(_headers(spark, L.write_accounts(spark, sf_dir)))
+    return B.cur_map_by_export(files, L.export_name(F.col("source")))
+
+
+# ================================================================== C: dirty CSV export
+DIRTY_TAIL = "T23:30:00-05:00"
+
+
+def _dirty_export(c: DataFrame) -> DataFrame:
+    """CUR rows as a careless export has them: seven date layouts by line number, null tokens, bad
+    numbers, an owner column with a dot in its name."""
+    d, line = F.to_date("line_item_usage_start_date"), F.regexp_extract("line_item_usage_type", r"(\d+)$", 1)
+    date = (F.when(line == "1", F.date_format(d, "yyyy-MM-dd")).when(line == "2", F.date_format(d, "M/d/yyyy"))
+            .when(line == "3", F.date_format(d, "d-MMM-yyyy")).when(line == "4", F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(DIRTY_TAIL)))
+            .when(line == "5", F.date_format(d, "yyyyMMdd")).when(line == "6", F.date_format(d, "yyyyMM")).otherwise(F.lit("NA")))
+    return c.select(
+        "seq", date.alias("lineItem/UsageStartDate"), F.col("product_servicecode").alias("product/servicecode"),
+        F.when(F.col("product_region") == "r1", F.lit("NA")).when(F.col("product_region") == "r2", F.lit("null"))
+        .otherwise(F.col("line_item_resource_id")).alias("lineItem/ResourceId"),
+        F.when(F.col("product_region") == "r3", F.lit("None")).otherwise(F.col("line_item_usage_amount").cast("string")).alias("lineItem/UsageAmount"),
+        F.when(F.col("product_region") == "r4", F.concat(F.lit(" "), F.col("line_item_unblended_cost").cast("string")))
+        .otherwise(F.col("line_item_unblended_cost").cast("string")).alias("lineItem/UnblendedCost"),
+        F.col("line_item_line_item_type").alias("lineItem/LineItemType"),
+        F.when(line == "1", F.lit("N/A")).otherwise(F.concat(F.lit("team-"), line)).alias("labels.owner"))
+
+
+@register("normalize_dirty", q("""select seq, strptime(line_item_usage_start_date, '%Y-%m-%d')::date as date, product_servicecode as service,
+      case when product_region in ('r1', 'r2') then null else line_item_resource_id end as resource_id,
+      case when product_region <> 'r3' then line_item_usage_amount end as usage, line_item_unblended_cost as cost,
+      case when line_item_usage_type <> 'BoxUsage-1' then 'team-' || right(line_item_usage_type, 1) end as owner
+    from cur where right(line_item_usage_type, 1) in ('1', '2', '3', '4', '5') and line_item_line_item_type is distinct from 'Tax'""",
+                               [O.CUR_CTE]))
+def normalize_dirty_q(spark, sf_dir):
+    path = L.write_export(_dirty_export(cur(spark, sf_dir)), "dirty.csv")
+    n = N.normalize(L.load_export(spark, path), "AWS")
+    return n.select(F.col("seq").cast("long").alias("seq"), "date", "service", "resource_id", "usage", "cost", F.col("`labels.owner`").alias("owner"))
+
+
+@register("commitments_slash", q("select leak_type, reason, exact_waste from ri_sp union all select leak_type, reason, exact_waste from ri_un",
+                                 [O.CUR_CTE] + O.RI_LEAK_CTES))
+def commitments_slash_q(spark, sf_dir):
+    """E9 and E10 over the slash layout, from one pass over the rows."""
+    from costsieve.plans.pipeline import underscore_names
+
+    totals = E.commitment_totals(underscore_names(L.cur_slash_export(cur(spark, sf_dir))))
+    both = E.savings_plan_leak(totals).select("leak_type", "reason", "exact_waste")
+    return both.unionByName(E.unused_reservation_leak(totals).select("leak_type", "reason", "exact_waste"))
+
+
+@register("cost_projection", q("""select date, service, cost, usage, resource_id, region, 'AWS' as provider from cur_agg""", CUR_BASE))
+def cost_projection_q(spark, sf_dir):
+    return I.pipeline_projection(_ingested(spark, sf_dir))
+
+
+@register("json_report", q(f"""select 'summary' as section, null::varchar as leak_type, null::varchar as service, null::varchar as resource_id,
+      count(*)::double as value, null::varchar as status from tagged
+    union all select 'leaks', leak_type, service, resource_id, estimated_monthly_waste, status from tagged""", DELTA_CTES))
+def json_report_q(spark, sf_dir):
+    """A5: the report written as JSON and read back."""
+    tagged = _tagged(spark, sf_dir).drop("rank_key", "first_key")
+    summary, path = H.report_summary(tagged), scratch_path(spark, "report")
+    H.write_json_report(path, summary, tagged, None, summary)
+    back = H.read_json_report(spark, path, {"summary": summary.schema, "leaks": tagged.schema})
+    none = F.lit(None).cast("string")
+    return back["summary"].select(
+        F.lit("summary").alias("section"), none.alias("leak_type"), none.alias("service"), none.alias("resource_id"),
+        F.col("total_leaks").cast("double").alias("value"), none.alias("status")).unionByName(
+        back["leaks"].select(F.lit("leaks").alias("section"), "leak_type", "service", "resource_id",
+                             F.col("estimated_monthly_waste").alias("value"), "status"))
 
 
 # ================================================================== end to end over a raw AWS CUR export

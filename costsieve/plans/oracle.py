@@ -7,17 +7,92 @@ the billing views of FIXTURES.md are inlined as CTEs.
 
 from __future__ import annotations
 
-from costsieve import schema as S
-from costsieve.functions.categories import (
-    BLOCK_STORAGE_KEYWORDS,
-    COMPUTE_KEYWORDS,
-    COMPUTE_SERVICES,
-    DATABASE_SERVICES,
-    SERVERLESS_SERVICES,
-    SNAPSHOT_KEYWORDS,
-    STORAGE_SERVICES,
-    STORAGE_KEYWORDS,
-)
+# ---- fixed values, stated here once more so that a slip in the library can't hide ----
+COMPUTE_SERVICES = ["ec2", "virtual machines", "compute engine"]
+STORAGE_SERVICES = ["s3", "storage", "cloud storage"]
+SERVERLESS_SERVICES = ["lambda", "functions", "cloud functions"]
+DATABASE_SERVICES = ["rds", "sql", "cosmos", "cloud sql"]
+COMPUTE_KEYWORDS = {
+    "aws": ["ec2"],
+    "azure": ["virtual machines"],
+    "gcp": ["compute engine"],
+}
+STORAGE_KEYWORDS = {
+    "aws": ["ebs", "s3"],
+    "azure": ["disk", "storage"],
+    "gcp": ["persistent disk", "cloud storage"],
+}
+SNAPSHOT_KEYWORDS = {
+    "aws": ["snapshot"],
+    "azure": ["snapshot", "backup"],
+    "gcp": ["snapshot"],
+}
+BLOCK_STORAGE_KEYWORDS = {
+    "aws": ["ebs", "volume"],
+    "azure": ["disk"],
+    "gcp": ["persistent disk"],
+}
+LEAK_TYPE_WEIGHTS = {
+    "RI_SAVINGS_PLAN_WASTE": 50,
+    "RI_UNUSED_RESERVATION": 50,
+    "ZOMBIE_RESOURCE": 60,
+    "RUNAWAY_COST": 55,
+    "ALWAYS_ON_HIGH_COST": 35,
+    "IDLE_DATABASE": 30,
+    "ORPHANED_STORAGE": 25,
+    "IDLE_RESOURCE": 20,
+    "SNAPSHOT_SPRAWL": 15,
+    "UNTAGGED_RESOURCE": 10,
+}
+REASON_BONUSES = [
+    (["grew", "increase", "spike", "stddevs above"], 10),
+    (["30 days", "60 days", "90 days", "long-running"], 10),
+    (["storage", "snapshot", "backup", "egress"], 5),
+    (["no ownership", "untagged"], 5),
+]
+WASTE_MULTIPLIERS = {
+    "ZOMBIE_RESOURCE": 1.0,
+    "IDLE_RESOURCE": 1.0,
+    "IDLE_DATABASE": 1.0,
+    "ALWAYS_ON_HIGH_COST": 1.0,
+    "RUNAWAY_COST": 0.3,
+    "ORPHANED_STORAGE": 0.5,
+    "SNAPSHOT_SPRAWL": 0.3,
+    "UNTAGGED_RESOURCE": 0.2,
+}
+LEAK_PRIORITY = {
+    "RI_SAVINGS_PLAN_WASTE": 120,
+    "RI_UNUSED_RESERVATION": 120,
+    "RUNAWAY_COST": 100,
+    "ALWAYS_ON_HIGH_COST": 90,
+    "ZOMBIE_RESOURCE": 80,
+    "IDLE_DATABASE": 70,
+    "IDLE_RESOURCE": 60,
+    "ORPHANED_STORAGE": 50,
+    "SNAPSHOT_SPRAWL": 40,
+    "UNTAGGED_RESOURCE": 30,
+}
+SEVERITY_ACTIONS = {
+    "HIGH": "Immediate investigation and remediation required",
+    "MEDIUM": "Review and schedule remediation within this sprint",
+    "LOW": "Monitor — clean up when convenient",
+}
+SERVICE_CODE_MAPPING = {
+    "AmazonEC2": "EC2",
+    "AmazonRDS": "RDS",
+    "AmazonS3": "S3",
+    "AWSLambda": "Lambda",
+    "AmazonDynamoDB": "DynamoDB",
+    "AmazonElastiCache": "ElastiCache",
+    "AmazonESG": "Elasticsearch",
+    "AmazonCloudFront": "CloudFront",
+    "AmazonSNS": "SNS",
+    "AmazonSQS": "SQS",
+    "AWSKms": "KMS",
+    "AmazonVPC": "VPC",
+    "AWSCloudTrail": "CloudTrail",
+}
+# ---- end of fixed values ----
 
 BILLING_CTE = """billing as (
   with e as (select event_id, cast(ts as date) as date, user_id, value, event_type,
@@ -122,7 +197,7 @@ def _case_map(col: str, mapping: dict, default) -> str:
 
 
 # ---------------------------------------------------------------- pipeline CTE chain
-def pipeline_ctes(source: str = "billing", where: str | None = None, top_n: int = S.UNTAGGED_TOP_N,
+def pipeline_ctes(source: str = "billing", where: str | None = None, top_n: int = 20,
                   prefix: str = "", extra_leaks: list[str] | None = None) -> list[str]:
     """CTEs computing features, detectors, scored and primary leaks over ``source``.
 
@@ -272,13 +347,13 @@ def pipeline_ctes(source: str = "billing", where: str | None = None, top_n: int
 
 
 def scoring_ctes(p: str = "") -> list[str]:
-    weights = _case_map("leak_type", S.LEAK_TYPE_WEIGHTS, 0)
+    weights = _case_map("leak_type", LEAK_TYPE_WEIGHTS, 0)
     bonus = " + ".join(
         f"(case when {_any('lower(coalesce(reason, ' + chr(39) * 2 + '))', words)} then {pts} else 0 end)"
-        for words, pts in S.REASON_BONUSES)
-    mult = _case_map("leak_type", S.WASTE_MULTIPLIERS, S.DEFAULT_WASTE_MULTIPLIER)
-    prio = _case_map("leak_type", S.LEAK_PRIORITY, 0)
-    ri = ", ".join(f"'{t}'" for t in S.RI_TYPES)
+        for words, pts in REASON_BONUSES)
+    mult = _case_map("leak_type", WASTE_MULTIPLIERS, 0.2)
+    prio = _case_map("leak_type", LEAK_PRIORITY, 0)
+    ri = "'RI_SAVINGS_PLAN_WASTE', 'RI_UNUSED_RESERVATION'"
     return [
         f"""{p}dedup as (select * exclude (rn) from (select *, row_number() over (
               partition by leak_type, provider, service, resource_id
@@ -300,9 +375,9 @@ def scoring_ctes(p: str = "") -> list[str]:
             from {p}scored0)""",
         f"""{p}scored as (select *,
               case when severity_score >= 65 then 'HIGH' when severity_score >= 35 then 'MEDIUM' else 'LOW' end as severity,
-              case when severity_score >= 65 then '{S.SEVERITY_ACTIONS['HIGH']}'
-                   when severity_score >= 35 then '{S.SEVERITY_ACTIONS['MEDIUM']}'
-                   else '{S.SEVERITY_ACTIONS['LOW']}' end as recommended_action,
+              case when severity_score >= 65 then '{SEVERITY_ACTIONS['HIGH']}'
+                   when severity_score >= 35 then '{SEVERITY_ACTIONS['MEDIUM']}'
+                   else '{SEVERITY_ACTIONS['LOW']}' end as recommended_action,
               {money('estimated_monthly_waste * 12')} as estimated_annual_waste,
               case when resource_id is not null and resource_id <> '' then resource_id
                    else coalesce(provider, 'None') || ':' || coalesce(service, 'None') end as primary_key

@@ -1,27 +1,55 @@
 """Provider exports as files, and the landing-zone scans that classify them.
 
-``write_landing_zone`` writes CSV exports shaped like each provider's billing export
-(derived from the driver tables) into a folder under the shared checkpoint folder;
-``landing_headers`` lists the files (metadata only) and reads one header line per export;
-``landing_row_counts`` counts the data lines of every file in one Spark scan.
+``write_export`` writes one provider-shaped CSV export, ``write_accounts`` a landing zone with a
+folder for each billing account; which layouts an account's files have follows from its rows.
+``file_headers`` gives the header of every file: one task for each split, which stops after the
+first lines of its file. ``file_row_counts`` counts the CSV reader's rows of every file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import os
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costsieve.operators.normalize import SLASH_TO_UNDERSCORE
-from costsieve.session import scratch_path
+from costsieve.session import materialise, scratch_path
 from costsieve.sources.tables import billing, cur, read_table
 
-_ZONES: dict[tuple[str, str], str] = {}
+# ---- fixed values: texts that a CSV reader takes for a missing value ----
+NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+               "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+# ---- end of fixed values ----
+
+CSV_SUFFIXES, PARQUET_SUFFIXES = (".csv",), (".parquet", ".pqt")
 
 
 def read_csv_export(spark: SparkSession, path: str) -> DataFrame:
     """A1: CSV with header, every column read as text (types are applied by ``try_cast``
-    in the normalizers), quotes escaped by doubling."""
-    return spark.read.option("header", True).option("escape", '"').option("inferSchema", False).csv(path)
+    in the normalizers), quotes escaped by doubling, null tokens as nulls."""
+    raw = spark.read.option("header", True).option("escape", '"').option("inferSchema", False).csv(path)
+    return raw.select(*[F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+
+
+def load_export(spark: SparkSession, path: str) -> DataFrame:
+    """A2/A4: a CSV or Parquet export, chosen by suffix; a missing file, another suffix and an
+    export without rows are errors."""
+    suffix = os.path.splitext(path.rstrip("/"))[1].lower()
+    if suffix not in CSV_SUFFIXES + PARQUET_SUFFIXES:
+        raise ValueError(f"unsupported file type {suffix or path!r}: use .csv, .parquet or .pqt")
+    try:
+        df = read_csv_export(spark, path) if suffix in CSV_SUFFIXES else spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(path) from e
+        raise
+    if df.isEmpty():
+        raise ValueError(f"no rows in {path}")
+    return df
 
 
 def azure_export(b: DataFrame) -> DataFrame:
@@ -41,6 +69,24 @@ def azure_export(b: DataFrame) -> DataFrame:
     )
 
 
+def azure_ea_export(b: DataFrame) -> DataFrame:
+    """Enterprise Agreement layout: other names, dates as month/day/year."""
+    az = azure_export(b)
+    return az.select(
+        "RecordId", F.date_format(F.to_date("UsageDate"), "MM/dd/yyyy").alias("Date"), F.col("ServiceName").alias("MeterCategory"),
+        F.col("CostInUSD").alias("CostInBillingCurrency"), "Quantity", F.col("ResourceId").alias("InstanceId"),
+        "ResourceLocation", "Tags", "SubscriptionId")
+
+
+def azure_mca_export(b: DataFrame) -> DataFrame:
+    """Microsoft Customer Agreement layout: names in lower camel case."""
+    az = azure_export(b)
+    return az.select(
+        "RecordId", F.col("UsageDate").alias("date"), F.col("ServiceName").alias("serviceFamily"), F.col("CostInUSD").alias("costInUSD"),
+        F.col("Quantity").alias("quantity"), F.col("ResourceId").alias("resourceId"), F.col("ResourceLocation").alias("resourceLocation"),
+        F.col("Tags").alias("tags"), F.col("SubscriptionId").alias("SubscriptionId"))
+
+
 def gcp_export(b: DataFrame) -> DataFrame:
     """GCP billing export (flattened) layout of the GCP billing rows; every tenth row has
     no resource name."""
@@ -79,60 +125,90 @@ def invoice_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    b, c = billing(spark, sf_dir), cur(spark, sf_dir)
-    return {
-        "aws_cur": cur_export(c),
-        "aws_cur_slash": cur_slash_export(c),
-        "azure_export": azure_export(b),
-        "gcp_export": gcp_export(b),
-        "invoice": invoice_export(spark, sf_dir),
-        "nation": read_table(spark, sf_dir, "nation"),
-    }
-
-
-def write_landing_zone(spark: SparkSession, sf_dir: str) -> str:
-    """Write every export as CSV (with header) under one folder; reused per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _ZONES:
-        return _ZONES[key]
+def write_export(df: DataFrame, name: str) -> str:
+    """Write one export as CSV (with header) into a folder of its own."""
+    path = f"{scratch_path(df.sparkSession, 'landing')}/{name}"
+    df.write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+def with_account(b: DataFrame) -> DataFrame:
+    """Billing rows by account: the number at the end of the resource id, 24 and above together
+    (so that account has rows of all providers)."""
+    return b.withColumn("account", F.least(F.regexp_extract("resource_id", r"(\d+)$", 1).cast("int"), F.lit(24)))
+
+
+def cur_from_billing(b: DataFrame) -> DataFrame:
+    aws = b.where(F.col("provider") == "AWS")
+    return aws.select(
+        "account", F.date_format("date", "yyyy-MM-dd").alias("line_item_usage_start_date"), F.col("service").alias("product_servicecode"),
+        F.col("resource_id").alias("line_item_resource_id"), F.lit("BoxUsage").alias("line_item_usage_type"),
+        F.col("usage").alias("line_item_usage_amount"), F.col("cost").alias("line_item_unblended_cost"),
+        F.col("region").alias("product_region"), F.lit("Usage").alias("line_item_line_item_type"), F.lit("USD").alias("pricing_currency"),
+        F.concat(F.lit("Amazon "), F.col("service")).alias("product_product_name"))
+
+
+def write_accounts(spark: SparkSession, sf_dir: str) -> str:
+    """A landing zone ``account=K/part-*.csv``. AWS rows of odd accounts come with slash names;
+    accounts from 100 on hold invoices, from 200 on tables without costs."""
+    b = with_account(billing(spark, sf_dir))
+    aws = cur_from_billing(b)
+    by_provider = {"azure": azure_export, "gcp": gcp_export}
+    odd = F.col("account") % 2 == 1
+    slash = aws.where(odd).withColumnsRenamed({v: k for k, v in SLASH_TO_UNDERSCORE.items() if v in aws.columns})
+    keyed = {name: _keep_account(b, f) for name, f in by_provider.items()}
+    invoices = invoice_export(spark, sf_dir).withColumn("account", (F.col("`Invoice ID`") % 5 + 100).cast("int"))
+    nations = read_table(spark, sf_dir, "nation").withColumn("account", (F.col("n_regionkey") + 200).cast("int"))
     root = scratch_path(spark, "landing")
-    for name, df in exports(spark, sf_dir).items():
-        df.write.option("header", True).option("escape", '"').csv(f"{root}/{name}")
-    _ZONES[key] = root
+    for df in (aws.where(~odd), slash, *keyed.values(), invoices, nations):
+        df.write.option("header", True).option("escape", '"').partitionBy("account").mode("append").csv(root)
     return root
 
 
-def export_name(source) -> "F.Column":
-    """Export folder name of a landing file path."""
-    return F.regexp_extract(source, r"/([^/]+)/[^/]+$", 1)
+def _keep_account(b: DataFrame, export) -> DataFrame:
+    """An export layout of the rows with their account beside it (by the layout's record id)."""
+    out = export(b)
+    record = next(c for c in out.columns if c.lower() in ("recordid", "record_id"))
+    return out.join(b.select(F.col("seq").alias("_seq"), "account"), F.col(record) == F.col("_seq")).drop("_seq")
+
+
+def export_name(file: Column) -> Column:
+    """Export folder of a landing file; of ``key=value`` folders the value."""
+    return F.regexp_extract(file, r"/(?:[^/=]+=)?([^/]+)/[^/]+$", 1)
+
+
+def _first_lines(batches):
+    """The first line of the split, if it starts a file; nothing else of it is read."""
+    for batch in batches:
+        rows = batch.to_pylist()[:1]
+        if rows and rows[0]["block"] == 0:
+            names = next(csv.reader([rows[0]["value"]]), [])
+            yield pa.RecordBatch.from_pylist(
+                [{"file": rows[0]["file"], "position": i, "column": c} for i, c in enumerate(names)],
+                schema=pa.schema([("file", pa.string()), ("position", pa.int32()), ("column", pa.string())]))
+        if rows:
+            return
 
 
-def landing_headers(spark: SparkSession, root: str) -> DataFrame:
-    """(source = export name, position, column) for every export folder of the landing zone.
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, position, column) for every CSV file at ``path``.
 
-    Files are listed from the file index (``inputFiles``: metadata, no scan); each export's
-    header is read from one of its files by the CSV reader, which touches only the first
-    line. Reading headers therefore costs O(exports), not O(bytes).
-    ``operators.detect.csv_header_table`` is the per-file variant (one text scan).
+    Each split of a file is a task of its own (while this table is written, opening a file counts
+    as much as a full partition), and a task ends after its first batch of lines.
     """
-    import re
-
-    files = spark.read.text(f"{root}/*/*.csv").inputFiles()
-    first_file: dict[str, str] = {}
-    for f in sorted(files):
-        m = re.search(r"/([^/]+)/[^/]+$", f)
-        if m:
-            first_file.setdefault(m.group(1), f)
-    rows = []
-    for export, f in sorted(first_file.items()):
-        cols = read_csv_export(spark, f).columns
-        rows += [(export, i, c) for i, c in enumerate(cols)]
-    return spark.createDataFrame(rows, "source string, position int, column string")
-
-
-def landing_row_counts(spark: SparkSession, root: str) -> DataFrame:
-    """(source, rows): data lines per export (lines minus one header line per file)."""
-    lines = spark.read.text(f"{root}/*/*.csv").select(F.input_file_name().alias("file"))
-    per_file = lines.groupBy("file").agg((F.count(F.lit(1)) - 1).alias("rows"))
-    return per_file.groupBy(export_name(F.col("file")).alias("source")).agg(F.sum("rows").alias("rows"))
+    key, most = "spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    before = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        lines = spark.read.text(path).select(
+            "value", F.input_file_name().alias("file"), F.input_file_block_start().alias("block"))
+        return materialise(lines.mapInArrow(_first_lines, "file string, position int, column string"), "headers")
+    finally:
+        spark.conf.set(key, before)
+
+
+def file_row_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rows): rows that the CSV reader finds in each file, quoted line breaks and blank
+    lines included in its rules."""
+    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema("first string").csv(path)
+    return rows.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"))
