@@ -18,6 +18,7 @@ ENRICH_SEVERITIES = ["HIGH", "MEDIUM"]
 ENRICH_MAX = 10
 PROMPT_FIELDS = ["leak_type", "provider", "service", "resource_id", "reason", "severity",
                  "estimated_monthly_waste", "confidence"]
+PROMPT_NUMBERS = ["estimated_monthly_waste"]
 PROMPT_HEAD = (
     "You are a senior AWS FinOps engineer reviewing a cloud cost leak finding.\n\n"
     "Leak details:\n"
@@ -52,9 +53,17 @@ def enrich_candidates(leaks: DataFrame, n: int = ENRICH_MAX, order_col: str = "f
     return leaks.where(F.col("severity").isin(*ENRICH_SEVERITIES)).orderBy(order_col).limit(n)
 
 
-def json_value(c: Column) -> Column:
-    """JSON text of one scalar (strings quoted and escaped, null -> null)."""
-    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+def json_value(c: Column, number: bool = False) -> Column:
+    """JSON text of one scalar as Python's ``json.dumps`` writes it: null for null, numbers
+    without an exponent below 1e16, and characters beyond ASCII as \\u escapes."""
+    if number:
+        plain = F.regexp_replace(F.regexp_replace(F.format_string("%s", c.cast("decimal(38,18)").cast("string")), "0+$", ""), r"\.$", ".0")
+        return F.coalesce(F.when(F.abs(c).between(1e-4, 1e16) | (c == 0), plain).otherwise(F.lower(c.cast("string"))), F.lit("null"))
+    quoted = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    # one UTF-16 unit after the other, as \u and four digits
+    unit = lambda x: F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "(....)", r"\\u$1")
+    escaped = F.array_join(F.transform(F.split(quoted, ""), lambda x: F.when(F.octet_length(x) > 1, unit(x)).otherwise(x)), "")
+    return F.when(c.isNull(), "null").when(F.octet_length(quoted) == F.length(quoted), quoted).otherwise(escaped)
 
 
 def prompt_text() -> Column:
@@ -62,7 +71,7 @@ def prompt_text() -> Column:
     parts = []
     for i, name in enumerate(PROMPT_FIELDS):
         sep = "," if i < len(PROMPT_FIELDS) - 1 else ""
-        parts += [F.lit(f'  "{name}": '), json_value(F.col(name)), F.lit(sep + "\n")]
+        parts += [F.lit(f'  "{name}": '), json_value(F.col(name), name in PROMPT_NUMBERS), F.lit(sep + "\n")]
     body = F.concat(F.lit("{\n"), *parts, F.lit("}"))
     return F.concat(F.lit(PROMPT_HEAD), body, F.lit(PROMPT_TAIL))
 

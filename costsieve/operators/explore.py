@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costsieve.operators.ranking import exact_quantile
-from costsieve.session import reliable_checkpoint
+from costsieve.session import materialise
+
+EXACT_ROWS = 50_000
 
 
 def cost_by_service(df: DataFrame) -> DataFrame:
@@ -23,25 +24,64 @@ def top_resources(df: DataFrame, n: int = 10) -> DataFrame:
 def inefficient_resources(df: DataFrame, q: float = 0.9, n: int = 10) -> DataFrame:
     """Rows whose cost per unit (cost / (usage + 0.001)) is above its exact q-quantile,
     summed per (service, resource_id); the n costliest."""
-    # read twice (quantile, then the filter): materialise once instead of re-running the
-    # ingest; the checkpoint also pins the float values the threshold is compared with
-    per_unit = reliable_checkpoint(df.withColumn("cost_per_unit", F.col("cost") / (F.col("usage") + F.lit(0.001))))
-    threshold = exact_quantile(per_unit, "cost_per_unit", q)  # one row
-    hot = per_unit.crossJoin(F.broadcast(threshold)).where(F.col("cost_per_unit") > F.col("quantile"))
+    # read several times (quantile, then the filter): written once instead of re-running the
+    # ingest, which also pins the float values that the threshold is compared with
+    per_unit = materialise(
+        df.select("service", "resource_id", "cost", (F.col("cost") / (F.col("usage") + F.lit(0.001))).alias("cost_per_unit")), "per-unit")
+    threshold = bracketed_quantile(per_unit, "cost_per_unit", q)
+    hot = per_unit.where(F.col("cost_per_unit") > F.lit(threshold).cast("double"))
     return (hot.groupBy("service", "resource_id").agg(F.sum("cost").alias("cost"))
             .orderBy(F.col("cost").desc(), "service", "resource_id").limit(n))
 
 
+def bracketed_quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """The exact q-quantile with linear interpolation, None without values.
+
+    ``percentile_approx`` gives values on both sides of the wanted ranks; one aggregate counts
+    how many values lie below and inside them, and the bracket is narrowed until it holds few
+    enough values for a top-k. Each round is two aggregates over one column; no values are
+    sorted but those of the last bracket, and no more than EXACT_ROWS of them are collected.
+    """
+    values = df.where(F.col(column).isNotNull() & ~F.isnan(column)).select(F.col(column).alias("x"))
+    n, low, high = values.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    at = q * (n - 1)
+    first, last = int(at), min(int(at) + 1, n - 1)
+    below, inside = 0, n
+    while inside > EXACT_ROWS and low < high:
+        here = values.where((F.col("x") >= low) & (F.col("x") <= high))
+        share = [max(0.0, (first - below) / inside - 0.001), min(1.0, (last - below + 1) / inside + 0.001)]
+        a, b = here.agg(F.percentile_approx("x", share, 10_000)).first()[0]
+        less, upto = here.agg(F.count_if(F.col("x") < a), F.count_if(F.col("x") <= b)).first()
+        new_low, new_high = (a if below + less <= first else low), (b if below + upto > last else high)
+        if (new_low, new_high) == (low, high):
+            break  # many equal values: the top-k below is by distinct value
+        below += less if new_low == a else 0
+        low, high = new_low, new_high
+        inside = values.where((F.col("x") >= low) & (F.col("x") <= high)).count()
+    # distinct values with their counts, smallest first: enough of them to reach the last rank
+    counted = values.where((F.col("x") >= low) & (F.col("x") <= high)).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    ends, seen = {}, below
+    for x, k in counted.orderBy("x").limit(last - below + 1).collect():
+        for rank in (first, last):
+            if seen <= rank < seen + k:
+                ends[rank] = x
+        seen += k
+        if last in ends:
+            break
+    return ends[first] + (ends[last] - ends[first]) * (at - first)
+
+
 def daily_total(df: DataFrame) -> DataFrame:
     """I4: cost per day."""
     return df.groupBy("date").agg(F.sum("cost").alias("cost"))
 
 
-def daily_service_pivot(df: DataFrame, services: list[str] | None = None) -> DataFrame:
-    """Day x service cost matrix, missing cells 0. ``services`` fixes the columns;
-    otherwise Spark looks up the distinct services (a catalogue-sized list)."""
-    g = df.groupBy("date").pivot("service", services) if services else df.groupBy("date").pivot("service")
-    return g.agg(F.sum("cost")).na.fill(0.0)
+def daily_service_pivot(df: DataFrame) -> DataFrame:
+    """Day x service cost matrix, missing cells 0, one column for each service that the
+    table holds (a catalogue-sized list, which Spark looks up)."""
+    return df.groupBy("date").pivot("service").agg(F.sum("cost")).na.fill(0.0)
 
 
 def service_usage_types(df: DataFrame, service: str = "EC2") -> DataFrame:

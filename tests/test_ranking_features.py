@@ -4,10 +4,12 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from costsieve.operators import features as D
-from costsieve.operators.ranking import average_rank_pct, exact_quantile, global_positions, kth_smallest
+from costsieve.operators import explore as I
+from costsieve.operators.ranking import average_rank_pct, global_positions, kth_smallest
 
 
 def test_average_rank_matches_pandas_on_a_hot_group(spark):
@@ -31,12 +33,15 @@ def test_kth_smallest_and_global_positions(spark):
     assert [r["v"] for r in pos.orderBy("p").collect()] == sorted(vals)
 
 
-def test_exact_quantile_matches_numpy(spark):
+@pytest.mark.parametrize("exact_rows", [50_000, 40])
+def test_bracketed_quantile_matches_numpy(spark, monkeypatch, exact_rows):
+    monkeypatch.setattr(I, "EXACT_ROWS", exact_rows)
     rnd = random.Random(3)
-    vals = [rnd.random() * 100 for _ in range(1001)]
-    df = spark.createDataFrame([(v,) for v in vals], "v double")
-    for q in (0.1, 0.5, 0.9):
-        assert abs(exact_quantile(df, "v", q).first()[0] - float(np.quantile(vals, q))) < 1e-9
+    for vals in ([rnd.random() * 100 for _ in range(1001)], [float(rnd.randrange(4)) for _ in range(500)], [2.0] * 90 + [1.0, 7.0], [5.0]):
+        df = spark.createDataFrame([(v,) for v in vals + [None, float("nan")]], "v double")
+        for q in (0.0, 0.1, 0.5, 0.9, 1.0):
+            assert I.bracketed_quantile(df, "v", q) == pytest.approx(float(np.quantile(vals, q)), abs=1e-9)
+    assert I.bracketed_quantile(df.limit(0), "v", 0.5) is None
 
 
 def test_zscore_matches_pandas_rolling(spark):
