@@ -35,6 +35,9 @@ HEADLINE = [
     "leak_unused_ri",
     "inefficient_resources",
     "normalize_aws",
+    "cur_pipeline",          # the whole AWS path from raw rows, commitment detectors included
+    "pipeline_stats",
+    "normalize_azure",       # CSV export written and read back
 ]
 
 
