@@ -16,6 +16,13 @@ their sets of ``SHINGLE``-word shingles:
 4. Components of the links are clusters. The occurrence with the smallest (id, paragraph number)
    stays, all others are removed.
 
+Passages inside a line, or over several, have no paragraph of their own. For them, all blocks of
+``BLOCK`` consecutive words of a document (line breaks are no bounds) count as paragraphs too, as
+far as winnowing picks them: of every ``PASSAGE - BLOCK + 1`` neighbouring blocks the one with
+the least hash. Two passages of ``PASSAGE`` equal words thus have a picked block in common. Blocks
+are compared as classes only: at this length a changed word already takes 32-word blocks below
+the similarity. A block's first occurrence stays; the words of its other occurrences are cut.
+
 Texts are shuffled only for documents that lose a paragraph. The other documents, and paragraphs
 without candidates, are passed by with a bitmap of fixed size over hashes; a false hit costs work
 and changes nothing.
@@ -26,7 +33,7 @@ text count as one document; a null id is the largest id; shorter lines are never
 
 from __future__ import annotations
 
-from math import ceil
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costsieve.llm.common import col, fresh, map_arrow, materialise, text_bytes
+from costsieve.llm.common import col, fresh, groups_of, map_arrow, materialise, text_bytes
 from costsieve.llm.components import connected_components
 
 MIN_WORDS = 25
@@ -44,6 +51,7 @@ RECALL = 0.998
 HASHES = 32
 BUCKET_LIMIT = 64
 PIVOTS = 2
+BLOCK, PASSAGE = 32, 50
 MARKS = 1 << 24
 _PIECE = 1 << 20
 
@@ -235,14 +243,118 @@ def _pivots(members: DataFrame) -> DataFrame:
     return members.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("copies", "c", "root")).alias("p"))
 
 
-def _remove(text: str, gone: str):
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_MOD = 1 << 64
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
+
+
+def _sliding(x: np.ndarray, width: int, least) -> np.ndarray:
+    """Minimum or maximum of every ``width`` neighbours, by doubling."""
+    out, have = x, 1
+    while have < width:
+        step = min(have, width - have)
+        out = least(out[:-step], out[step:])
+        have += step
+    return out
+
+
+def picked_blocks(words: list[bytes], block: int = BLOCK, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, 128-bit classes as rows of two numbers) of the picked blocks of a text."""
+    width = passage - block + 1
+    if len(words) < passage:
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    halves = []
+    for base, mixed in ((0x9E3779B97F4A7C15, word), (0xD6E8FEB86659FD93, (word ^ (word >> np.uint64(31))) * _BASE)):
+        inverse = pow(base, -1, _MOD)
+        sums = np.r_[np.uint64(0), np.cumsum(mixed * _powers(len(words) - 1, base))]
+        rolled = (sums[block:] - sums[:-block]) * _powers(len(words) - block, inverse)
+        rolled = (rolled ^ (rolled >> np.uint64(32))) * _BASE
+        halves.append(rolled ^ (rolled >> np.uint64(29)))
+    key = halves[0]
+    least = _sliding(key, width, np.minimum)
+    # a block is picked if it is the least of some window around it: of the windows' minima, the greatest
+    padded = np.r_[np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]
+    pick = _sliding(padded, width, np.maximum) == key
+    pick[1:] &= ~((key[1:] == key[:-1]) & pick[:-1])  # one of a run of equal blocks
+    at = np.flatnonzero(pick)
+    return at, np.stack([halves[0][at], halves[1][at]], axis=1)
+
+
+def _block_classes(raw: str):
+    def run(batches):
+        for batch in batches:
+            for a, b in groups_of(texts := batch.column(batch.schema.names.index(raw)).to_pylist(), 1 << 22):
+                keys = np.concatenate([picked_blocks(t.lower().split())[1] for t in texts[a:b]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, i]).view(np.int64)) for i in (0, 1)], names=["k1", "k2"])
+
+    return run
+
+
+def _marked_blocks(block):
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
+
+    def run(batches):
+        bits = block.value
+        for batch in batches:
+            for i, th, t in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                at, keys = picked_blocks(t.lower().split())
+                slot = (keys[:, 0].view(np.int64) % MARKS) if len(at) else at
+                hit = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+                if hit.any():
+                    at, keys = at[hit], np.ascontiguousarray(keys[hit]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i] * len(at), pa.int64()), pa.array([th] * len(at), pa.int64()), pa.array(at),
+                         pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1]))], schema=schema)
+
+    return run
+
+
+def repeated_blocks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, th, start, first_id, stays): every picked block that occurs again, by its first word."""
+    read = docs.select(col(id_col).cast("long").alias("id"), text_hash(text_col).alias("th"), text_bytes(text_col).alias("t"))
+    again = materialise(
+        read.select("t").mapInArrow(_block_classes("t"), "k1 long, k2 long").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 1").select(F.col("k1").alias("a"), F.col("k2").alias("b")), "blocks")
+    block = docs.sparkSession.sparkContext.broadcast(marks(again, F.col("a")))
+    here = read.mapInArrow(_marked_blocks(block), "id long, th long, start long, k1 long, k2 long")
+    here = materialise(here.join(again, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))).drop("a", "b"), "block-places")
+    place = F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("start").alias("start"))
+    first = here.groupBy(F.col("k1").alias("a"), F.col("k2").alias("b")).agg(F.min(place).alias("f"))
+    return here.join(first, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))).select(
+        "id", "th", "start", F.col("f.id").alias("first_id"), (place == F.col("f")).alias("stays"))
+
+
+_WORD = re.compile(r"[^ \t-\r]+")
+
+
+def without(text: str, lines: set[int], starts: list[int], block: int = BLOCK) -> str:
+    """The text without some lines and without the words of some blocks. A line that blocks leave
+    no words goes as well."""
+    cut = {w for s in starts for w in range(s, s + block)}
+    out, word = [], 0
+    for n, line in enumerate(text.split("\n")):
+        spans = [m.span() for m in _WORD.finditer(line)] if cut else []
+        hit = [k for k in range(len(spans)) if word + k in cut]
+        word += len(spans)
+        if n in lines or (hit and len(hit) == len(spans)):
+            continue
+        for k in reversed(hit):  # with the space before the next word
+            end = spans[k + 1][0] if k + 1 < len(spans) else spans[k][1]
+            line = line[:spans[k][0]] + line[end:]
+        out.append(line)
+    return "\n".join(out)
+
+
+def _remove(text: str, gone: str, cuts: str):
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            out = []
-            for t, lines in zip(batch.column(names.index(text)).to_pylist(), batch.column(names.index(gone)).to_pylist()):
-                drop = set(lines or ())
-                out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop) if drop else t)
+            out = [without(t, set(lines or ()), starts or []) if lines or starts else t
+                   for t, lines, starts in zip(*[batch.column(names.index(n)).to_pylist() for n in (text, gone, cuts)])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out, pa.string()) if n == text else batch.column(k) for k, n in enumerate(names)], names=names)
 
@@ -295,22 +407,26 @@ def repeated_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY,
                    min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated paragraphs taken out, and the columns ``removed`` (line numbers, from
-    0) and ``kept_in`` (ids of the documents that hold the copies that stay)."""
+    """``docs`` with repeated paragraphs and blocks taken out, and the columns ``removed`` (line
+    numbers, from 0), ``cut`` (first words of the blocks, from 0) and ``kept_in`` (ids of the
+    documents that hold the copies that stay)."""
     spark = docs.sparkSession
-    gone = repeated_paragraphs(docs, text_col, id_col, similarity, min_words).where("not stays")
+    lines_gone = repeated_paragraphs(docs, text_col, id_col, similarity, min_words).where("not stays")
+    blocks_gone = repeated_blocks(docs, text_col, id_col).where("not stays")
+    gone = lines_gone.select("id", "th", "line", F.lit(None).cast("long").alias("start"), "first_id").union(
+        blocks_gone.select("id", "th", F.lit(None).cast("int"), "start", "first_id"))
     lists = materialise(gone.groupBy("id", "th").agg(
-        F.array_sort(F.collect_set("line")).alias("lines"), F.array_sort(F.collect_set("first_id")).alias("ids")), "removed")
+        F.array_sort(F.collect_set("line")).alias("lines"), F.array_sort(F.collect_set("start")).alias("cuts"),
+        F.array_sort(F.collect_set("first_id")).alias("ids")), "removed")
     block = spark.sparkContext.broadcast(marks(lists, F.col("th")))
-    th, lines, ids = fresh(docs, "__th", "__lines", "__ids")
-    keep = [col(c) for c in docs.columns if c.lower() not in ("removed", "kept_in")]
+    names = {"removed": "array<int>", "cut": "array<long>", "kept_in": "array<long>"}
+    th, *lists_as = fresh(docs, "__th", "__lines", "__cuts", "__ids")
+    keep = [col(c) for c in docs.columns if c.lower() not in names]
     hashed = docs.select(*keep, text_hash(text_col).alias(th))
-    own = lists.select(F.col("id").alias("__i"), F.col("th").alias("__t"), F.col("lines").alias(lines), F.col("ids").alias(ids))
+    own = lists.select(F.col("id").alias("__i"), F.col("th").alias("__t"), *[F.col(c).alias(n) for c, n in zip(("lines", "cuts", "ids"), lists_as)])
     some = map_arrow(hashed, _marked_rows(block, th, True)).join(
         own, (col(th) == F.col("__t")) & col(id_col).cast("long").eqNullSafe(F.col("__i")), "left").drop("__i", "__t")
-    changed = map_arrow(some, _remove(text_col, lines)).select(
-        *keep, F.coalesce(col(lines), F.array().cast("array<int>")).alias("removed"),
-        F.coalesce(col(ids), F.array().cast("array<long>")).alias("kept_in"))
-    rest = map_arrow(hashed, _marked_rows(block, th, False)).select(
-        *keep, F.array().cast("array<int>").alias("removed"), F.array().cast("array<long>").alias("kept_in"))
+    changed = map_arrow(some, _remove(text_col, lists_as[0], lists_as[1])).select(
+        *keep, *[F.coalesce(col(c), F.array().cast(kind)).alias(n) for c, (n, kind) in zip(lists_as, names.items())])
+    rest = map_arrow(hashed, _marked_rows(block, th, False)).select(*keep, *[F.array().cast(kind).alias(n) for n, kind in names.items()])
     return changed.union(rest)

@@ -42,15 +42,60 @@ def brute(docs, similarity=P.SIMILARITY, min_words=P.MIN_WORDS):
     return {k: sorted(set(v)) for k, v in gone.items()}
 
 
-def cleaned(text, lines):
-    return None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in lines)
+def brute_cuts(docs):
+    """{(id, text): first words of blocks cut} by all blocks' words and a plain winnowing."""
+    places = {}
+    for i, text in docs:
+        words = (text or "").encode().lower().split()
+        at, keys = P.picked_blocks(words)
+        order = {p: k for p, k in zip(at.tolist(), keys[:, 0].tolist())}
+        width = P.PASSAGE - P.BLOCK + 1
+        for p in range(len(words) - P.PASSAGE + 1):  # each passage has a picked block
+            assert any(p <= q < p + width or tuple(words[q:q + P.BLOCK]) == tuple(words[p:p + P.BLOCK]) for q in order)
+        for p in order:
+            places.setdefault(tuple(words[p:p + P.BLOCK]), []).append((i is None, i or 0, text_hash(text), p, text))
+    gone = {(i, t): [] for i, t in docs}
+    for group in places.values():
+        for null, i, th, p, text in group:
+            if (null, i, th, p) != min(group)[:4]:
+                gone[None if null else i, text].append(p)
+    return {k: sorted(set(v)) for k, v in gone.items()}
+
+
+def cleaned(text, lines, cuts):
+    """Word by word."""
+    if text is None:
+        return None
+    cut, n, out = {w for c in cuts for w in range(c, c + P.BLOCK)}, 0, []
+    for i, line in enumerate(text.split("\n")):
+        words = line.encode().split()
+        keep = [w for k, w in enumerate(words) if n + k not in cut]
+        n += len(words)
+        if i not in lines and (keep or not words):
+            out.append([w.decode() for w in keep])
+    return out or [[]]
+
+
+def split(text):
+    return None if text is None else [[w.decode() for w in line.encode().split()] for line in text.split("\n")]
+
+
+def passages(docs, n=P.PASSAGE):
+    """{words of a passage: ids}, for passages that aren't one word over and over."""
+    out = {}
+    for i, t in docs:
+        words = (t or "").encode().lower().split()
+        for p in range(len(words) - n + 1):
+            if len(set(words[p:p + n])) > n // 3:
+                out.setdefault(tuple(words[p:p + n]), set()).add(i)
+    return out
 
 
 def check(spark, docs, **options):
-    expected = brute(docs, **options)
+    expected, cuts = brute(docs, **options), brute_cuts(docs)
     got = P.remove_repeats(documents(spark, docs), **options).collect()
-    assert sorted(((r["doc_id"], r["text"], list(r["removed"])) for r in got), key=repr) == sorted(
-        [(i, cleaned(t, expected[i, t]), expected[i, t]) for i, t in docs], key=repr)
+    assert sorted(((r["doc_id"], split(r["text"]), list(r["removed"]), list(r["cut"])) for r in got), key=repr) == sorted(
+        [(i, cleaned(t, expected[i, t], cuts[i, t]), expected[i, t], cuts[i, t]) for i, t in docs], key=repr)
     return got
 
 
@@ -70,8 +115,15 @@ def test_whole_query_against_brute_force(spark):
     expected = brute(docs)
     got = {r["doc_id"]: r for r in entry.queries()["op4_paragraph_minhash"](spark, SF).collect()}
     assert len(got) == len(docs)
-    wrong = [i for i, t in docs if list(got[i]["removed"]) != expected[i, t] or got[i]["text"] != cleaned(t, expected[i, t])]
+    cuts = brute_cuts(docs)
+    wrong = [i for i, t in docs if list(got[i]["removed"]) != expected[i, t]]
     assert len(wrong) <= 2  # the recall at the threshold is 0.998
+    assert all(list(got[i]["cut"]) == cuts[i, t] for i, t in docs)
+    before, after = passages(docs), passages([(i, got[i]["text"]) for i, _ in docs])
+    again = {p: ids for p, ids in before.items() if len(ids) > 1}
+    assert len(again) > 1000 and not any(len(after.get(p, ())) > 1 for p in again)
+    unchanged = [i for i, t in docs if not got[i]["removed"] and not got[i]["cut"]]
+    assert len(unchanged) > 700 and all(got[i]["text"] == dict(docs)[i] for i in unchanged)
     assert sum(map(bool, expected.values())) > 50
 
 
@@ -93,7 +145,7 @@ def test_large_buckets(spark, monkeypatch, limit):
     monkeypatch.setattr(P, "BUCKET_LIMIT", limit)
     rng, docs = random.Random(8), []
     for base in (words(rng, 80), words(rng, 80)):
-        docs += [(len(docs), " ".join(changed(rng, base, k % 3))) for k in range(40)]
+        docs += [(len(docs) + k, " ".join(changed(rng, base, k % 3))) for k in range(40)]
     link = words(rng, 90)
     for _ in range(8):
         docs.append((len(docs), " ".join(link)))
@@ -101,6 +153,17 @@ def test_large_buckets(spark, monkeypatch, limit):
     check(spark, docs)
 
 
+def test_passages_inside_lines(spark):
+    rng = random.Random(9)
+    passage = words(rng, 51)
+    docs = [(k, " ".join(words(rng, 10 + 7 * k) + passage + words(rng, 30))) for k in range(6)]
+    docs += [(50, " ".join(words(rng, 20) + passage[:20]) + "\n" + " ".join(passage[20:] + words(rng, 9)))]
+    docs += [(100 + k, " ".join(words(rng, 80) + passage[:31])) for k in range(3)]  # too short a part
+    got = {r["doc_id"]: r for r in check(spark, docs)}
+    assert not got[0]["cut"] and all(got[k]["cut"] for k in (1, 2, 3, 4, 5, 50)) and not any(got[k]["cut"] for k in (100, 101, 102))
+    assert got[50]["kept_in"] == [0] and " ".join(passage) not in got[3]["text"]
+
+
 def test_bands_are_tuned():
     bands, rows = P.bands_for()
     assert bands * rows <= P.HASHES and 1 - (1 - P.SIMILARITY**rows) ** bands >= P.RECALL
@@ -114,5 +177,5 @@ def test_defined_cases(spark):
     check(spark, docs)
     table = documents(spark, docs, extra=True)
     out = P.remove_repeats(table)
-    assert out.columns == [*table.columns, "removed", "kept_in"] and out.count() == len(docs)
+    assert out.columns == [*table.columns, "removed", "cut", "kept_in"] and out.count() == len(docs)
     assert P.remove_repeats(table.limit(0)).count() == 0
