@@ -7,17 +7,19 @@ Conventions of every operator here:
   operator adds a column, an input column of that name is replaced.
 * A null text counts as an empty one unless the operator says otherwise.
 * Tables read by several plans are written as Parquet under ``spark.checkpoint.dir``, so a lost
-  executor never makes a row id or a range bound change.
+  executor never makes a row id or a range bound change. They stay as long as an operator's
+  result may be read; ``temporary_tables`` deletes them once that is done.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costsieve.session import scratch_path
+from costsieve import session
 
 A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -33,11 +35,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_MADE: list[list[str]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return session.materialise(df, name, _MADE[-1] if _MADE else None)
+
+
+@contextlib.contextmanager
+def temporary_tables(spark: SparkSession):
+    """Delete, at its end, what operators have written inside. Write their results before."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        session.remove_paths(spark, _MADE.pop())
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -6,7 +6,7 @@
 2. The distinct entities (type, canonical form) of the whole corpus become one table. A surrogate
    is drawn for each from HMAC-SHA256(key, type, entity, attempt): digits for digits, letters of
    the same script and case for letters, every other character as it is; a card keeps its issuer's
-   prefix and has a valid check digit, an IP address lies in a reserved range, a phone number keeps its country
+   prefix and has a valid check digit, an IP address lies in a private range, a phone number keeps its country
    code, a mail address its domain's form, a name is of the same gender and script.
 3. Collision checks: two entities of a type never share a surrogate, and none is an entity that
    the corpus itself has. The smallest entity keeps a surrogate that is drawn twice; the others draw
@@ -174,8 +174,8 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
             return f"{local}@{domain}"
         return f"{local}@{_same_form(host, draw)}.{top}"
     if kind == "ip":
-        first = (10, 10) if not wide else (100, 64 + draw(64))
-        return f"{first[0]}.{first[1] if wide else draw(256)}.{draw(256)}.{1 + draw(254)}"
+        first = f"10.{draw(256)}" if not wide else f"{11 + draw(112)}.{draw(256)}"
+        return f"{first}.{draw(256)}.{1 + draw(254)}"
     if kind == "card":
         out = list(_same_form(entity, draw))
         places = [i for i, c in enumerate(out) if c.isdigit()]
