@@ -15,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from costsieve.llm import decontaminate, langid, mixing, pii, simhash
-from costsieve.llm.common import crc_mod, materialise, read_table
+from costsieve.llm.common import crc_mod, read_table, temporary_tables
 from costsieve.llm.queries import SURROGATE_KEY
+from costsieve.session import materialise
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; the mix is the last one's result."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with temporary_tables(spark):
+            docs = materialise(stage(spark, docs, sf_dir), name)
     return docs
