@@ -7,7 +7,7 @@ count and hash sum), when every vertex points at its component's smallest vertex
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from costsieve.llm.common import materialise
@@ -17,7 +17,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
     return (both.where("v > u").join(least, F.col("u") == F.col("c"))
-            .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+            .select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -27,19 +27,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.union(least.select("c", "m")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their count and hash sum, observed while it is written."""
+    seen = Observation()
+    table = materialise(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+    return table, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(vertex, root) for every vertex of the edges (u, v); the root is the component's least."""
-    now = materialise(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _state(now)
+    now, state = _written(
+        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while state[0]:
-        now = materialise(_small_star(_large_star(now)), "edges")
-        before, state = state, _state(now)
-        if state == before:
+        now, after = _written(_small_star(_large_star(now)))
+        if after == state:
             break
+        state = after
     return now.select(F.col("u").alias("vertex"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct())

@@ -6,13 +6,15 @@ their sets of ``SHINGLE``-word shingles:
 
 1. ``bands_for`` tunes bands and rows: the most rows for which a pair at the threshold meets in
    some band with the wanted recall. Each class sends one key for each band.
-2. Keys that two classes share make candidates. In a bucket of at most ``BUCKET_LIMIT`` classes,
-   these are its pairs. In a larger one, every class meets the bucket's most copied class (the
-   pivot) first. Buckets that this links into one component are settled: further links inside
-   couldn't change it. What stays open meets a second pivot from outside the first one's
-   component, and then pair by pair across components, so no verified link is lost.
-3. Candidates are verified by exact Jaccard similarity of their shingle sets, which a second scan
-   gives for the classes in buckets only.
+2. Classes that share a key are candidates. In a bucket of at most ``BUCKET_LIMIT`` classes these
+   are its pairs. A larger bucket is cut into blocks of some ``SIDE`` classes, and each pair of
+   blocks is a group of its own, of bounded size: it compares its pairs and hands on a spanning
+   forest of the links (fewer links than classes), which joins the same components as all of them.
+   Pairs that are already joined are skipped. A filter that loses nothing spares most sets: each
+   class has a bitmap of 512 bits over its shingles, two bitmaps differ in at most as many bits as
+   the sets differ in shingles, and similar sets differ in few.
+3. A link is verified by exact Jaccard similarity of the shingle sets, which a second scan gives for
+   the classes in buckets only.
 4. Components of the links are clusters. The occurrence with the smallest (id, paragraph number)
    stays, all others are removed.
 
@@ -36,6 +38,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -50,7 +53,8 @@ SIMILARITY = 0.8
 RECALL = 0.998
 HASHES = 32
 BUCKET_LIMIT = 64
-PIVOTS = 2
+SIDE = 512
+BITS = 512
 BLOCK, PASSAGE = 32, 50
 MARKS = 1 << 24
 _PIECE = 1 << 20
@@ -166,81 +170,79 @@ def class_number(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
+def shingle_bits(hashes: np.ndarray) -> bytes:
+    """A bitmap of the shingles by the top bits of their hashes."""
+    out = np.zeros(BITS, bool)
+    out[(hashes >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
 def _shingle_sets(block, min_words: int):
-    schema = pa.schema([("class", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("class", pa.binary()), ("shingles", pa.list_(pa.int64())), ("bits", pa.binary())])
 
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            classes, sets = [], []
+            classes, sets, bits = [], [], []
             for text in batch.column(0).to_pylist():
                 for _, words in paragraphs(text, min_words):
                     digest = class_id(words)
                     if marked(block.value, class_number(digest)) and digest not in seen:
                         seen.add(digest)
                         classes.append(digest)
-                        sets.append(np.unique(np.array(shingle_hashes(words), np.uint64)).view(np.int64))
+                        own = np.unique(np.array(shingle_hashes(words), np.uint64))
+                        sets.append(own.view(np.int64))
+                        bits.append(shingle_bits(own))
             if len(seen) > 200_000:
                 seen.clear()  # it only saves repeats
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(bits, pa.binary())], schema=schema)
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets are similar enough."""
-    x = sets.select(F.col("c").alias("cx"), F.col("shingles").alias("sx"))
-    y = sets.select(F.col("c").alias("cy"), F.col("shingles").alias("sy"))
-    both = F.size(F.array_intersect("sx", "sy"))
-    return (pairs.distinct().join(x, F.col("u") == F.col("cx")).join(y, F.col("v") == F.col("cy"))
-            .where(both >= F.lit(similarity) * (F.size("sx") + F.size("sy") - both)).select("u", "v"))
+def _forest(similarity: float):
+    """The links of a spanning forest over one group: the pairs inside a block or across two."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, sets = pdf["c"].to_numpy(), pdf["shingles"].tolist()
+        bits = np.stack([np.frombuffer(x, np.uint64) for x in pdf["bits"]])
+        size = np.array([len(x) for x in sets])
+        right = pdf["block"].to_numpy() == pdf["b"].iloc[0]
+        inside = pdf["a"].iloc[0] == pdf["b"].iloc[0]
+        slack = (1 - similarity) / (1 + similarity) + 1e-9
+        part = np.arange(len(ids))  # the component of each class
+        links = []
+        for i in np.flatnonzero(right):
+            near = np.bitwise_count(bits ^ bits[i]).sum(axis=1) <= slack * (size + size[i])
+            near &= (np.arange(len(ids)) < i) if inside else ~right
+            for j in np.flatnonzero(near):
+                if part[i] != part[j]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both >= similarity * (size[i] + size[j] - both) - 1e-9:
+                        links.append((ids[i], ids[j]))
+                        part[part == part[i]] = part[j]
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+    return run
 
 
 def similar_classes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(vertex, root) over classes. ``members``: (key, c, copies) of buckets of two or more."""
+    """(vertex, root) over classes. ``members``: (key, c) of buckets of two or more."""
     sizes = members.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     sized = materialise(members.join(sizes, F.col("key") == F.col("k")).drop("k"), "buckets")
-    few, many = sized.where(F.col("n") <= BUCKET_LIMIT), sized.where(F.col("n") > BUCKET_LIMIT)
+    few = sized.where(F.col("n") <= BUCKET_LIMIT)
     x, y = few.select("key", F.col("c").alias("u")), few.select(F.col("key").alias("k"), F.col("c").alias("v"))
-    links = materialise(_verified(x.join(y, (F.col("key") == F.col("k")) & (F.col("u") > F.col("v"))).select("u", "v"), sets, similarity), "links")
-    roots = connected_components(links)
-    if many.isEmpty():
-        return roots
-    for again in range(PIVOTS):
-        open_ = materialise(_open_buckets(many, roots), "open")
-        if open_.isEmpty():
-            return roots
-        pivots = _pivots(open_)
-        if again:  # from outside the component of the most copied class
-            outside = open_.join(pivots, F.col("key") == F.col("k")).where(F.col("root") != F.col("p.root"))
-            pivots = _pivots(outside.select("key", "c", "copies", "root"))
-        met = open_.join(pivots, F.col("key") == F.col("k")).where(F.col("root") != F.col("p.root")).select(
-            F.col("c").alias("u"), F.col("p.c").alias("v"))
-        roots = _with_links(roots, _verified(met, sets, similarity))
-    rest = materialise(_open_buckets(many, roots), "open")
-    if rest.isEmpty():
-        return roots
-    x = rest.select("key", F.col("c").alias("u"), F.col("root").alias("ru"))
-    y = rest.select(F.col("key").alias("k"), F.col("c").alias("v"), F.col("root").alias("rv"))
-    across = x.join(y, (F.col("key") == F.col("k")) & (F.col("ru") > F.col("rv"))).select("u", "v")
-    return _with_links(roots, _verified(across, sets, similarity))
-
-
-def _with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """The components after adding links; a star stands for each component so far."""
-    return connected_components(roots.select(F.col("vertex").alias("u"), F.col("root").alias("v")).union(links))
-
-
-def _open_buckets(many: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the large buckets that still hold several components."""
-    now = many.select("key", "c", "copies").join(roots, F.col("c") == F.col("vertex"), "left").select(
-        "key", "c", "copies", F.coalesce("root", "c").alias("root"))
-    parts = now.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    return now.join(parts, F.col("key") == F.col("k")).select("key", "c", "copies", "root")
-
-
-def _pivots(members: DataFrame) -> DataFrame:
-    return members.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("copies", "c", "root")).alias("p"))
+    pairs = x.join(y, (F.col("key") == F.col("k")) & (F.col("u") > F.col("v"))).select("u", "v").distinct()
+    x = sets.select(F.col("c").alias("cx"), F.col("shingles").alias("sx"))
+    y = sets.select(F.col("c").alias("cy"), F.col("shingles").alias("sy"))
+    both = F.size(F.array_intersect("sx", "sy"))
+    links = (pairs.join(x, F.col("u") == F.col("cx")).join(y, F.col("v") == F.col("cy"))
+             .where(both >= F.lit(similarity) * (F.size("sx") + F.size("sy") - both) - F.lit(1e-9)).select("u", "v"))
+    many = sized.where(F.col("n") > BUCKET_LIMIT).withColumn("blocks", F.ceil(F.col("n") / F.lit(SIDE)))
+    many = many.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks"))).withColumnRenamed("c", "m")
+    each = many.join(sets, F.col("m") == F.col("c")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = each.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "c", "shingles", "bits")
+    return connected_components(links.union(each.groupBy("key", "a", "b").applyInPandas(_forest(similarity), "u long, v long")))
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -383,15 +385,15 @@ def repeated_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "
     classes = materialise(
         found.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
         .withColumn("c", F.monotonically_increasing_id()), "classes")
-    sent = classes.select("c", "copies", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key"))
+    sent = classes.select("c", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key"))
     shared = sent.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    members = materialise(sent.join(shared, F.col("key") == F.col("k")).select("key", "c", "copies"), "members")
+    members = materialise(sent.join(shared, F.col("key") == F.col("k")).select("key", "c"), "members")
     asked = materialise(members.select("c").distinct().withColumnRenamed("c", "m").join(
         classes.select("c", "class"), F.col("c") == F.col("m")).select("c", "class"), "asked")
     first8 = F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("long")
     block = spark.sparkContext.broadcast(marks(asked, first8))
-    sets = read.select("t").mapInArrow(_shingle_sets(block, min_words), "class binary, shingles array<long>")
-    sets = sets.withColumnRenamed("class", "k").join(asked, F.col("k") == F.col("class")).select("c", "shingles")
+    sets = read.select("t").mapInArrow(_shingle_sets(block, min_words), "class binary, shingles array<long>, bits binary")
+    sets = sets.withColumnRenamed("class", "k").join(asked, F.col("k") == F.col("class")).select("c", "shingles", "bits")
     sets = materialise(sets.dropDuplicates(["c"]), "shingles")
     roots = similar_classes(members, sets, similarity)
     clustered = classes.select("class", "c", "copies").join(roots, F.col("c") == F.col("vertex"), "left")

@@ -139,10 +139,11 @@ def test_near_copies_and_clean_texts(spark):
     assert all(r["kept_in"] == [] for r in got if r["doc_id"] >= 5000)
 
 
-@pytest.mark.parametrize("limit", [2, 64])
-def test_large_buckets(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit,side", [(2, 512), (2, 7), (1024, 512)])
+def test_large_buckets(spark, monkeypatch, limit, side):
     """Many near copies of few bases in one bucket, and a chain whose ends aren't similar."""
     monkeypatch.setattr(P, "BUCKET_LIMIT", limit)
+    monkeypatch.setattr(P, "SIDE", side)
     rng, docs = random.Random(8), []
     for base in (words(rng, 80), words(rng, 80)):
         docs += [(len(docs) + k, " ".join(changed(rng, base, k % 3))) for k in range(40)]
