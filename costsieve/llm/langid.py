@@ -30,7 +30,7 @@ from costsieve.llm.common import col, fresh, groups_of, id_text, map_arrow, mate
 
 ORDER = 3
 MAX_DOCS = 400
-MAX_DOC_BYTES = 65_536
+MAX_DOC_BYTES = 16_384
 CHUNK = 1 << 20
 FEW_LANGUAGES = 4096
 UND = "und"
