@@ -139,6 +139,8 @@ def analyze(raw: DataFrame, provider: str | None = None, already_normalized: boo
     """Run the whole analysis. ``already_normalized`` input keeps its own ``provider`` column
     when it has one (multi-provider tables), else is stamped. The rows are read once for the
     features and, for a raw AWS export, once more for the commitment totals."""
+    # before rows get a made-up order: an input without one isn't scanned for its first row
+    label = None if already_normalized else detect_provider(raw, provider)
     raw = with_seq(raw)
     commitments, raw_columns = None, set()
     if already_normalized:
@@ -149,7 +151,6 @@ def analyze(raw: DataFrame, provider: str | None = None, already_normalized: boo
             label = (provider or "AWS").upper()
             norm = raw.withColumn("provider", F.lit(label))
     else:
-        label = detect_provider(raw, provider)
         try:
             norm = normalize(raw, label)
         except Exception as exc:  # noqa: BLE001 - plan-time error in the mapping
