@@ -1,180 +1,149 @@
-"""Detector rules (E1–E10): one passing and one failing case per threshold."""
+"""Detector rules (E1–E10) around their thresholds: just below, equal, just above.
 
+Each case is a service or a resource of its own in one table, so a rule's boundary is one run.
+"""
+
+import pytest
 from conftest import days, unified
-from pyspark.sql import functions as F
 
+from costsieve import schema as S
 from costsieve.operators import detectors as E
 from costsieve.plans.pipeline import build_features
 
 
 def feats(spark, rows, owner=False):
-    return build_features(unified(spark, rows, owner))
-
-
-def keys(df, col="resource_id"):
-    return sorted(r[0] for r in df.select(col).collect())
+    return build_features(unified(spark, rows, owner), materialize=False)
 
 
-# ---------------------------------------------------------------- E1 zombie
-def test_zombie_fallback_threshold(spark):
-    rows = [dict(date=d, resource_id="i-zombie", cost=80.0, usage=0.8) for d in days(20)]  # ratio 0.01
-    rows += [dict(date=d, resource_id="i-young", cost=80.0, usage=0.8) for d in days(10)]  # too young
-    ft = feats(spark, rows)
-    assert keys(E.detect_zombie(ft.resources)) == ["i-zombie"]
+def names(df, col="resource_id"):
+    return {r[0] for r in df.select(col).collect()}
 
 
-def test_zombie_fallback_above_threshold(spark):
-    rows = [dict(date=d, resource_id="i-busy", cost=10.0, usage=1.0) for d in days(20)]  # ratio 0.1 > 0.05
-    assert keys(E.detect_zombie(feats(spark, rows).resources)) == []
+def series(n, **row):
+    return [dict(date=d, **row) for d in days(n)]
 
 
-def test_zombie_percentile_threshold_picks_nearest_rank(spark):
-    # 8 resources -> p25 index max(0, int(8*0.25)-1) = 1 -> second smallest ratio
-    ratios = [0.01, 0.02, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
-    rows = [dict(date=d, resource_id=f"r{i}", cost=100.0, usage=100.0 * r)
-            for i, r in enumerate(ratios) for d in days(15)]
-    z = E.detect_zombie(feats(spark, rows).resources)
-    assert keys(z) == ["r0"]  # only the value strictly below the threshold 0.02
-    assert z.select("threshold").first()[0] == 0.02
-
-
-def test_zombie_four_to_seven_resources_never_flag(spark):
-    ratios = [0.001, 0.5, 0.6, 0.7]
-    rows = [dict(date=d, resource_id=f"r{i}", cost=100.0, usage=100.0 * r)
-            for i, r in enumerate(ratios) for d in days(15)]
-    assert keys(E.detect_zombie(feats(spark, rows).resources)) == []
+# ---------------------------------------------------------------- E1 zombie
+def test_zombie_age_and_fallback_ratio(spark):
+    rows = []
+    for service, age, ratio in [("ec2 a", 13, 0.001), ("ec2 b", 14, 0.001), ("ec2 c", 14, 0.0499), ("ec2 d", 14, 0.05), ("ec2 e", 40, 0.06)]:
+        rows += series(age, service=service, resource_id=service[-1], cost=64.0, usage=64.0 * ratio)
+    rows += series(15, service="Virtual Machines", provider="AZURE", resource_id="az", cost=64.0, usage=64.0 * 0.07)
+    rows += series(15, service="Compute Engine", provider="GCP", resource_id="gc", cost=64.0, usage=64.0 * 2.5)
+    assert names(E.detect_zombie(feats(spark, rows).resources)) == {"b", "c", "az", "gc"}
+
+
+@pytest.mark.parametrize("n,found", [(3, {"r0"}), (4, set()), (7, set()), (8, {"r0"}), (12, {"r0", "r1"})])
+def test_zombie_percentile_rank(spark, n, found):
+    """The threshold is the value at index max(0, int(n / 4) - 1); below it is strict. With three
+    resources the fallback of 0.05 holds."""
+    rows = [r for i in range(n) for r in series(16, resource_id=f"r{i}", cost=32.0, usage=32.0 * (0.03 + 0.25 * i))]
+    out = E.detect_zombie(feats(spark, rows).resources)
+    assert names(out) == found
+    if n == 12:
+        assert out.select("threshold").first()[0] == pytest.approx(0.53)
 
 
 # ---------------------------------------------------------------- E2 idle
-def test_idle_compute(spark):
-    rows = [dict(date=d, resource_id="i-idle", cost=5.0, usage=2.0) for d in days(5)]
-    ft = feats(spark, rows)
-    z = E.detect_zombie(ft.resources)
-    assert keys(E.detect_idle(ft.resources, ft.services, z.select("resource_id"))) == ["i-idle"]
-
-
-def test_idle_excludes_zombies_and_non_compute(spark):
-    rows = [dict(date=d, resource_id="i-z", cost=80.0, usage=0.8) for d in days(20)]
-    rows += [dict(date=d, service="s3", resource_id="b-1", cost=5.0, usage=2.0) for d in days(5)]
-    ft = feats(spark, rows)
-    z = E.detect_zombie(ft.resources)
-    assert keys(E.detect_idle(ft.resources, ft.services, z.select("resource_id"))) == []
-
-
-def test_idle_needs_three_days_and_cheap_service_excluded(spark):
-    rows = [dict(date=d, resource_id="i-new", cost=5.0, usage=2.0) for d in days(2)]
-    rows += [dict(date=d, service="ec2 spot", resource_id="i-cheap", cost=0.5, usage=0.1) for d in days(5)]
+def test_idle_boundaries(spark):
+    rows = series(2, service="ec2 a", resource_id="two days", cost=8.0, usage=1.0)
+    rows += series(3, service="ec2 b", resource_id="three days", cost=8.0, usage=1.0)
+    rows += series(4, service="ec2 c", resource_id="ratio five", cost=2.0, usage=10.0)
+    rows += series(4, service="ec2 d", resource_id="ratio above", cost=2.0, usage=10.25)
+    rows += series(4, service="ec2 e", resource_id="mean one", cost=1.0, usage=0.5)
+    rows += series(4, service="ec2 f", resource_id="mean below", cost=0.96875, usage=0.5)
+    rows += series(4, service="AmazonS3", resource_id="storage", cost=8.0, usage=1.0)
+    rows += series(17, service="ec2 g", resource_id="zombie", cost=8.0, usage=0.125)
     ft = feats(spark, rows)
-    assert keys(E.detect_idle(ft.resources, ft.services, None)) == []
+    zombies = E.detect_zombie(ft.resources)
+    assert names(E.detect_idle(ft.resources, ft.services, zombies.select("resource_id"))) == {"three days", "ratio five", "mean one"}
+    assert "zombie" in names(E.detect_idle(ft.resources, ft.services, None))
 
 
 # ---------------------------------------------------------------- E3 runaway
-def _runaway(spark, costs, usage=1.0):
-    rows = [dict(date=d, resource_id="i-test", cost=float(c), usage=usage) for d, c in zip(days(len(costs)), costs)]
-    ft = feats(spark, rows)
-    return E.detect_runaway(ft.services, ft.resources).collect()
-
-
-def test_runaway_growth_path(spark):
-    out = _runaway(spark, [2 + 5 * i for i in range(20)])
-    assert len(out) == 1 and out[0]["path"] == "growth"
-    assert out[0]["reason"].startswith("Daily cost increased from $2.00 to $97.00 over 20 days (+")
-
+def costs(service, values, usage=1.0):
+    return [dict(date=d, service=service, resource_id=service, cost=float(c), usage=usage) for d, c in zip(days(len(values)), values)]
 
-def test_runaway_z_path(spark):
-    out = _runaway(spark, [10.0] * 10 + [200.0])
-    assert len(out) == 1 and out[0]["path"] == "z" and out[0]["z_score"] >= 2.5
-    assert "stddevs above 7-day baseline of $10.00" in out[0]["reason"]
 
-
-def test_runaway_flat_and_cheap_are_not_leaks(spark):
-    assert _runaway(spark, [10.0] * 10) == []
-    assert _runaway(spark, [0.01 * i for i in range(1, 101)]) == []  # mean < 2
-
-
-def test_runaway_skipped_when_usage_is_strong(spark):
-    assert _runaway(spark, [2 + 5 * i for i in range(20)], usage=5000.0) == []
+def test_runaway_boundaries(spark):
+    rows = costs("two days", [10, 100]) + costs("three days", [10, 11, 100])
+    rows += costs("mean two", [1.5, 2.0, 2.5]) + costs("mean below", [1.5, 1.9375, 2.5])
+    rows += costs("growth 30", [20, 22, 26]) + costs("growth below", [20, 22, 25.5]) + costs("falling", [26, 22, 20])
+    rows += costs("from nothing", [0, 3, 6])
+    rows += costs("busy", [20, 24, 40], usage=1000.0) + costs("ratio ten", [20, 20, 40], usage=800 / 3)
+    rows += costs("spike", [40] * 9 + [43], usage=4.0) + costs("no spike", [40] * 9 + [40.02], usage=4.0)
+    ft = feats(spark, rows)
+    out = {r.service: r for r in E.detect_runaway(ft.services, ft.resources).collect()}
+    assert set(out) == {"three days", "mean two", "growth 30", "from nothing", "ratio ten", "spike"}
+    assert out["growth 30"].reason == "Daily cost increased from $20.00 to $26.00 over 3 days (+30%)" and out["growth 30"].z_score is None
+    assert (out["spike"].path, out["growth 30"].path) == ("z", "growth")
+    assert out["spike"].reason == "Cost spike: $43.00/day is 300.0 stddevs above 7-day baseline of $40.00" and out["spike"].z_score == 300.0
 
 
 # ---------------------------------------------------------------- E4 always-on
-def test_always_on_without_and_with_owner(spark):
-    rows = [dict(date=d, resource_id="i-1", cost=75.0) for d in days(20)]
-    ft = feats(spark, rows, owner=True)
-    assert len(E.detect_always_on(ft.daily, ft.services).collect()) == 1
-    rows = [dict(date=d, resource_id="i-1", cost=75.0, labels_owner="team-a") for d in days(20)]
+def test_always_on_boundaries(spark):
+    rows = series(20, service="ec2 a", resource_id="a", cost=50.0) + series(20, service="ec2 b", resource_id="b", cost=49.96875)
+    rows += series(18, service="ec2 c", resource_id="c", cost=64.0) + series(17, service="ec2 d", resource_id="d", cost=64.0)
+    rows += series(20, service="AmazonRDS", resource_id="e", cost=64.0) + series(20, service="AmazonS3", resource_id="f", cost=64.0)
+    rows += series(20, service="ec2 g", resource_id="g", cost=64.0) + [dict(date=days(1)[0], service="ec2 g", cost=64.0, labels_owner="crew")]
     ft = feats(spark, rows, owner=True)
-    assert E.detect_always_on(ft.daily, ft.services).collect() == []
+    assert names(E.detect_always_on(ft.daily, ft.services), "service") == {"ec2 a", "ec2 c", "AmazonRDS"}
 
 
-# ---------------------------------------------------------------- E5 orphaned storage
-def test_orphaned_storage_slots(spark):
+# ---------------------------------------------------------------- E5 orphaned storage, E7 snapshots
+def test_orphaned_storage_and_snapshots(spark):
     rows = [
-        dict(service="ebs", resource_id="vol-001", region="us-east-1"),
-        dict(service="ec2", resource_id="i-001", region="us-east-1"),
-        dict(service="ebs", resource_id="vol-002", region="eu-west-1"),
-        dict(service="ebs", resource_id=None, region="ap-south-1"),
+        dict(service="AmazonEBS", resource_id="near", region="x"), dict(service="AmazonEC2", resource_id="vm", region="x"),
+        dict(service="AmazonEBS", resource_id="far", region="y"), dict(service="AmazonEBS", resource_id="", region="z"),
+        dict(service="AmazonEBS", resource_id=None, region="z"), dict(service="AmazonS3", resource_id="bucket", region="z"),
+        dict(service="EBS Snapshot", resource_id="alone", region="x"), dict(service="EBS Snapshot", resource_id="vm", region="x"),
+        dict(service="EBS Snapshot", resource_id=None, region="x"), dict(service="AmazonRDS", resource_id="base", region="x"),
+        dict(service="Backup", provider="AZURE", resource_id="base", region="x"), dict(service="Backup", provider="AZURE", resource_id="copy", region="x"),
     ]
-    ft = feats(spark, rows)
-    assert keys(E.detect_orphaned_storage(ft.slots)) == ["vol-002"]
+    slots = feats(spark, rows).slots
+    assert names(E.detect_orphaned_storage(slots)) == {"far"}
+    assert names(E.detect_snapshot_sprawl(slots)) == {"alone", "copy"}
 
 
 # ---------------------------------------------------------------- E6 idle database
-def test_idle_database(spark):
-    rows = [dict(date=d, service="rds", resource_id="db-001", cost=30.0, usage=0.3) for d in days(10)]
-    out = E.detect_idle_database(feats(spark, rows).resources).collect()
-    assert [r["resource_id"] for r in out] == ["db-001"] and out[0]["exact_waste"] == 900.0
-
-
-def test_idle_database_negatives(spark):
-    rows = [dict(date=d, service="rds", resource_id="db-cheap", cost=5.0, usage=0.05) for d in days(10)]
-    rows += [dict(date=d, service="rds", resource_id="db-new", cost=30.0, usage=0.3) for d in days(3)]
-    rows += [dict(date=d, service="ec2", resource_id="i-1", cost=30.0, usage=0.3) for d in days(10)]
-    assert E.detect_idle_database(feats(spark, rows).resources).collect() == []
-
-
-# ---------------------------------------------------------------- E7 snapshot sprawl
-def test_snapshot_sprawl(spark):
-    rows = [
-        dict(service="snapshot", resource_id="snap-001"),
-        dict(service="snapshot", resource_id=None),
-        dict(service="snapshot", resource_id="i-parent"),
-        dict(service="ec2", resource_id="i-parent"),
-    ]
-    assert keys(E.detect_snapshot_sprawl(feats(spark, rows).slots)) == ["snap-001"]
+def test_idle_database_boundaries(spark):
+    rows = []
+    for name, age, ratio, cost in [("young", 6, 0.125, 16.0), ("week", 7, 0.125, 16.0), ("ratio", 9, 0.1875, 16.0), ("used", 9, 0.25, 16.0),
+                                   ("ten", 9, 0.125, 10.0), ("cheap", 9, 0.125, 9.96875)]:
+        rows += series(age, service="AmazonRDS", resource_id=name, cost=cost, usage=cost * ratio)
+    rows += series(9, service="AmazonEC2", resource_id="compute", cost=16.0, usage=1.0)
+    out = {r.resource_id: r for r in E.detect_idle_database(feats(spark, rows).resources).collect()}
+    assert set(out) == {"week", "ratio", "ten"} and out["week"].exact_waste == 480.0
 
 
 # ---------------------------------------------------------------- E8 untagged
-def test_untagged_top_n_by_cost(spark):
-    rows = [dict(resource_id=f"r{i:02d}", cost=float(i)) for i in range(1, 21)]
+def test_untagged_order_and_owner_values(spark):
+    rows = [dict(resource_id=f"n{i}", cost=3.5 + i % 3) for i in range(7)]
+    owners = [("crew", False), ("Unknown", True), ("NONE", True), ("nan", True), ("", True), (" ", False)]
+    rows += [dict(resource_id=f"o{i}", cost=900.0 + i, labels_owner=o) for i, (o, _) in enumerate(owners)]
     ft = feats(spark, rows, owner=True)
-    out = E.detect_untagged(ft.slots, ft.services, top_n=5).orderBy("order_num").collect()
-    assert [r["resource_id"] for r in out] == ["r20", "r19", "r18", "r17", "r16"]
+    out = [r.resource_id for r in E.detect_untagged(ft.slots, ft.services, top_n=7).orderBy("order_num", "order_seq").collect()]
+    assert out == [f"o{i}" for i in (4, 3, 2, 1)] + ["n2", "n5", "n1"]  # ties: first seen
+    assert len(names(E.detect_untagged(ft.slots, ft.services))) == 11 and S.UNTAGGED_TOP_N == 20
 
 
-def test_untagged_cap_and_owner_values(spark):
-    rows = [dict(resource_id=f"r{i:02d}", cost=100.0) for i in range(50)]
-    rows += [dict(resource_id="owned", cost=500.0, labels_owner="team-a"),
-             dict(resource_id="unknown-owner", cost=400.0, labels_owner="Unknown")]
-    ft = feats(spark, rows, owner=True)
-    out = keys(E.detect_untagged(ft.slots, ft.services))
-    assert len(out) == 20 and "owned" not in out and "unknown-owner" in out
+# ---------------------------------------------------------------- E9 / E10 commitments
+RAW = ("line_item_line_item_type string, line_item_unblended_cost string, product_servicecode string, "
+       "reservation_unused_quantity string, reservation_unused_recurring_fee string")
 
 
-# ---------------------------------------------------------------- E9 / E10 commitments
-def test_savings_plan_and_unused_reservations(spark):
-    raw = spark.createDataFrame([
-        ("SavingsPlanNegation", "7.5", "AmazonEC2", 0.0, 0.0),
-        ("SavingsPlanRecurringFee", "5", "AmazonEC2", 1.0, 6.0),
-        ("Usage", "100", "AmazonRDS", 2.0, 3.0),
-        ("Usage", "bad", "AmazonS3", 1.0, 4.0),
-        ("Usage", "1", "AWSLambda", 0.0, 99.0),
-    ], "line_item_line_item_type string, line_item_unblended_cost string, product_servicecode string, "
-       "reservation_unused_quantity double, reservation_unused_recurring_fee double")
-    sp = E.detect_savings_plan(raw).collect()
-    assert len(sp) == 1 and sp[0]["exact_waste"] == 12.5
-    ri = E.detect_unused_reservation(raw).collect()
-    assert ri[0]["exact_waste"] == 13.0
-    assert ri[0]["reason"] == ("Unused reserved capacity costing $13.00 "
-                               "(AmazonEC2: $6.00, AmazonS3: $4.00, AmazonRDS: $3.00)")
-    small = raw.where(F.col("line_item_line_item_type") == "SavingsPlanRecurringFee")
-    assert E.detect_savings_plan(small).collect() == []
+@pytest.mark.parametrize("total,n", [("9.99", 0), ("10", 1), ("10.01", 1)])
+def test_commitment_thresholds(spark, total, n):
+    raw = spark.createDataFrame([("SavingsPlanRecurringFee", total, "AmazonEC2", "0", "50"), ("Usage", "70", "AmazonEC2", "2", total),
+                                 ("SavingsPlanNegation", "x", None, None, None)], RAW)
+    assert E.detect_savings_plan(raw).count() == n and E.detect_unused_reservation(raw).count() == n
+    if n:
+        assert E.detect_savings_plan(raw).first().exact_waste == float(total)
+
+
+def test_commitment_reason_names_three_services(spark):
+    rows = [("Usage", "1", s, "1", f) for s, f in [("AmazonS3", "800"), ("AmazonRDS", "1500.5"), ("AmazonRDS", "200"), ("AWSLambda", "800"), ("AmazonEC2", "31")]]
+    out = E.detect_unused_reservation(spark.createDataFrame([*rows, ("Usage", "1", None, "3", "7"), ("Usage", "1", "AmazonSQS", "-1", "9000")], RAW)).first()
+    assert out.reason == "Unused reserved capacity costing $3,338.50 (AmazonRDS: $1,700.50, AWSLambda: $800.00, AmazonS3: $800.00)"
+    assert E.detect_savings_plan(spark.createDataFrame([], RAW)).count() == 0
+    assert E.detect_savings_plan(spark.createDataFrame([(1,)], "other int")).count() == 0
