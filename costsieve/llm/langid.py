@@ -188,7 +188,7 @@ class Ppm:
 
 def train(sample: DataFrame, order: int = ORDER) -> Ppm | None:
     """Count each language's tree in Spark; None if there is nothing to learn from."""
-    counts = sample.groupBy("lang").applyInPandas(_count(order), "lang string, k int, gram long, n long").toPandas()
+    counts = sample.groupBy("lang").applyInPandas(_count(order), "lang string, k int, gram long, n long").toArrow().to_pandas()
     return Ppm(counts, order) if len(counts) else None
 
 

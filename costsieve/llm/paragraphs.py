@@ -82,14 +82,40 @@ def paragraphs(text: bytes, min_words: int) -> list[tuple[int, list[bytes]]]:
     return out
 
 
-def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> list[int]:
-    """Hashes of the shingles, repeats included; fewer words: one shingle."""
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(sizes) - 1
-    starts = (ends - sizes + 1)[: max(1, len(words) - size + 1)].tolist()
-    digest = xxhash.xxh3_64_intdigest
-    return [digest(joined[a:b]) for a, b in zip(starts, ends[min(size, len(words)) - 1:].tolist())]
+_BASE, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _BASE
+    return x ^ (x >> np.uint64(29))
+
+
+def windows(word: np.ndarray, size: int, base: np.uint64 = _BASE) -> np.ndarray:
+    """A polynomial hash of every ``size`` consecutive words, by doubling."""
+    if size == 1:
+        return word
+    half = size // 2
+    part = windows(word, half, base)
+    out = part[:-half] * base ** np.uint64(half) + part[half:]
+    return out if size % 2 == 0 else out[:-1] * base + word[size - 1:]
+
+
+def shingle_hashes(words: list[bytes], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of paragraphs that lie one after the other in ``words``, and how many
+    each has. A paragraph has SHINGLE words at least (see ``padded``)."""
+    n = np.array(sizes) - SHINGLE + 1
+    starts = np.cumsum(sizes) - sizes
+    at = np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
+    return mixed(windows(word_hashes(words), SHINGLE))[at], n
+
+
+def padded(words: list[bytes]) -> list[bytes]:
+    """Fewer words than a shingle are one shingle."""
+    return words + [b""] * (SHINGLE - len(words))
 
 
 def class_id(words: list[bytes]) -> bytes:
@@ -101,20 +127,17 @@ _TIMES = _RANDOM.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np
 _PLUS = _RANDOM.integers(0, 2**63, HASHES, dtype=np.uint64)
 
 
-def band_keys(hashes: list[list[int]], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def band_keys(hashes: np.ndarray, counts: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """(paragraphs x bands) keys from each paragraph's least hash values."""
-    flat = np.concatenate([np.array(h, np.uint64) for h in hashes])
-    sizes = np.array([len(h) for h in hashes])
-    starts = np.cumsum(sizes) - sizes
-    keys = np.empty((len(hashes), bands), np.uint64)
+    starts = np.cumsum(counts) - counts
+    keys = np.empty((len(counts), bands), np.uint64)
     for b in range(bands):
-        key = np.full(len(hashes), b + 1, np.uint64)
+        key = np.full(len(counts), b + 1, np.uint64)
         for r in range(rows):
             i = b * rows + r
-            mixed = flat * _TIMES[i] + _PLUS[i]
-            mixed ^= mixed >> np.uint64(32)
-            least = np.minimum.reduceat(mixed * np.uint64(0x9E3779B97F4A7C15), starts)
-            key = (key ^ least) * np.uint64(0xD6E8FEB86659FD93)
+            own = hashes * _TIMES[i] + _PLUS[i]
+            own ^= own >> np.uint64(32)
+            key = (key ^ np.minimum.reduceat(own * _BASE, starts)) * _OTHER
             key ^= key >> np.uint64(29)
         keys[:, b] = key
     return keys.view(np.int64)
@@ -128,26 +151,27 @@ def _scan(min_words: int):
     schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("class", pa.binary()),
                         *[(f"b{i}", pa.int64()) for i in range(BANDS)]])
 
-    def table(rows, hashes):
+    def table(rows, words, sizes):
         ids, texts, lines, classes = zip(*rows)
-        keys = band_keys(hashes)
+        keys = band_keys(*shingle_hashes(words, sizes))
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(lines, pa.int32()), pa.array(classes, pa.binary()),
              *[pa.array(np.ascontiguousarray(keys[:, i])) for i in range(BANDS)]], schema=schema)
 
     def run(batches):
-        rows, hashes, size = [], [], 0
+        rows, all_words, sizes = [], [], []
         for batch in batches:
             for i, th, text in zip(*[batch.column(k).to_pylist() for k in range(3)]):
                 for line, words in paragraphs(text, min_words):
                     rows.append((i, th, line, class_id(words)))
-                    hashes.append(shingle_hashes(words))
-                    size += len(words)
-                    if size > _PIECE // 2:
-                        yield table(rows, hashes)
-                        rows, hashes, size = [], [], 0
+                    words = padded(words)
+                    all_words += words
+                    sizes.append(len(words))
+                    if len(all_words) > _PIECE // 2:
+                        yield table(rows, all_words, sizes)
+                        rows, all_words, sizes = [], [], []
         if rows:
-            yield table(rows, hashes)
+            yield table(rows, all_words, sizes)
 
     return run
 
@@ -155,11 +179,15 @@ def _scan(min_words: int):
 def marks(table: DataFrame, column) -> np.ndarray:
     """A bitmap of fixed size of the hash values of a column: at most MARKS bits come here."""
     out = np.zeros(MARKS, bool)
-    hit = table.select(F.pmod(column, F.lit(MARKS)).cast("int").alias("m")).distinct().toPandas()["m"].to_numpy()
-    out[hit] = True
+    out[table.select(F.pmod(column, F.lit(MARKS)).cast("int").alias("m")).distinct().toArrow()["m"].to_numpy()] = True
     return np.packbits(out)
 
 
+def has_mark(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    m = values % MARKS
+    return (bitmap[m >> 3] >> (7 - (m & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def marked(bitmap: np.ndarray, value: int) -> bool:
     m = value % MARKS
     return bool(bitmap[m >> 3] >> (7 - (m & 7)) & 1)
@@ -190,7 +218,7 @@ def _shingle_sets(block, min_words: int):
                     if marked(block.value, class_number(digest)) and digest not in seen:
                         seen.add(digest)
                         classes.append(digest)
-                        own = np.unique(np.array(shingle_hashes(words), np.uint64))
+                        own = np.unique(shingle_hashes(padded(words), [len(padded(words))])[0])
                         sets.append(own.view(np.int64))
                         bits.append(shingle_bits(own))
             if len(seen) > 200_000:
@@ -245,14 +273,6 @@ def similar_classes(members: DataFrame, sets: DataFrame, similarity: float) -> D
     return connected_components(links.union(each.groupBy("key", "a", "b").applyInPandas(_forest(similarity), "u long, v long")))
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_MOD = 1 << 64
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
-
-
 def _sliding(x: np.ndarray, width: int, least) -> np.ndarray:
     """Minimum or maximum of every ``width`` neighbours, by doubling."""
     out, have = x, 1
@@ -263,54 +283,54 @@ def _sliding(x: np.ndarray, width: int, least) -> np.ndarray:
     return out
 
 
-def picked_blocks(words: list[bytes], block: int = BLOCK, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, 128-bit classes as rows of two numbers) of the picked blocks of a text."""
-    width = passage - block + 1
-    if len(words) < passage:
-        return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
-    word = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    halves = []
-    for base, mixed in ((0x9E3779B97F4A7C15, word), (0xD6E8FEB86659FD93, (word ^ (word >> np.uint64(31))) * _BASE)):
-        inverse = pow(base, -1, _MOD)
-        sums = np.r_[np.uint64(0), np.cumsum(mixed * _powers(len(words) - 1, base))]
-        rolled = (sums[block:] - sums[:-block]) * _powers(len(words) - block, inverse)
-        rolled = (rolled ^ (rolled >> np.uint64(32))) * _BASE
-        halves.append(rolled ^ (rolled >> np.uint64(29)))
-    key = halves[0]
-    least = _sliding(key, width, np.minimum)
+def picked_blocks(texts: list[list[bytes]], block: int = BLOCK, passage: int = PASSAGE):
+    """(text number, first word, 128-bit class as two columns) of the picked blocks of texts."""
+    width, sizes = passage - block + 1, np.array([len(t) for t in texts])
+    word = word_hashes([w for t in texts for w in t])
+    if len(word) < passage:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+    first = np.cumsum(sizes) - sizes
+    key, other = mixed(windows(word, block)), mixed(windows(mixed(word), block, _OTHER))
+    # blocks of one text; between two texts lie more than a window's width of others
+    edge = np.zeros(len(key) + 1, np.int64)
+    long = sizes >= block
+    np.add.at(edge, first[long], 1)
+    np.add.at(edge, (first + sizes - block + 1)[long], -1)
+    own = np.cumsum(edge[:-1]) > 0
+    key = np.where(own, key, np.uint64(2**64 - 1))
+    whole = _sliding(own.astype(np.uint8), width, np.minimum) > 0
+    least = np.where(whole, _sliding(key, width, np.minimum), np.uint64(0))
     # a block is picked if it is the least of some window around it: of the windows' minima, the greatest
-    padded = np.r_[np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]
-    pick = _sliding(padded, width, np.maximum) == key
+    around = np.r_[np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]
+    pick = own & (_sliding(around, width, np.maximum) == key)
     pick[1:] &= ~((key[1:] == key[:-1]) & pick[:-1])  # one of a run of equal blocks
     at = np.flatnonzero(pick)
-    return at, np.stack([halves[0][at], halves[1][at]], axis=1)
+    text = np.searchsorted(first, at, side="right") - 1
+    return text, at - first[text], np.stack([key[at], other[at]], axis=1).view(np.int64)
 
 
 def _block_classes(raw: str):
     def run(batches):
         for batch in batches:
-            for a, b in groups_of(texts := batch.column(batch.schema.names.index(raw)).to_pylist(), 1 << 22):
-                keys = np.concatenate([picked_blocks(t.lower().split())[1] for t in texts[a:b]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, i]).view(np.int64)) for i in (0, 1)], names=["k1", "k2"])
+            texts = batch.column(batch.schema.names.index(raw)).to_pylist()
+            for a, b in groups_of(texts, 1 << 21):
+                keys = picked_blocks([t.lower().split() for t in texts[a:b]])[2]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, i])) for i in (0, 1)], names=["k1", "k2"])
 
     return run
 
 
 def _marked_blocks(block):
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
-
     def run(batches):
-        bits = block.value
         for batch in batches:
-            for i, th, t in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                at, keys = picked_blocks(t.lower().split())
-                slot = (keys[:, 0].view(np.int64) % MARKS) if len(at) else at
-                hit = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
-                if hit.any():
-                    at, keys = at[hit], np.ascontiguousarray(keys[hit]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([i] * len(at), pa.int64()), pa.array([th] * len(at), pa.int64()), pa.array(at),
-                         pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1]))], schema=schema)
+            texts = batch.column(2).to_pylist()
+            for a, b in groups_of(texts, 1 << 21):
+                text, at, keys = picked_blocks([t.lower().split() for t in texts[a:b]])
+                hit = has_mark(block.value, keys[:, 0])
+                rows, keys = pa.array(text[hit] + a), keys[hit]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at[hit]),
+                     *[pa.array(np.ascontiguousarray(keys[:, i])) for i in (0, 1)]], names=["id", "th", "start", "k1", "k2"])
 
     return run
 
@@ -366,10 +386,22 @@ def _remove(text: str, gone: str, cuts: str):
 def _marked_rows(block, key: str, wanted: bool):
     def run(batches):
         for batch in batches:
-            bits = block.value
-            at = batch.column(batch.schema.names.index(key)).to_numpy(zero_copy_only=False) % MARKS
-            hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-            yield batch.filter(pa.array(hit if wanted else ~hit))
+            hit = has_mark(block.value, batch.column(batch.schema.names.index(key)).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(hit == wanted))
+
+    return run
+
+
+def _marked_keys(block):
+    """(key, c) of the band columns whose keys are marked."""
+
+    def run(batches):
+        for batch in batches:
+            c = batch.column(0).to_numpy(zero_copy_only=False)
+            for k in range(1, batch.num_columns):
+                key = batch.column(k).to_numpy(zero_copy_only=False)
+                hit = has_mark(block.value, key)
+                yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(c[hit])], names=["key", "c"])
 
     return run
 
@@ -385,8 +417,11 @@ def repeated_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "
     classes = materialise(
         found.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
         .withColumn("c", F.monotonically_increasing_id()), "classes")
-    sent = classes.select("c", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key"))
-    shared = sent.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    band = [f"b{i}" for i in range(BANDS)]
+    shared = materialise(classes.select(F.explode(F.array(*band)).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+                         .where("n > 1").select("k"), "shared-keys")
+    block = spark.sparkContext.broadcast(marks(shared, F.col("k")))
+    sent = classes.select("c", *band).mapInArrow(_marked_keys(block), "key long, c long")
     members = materialise(sent.join(shared, F.col("key") == F.col("k")).select("key", "c"), "members")
     asked = materialise(members.select("c").distinct().withColumnRenamed("c", "m").join(
         classes.select("c", "class"), F.col("c") == F.col("m")).select("c", "class"), "asked")

@@ -21,6 +21,12 @@ def test_every_place_is_found(spark):
     assert rows[1][2] == rows[2][2] == []
 
 
+def test_word_breaks(spark):
+    rows = found(spark, [(1, "cc\x00by\x1fnc"), (2, "CC_BY`NC\x7f"), (3, "cc\u00a0by nc"), (4, "cc by ñc"), (5, "😀 cc[by{nc}")])
+    assert [r[2] for r in rows] == [[("cc-by-nc", 0)], [("cc-by-nc", 0)], [], [], [("cc-by-nc", 1)]]
+    assert [r[1] for r in rows] == [3, 3, 2, 3, 4]
+
+
 def test_index_takes_the_rarest_words():
     df = {"mit": 50, "under": 90, "the": 99, "license": 3}
     assert L.rare_postings(L.TEMPLATES[:1], df) == [[("license", 3), ("mit", 2)]]

@@ -47,8 +47,7 @@ def brute_cuts(docs):
     places = {}
     for i, text in docs:
         words = (text or "").encode().lower().split()
-        at, keys = P.picked_blocks(words)
-        order = {p: k for p, k in zip(at.tolist(), keys[:, 0].tolist())}
+        order = P.picked_blocks([words])[1].tolist()
         width = P.PASSAGE - P.BLOCK + 1
         for p in range(len(words) - P.PASSAGE + 1):  # each passage has a picked block
             assert any(p <= q < p + width or tuple(words[q:q + P.BLOCK]) == tuple(words[p:p + P.BLOCK]) for q in order)
