@@ -345,7 +345,7 @@ def repeated_blocks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     here = read.mapInArrow(_marked_blocks(block), "id long, th long, start long, k1 long, k2 long")
     here = materialise(here.join(again, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))).drop("a", "b"), "block-places")
     place = F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("start").alias("start"))
-    first = here.groupBy(F.col("k1").alias("a"), F.col("k2").alias("b")).agg(F.min(place).alias("f"))
+    first = materialise(here.groupBy(F.col("k1").alias("a"), F.col("k2").alias("b")).agg(F.min(place).alias("f")), "firsts")
     return here.join(first, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))).select(
         "id", "th", "start", F.col("f.id").alias("first_id"), (place == F.col("f")).alias("stays"))
 
@@ -437,7 +437,8 @@ def repeated_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "
     here = materialise(found.select("id", "th", "line", "class").join(clustered, F.col("class") == F.col("k"))
                        .select("id", "th", "line", "cluster"), "occurrences")
     place = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("line").alias("line"))
-    first = here.groupBy(F.col("cluster").alias("k")).agg(F.min(place).alias("f"))
+    # a table of its own: the join may then split a cluster that holds much of the corpus
+    first = materialise(here.groupBy(F.col("cluster").alias("k")).agg(F.min(place).alias("f")), "firsts")
     return here.join(first, F.col("cluster") == F.col("k")).select(
         "id", "th", "line", "cluster", F.col("f.id").alias("first_id"), F.col("f.line").alias("first_line"), (place == F.col("f")).alias("stays"))
 
