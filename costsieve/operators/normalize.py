@@ -87,13 +87,20 @@ def parse_date(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return c.cast("date")
     s = F.trim(c.cast("string"))
-    parsed = None
-    for shape, layout in DATE_LAYOUTS:
-        text = F.regexp_extract(s, shape, 1)
-        text = F.initcap(text) if "MMM" in layout else text
-        value = F.to_date(F.try_to_timestamp(text, F.lit(layout)))
-        parsed = F.when(s.rlike(shape), value) if parsed is None else parsed.when(s.rlike(shape), value)
-    return parsed
+    iso = DATE_LAYOUTS[0][0]
+
+    # the rare layouts stay out of the generated code of the row loop, which would grow too long to compile
+    def other(x: Column) -> Column:
+        parsed = None
+        for shape, layout in DATE_LAYOUTS[1:]:
+            text = F.regexp_extract(x, shape, 1)
+            text = F.initcap(text) if "MMM" in layout else text
+            value = F.to_date(F.try_to_timestamp(text, F.lit(layout)))
+            parsed = F.when(x.rlike(shape), value) if parsed is None else parsed.when(x.rlike(shape), value)
+        return parsed
+
+    plain = (F.length(s) == 10) & (F.substring(s, 5, 1) == "-") & (F.substring(s, 8, 1) == "-") & F.substring(s, 10, 1).between("0", "9")
+    return F.when(plain, s.try_cast("date")).when(s.rlike(iso), F.regexp_extract(s, iso, 1).try_cast("date")).otherwise(F.get(F.transform(F.array(s), other), F.lit(0)))
 
 
 def exact_names(df: DataFrame, prefer: list[str] | None = None) -> DataFrame:
