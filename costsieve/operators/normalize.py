@@ -54,13 +54,15 @@ AZURE_TAG_PATTERNS = {
     "labels_environment": r"[Ee]nvironment=([^;,]+)",
 }
 # Date layouts of text dates: a shape that chooses the layout (its first group is the date,
-# a time of day and an offset may follow), and the layout's pattern.
-_TIME = r"(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?: ?(?:Z|UTC|[+-]\d{2}:?\d{2}))?)?$"
+# a time of day and an offset may follow), and the layout's pattern. Other texts that begin
+# with a year are read by Spark's plain cast.
+_TIME = r"(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?: ?[AaPp][Mm])?(?: ?(?:Z|UTC|[+-]\d{2}(?::?\d{2})?))?)?$"
 DATE_LAYOUTS = [
     (r"^(\d{4}-\d{1,2}-\d{1,2})" + _TIME, "yyyy-M-d"),
     (r"^(\d{1,2}/\d{1,2}/\d{4})" + _TIME, "M/d/yyyy"),
     (r"^(\d{4}/\d{1,2}/\d{1,2})" + _TIME, "yyyy/M/d"),
     (r"^(\d{8})$", "yyyyMMdd"),
+    (r"^(\d{4}-\d{1,2})$", "yyyy-M"),
     (r"^(\d{1,2}-[A-Za-z]{3}-\d{4})" + _TIME, "d-MMM-yyyy"),
     (r"^(\d{1,2} [A-Za-z]{3} \d{4})" + _TIME, "d MMM yyyy"),
     (r"^([A-Za-z]{3} \d{1,2}, \d{4})" + _TIME, "MMM d, yyyy"),
@@ -97,7 +99,9 @@ def parse_date(df: DataFrame, name: str) -> Column:
             text = F.initcap(text) if "MMM" in layout else text
             value = F.to_date(F.try_to_timestamp(text, F.lit(layout)))
             parsed = F.when(x.rlike(shape), value) if parsed is None else parsed.when(x.rlike(shape), value)
-        return parsed
+        stamp = F.try_to_timestamp(x)
+        day = F.coalesce(F.regexp_extract(x, r"^\d{4}-\d{1,2}-\d{1,2}", 0).try_cast("date"), stamp.cast("date"))
+        return parsed.when(x.rlike(r"^\d{4}(?:-|$)") & stamp.isNotNull(), day)
 
     plain = (F.length(s) == 10) & (F.substring(s, 5, 1) == "-") & (F.substring(s, 8, 1) == "-") & F.substring(s, 10, 1).between("0", "9")
     return F.when(plain, s.try_cast("date")).when(s.rlike(iso), F.regexp_extract(s, iso, 1).try_cast("date")).otherwise(F.get(F.transform(F.array(s), other), F.lit(0)))
