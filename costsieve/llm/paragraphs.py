@@ -23,7 +23,9 @@ Passages inside a line, or over several, have no paragraph of their own. For the
 far as winnowing picks them: of every ``PASSAGE - BLOCK + 1`` neighbouring blocks the one with
 the least hash. Two passages of ``PASSAGE`` equal words thus have a picked block in common. Blocks
 are compared as classes only: at this length a changed word already takes 32-word blocks below
-the similarity. A block's first occurrence stays; the words of its other occurrences are cut.
+the similarity. Of each of a block's words the first occurrence whose line stays is kept; the words
+of the later occurrences are cut. A word is thus only ever cut for an equal one at a smaller place
+that no paragraph removal takes, and no passage is lost from the whole corpus.
 
 Texts are shuffled only for documents that lose a paragraph. The other documents, and paragraphs
 without candidates, are passed by with a bitmap of fixed size over hashes; a false hit costs work
@@ -320,6 +322,11 @@ def _block_classes(raw: str):
     return run
 
 
+def line_ends(text: bytes) -> np.ndarray:
+    """The number of words up to the end of each line."""
+    return np.cumsum([len(line.split()) for line in text.split(b"\n")])
+
+
 def _marked_blocks(block):
     def run(batches):
         for batch in batches:
@@ -327,36 +334,84 @@ def _marked_blocks(block):
             for a, b in groups_of(texts, 1 << 21):
                 text, at, keys = picked_blocks([t.lower().split() for t in texts[a:b]])
                 hit = has_mark(block.value, keys[:, 0])
-                rows, keys = pa.array(text[hit] + a), keys[hit]
+                text, at, keys = text[hit], at[hit], keys[hit]
+                runs = []
+                for t in np.unique(text):
+                    ends = line_ends(texts[a + t])
+                    own = at[text == t]
+                    first, last = np.searchsorted(ends, own, side="right"), np.searchsorted(ends, own + BLOCK - 1, side="right")
+                    runs += [[x for n in range(f, z + 1) for x in (n, min(max(int(ends[n]) - w, 0), BLOCK))]
+                             for w, f, z in zip(own.tolist(), first.tolist(), last.tolist())]
+                rows = pa.array(text + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at[hit]),
-                     *[pa.array(np.ascontiguousarray(keys[:, i])) for i in (0, 1)]], names=["id", "th", "start", "k1", "k2"])
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at),
+                     *[pa.array(np.ascontiguousarray(keys[:, i])) for i in (0, 1)], pa.array(runs, pa.list_(pa.int32()))],
+                    names=["id", "th", "start", "k1", "k2", "runs"])
 
     return run
 
 
-def repeated_blocks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, th, start, first_id, stays): every picked block that occurs again, by its first word."""
+ALL = (1 << BLOCK) - 1
+
+
+def gone_words(runs: list[int], lines: list[int] | None) -> int:
+    """The words of a block that lie in removed lines, as bits. ``runs``: each line's number and
+    the block's word at which it ends."""
+    if not lines:
+        return 0
+    own, out, at = set(lines), 0, 0
+    for line, end in zip(runs[::2], runs[1::2]):
+        if line in own:
+            out |= (1 << end) - (1 << at)
+        at = end
+    return out
+
+
+def _gone(batches):
+    for batch in batches:
+        runs, lines = batch.column("runs").to_pylist(), batch.column("lines").to_pylist()
+        own = pa.array([gone_words(r, x) for r, x in zip(runs, lines)], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("id", "th", "start", "k1", "k2")] + [own], names=["id", "th", "start", "k1", "k2", "gone"])
+
+
+def repeated_blocks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lines_gone: DataFrame | None = None) -> DataFrame:
+    """(id, th, start, first_id, stays, words): every picked block that occurs again, by its first
+    word; the first occurrence stays. ``lines_gone``: (id, th, line) of the lines that paragraphs
+    remove. ``words``: as bits, the block's words of which an earlier occurrence lies in a line that
+    isn't removed; ``first_id``: the earliest document that holds such words, null if none does."""
     read = docs.select(col(id_col).cast("long").alias("id"), text_hash(text_col).alias("th"), text_bytes(text_col).alias("t"))
     again = materialise(
         read.select("t").mapInArrow(_block_classes("t"), "k1 long, k2 long").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1").select(F.col("k1").alias("a"), F.col("k2").alias("b")), "blocks")
     block = docs.sparkSession.sparkContext.broadcast(marks(again, F.col("a")))
-    here = read.mapInArrow(_marked_blocks(block), "id long, th long, start long, k1 long, k2 long")
-    here = materialise(here.join(again, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))).drop("a", "b"), "block-places")
+    here = read.mapInArrow(_marked_blocks(block), "id long, th long, start long, k1 long, k2 long, runs array<int>")
+    here = here.join(again, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))).drop("a", "b")
+    if lines_gone is None:
+        here = here.withColumn("lines", F.lit(None).cast("array<int>"))
+    else:
+        gone = lines_gone.groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.collect_set("line").alias("lines"))
+        here = here.join(gone, (F.col("th") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")), "left").drop("i", "t")
+    here = materialise(here.mapInArrow(_gone, "id long, th long, start long, k1 long, k2 long, gone long"), "block-places")
     place = F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("start").alias("start"))
-    first = materialise(here.groupBy(F.col("k1").alias("a"), F.col("k2").alias("b")).agg(F.min(place).alias("f")), "firsts")
-    return here.join(first, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))).select(
-        "id", "th", "start", F.col("f.id").alias("first_id"), (place == F.col("f")).alias("stays"))
+    # the first place for each set of words gone; a place's earlier ones are all covered by these
+    first = here.groupBy("k1", "k2", "gone").agg(F.min(place).alias("f"))
+    first = materialise(first.groupBy(F.col("k1").alias("a"), F.col("k2").alias("b")).agg(
+        F.array_sort(F.collect_list(F.struct("f", "gone"))).alias("firsts")), "firsts")
+    earlier = F.filter("firsts", lambda e: e["f"] < F.col("place"))
+    words = F.aggregate(F.col("earlier"), F.lit(0).cast("long"), lambda x, e: x.bitwiseOR(F.lit(ALL).bitwiseXOR(e["gone"])))
+    joined = here.withColumn("place", place).join(first, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b")))
+    joined = joined.withColumn("earlier", earlier).withColumn("words", words)
+    holds = F.filter("earlier", lambda e: e["gone"] != F.lit(ALL))
+    return joined.select("id", "th", "start", F.get(holds, F.lit(0))["f"]["id"].alias("first_id"), (F.size("earlier") == 0).alias("stays"), "words")
 
 
 _WORD = re.compile(r"[^ \t-\r]+")
 
 
-def without(text: str, lines: set[int], starts: list[int], block: int = BLOCK) -> str:
-    """The text without some lines and without the words of some blocks. A line that blocks leave
-    no words goes as well."""
-    cut = {w for s in starts for w in range(s, s + block)}
+def without(text: str, lines: set[int], blocks: list[tuple[int, int]]) -> str:
+    """The text without some lines and without some words of blocks, given by the block's first word
+    and bits. A line that blocks leave no words goes as well."""
+    cut = {start + k for start, words in blocks for k in range(words.bit_length()) if words >> k & 1}
     out, word = [], 0
     for n, line in enumerate(text.split("\n")):
         spans = [m.span() for m in _WORD.finditer(line)] if cut else []
@@ -375,8 +430,8 @@ def _remove(text: str, gone: str, cuts: str):
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            out = [without(t, set(lines or ()), starts or []) if lines or starts else t
-                   for t, lines, starts in zip(*[batch.column(names.index(n)).to_pylist() for n in (text, gone, cuts)])]
+            out = [without(t, set(lines or ()), [(c["start"], c["words"]) for c in blocks or ()]) if lines or blocks else t
+                   for t, lines, blocks in zip(*[batch.column(names.index(n)).to_pylist() for n in (text, gone, cuts)])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out, pa.string()) if n == text else batch.column(k) for k, n in enumerate(names)], names=names)
 
@@ -444,17 +499,21 @@ def repeated_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY,
-                   min_words: int = MIN_WORDS) -> DataFrame:
+                   min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """``docs`` with repeated paragraphs and blocks taken out, and the columns ``removed`` (line
-    numbers, from 0), ``cut`` (first words of the blocks, from 0) and ``kept_in`` (ids of the
-    documents that hold the copies that stay)."""
+    numbers, from 0), ``cut`` (first words, from 0, of the blocks that occur before; of these, the
+    words that stay at an earlier place are taken out) and ``kept_in`` (ids of the documents that
+    hold the copies that stay). ``whole``: blocks are cut as far as their words stay at an earlier
+    place after the paragraphs' removal; without it, by the first place in the texts as they came."""
     spark = docs.sparkSession
-    lines_gone = repeated_paragraphs(docs, text_col, id_col, similarity, min_words).where("not stays")
-    blocks_gone = repeated_blocks(docs, text_col, id_col).where("not stays")
-    gone = lines_gone.select("id", "th", "line", F.lit(None).cast("long").alias("start"), "first_id").union(
-        blocks_gone.select("id", "th", F.lit(None).cast("int"), "start", "first_id"))
+    lines_gone = materialise(repeated_paragraphs(docs, text_col, id_col, similarity, min_words).where("not stays")
+                             .select("id", "th", "line", "first_id"), "lines-removed")
+    blocks_gone = repeated_blocks(docs, text_col, id_col, lines_gone if whole else None).where("not stays")
+    none = F.lit(None).cast("struct<start:bigint,words:bigint>")
+    gone = lines_gone.select("id", "th", "line", none.alias("cut"), "first_id").union(
+        blocks_gone.select("id", "th", F.lit(None).cast("int"), F.struct("start", "words"), "first_id"))
     lists = materialise(gone.groupBy("id", "th").agg(
-        F.array_sort(F.collect_set("line")).alias("lines"), F.array_sort(F.collect_set("start")).alias("cuts"),
+        F.array_sort(F.collect_set("line")).alias("lines"), F.array_sort(F.collect_set("cut")).alias("cuts"),
         F.array_sort(F.collect_set("first_id")).alias("ids")), "removed")
     block = spark.sparkContext.broadcast(marks(lists, F.col("th")))
     names = {"removed": "array<int>", "cut": "array<long>", "kept_in": "array<long>"}
@@ -465,6 +524,6 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     some = map_arrow(hashed, _marked_rows(block, th, True)).join(
         own, (col(th) == F.col("__t")) & col(id_col).cast("long").eqNullSafe(F.col("__i")), "left").drop("__i", "__t")
     changed = map_arrow(some, _remove(text_col, lists_as[0], lists_as[1])).select(
-        *keep, *[F.coalesce(col(c), F.array().cast(kind)).alias(n) for c, (n, kind) in zip(lists_as, names.items())])
+        *keep, *[F.coalesce(col(c)["start"] if n == "cut" else col(c), F.array().cast(kind)).alias(n) for c, (n, kind) in zip(lists_as, names.items())])
     rest = map_arrow(hashed, _marked_rows(block, th, False)).select(*keep, *[F.array().cast(kind).alias(n) for n, kind in names.items()])
     return changed.union(rest)

@@ -192,4 +192,4 @@ def op7_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return paragraphs.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
