@@ -25,7 +25,9 @@ the least hash. Two passages of ``PASSAGE`` equal words thus have a picked block
 are compared as classes only: at this length a changed word already takes 32-word blocks below
 the similarity. Of each of a block's words the first occurrence whose line stays is kept; the words
 of the later occurrences are cut. A word is thus only ever cut for an equal one at a smaller place
-that no paragraph removal takes, and no passage is lost from the whole corpus.
+that no paragraph removal takes, and no passage is lost from the whole corpus. The cut goes on to
+both sides as far as the words equal those around the earlier place: up to ``PASSAGE - BLOCK`` words,
+the most that a passage has before its first picked block or after its last.
 
 Texts are shuffled only for documents that lose a paragraph. The other documents, and paragraphs
 without candidates, are passed by with a bitmap of fixed size over hashes; a false hit costs work
@@ -332,31 +334,38 @@ def _marked_blocks(block):
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in groups_of(texts, 1 << 21):
-                text, at, keys = picked_blocks([t.lower().split() for t in texts[a:b]])
+                split = [t.lower().split() for t in texts[a:b]]
+                text, at, keys = picked_blocks(split)
                 hit = has_mark(block.value, keys[:, 0])
                 text, at, keys = text[hit], at[hit], keys[hit]
-                runs = []
+                runs, sides = [], []
                 for t in np.unique(text):
                     ends = line_ends(texts[a + t])
                     own = at[text == t]
-                    first, last = np.searchsorted(ends, own, side="right"), np.searchsorted(ends, own + BLOCK - 1, side="right")
-                    runs += [[x for n in range(f, z + 1) for x in (n, min(max(int(ends[n]) - w, 0), BLOCK))]
+                    lo, hi = np.maximum(own - SIDES, 0), np.minimum(own + BLOCK + SIDES, len(split[t]))
+                    first, last = np.searchsorted(ends, lo, side="right"), np.searchsorted(ends, hi - 1, side="right")
+                    runs += [[x for n in range(f, z + 1) for x in (n, min(max(int(ends[n]) - w + SIDES, 0), 2 * SIDES + BLOCK))]
                              for w, f, z in zip(own.tolist(), first.tolist(), last.tolist())]
+                    word = np.r_[np.zeros(SIDES, np.uint64), word_hashes(split[t]) | np.uint64(1), np.zeros(SIDES, np.uint64)]
+                    sides += [np.r_[word[w:w + SIDES], word[w + SIDES + BLOCK:w + 2 * SIDES + BLOCK]].tobytes() for w in own.tolist()]
                 rows = pa.array(text + a)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at),
-                     *[pa.array(np.ascontiguousarray(keys[:, i])) for i in (0, 1)], pa.array(runs, pa.list_(pa.int32()))],
-                    names=["id", "th", "start", "k1", "k2", "runs"])
+                     *[pa.array(np.ascontiguousarray(keys[:, i])) for i in (0, 1)], pa.array(runs, pa.list_(pa.int32())), pa.array(sides, pa.binary())],
+                    names=["id", "th", "start", "k1", "k2", "runs", "sides"])
 
     return run
 
 
+# Words on each side of a block: a passage's first picked block starts at most so many words after
+# it, and its last one ends at most so many before its end.
+SIDES = PASSAGE - BLOCK
 ALL = (1 << BLOCK) - 1
 
 
 def gone_words(runs: list[int], lines: list[int] | None) -> int:
-    """The words of a block that lie in removed lines, as bits. ``runs``: each line's number and
-    the block's word at which it ends."""
+    """The words of a block and its sides that lie in removed lines, as bits. ``runs``: each line's
+    number and the word at which it ends."""
     if not lines:
         return 0
     own, out, at = set(lines), 0, 0
@@ -367,51 +376,90 @@ def gone_words(runs: list[int], lines: list[int] | None) -> int:
     return out
 
 
+def halves(bits: int) -> tuple[int, int]:
+    """(the block's bits, those of its sides) of the bits of a block with its sides."""
+    return bits >> SIDES & ALL, bits & ((1 << SIDES) - 1) | bits >> (SIDES + BLOCK) << SIDES
+
+
+def equal_sides(own: bytes, other: bytes) -> int:
+    """The words on both sides of two equal blocks up to which the texts are equal, as bits."""
+    x, y = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
+    same = ((x == y) & (x != 0)).tolist()
+    left = (same[SIDES - 1::-1] + [False]).index(False)
+    right = (same[SIDES:] + [False]).index(False)
+    return ((1 << left) - 1) << (SIDES - left) | ((1 << right) - 1) << SIDES
+
+
+_PLACES = ["id", "th", "start", "k1", "k2"]
+
+
 def _gone(batches):
     for batch in batches:
         runs, lines = batch.column("runs").to_pylist(), batch.column("lines").to_pylist()
-        own = pa.array([gone_words(r, x) for r, x in zip(runs, lines)], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("id", "th", "start", "k1", "k2")] + [own], names=["id", "th", "start", "k1", "k2", "gone"])
+        own = [halves(gone_words(r, x)) for r, x in zip(runs, lines)]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(n) for n in _PLACES], pa.array([x for x, _ in own], pa.int64()), pa.array([x for _, x in own], pa.int64()),
+             batch.column("sides")], names=[*_PLACES, "gone", "sides_gone", "sides"])
+
+
+def _extended(batches):
+    """The words on a block's sides that an earlier place has as well, in lines that stay."""
+    for batch in batches:
+        out = []
+        for own, earlier in zip(batch.column("sides").to_pylist(), batch.column("earlier").to_pylist()):
+            more = 0
+            for e in earlier:
+                more |= equal_sides(own, e["sides"]) & ~e["sides_gone"]
+            out.append(more)
+        names = ["id", "th", "start", "first_id", "stays", "words"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, pa.int64())], names=[*names, "more"])
 
 
 def repeated_blocks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lines_gone: DataFrame | None = None) -> DataFrame:
-    """(id, th, start, first_id, stays, words): every picked block that occurs again, by its first
+    """(id, th, start, first_id, stays, words, more): every picked block that occurs again, by its first
     word; the first occurrence stays. ``lines_gone``: (id, th, line) of the lines that paragraphs
     remove. ``words``: as bits, the block's words of which an earlier occurrence lies in a line that
-    isn't removed; ``first_id``: the earliest document that holds such words, null if none does."""
+    isn't removed; ``more``: those up to SIDES words before it and after it by which the equal
+    passage is longer; ``first_id``: the earliest document that holds words, null if none does."""
     read = docs.select(col(id_col).cast("long").alias("id"), text_hash(text_col).alias("th"), text_bytes(text_col).alias("t"))
     again = materialise(
         read.select("t").mapInArrow(_block_classes("t"), "k1 long, k2 long").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1").select(F.col("k1").alias("a"), F.col("k2").alias("b")), "blocks")
     block = docs.sparkSession.sparkContext.broadcast(marks(again, F.col("a")))
-    here = read.mapInArrow(_marked_blocks(block), "id long, th long, start long, k1 long, k2 long, runs array<int>")
+    here = read.mapInArrow(_marked_blocks(block), "id long, th long, start long, k1 long, k2 long, runs array<int>, sides binary")
     here = here.join(again, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))).drop("a", "b")
     if lines_gone is None:
         here = here.withColumn("lines", F.lit(None).cast("array<int>"))
     else:
         gone = lines_gone.groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.collect_set("line").alias("lines"))
         here = here.join(gone, (F.col("th") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")), "left").drop("i", "t")
-    here = materialise(here.mapInArrow(_gone, "id long, th long, start long, k1 long, k2 long, gone long"), "block-places")
+    here = materialise(here.mapInArrow(
+        _gone, "id long, th long, start long, k1 long, k2 long, gone long, sides_gone long, sides binary"), "block-places")
     place = F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("start").alias("start"))
     # the first place for each set of words gone; a place's earlier ones are all covered by these
-    first = here.groupBy("k1", "k2", "gone").agg(F.min(place).alias("f"))
+    first = here.groupBy("k1", "k2", "gone").agg(F.min(F.struct(place.alias("f"), "sides_gone", "sides")).alias("m"))
     first = materialise(first.groupBy(F.col("k1").alias("a"), F.col("k2").alias("b")).agg(
-        F.array_sort(F.collect_list(F.struct("f", "gone"))).alias("firsts")), "firsts")
+        F.array_sort(F.collect_list(F.struct(F.col("m.f").alias("f"), "gone", F.col("m.sides_gone").alias("sides_gone"), F.col("m.sides").alias("sides")))).alias("firsts")), "firsts")
     earlier = F.filter("firsts", lambda e: e["f"] < F.col("place"))
     words = F.aggregate(F.col("earlier"), F.lit(0).cast("long"), lambda x, e: x.bitwiseOR(F.lit(ALL).bitwiseXOR(e["gone"])))
     joined = here.withColumn("place", place).join(first, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b")))
     joined = joined.withColumn("earlier", earlier).withColumn("words", words)
     holds = F.filter("earlier", lambda e: e["gone"] != F.lit(ALL))
-    return joined.select("id", "th", "start", F.get(holds, F.lit(0))["f"]["id"].alias("first_id"), (F.size("earlier") == 0).alias("stays"), "words")
+    found = joined.select("id", "th", "start", F.get(holds, F.lit(0))["f"]["id"].alias("first_id"), (F.size("earlier") == 0).alias("stays"), "words",
+                          "sides", F.transform("earlier", lambda e: F.struct(e["sides_gone"].alias("sides_gone"), e["sides"].alias("sides"))).alias("earlier"))
+    return found.mapInArrow(_extended, "id long, th long, start long, first_id long, stays boolean, words long, more long")
 
 
 _WORD = re.compile(r"[^ \t-\r]+")
 
 
-def without(text: str, lines: set[int], blocks: list[tuple[int, int]]) -> str:
-    """The text without some lines and without some words of blocks, given by the block's first word
-    and bits. A line that blocks leave no words goes as well."""
-    cut = {start + k for start, words in blocks for k in range(words.bit_length()) if words >> k & 1}
+def without(text: str, lines: set[int], blocks: list[tuple[int, int, int]]) -> str:
+    """The text without some lines and without some words of blocks and their sides, given by the
+    block's first word and bits. A line that blocks leave no words goes as well."""
+    cut = set()
+    for start, words, more in blocks:
+        bits = more & ((1 << SIDES) - 1) | words << SIDES | more >> SIDES << (SIDES + BLOCK)
+        cut.update(start - SIDES + k for k in range(bits.bit_length()) if bits >> k & 1)
     out, word = [], 0
     for n, line in enumerate(text.split("\n")):
         spans = [m.span() for m in _WORD.finditer(line)] if cut else []
@@ -430,7 +478,7 @@ def _remove(text: str, gone: str, cuts: str):
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            out = [without(t, set(lines or ()), [(c["start"], c["words"]) for c in blocks or ()]) if lines or blocks else t
+            out = [without(t, set(lines or ()), [(c["start"], c["words"], c["more"]) for c in blocks or ()]) if lines or blocks else t
                    for t, lines, blocks in zip(*[batch.column(names.index(n)).to_pylist() for n in (text, gone, cuts)])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out, pa.string()) if n == text else batch.column(k) for k, n in enumerate(names)], names=names)
@@ -504,14 +552,16 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     numbers, from 0), ``cut`` (first words, from 0, of the blocks that occur before; of these, the
     words that stay at an earlier place are taken out) and ``kept_in`` (ids of the documents that
     hold the copies that stay). ``whole``: blocks are cut as far as their words stay at an earlier
-    place after the paragraphs' removal; without it, by the first place in the texts as they came."""
+    place after the paragraphs' removal, and up to the ends of the equal passages; without it, by
+    the first place in the texts as they came, and alone."""
     spark = docs.sparkSession
     lines_gone = materialise(repeated_paragraphs(docs, text_col, id_col, similarity, min_words).where("not stays")
                              .select("id", "th", "line", "first_id"), "lines-removed")
     blocks_gone = repeated_blocks(docs, text_col, id_col, lines_gone if whole else None).where("not stays")
-    none = F.lit(None).cast("struct<start:bigint,words:bigint>")
+    none = F.lit(None).cast("struct<start:bigint,words:bigint,more:bigint>")
+    more = (F.col("more") if whole else F.lit(0).cast("long")).alias("more")
     gone = lines_gone.select("id", "th", "line", none.alias("cut"), "first_id").union(
-        blocks_gone.select("id", "th", F.lit(None).cast("int"), F.struct("start", "words"), "first_id"))
+        blocks_gone.select("id", "th", F.lit(None).cast("int"), F.struct("start", "words", more), "first_id"))
     lists = materialise(gone.groupBy("id", "th").agg(
         F.array_sort(F.collect_set("line")).alias("lines"), F.array_sort(F.collect_set("cut")).alias("cuts"),
         F.array_sort(F.collect_set("first_id")).alias("ids")), "removed")

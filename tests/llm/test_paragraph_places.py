@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from helpers import documents
 
 from costsieve.llm import paragraphs as P
@@ -30,3 +31,23 @@ def test_a_passage_of_a_removed_line_stays_elsewhere(spark):
 def test_words_gone():
     assert P.gone_words([4, 32], [3]) == 0 and P.gone_words([4, 32], [4]) == P.ALL
     assert P.gone_words([4, 10, 5, 10, 6, 32], [5, 6]) == P.ALL - (2**10 - 1)
+
+
+def test_passages_go_to_their_ends(spark):
+    rng = random.Random(32)
+    long, short = words(rng, 51), words(rng, 137)
+    docs = [(k, " ".join(words(rng, 13 + 5 * k) + long + words(rng, 21) + short + words(rng, 30))) for k in range(5)]
+    docs.append((9, " ".join(words(rng, 20) + long[:20]) + "\n" + " ".join(long[20:] + words(rng, 9)) + "\n" + " ".join(short)))
+    got = cleaned(spark, docs)
+    assert got[0]["text"] == docs[0][1]
+    for i, text in docs[1:]:
+        assert got[i]["text"].split() == [w for w in text.split() if w not in {*long, *short}]
+
+
+def test_equal_sides():
+    side = lambda *different: np.array([0 if k in different else k + 1 for k in range(2 * P.SIDES)], np.uint64).tobytes()
+    n = 2 * P.SIDES
+    assert P.equal_sides(side(), side()) == (1 << n) - 1
+    assert P.equal_sides(side(P.SIDES - 1, P.SIDES), side()) == 0
+    assert P.equal_sides(side(0), side(n - 1)) == (1 << n - 1) - 2
+    assert P.halves((1 << P.SIDES) - 1 | 1 << P.SIDES + P.BLOCK) == (0, (1 << P.SIDES + 1) - 1)
