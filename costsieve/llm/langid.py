@@ -8,7 +8,8 @@ nothing, and below order 0 all 256 bytes are alike. n: symbols counted, q: disti
 text's exact code length is the sum over its whole bytes; the shortest code names the language.
 
 Training reads at most ``max_docs`` documents of at most ``max_doc_bytes`` bytes for each
-language (those with the smallest hash of the id), so the trees are bounded by max_docs *
+language (those with the smallest hash of the id; of longer documents the first bytes, where a
+language has no shorter one), so the trees are bounded by max_docs *
 max_doc_bytes * (order + 1) entries a language whatever the corpus holds. They are broadcast.
 
 Defined cases: a null text or one without letters is ``und`` with score 0, and so is any text
@@ -63,16 +64,19 @@ def _count(order: int):
 
 def training_sample(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang",
                     id_col: str = "doc_id", max_docs: int = MAX_DOCS, max_doc_bytes: int = MAX_DOC_BYTES) -> DataFrame:
-    """(lang, t): at most ``max_docs`` documents a language, those with the smallest hash."""
+    """(lang, t): at most ``max_docs`` documents a language, those with the smallest hash; the first
+    ``max_doc_bytes`` bytes of longer ones where a language has no other."""
     usable = docs.where(learn & col(text_col).isNotNull() & col(lang_col).isNotNull()).select(
         col(lang_col).cast("string").alias("lang"), text_bytes(text_col).alias("t"),
         (F.shiftrightunsigned(F.xxhash64(id_text(id_col)), 1) / F.lit(float(2**63))).alias("u"))
-    usable = usable.where(F.length("t").between(1, max_doc_bytes))
-    share = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * max_docs) / F.count(F.lit(1))).alias("share"))
-    share = materialise(share.withColumnRenamed("lang", "l"), "languages")
+    usable = usable.where(F.length("t") >= 1).withColumn("short", F.length("t") <= max_doc_bytes)
+    n = usable.groupBy(F.col("lang").alias("l")).agg(F.count_if("short").alias("n_short"), F.count(F.lit(1)).alias("n"))
+    n = n.select("l", F.when(F.col("n_short") > 0, F.col("n_short")).otherwise(F.col("n")).alias("n"), (F.col("n_short") > 0).alias("has_short"))
+    share = materialise(n.select("l", "has_short", F.least(F.lit(1.0), F.lit(2.0 * max_docs) / F.col("n")).alias("share")), "languages")
     if share.count() <= FEW_LANGUAGES:  # else a shuffle join
         share = F.broadcast(share)
-    near = usable.join(share, F.col("lang") == F.col("l")).where("u <= share")
+    near = usable.join(share, F.col("lang") == F.col("l")).where("u <= share and short = has_short")
+    near = near.select("lang", F.substring("t", 1, max_doc_bytes).alias("t"), "u")
     first = Window.partitionBy("lang").orderBy("u", "t")
     return near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max_docs).select("lang", "t")
 
