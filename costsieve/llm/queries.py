@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costsieve.llm import bitslice, chat, ctw, decontaminate, langid, licenses, mixing, paragraphs, pii, simhash
+from costsieve.llm import (
+    bitslice,
+    bpe,
+    chat,
+    ctw,
+    decontaminate,
+    divergence,
+    filter_audit,
+    langid,
+    licenses,
+    mixing,
+    paragraphs,
+    pii,
+    simhash,
+)
 from costsieve.llm.common import crc_mod, read_table
 
 QUERIES: dict = {}
@@ -193,3 +208,96 @@ def op7_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
+
+
+@query
+def op11_filter_decision_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.text_audit(docs, read_table(spark, sf_dir, "labels"))
+
+
+ORACLE["op11_filter_decision_diagrams"] = r"""
+WITH d AS (
+  SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+  FROM documents
+), m AS (
+  SELECT part, good, toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+    100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t), regexp_matches(t, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f FROM d
+), g AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, f
+), l AS (
+  SELECT unnest(range(1, 6)) AS i
+), o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), s AS (
+  SELECT array_to_string(list_transform(o, lambda x: chr(CAST(64 + x AS INTEGER))), '') AS filter_order, i AS step, o[i] AS v, o[1:i - 1] AS before FROM o, l
+), r AS (
+  SELECT part, filter_order, step, v, n, good, toxic, len(list_filter(before, lambda x: f[x])) = 0 AS here, f[v] AS fails,
+    len(list_filter(f, lambda x: x)) = 1 AS alone FROM g, s
+), a AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, v, CAST(coalesce(sum(n) FILTER (here AND NOT fails), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (here AND fails), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (fails AND NOT here), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (fails AND alone), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (here AND fails), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (here AND fails), 0) AS BIGINT) AS toxic_lost FROM r GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, v) AS BIGINT) AS shapley FROM a
+"""
+
+
+@query
+def op12_byte_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = bpe.decode(bpe.encode(docs, vocabulary, public_tokenizers.PATTERN).drop("text"), vocabulary)
+    return found.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+ORACLE["op13_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), o AS (
+  SELECT r, lang, source, unnest(w) AS term FROM d
+), k AS (
+  SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL
+), v AS (
+  SELECT lang, count(*) AS v FROM k GROUP BY lang
+), grp AS (
+  SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT grp.lang, grp.source, k.term, coalesce(c.n, 0) AS n,
+    (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (grp.n + 2 * v.v))::BIGINT AS p
+  FROM grp JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = grp.lang AND c.source = grp.source AND c.term = k.term
+), lt AS (
+  SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL
+), q AS (
+  SELECT lang, term, (1 + (1000000000::HUGEINT * (lt.n + 2)) // (sum(lt.n) OVER (PARTITION BY lang) + 2 * v.v))::BIGINT AS q FROM lt JOIN v USING (lang)
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), term AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, 'pair' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL BY NAME
+  SELECT *, 'term' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM term QUALIFY rank <= 10
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked
+"""

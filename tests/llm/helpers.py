@@ -29,7 +29,7 @@ def read(table, columns="*", sf=SF):
 def same_as_oracle(spark, name, sf=SF):
     """The query's rows and its SQL's rows, both sorted, as comparable lists."""
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "conversations"):
+    for t in ("documents", "embeddings", "benchmark", "conversations", "labels"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     mine = entry.queries()[name](spark, sf)
     cur = con.execute(entry.oracle_sql()[name])
