@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 from array import array
 from collections.abc import Iterator
 
@@ -42,10 +43,13 @@ from pyspark.sql import functions as F
 
 from costsieve.llm.common import col, fresh, map_arrow, text_bytes
 
-STATES = 120_000
+STATES = 300_000
 PIECES = 100_000
 LONGEST_KEPT_PIECE = 32
 END = 1 << 32
+AGREE = 300_000
+LONG = 1 << 20
+BLOCK = 1 << 14
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -102,10 +106,12 @@ class Transducer:
                     node = self.trie[node][b]
                 self.token_at[node] = rank
         self.edges: dict[int, tuple[list, list]] = {}
+        self.agree: dict[tuple, bool] = {}
         self._start()
 
     def _start(self) -> None:
-        self.agree: dict[tuple, bool] = {}
+        if len(self.agree) >= AGREE:
+            self.agree.clear()
         self.states: list[tuple] = []
         self.moves: dict[int, tuple[int, tuple]] = {}
         self.ends: list[tuple] = []
@@ -117,7 +123,8 @@ class Transducer:
         if state not in self.numbers:
             self.numbers[state] = len(self.states)
             self.states.append(state)
-            self.ends.append(next((held for held, node in state[1] if node == 0), ()))
+            held, node = state[1][-1]  # a way at the root of the trie is the last one
+            self.ends.append(held if node == 0 else ())
         return self.numbers[state]
 
     def _edges(self, token: int) -> tuple[list, list]:
@@ -174,17 +181,20 @@ class Transducer:
                     split = (*held, token)
         if split is not None:
             new.append((split, 0))
-        first = new[0][0]
-        common = len(first)  # what all ways begin with
-        for held, _ in new:
-            while first[:common] != held[:common]:
-                common -= 1
-        if common:
-            last = first[common - 1]
-            new = [(held[common:], node) for held, node in new]
-        if new[0][0] and all(held for held, _ in new):
-            last = None  # the last emitted id only matters to a way that holds nothing back
-        found = self.moves[number << 8 | byte] = (self._number((last, tuple(new))), first[:common])
+        first, common = new[0][0], 0
+        if first:  # what all ways begin with is emitted
+            common = len(first)
+            for held, _ in new:
+                while first[:common] != held[:common]:
+                    common -= 1
+            if common:
+                last = first[common - 1]
+                new = [(held[common:], node) for held, node in new]
+            if all(held for held, _ in new):
+                last = None  # the last emitted id only matters to a way that holds nothing back
+        state = (last, tuple(new))
+        to = self.numbers.get(state)
+        found = self.moves[number << 8 | byte] = (self._number(state) if to is None else to, first[:common])
         return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -213,23 +223,34 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], lonely: frozenset, pattern: str):
         self.transducer = Transducer(ranks, lonely)
-        self.pieces = regex.compile(pattern).finditer
+        self.pattern = regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
+    def _blocks(self, text: str) -> Iterator[list[str]]:
+        """The text's pieces, of a long text some at a time."""
+        if len(text) < LONG:
+            yield self.pattern.findall(text)
+            return
+        pieces = self.pattern.finditer(text)
+        while block := [m[0] for m in itertools.islice(pieces, BLOCK)]:
+            yield block
+
     def encode(self, text: str) -> array:
-        out, get = array("I"), self.known.get
-        for m in self.pieces(text):
-            piece = m[0]
-            ids = get(piece)
-            if ids is None:
+        out = array("I")
+        for block in self._blocks(text):
+            here = {}  # also those too long to be kept
+            if len(self.known) >= PIECES:
+                self.older, self.known = self.known, {}
+            known = self.known
+            for piece in set(block).difference(known):
                 ids = self.older.get(piece) or self.transducer.encode(piece.encode())
                 if len(piece) <= LONGEST_KEPT_PIECE:
-                    if len(self.known) >= PIECES:
-                        self.older, self.known = self.known, {}
-                        get = self.known.get
-                    self.known[piece] = ids
-            out.extend(ids)
+                    known[piece] = ids
+                else:
+                    here[piece] = ids
+            look = (lambda p: here.get(p) or known[p]) if here else known.__getitem__
+            out.extend(itertools.chain.from_iterable(map(look, block)))
         return out
 
 
