@@ -55,10 +55,10 @@ PAIRS = 1 << 20
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 _RUNS = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("first", pa.binary()), ("terms", pa.list_(pa.binary())),
-                   ("sizes", pa.list_(pa.int32())), ("sources", pa.list_(pa.string())), ("of", pa.list_(pa.int32())),
-                   ("counts", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
-_RUNS_DDL = ("shard int, lang string, first binary, terms array<binary>, sizes array<int>, sources array<string>, "
-             "of array<int>, counts array<long>, docs array<long>")
+                   ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("sources", pa.list_(pa.string())),
+                   ("of", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+_RUNS_DDL = ("shard int, lang string, first binary, terms array<binary>, docs array<long>, sizes array<int>, "
+             "sources array<string>, of array<int>, counts array<long>")
 _FREQUENCIES_DDL = "lang string, term string, source string, count long, total long, head int"
 
 
@@ -87,58 +87,49 @@ class Block:
         self.entries += len(counts) - before
 
     def run(self, shards: int) -> Iterator[pa.RecordBatch]:
-        """The block's postings, term-sorted, as chunks of its hash shards."""
-        by_lang: dict[str, list[tuple[str, str]]] = {}
-        for group in sorted(self.counts):
-            by_lang.setdefault(group[0], []).append(group)
-        for lang, groups in by_lang.items():
-            parts: list[list] = [[] for _ in range(shards)]
-            seed = zlib.crc32(lang.encode())
-            shard_of: dict[bytes, int] = {}
-            for code, group in enumerate(groups):
-                docs = self.docs[group]
-                for term, n in self.counts[group].items():
-                    shard = shard_of.get(term)
-                    if shard is None:
-                        shard = shard_of[term] = zlib.crc32(term, seed) % shards
-                    parts[shard].append((term, code, n, docs[term]))
-            sources = [s for _, s in groups]
-            rows = []
-            for shard, entries in enumerate(parts):
-                entries.sort()
-                rows += _chunks(shard, lang, sources, entries)
-                parts[shard] = []
-                if len(rows) >= 64:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_RUNS)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_RUNS)
-
-
-def _chunks(shard: int, lang: str, sources: list[str], entries: list[tuple]) -> Iterator[dict]:
-    """Rows of at most CHUNK terms; a term's postings (one a source) stay together."""
-    terms, sizes, start = [], [], 0
-    for i, e in enumerate(entries):
-        if terms and terms[-1] == e[0]:
-            sizes[-1] += 1
-            continue
-        if len(terms) == CHUNK:
-            yield _chunk(shard, lang, sources, terms, sizes, entries[start:i])
-            terms, sizes, start = [], [], i
-        terms.append(e[0])
-        sizes.append(1)
-    if terms:
-        yield _chunk(shard, lang, sources, terms, sizes, entries[start:])
-
-
-def _chunk(shard, lang, sources, terms, sizes, entries) -> dict:
-    _, of, counts, docs = zip(*entries)
-    used = sorted(set(of))
-    if len(used) < len(sources):  # only the chunk's own sources travel with it
-        new = {code: i for i, code in enumerate(used)}
-        sources, of = [sources[code] for code in used], [new[code] for code in of]
-    return {"shard": shard, "lang": lang, "first": terms[0], "terms": terms, "sizes": sizes,
-            "sources": sources, "of": of, "counts": counts, "docs": docs}
+        """The block's postings by hash shard and term, a row for each chunk of at most CHUNK terms."""
+        by_lang: dict[str, list[str]] = {}
+        for lang, source in self.counts:
+            by_lang.setdefault(lang, []).append(source)
+        for lang, sources in by_lang.items():
+            if any(self.counts[lang, s] for s in sources):
+                yield self._lang_run(lang, sources, shards)
+
+    def _lang_run(self, lang: str, sources: list[str], shards: int) -> pa.RecordBatch:
+        tables = [self.counts[lang, s] for s in sources]
+        terms = sorted(set().union(*tables))
+        seed = zlib.crc32(lang.encode())
+        shard = np.fromiter((zlib.crc32(t, seed) % shards for t in terms), np.int64, len(terms))
+        place = np.argsort(shard, kind="stable")  # by shard, then by term
+        shard, terms = shard[place], [terms[i] for i in place]
+        number = dict(zip(terms, range(len(terms))))
+        term, code, count, docs = [], [], [], np.zeros(len(terms), np.int64)
+        for k, (source, table) in enumerate(zip(sources, tables)):
+            at = np.fromiter(map(number.__getitem__, table), np.int64, len(table))
+            docs[at] += np.fromiter(map(self.docs[lang, source].__getitem__, table), np.int64, len(table))
+            term.append(at)
+            code.append(np.full(len(at), k, np.int32))
+            count.append(np.fromiter(table.values(), np.int64, len(table)))
+        term, code, count = map(np.concatenate, (term, code, count))
+        order = np.argsort(term, kind="stable")
+        code, count, sizes = code[order], count[order], np.bincount(term, minlength=len(terms))
+        # chunks: the terms of one shard, CHUNK at a time; a term's postings stay together
+        starts = np.flatnonzero(np.r_[True, np.diff(shard) != 0])
+        within = np.arange(len(terms)) - np.repeat(starts, np.diff(np.r_[starts, len(terms)]))
+        cuts = np.r_[np.flatnonzero(within % CHUNK == 0), len(terms)]
+        posts = np.r_[0, np.cumsum(sizes)][cuts]
+        names = []
+        for a, b in zip(posts, posts[1:]):  # only its own sources travel with a chunk
+            used, code[a:b] = np.unique(code[a:b], return_inverse=True)
+            names.append([sources[k] for k in used])
+
+        def lists(offsets, values, kind):
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+        return pa.RecordBatch.from_arrays(
+            [pa.array(shard[cuts[:-1]], pa.int32()), pa.array([lang] * len(names)), pa.array([terms[c] for c in cuts[:-1]], pa.binary()),
+             lists(cuts, terms, pa.binary()), lists(cuts, docs, pa.int64()), lists(cuts, sizes, pa.int32()),
+             pa.array(names, pa.list_(pa.string())), lists(posts, code, pa.int32()), lists(posts, count, pa.int64())], schema=_RUNS)
 
 
 def runs(docs: DataFrame, lang: Column, source: Column, text_col: str, shards: int, block_entries: int) -> DataFrame:
@@ -157,53 +148,47 @@ def runs(docs: DataFrame, lang: Column, source: Column, text_col: str, shards: i
 
 
 # ------------------------------------------------------------------ the merge
-def _entries(chunk: dict) -> Iterator[tuple[bytes, list]]:
-    """(term, [(source, occurrences, documents)]) of one chunk, in its order."""
-    names, at = chunk["sources"], 0
-    of, counts, docs = chunk["of"], chunk["counts"], chunk["docs"]
-    for term, size in zip(chunk["terms"], chunk["sizes"]):
-        yield term, [(names[of[k]], counts[k], docs[k]) for k in range(at, at + size)]
-        at += size
-
-
-def merged(chunks: Iterator[dict]) -> Iterator[tuple[str, bytes, dict, int]]:
-    """Heap-merge of a shard's runs: (lang, term, {source: occurrences}, documents) in order.
+def merged(chunks: Iterator[dict]) -> Iterator[tuple[bytes, int, list[tuple]]]:
+    """Heap-merge of the runs of one shard and language: (term, documents, places) in order of terms.
 
-    ``chunks`` come by (lang, first term). Open are only those that the merge has reached.
+    ``chunks`` come by first term and are opened when the merge has reached it. A place is (chunk,
+    start, end) of the term's postings; ``counts_of`` adds them up.
     """
-    heap: list = []
-    serial = 0
-    now = None  # (lang, term) being summed
-    counts: dict[str, int] = {}
-    documents = 0
+    heap: list = []  # (term, serial, chunk, its number of terms read, postings read)
 
     def until(limit):
-        """Entries below ``limit`` off the heap; finished terms are yielded."""
-        nonlocal now, counts, documents
-        while heap and (limit is None or heap[0][:2] < limit):
-            lang, term, k, postings, rest = heap[0]
-            if (nxt := next(rest, None)) is None:
-                heapq.heappop(heap)
+        now, documents, places = None, 0, []
+        while heap and (limit is None or heap[0][0] < limit):
+            term, serial, chunk, k, at = heap[0]
+            if term != now:
+                if places:
+                    yield now, documents, places
+                now, documents, places = term, 0, []
+            end = at + chunk["sizes"][k]
+            documents += chunk["docs"][k]
+            places.append((chunk, at, end))
+            k += 1
+            if k < len(chunk["terms"]):
+                heapq.heapreplace(heap, (chunk["terms"][k], serial, chunk, k, end))
             else:
-                heapq.heapreplace(heap, (lang, nxt[0], k, nxt[1], rest))
-            if now != (lang, term):
-                if now is not None:
-                    yield *now, counts, documents
-                now, counts, documents = (lang, term), {}, 0
-            for source, n, d in postings:
-                counts[source] = counts.get(source, 0) + n
-                documents += d
-
-    for chunk in chunks:
-        lang = chunk["lang"].encode()
-        yield from until((lang, chunk["first"]))
-        rest = _entries(chunk)
-        term, postings = next(rest)
-        heapq.heappush(heap, (lang, term, serial, postings, rest))
-        serial += 1
+                heapq.heappop(heap)
+        if places:
+            yield now, documents, places
+
+    for serial, chunk in enumerate(chunks):
+        yield from until(chunk["first"])  # all entries of a term below it are on the heap
+        heapq.heappush(heap, (chunk["first"], serial, chunk, 0, 0))
     yield from until(None)
-    if now is not None:
-        yield *now, counts, documents
+
+
+def counts_of(places: list[tuple]) -> dict[str, int]:
+    counts: dict[str, int] = {}
+    for chunk, start, end in places:
+        names, of, n = chunk["sources"], chunk["of"], chunk["counts"]
+        for i in range(start, end):
+            name = names[of[i]]
+            counts[name] = counts.get(name, 0) + n[i]
+    return counts
 
 
 def frequencies(run_table: DataFrame, shards: int, min_docs: int) -> DataFrame:
@@ -212,24 +197,30 @@ def frequencies(run_table: DataFrame, shards: int, min_docs: int) -> DataFrame:
     arrow = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()),
                        ("count", pa.int64()), ("total", pa.int64()), ("head", pa.int32())])
 
-    def rows_of(batches):
+    def chunks_of(batches):
         for batch in batches:
+            names = batch.schema.names
             for i in range(batch.num_rows):  # one chunk in Python at a time
-                yield batch.slice(i, 1).to_pylist()[0]
+                yield {c: x[i].as_py() if i_plain else x[i].values.to_pylist() for c, x, i_plain in
+                       zip(names, batch.columns, (c in ("shard", "lang", "first") for c in names))}
 
     def run(batches):
         out: list[tuple] = []
-        for _, shard in itertools.groupby(rows_of(batches), key=lambda r: r["shard"]):
-            for lang, term, counts, documents in merged(shard):
+
+        def table():
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), arrow)], schema=arrow)
+
+        for (_, lang), chunks in itertools.groupby(chunks_of(batches), key=lambda c: (c["shard"], c["lang"])):
+            for term, documents, places in merged(chunks):
                 if documents >= min_docs:
-                    name, word, total = lang.decode(), term.decode("utf-8", "replace"), sum(counts.values())
-                    for k, (s, n) in enumerate(counts.items()):
-                        out.append((name, word, s, n, total, int(k == 0)))
+                    counts, word = counts_of(places), term.decode("utf-8", "replace")
+                    total = sum(counts.values())
+                    out += [(lang, word, s, n, total, int(k == 0)) for k, (s, n) in enumerate(counts.items())]
                     if len(out) >= 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), arrow)], schema=arrow)
-                        out = []
+                        yield table()
+                        out.clear()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), arrow)], schema=arrow)
+            yield table()
 
     dealt = run_table.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("lang").cast("binary"), "first")
     return dealt.mapInArrow(run, _FREQUENCIES_DDL)
