@@ -47,7 +47,9 @@ STATES = 300_000
 PIECES = 100_000
 LONGEST_KEPT_PIECE = 32
 END = 1 << 32
-AGREE = 300_000
+AGREE = 200_000
+NONE = 0xFFFFFFFF
+ROWS = 512
 LONG = 1 << 20
 BLOCK = 1 << 14
 
@@ -88,7 +90,7 @@ def unreachable(tokens: frozenset) -> frozenset:
 
 # ------------------------------------------------------------------ the transducer
 class Transducer:
-    """Encoder of single pieces. ``moves``: 256 * state + byte -> (next state, emitted ids)."""
+    """Encoder of single pieces. ``moves``: 256 * state + byte -> next state, or (next state, emitted ids)."""
 
     def __init__(self, ranks: dict[bytes, int], lonely: frozenset, states: int = STATES):
         self.ranks, self.most = ranks, states
@@ -106,26 +108,22 @@ class Transducer:
                     node = self.trie[node][b]
                 self.token_at[node] = rank
         self.edges: dict[int, tuple[list, list]] = {}
-        self.agree: dict[tuple, bool] = {}
+        self.agree: dict[int, bool] = {}
         self._start()
 
     def _start(self) -> None:
         if len(self.agree) >= AGREE:
             self.agree.clear()
-        self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, tuple]] = {}
-        self.ends: list[tuple] = []
-        self.numbers: dict[tuple, int] = {}
-        self._number((None, (((), 0),)))
-
-    def _number(self, state: tuple) -> int:
-        """``state``: (last emitted id, ways); a way is (ids held back, trie node)."""
-        if state not in self.numbers:
-            self.numbers[state] = len(self.states)
+        self.states: list[bytes] = []
+        self.moves: dict[int, int | tuple] = {}
+        self.numbers: dict[bytes, int] = {}
+        self._number(_packed(NONE, [((), 0)]))
+
+    def _number(self, state: bytes) -> int:
+        number = self.numbers.setdefault(state, len(self.states))
+        if number == len(self.states):
             self.states.append(state)
-            held, node = state[1][-1]  # a way at the root of the trie is the last one
-            self.ends.append(held if node == 0 else ())
-        return self.numbers[state]
+        return number
 
     def _edges(self, token: int) -> tuple[list, list]:
         """The token's first pieces and its last ones while it is merged, as (bytes, rank of the
@@ -144,11 +142,11 @@ class Transducer:
                 [(x, born, ends) for (x, born), ends in zip(e, [*(b for _, b in e[1:]), END])] for e in (first, last))
         return self.edges[token]
 
-    def _agrees(self, left: int | None, right: int) -> bool:
+    def _agrees(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are when their bytes are encoded together: no last
         piece of the left one and first piece of the right one, there at one time, merge before
         either is taken up. Of equal ranks, the leftmost pair comes first."""
-        if left is None:
+        if left == NONE:
             return True
         ranks = self.ranks
         for x, x_born, x_ends in self._edges(left)[1]:
@@ -162,9 +160,9 @@ class Transducer:
                         return False
         return True
 
-    def _move(self, number: int, byte: int) -> tuple[int, tuple]:
-        last, ways = self.states[number]
+    def _move(self, number: int, byte: int) -> int | tuple:
         trie, token_at, agree = self.trie, self.token_at, self.agree
+        last, ways = _ways(self.states[number])
         new, split = [], None  # one way at most completes a token that agrees
         for held, node in ways:
             to = trie[node].get(byte)
@@ -173,28 +171,29 @@ class Transducer:
             if trie[to]:
                 new.append((held, to))
             if split is None and (token := token_at.get(to)) is not None:
-                key = (held[-1] if held else last, token)
+                before = held[-1] if held else last
+                key = before << 32 | token
                 fits = agree.get(key)
                 if fits is None:
-                    fits = agree[key] = self._agrees(*key)
+                    fits = agree[key] = self._agrees(before, token)
                 if fits:
-                    split = (*held, token)
+                    split = [*held, token]
         if split is not None:
-            new.append((split, 0))
-        first, common = new[0][0], 0
-        if first:  # what all ways begin with is emitted
+            new.insert(0, (split, 0))
+        emitted = []
+        if all(held for held, _ in new):  # what all ways begin with is emitted
+            first = new[0][0]
             common = len(first)
             for held, _ in new:
                 while first[:common] != held[:common]:
                     common -= 1
             if common:
-                last = first[common - 1]
+                emitted, last = first[:common], first[common - 1]
                 new = [(held[common:], node) for held, node in new]
-            if all(held for held, _ in new):
-                last = None  # the last emitted id only matters to a way that holds nothing back
-        state = (last, tuple(new))
-        to = self.numbers.get(state)
-        found = self.moves[number << 8 | byte] = (self._number(state) if to is None else to, first[:common])
+        if all(held for held, _ in new):
+            last = NONE  # the last emitted id only matters to a way that holds nothing back
+        to = self._number(_packed(last, new))
+        found = self.moves[number << 8 | byte] = (to, emitted) if emitted else to
         return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -212,10 +211,33 @@ class Transducer:
                     self._start()
                     state, moves = self._number(now), self.moves
                 move = self._move(state, byte)
-            state, ids = move
-            if ids:
+            if type(move) is int:
+                state = move
+            else:
+                state, ids = move
                 out += ids
-        return (*out, *self.ends[state])
+        held, node = _ways(self.states[state])[1][0]  # a way at the root of the trie comes first
+        return (*out, *held) if node == 0 else tuple(out)
+
+
+def _packed(last: int, ways: list) -> bytes:
+    """A state: the last emitted id, and for each way the number of ids held back, these, its node."""
+    flat = [last]
+    for held, node in ways:
+        flat.append(len(held))
+        flat += held
+        flat.append(node)
+    return array("I", flat).tobytes()
+
+
+def _ways(state: bytes) -> tuple[int, list]:
+    flat = memoryview(state).cast("I").tolist()
+    ways, i = [], 1
+    while i < len(flat):
+        end = i + 1 + flat[i]
+        ways.append((flat[i + 1:end], flat[end]))
+        i = end + 1
+    return flat[0], ways
 
 
 class Encoder:
@@ -339,38 +361,62 @@ def vocabulary(path: str) -> tuple:
     return tuple(sorted(ranks.items(), key=lambda x: x[1])), unreachable(frozenset(ranks.items()))
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``df`` with ``out_col``: the text's ids (binary). ``path``: rank file on the driver; a vocabulary
-    is some MB at most and is broadcast."""
+def _mapped(df: DataFrame, path: str, source: str, made: dict[str, str], maker, *options) -> DataFrame:
+    """``df`` with the columns ``made`` (name -> type), of what ``maker(tokens, lonely, *options)`` gives for the
+    bytes of the column ``source``. The vocabulary at ``path`` is some MB at most and is broadcast."""
     words = df.sparkSession.sparkContext.broadcast(vocabulary(path))
-    raw, = fresh(df, "__raw")
+    raw = fresh(df, *[f"__raw{i}" for i in range(len(made))])
 
     def run(batches):
-        tokens, lonely = words.value
-        encoder = _in_worker("encode" + pattern, words.value, lambda: Encoder(dict(tokens), lonely, pattern))
+        work = _in_worker(str((maker.__name__, options)), words.value, lambda: maker(*words.value, *options))
         for batch in batches:
-            at = batch.schema.get_field_index(raw)
-            ids = [encoder.encode(t.as_buffer().to_pybytes().decode("utf-8", "replace")).tobytes() for t in batch.column(at)]
-            yield batch.set_column(at, raw, pa.array(ids, batch.schema.field(at).type))
+            at = [batch.schema.get_field_index(r) for r in raw]
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                found = zip(*[work(t.as_buffer().to_pybytes()) for t in part.column(at[0])])
+                for i, values in zip(at, found):
+                    part = part.set_column(i, batch.schema.field(i), pa.array(values, batch.schema.field(i).type))
+                yield part
+
+    given = df.withColumns({raw[0]: text_bytes(source), **{r: F.lit(None).cast("binary") for r in raw[1:]}})
+    found = map_arrow(given, run)
+    return found.select(*[col(c) for c in df.columns if c not in made],
+                        *[col(r).cast(kind).alias(c) for r, (c, kind) in zip(raw, made.items())])
+
+
+def _encoding(tokens, lonely, pattern):
+    encoder = Encoder(dict(tokens), lonely, pattern)
+    return lambda text: (encoder.encode(text.decode("utf-8", "replace")).tobytes(),)
+
+
+def _decoding(tokens, lonely):
+    decoder = Decoder(dict(tokens))
+    return lambda ids: (decoder.decode(ids).encode(),)
 
-    found = map_arrow(df.withColumn(raw, text_bytes(text_col)), run)
-    return found.select(*[col(c) for c in df.columns if c != out_col], col(raw).alias(out_col))
+
+def _both(tokens, lonely, pattern):
+    encode, decode = _encoding(tokens, lonely, pattern), _decoding(tokens, lonely)
+
+    def work(text):
+        ids, = encode(text)
+        return ids, *decode(ids)
+
+    return work
+
+
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+    """``df`` with ``out_col``: the text's ids (binary). ``path``: rank file on the driver."""
+    return _mapped(df, path, text_col, {out_col: "binary"}, _encoding, pattern)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` with ``out_col``: the text of the ids."""
-    words = df.sparkSession.sparkContext.broadcast(vocabulary(path))
-    raw, = fresh(df, "__raw")
+    return _mapped(df, path, ids_col, {out_col: "string"}, _decoding)
 
-    def run(batches):
-        decoder = _in_worker("decode", words.value, lambda: Decoder(dict(words.value[0])))
-        for batch in batches:
-            at = batch.schema.get_field_index(raw)
-            texts = [decoder.decode(t.as_buffer().to_pybytes()).encode() for t in batch.column(at)]
-            yield batch.set_column(at, raw, pa.array(texts, batch.schema.field(at).type))
 
-    found = map_arrow(df.withColumn(raw, text_bytes(ids_col)), run)
-    return found.select(*[col(c) for c in df.columns if c != out_col], col(raw).cast("string").alias(out_col))
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``df`` with ``ids`` and what they decode to, ``decoded``, by one pass of the tasks."""
+    return _mapped(df, path, text_col, {"ids": "binary", "decoded": "string"}, _both, pattern)
 
 
 def n_tokens(ids_col: str = "ids"):

@@ -253,7 +253,7 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 def op12_byte_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = bpe.decode(bpe.encode(docs, vocabulary, public_tokenizers.PATTERN).drop("text"), vocabulary)
+    found = bpe.round_trip(docs, vocabulary, public_tokenizers.PATTERN)
     return found.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
