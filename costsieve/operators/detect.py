@@ -149,13 +149,17 @@ def detect_file_kind(headers: DataFrame) -> DataFrame:
 def validate_billing_files(headers: DataFrame, row_counts: DataFrame) -> DataFrame:
     """B3 per file: has rows and some column name contains cost/amount/usage/quantity."""
     pattern = "|".join(COST_WORDS)
-    sig = headers.groupBy("source").agg(F.bool_or(F.lower("column").rlike(pattern)).alias("has_cost_signal"))
+    sig = headers.groupBy("source").agg(
+        F.coalesce(F.bool_or(F.lower("column").rlike(pattern)), F.lit(False)).alias("has_cost_signal"))
+    if "format" not in row_counts.columns:
+        row_counts = row_counts.withColumn("format", F.lit("CSV"))
+    kind = F.coalesce(F.col("format"), F.lit("CSV"))
     j = sig.join(row_counts, "source", "left").withColumn("rows", F.coalesce(F.col("rows"), F.lit(0)))
     valid = (F.col("rows") > 0) & F.col("has_cost_signal")
     message = (
-        F.when(F.col("rows") <= 0, "CSV file is empty")
-        .when(~F.col("has_cost_signal"), "CSV does not contain cost or usage data")
-        .otherwise("CSV is valid for analysis")
+        F.when(F.col("rows") <= 0, F.concat(kind, F.lit(" file is empty")))
+        .when(~F.col("has_cost_signal"), F.concat(kind, F.lit(" does not contain cost or usage data")))
+        .otherwise(F.concat(kind, F.lit(" is valid for analysis")))
     )
     return j.select("source", "rows", "has_cost_signal", valid.alias("is_valid"), message.alias("message"))
 

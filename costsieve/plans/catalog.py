@@ -796,6 +796,12 @@ def normalize_azure_mca_q(spark, sf_dir):
     return _normalized_azure(spark, sf_dir, L.azure_mca_export)
 
 
+@register("normalize_day_first", AZURE_SQL)
+def normalize_day_first_q(spark, sf_dir):
+    """An export that writes days before months throughout; many of its texts fit both orders."""
+    return _normalized_azure(spark, sf_dir, L.azure_day_first_export)
+
+
 @register("azure_tags", q("""select labels_owner, labels_environment, labels_project, count(*) as rows from (
     select labels_owner,
       case when labels_owner is not null then case when cost > 20 then 'prod' else 'dev' end end as labels_environment,
@@ -823,9 +829,8 @@ OTHER_ACCOUNTS = """(select distinct cast(o_orderkey % 5 + 100 as varchar) as so
     union all select distinct cast(n_regionkey + 200 as varchar), 'UNKNOWN' from nation)"""
 
 
-def _headers(spark, root):
-    files = L.file_headers(spark, f"{root}/*/*.csv")
-    return files.select(F.col("file").alias("source"), "position", "column")
+def _headers(heads):
+    return L.headers_of(heads).withColumnRenamed("file", "source")
 
 
 @register("detect_provider", q(f"""select cast(account as varchar) as source, bool_or(provider = 'AWS') as is_aws,
@@ -834,7 +839,7 @@ def _headers(spark, root):
     from acct group by account
     union all select source, false, false, false, null, false from {OTHER_ACCOUNTS}""", [O.BILLING_CTE, ACCOUNT_CTE]))
 def detect_provider_q(spark, sf_dir):
-    files = B.detect_provider_files(_headers(spark, L.write_accounts(spark, sf_dir)))
+    files = B.detect_provider_files(_headers(L.file_heads(spark, L.write_accounts(spark, sf_dir))))
     return B.provider_by_export(files, L.export_name(F.col("source")))
 
 
@@ -842,19 +847,21 @@ def detect_provider_q(spark, sf_dir):
     from (select account, case when provider = 'AWS' and account % 2 = 1 then 'UNKNOWN' else 'COST_USAGE' end as kind from acct)
     group by account union all select source, file_kind from {OTHER_ACCOUNTS}""", [O.BILLING_CTE, ACCOUNT_CTE]))
 def detect_file_kind_q(spark, sf_dir):
-    files = B.detect_file_kind(_headers(spark, L.write_accounts(spark, sf_dir)))
+    files = B.detect_file_kind(_headers(L.file_heads(spark, L.write_accounts(spark, sf_dir))))
     return B.kind_by_export(files, L.export_name(F.col("source")))
 
 
 @register("validate_billing", q("""select source, cast(rows as bigint) as rows, has_cost_signal, has_cost_signal as is_valid,
-    case when has_cost_signal then 'CSV is valid for analysis' else 'CSV does not contain cost or usage data' end as message from (
-    select cast(account as varchar) as source, count(*) as rows, true as has_cost_signal from acct group by account
-    union all select cast(o_orderkey % 5 + 100 as varchar), count(*), true from orders group by 1
-    union all select cast(n_regionkey + 200 as varchar), count(*), false from nation group by 1)""", [O.BILLING_CTE, ACCOUNT_CTE]))
+    kind || case when has_cost_signal then ' is valid for analysis' else ' does not contain cost or usage data' end as message from (
+    select cast(account as varchar) as source, count(*) as rows, true as has_cost_signal,
+      case when account % 4 = 0 and bool_and(provider = 'AWS') then 'Parquet' else 'CSV' end as kind from acct group by account
+    union all select cast(o_orderkey % 5 + 100 as varchar), count(*), true, 'CSV' from orders group by 1
+    union all select cast(n_regionkey + 200 as varchar), count(*), false, 'CSV' from nation group by 1)""", [O.BILLING_CTE, ACCOUNT_CTE]))
 def validate_billing_q(spark, sf_dir):
     root = L.write_accounts(spark, sf_dir)
-    rows = L.file_row_counts(spark, f"{root}/*/*.csv").withColumnRenamed("file", "source")
-    return B.validity_by_export(B.validate_billing_files(_headers(spark, root), rows), L.export_name(F.col("source")))
+    heads = L.file_heads(spark, root)
+    rows = L.file_row_counts(spark, root, heads).withColumnRenamed("file", "source")
+    return B.validity_by_export(B.validate_billing_files(_headers(heads), rows), L.export_name(F.col("source")))
 
 
 @register("cur_column_map", q("""select distinct cast(account as varchar) as source, raw_column, standard_name
@@ -864,7 +871,7 @@ def validate_billing_q(spark, sf_dir):
       (0, 'pricing_currency', 'currency'), (1, 'line_item_usage_type', 'usage_type'), (1, 'pricing_currency', 'currency'))
       t(odd, raw_column, standard_name) on account % 2 = odd where provider = 'AWS'""", [O.BILLING_CTE, ACCOUNT_CTE]))
 def cur_column_map_q(spark, sf_dir):
-    files = B.cur_column_map_files(_headers(spark, L.write_accounts(spark, sf_dir)))
+    files = B.cur_column_map_files(_headers(L.file_heads(spark, L.write_accounts(spark, sf_dir))))
     return B.cur_map_by_export(files, L.export_name(F.col("source")))
 
 
@@ -873,12 +880,17 @@ DIRTY_TAIL = "T23:30:00-05:00"
 
 
 def _dirty_export(c: DataFrame) -> DataFrame:
-    """CUR rows as a careless export has them: seven date layouts by line number, null tokens, bad
-    numbers, an owner column with a dot in its name."""
+    """CUR rows as a careless export has them: many date layouts by line and order number, null tokens,
+    bad numbers, an owner column with a dot in its name."""
     d, line = F.to_date("line_item_usage_start_date"), F.regexp_extract("line_item_usage_type", r"(\d+)$", 1)
-    date = (F.when(line == "1", F.date_format(d, "yyyy-MM-dd")).when(line == "2", F.date_format(d, "M/d/yyyy"))
-            .when(line == "3", F.date_format(d, "d-MMM-yyyy")).when(line == "4", F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(DIRTY_TAIL)))
-            .when(line == "5", F.date_format(d, "yyyyMMdd")).when(line == "6", F.date_format(d, "yyyyMM")).otherwise(F.lit("NA")))
+    layouts = {"1": ["yyyy-MM-dd", "d MMMM yyyy", "yyyy.MM.dd"], "2": ["M/d/yyyy", "MM/dd/yy", "M-d-yyyy"],
+               "3": ["d-MMM-yyyy", "dd-MMM-yy", "MMM d yyyy"], "5": ["yyyyMMdd", "yyyyMMdd'T'HHmmss'Z'", "MMMM d, yyyy"]}
+    kind = F.floor(F.col("seq") / 100) % 3
+    date = F.when(line == "4", F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(DIRTY_TAIL))).when(line == "6", F.date_format(d, "yyyyMM"))
+    for number, three in layouts.items():
+        for k, layout in enumerate(three):
+            date = date.when((line == number) & (kind == k), F.date_format(d, layout))
+    date = date.otherwise(F.lit("NA"))
     return c.select(
         "seq", date.alias("lineItem/UsageStartDate"), F.col("product_servicecode").alias("product/servicecode"),
         F.when(F.col("product_region") == "r1", F.lit("NA")).when(F.col("product_region") == "r2", F.lit("null"))
@@ -902,6 +914,16 @@ def normalize_dirty_q(spark, sf_dir):
     return n.select(F.col("seq").cast("long").alias("seq"), "date", "service", "resource_id", "usage", "cost", F.col("`labels.owner`").alias("owner"))
 
 
+@register("normalize_rejects", q("""select seq, case when line_item_line_item_type = 'Tax' then 'tax line'
+      when right(line_item_usage_type, 1) = '6' then 'date unreadable: ' || strftime(strptime(line_item_usage_start_date, '%Y-%m-%d'), '%Y%m')
+      else 'date missing' end as reject_reason
+    from cur where right(line_item_usage_type, 1) not in ('1', '2', '3', '4', '5') or line_item_line_item_type = 'Tax'""", [O.CUR_CTE]))
+def normalize_rejects_q(spark, sf_dir):
+    """The rows that ``normalize_dirty`` drops, and why."""
+    path = L.write_export(_dirty_export(cur(spark, sf_dir)), "dirty.csv")
+    return N.rejected_rows(L.load_export(spark, path), "AWS").select(F.col("seq").cast("long").alias("seq"), "reject_reason")
+
+
 @register("commitments_slash", q("select leak_type, reason, exact_waste from ri_sp union all select leak_type, reason, exact_waste from ri_un",
                                  [O.CUR_CTE] + O.RI_LEAK_CTES))
 def commitments_slash_q(spark, sf_dir):

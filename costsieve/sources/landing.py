@@ -2,16 +2,24 @@
 
 ``write_export`` writes one provider-shaped CSV export, ``write_accounts`` a landing zone with a
 folder for each billing account; which layouts an account's files have follows from its rows.
-``file_headers`` gives the header of every file: one task for each split, which stops after the
-first lines of its file. ``file_row_counts`` counts the CSV reader's rows of every file.
+``file_heads`` gives the column names of every file, CSV or Parquet: Spark lists the files, and
+each task opens a group of them and reads a CSV file's first line or a Parquet file's footer.
+``file_row_counts`` gives the rows that a reader finds in every file.
+
+CSV fields may hold line breaks in quotes. Such files can't be split, so the reader (and the row
+counter alike) looks first: files that fit one split are read whole anyway; where larger ones are
+among them, a split scan says whether any line leaves a quote open.
 """
 
 from __future__ import annotations
 
 import csv
 import os
+import re
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +34,34 @@ NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
 # ---- end of fixed values ----
 
 CSV_SUFFIXES, PARQUET_SUFFIXES = (".csv",), (".parquet", ".pqt")
+HEAD_BYTES = 1 << 16
+FILES_A_TASK = 64
+
+
+def holds_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether the CSV files at ``path`` have to be read as whole files.
+
+    Without a file larger than a split nothing is lost by that, and no line is looked at. Else a
+    line with an odd number of quotes says so; that scan reads in splits.
+    """
+    n, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
+    size = int(n) << 10 * " kmgtp".index(unit or " ")
+    files = spark.read.format("binaryFile").load(path).select("length")
+    if files.where(F.col("length") > size).isEmpty():
+        return True
+    line = F.col("value")
+    odd = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+    return not spark.read.text(path).where(odd).isEmpty()
+
+
+def _csv_reader(spark: SparkSession, path: str):
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", holds_line_breaks(spark, path))
 
 
 def read_csv_export(spark: SparkSession, path: str) -> DataFrame:
     """A1: CSV with header, every column read as text (types are applied by ``try_cast``
-    in the normalizers), quotes escaped by doubling, null tokens as nulls."""
-    raw = spark.read.option("header", True).option("escape", '"').option("inferSchema", False).csv(path)
+    in the normalizers), quotes escaped by doubling, line breaks within quotes, null tokens as nulls."""
+    raw = _csv_reader(spark, path).option("inferSchema", False).csv(path)
     return raw.select(*[F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 
@@ -78,6 +108,11 @@ def azure_ea_export(b: DataFrame) -> DataFrame:
         "ResourceLocation", "Tags", "SubscriptionId")
 
 
+def azure_day_first_export(b: DataFrame) -> DataFrame:
+    """The Enterprise Agreement layout of a locale that writes day/month/year."""
+    return azure_ea_export(b).withColumn("Date", F.date_format(F.to_date("Date", "MM/dd/yyyy"), "dd/MM/yyyy"))
+
+
 def azure_mca_export(b: DataFrame) -> DataFrame:
     """Microsoft Customer Agreement layout: names in lower camel case."""
     az = azure_export(b)
@@ -149,8 +184,9 @@ def cur_from_billing(b: DataFrame) -> DataFrame:
 
 
 def write_accounts(spark: SparkSession, sf_dir: str) -> str:
-    """A landing zone ``account=K/part-*.csv``. AWS rows of odd accounts come with slash names;
-    accounts from 100 on hold invoices, from 200 on tables without costs."""
+    """A landing zone ``account=K/part-*``. AWS rows of odd accounts come with slash names, those of
+    every fourth account as Parquet; accounts from 100 on hold invoices, from 200 on tables without
+    costs."""
     b = with_account(billing(spark, sf_dir))
     aws = cur_from_billing(b)
     by_provider = {"azure": azure_export, "gcp": gcp_export}
@@ -160,8 +196,10 @@ def write_accounts(spark: SparkSession, sf_dir: str) -> str:
     invoices = invoice_export(spark, sf_dir).withColumn("account", (F.col("`Invoice ID`") % 5 + 100).cast("int"))
     nations = read_table(spark, sf_dir, "nation").withColumn("account", (F.col("n_regionkey") + 200).cast("int"))
     root = scratch_path(spark, "landing")
-    for df in (aws.where(~odd), slash, *keyed.values(), invoices, nations):
+    fourth = F.col("account") % 4 == 0
+    for df in (aws.where(~odd & ~fourth), slash, *keyed.values(), invoices, nations):
         df.write.option("header", True).option("escape", '"').partitionBy("account").mode("append").csv(root)
+    aws.where(fourth).write.partitionBy("account").mode("append").parquet(root)
     return root
 
 
@@ -177,38 +215,100 @@ def export_name(file: Column) -> Column:
     return F.regexp_extract(file, r"/(?:[^/=]+=)?([^/]+)/[^/]+$", 1)
 
 
-def _first_lines(batches):
-    """The first line of the split, if it starts a file; nothing else of it is read."""
+# ------------------------------------------------------------------ heads of files
+def _csv_head(opened) -> tuple[list[str], int | None]:
+    """The names of the first line that isn't blank; a line ends where its quotes are closed."""
+    text = b""
+    while block := opened.read(HEAD_BYTES):
+        text += block
+        lines = text.decode("utf-8-sig", "replace").lstrip("\r\n").splitlines(keepends=True)
+        for i in range(1, len(lines) + 1):
+            head = "".join(lines[:i])
+            if head.count('"') % 2 == 0 and head.endswith(("\n", "\r")):
+                return next(csv.reader([head]), []), None
+    return next(csv.reader([text.decode("utf-8-sig", "replace").lstrip("\r\n")]), []), None
+
+
+def _parquet_head(opened) -> tuple[list[str], int | None]:
+    footer = pq.ParquetFile(opened)
+    return footer.schema_arrow.names, footer.metadata.num_rows
+
+
+def _opened(path: str, content: bytes | None):
+    if content is not None:
+        return pa.BufferReader(content)
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
+def _heads(batches):
+    schema = pa.schema([("file", pa.string()), ("format", pa.string()), ("rows", pa.int64()),
+                        ("columns", pa.list_(pa.string())), ("error", pa.string())])
     for batch in batches:
-        rows = batch.to_pylist()[:1]
-        if rows and rows[0]["block"] == 0:
-            names = next(csv.reader([rows[0]["value"]]), [])
-            yield pa.RecordBatch.from_pylist(
-                [{"file": rows[0]["file"], "position": i, "column": c} for i, c in enumerate(names)],
-                schema=pa.schema([("file", pa.string()), ("position", pa.int32()), ("column", pa.string())]))
-        if rows:
-            return
+        out = []
+        for r in batch.to_pylist():
+            names, rows, error = [], None, None
+            try:
+                with _opened(r["path"], r.get("content")) as opened:
+                    names, rows = (_csv_head if r["format"] == "CSV" else _parquet_head)(opened)
+            except (pa.ArrowInvalid, csv.Error) as e:  # a file that isn't what its name says; other errors fail the task
+                error = str(e).splitlines()[0][:200]
+            out.append({"file": r["file"], "format": r["format"], "rows": rows, "columns": names, "error": error})
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+
+def _tasks_can_open(path: str) -> bool:
+    """Whether Python tasks know the path's scheme themselves."""
+    try:
+        fs.FileSystem.from_uri(path)
+        return True
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, NotImplementedError):
+        return False
 
 
-def file_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, position, column) for every CSV file at ``path``.
+def landing_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, path, format, length) of the CSV and Parquet files under ``path`` (a folder or a pattern);
+    Spark lists them, on executors where there are many. No content is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    kind = F.when(suffix.isin(*CSV_SUFFIXES), "CSV").when(suffix.isin(*PARQUET_SUFFIXES), "Parquet")
+    return found.select(F.col("_metadata.file_path").alias("file"), "path", kind.alias("format"), "length").where("format is not null")
+
+
+def file_heads(spark: SparkSession, path: str) -> DataFrame:
+    """(file, format, rows, columns, error) for every CSV and Parquet file under ``path``.
 
-    Each split of a file is a task of its own (while this table is written, opening a file counts
-    as much as a full partition), and a task ends after its first batch of lines.
+    Tasks take FILES_A_TASK files each and read only a file's head or footer; rows come from the
+    footer (null for CSV). A Parquet file that can't be read has no columns and an ``error``. Stores
+    that only Spark can open are read through it, whole files then.
     """
-    key, most = "spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
-    before = spark.conf.get(key)
-    spark.conf.set(key, most)
-    try:
-        lines = spark.read.text(path).select(
-            "value", F.input_file_name().alias("file"), F.input_file_block_start().alias("block"))
-        return materialise(lines.mapInArrow(_first_lines, "file string, position int, column string"), "headers")
-    finally:
-        spark.conf.set(key, before)
-
-
-def file_row_counts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rows): rows that the CSV reader finds in each file, quoted line breaks and blank
-    lines included in its rules."""
-    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema("first string").csv(path)
-    return rows.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    listed = materialise(landing_files(spark, path), "files")
+    n, one = listed.agg(F.count(F.lit(1)), F.min("path")).first()
+    given = listed.select("file", "path", "format").repartition(max(1, -(-n // FILES_A_TASK)))
+    if one is not None and not _tasks_can_open(one):
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+        given = given.join(whole, "path")
+    return materialise(given.mapInArrow(_heads, "file string, format string, rows long, columns array<string>, error string"), "heads")
+
+
+def headers_of(heads: DataFrame) -> DataFrame:
+    """(file, position, column); a file without columns has one row with nulls."""
+    return heads.select("file", F.posexplode_outer("columns").alias("position", "column"))
+
+
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, position, column) for every CSV and Parquet file under ``path``."""
+    return headers_of(file_heads(spark, path))
+
+
+def file_row_counts(spark: SparkSession, path: str, heads: DataFrame | None = None) -> DataFrame:
+    """(file, rows, format): of Parquet files by their footers, of CSV files the rows that ``read_csv_export``
+    finds in each, quoted line breaks and blank lines included in its rules."""
+    heads = file_heads(spark, path) if heads is None else heads
+    found = heads.where("format = 'Parquet'").select("file", F.coalesce("rows", F.lit(0)).alias("rows"), "format")
+    if heads.where("format = 'CSV'").isEmpty():
+        return found
+    pattern = path if path.lower().endswith(CSV_SUFFIXES) else path.rstrip("/")
+    csv_files = _csv_reader(spark, pattern).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]")
+    counted = csv_files.schema("first string").csv(pattern).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    return found.unionByName(counted.withColumn("format", F.lit("CSV")))
