@@ -15,8 +15,10 @@ deletes them.
 from __future__ import annotations
 
 import logging
+import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,11 +67,40 @@ class Analysis:
         return self.scored.orderBy("rank_key")
 
 
+FILES_TO_BROADCAST = 100_000
+KEY_BITS = 61  # the slots pack a flag beside the key into one long
+
+
 def with_seq(df: DataFrame) -> DataFrame:
-    """Give rows a first-seen order when the input has none (file order is not kept)."""
+    """Give rows a first-seen order when the input has none: by file name, then position in the file.
+
+    The order is that of the files' names and rows however Spark packs them into tasks. A Parquet
+    row's position is its row index. A CSV row's is the first byte of its block plus its number in the
+    task: a block that isn't its file's last fills a task alone, and holds fewer rows than bytes.
+    Rows that aren't read from files are numbered by partition.
+    """
     if "seq" in df.columns:
         return df
-    return df.withColumn("seq", F.monotonically_increasing_id())
+    names = sorted(re.sub(r"^(\w+):///", r"\1:/", n) for n in df.inputFiles())  # as _metadata has them
+    fields = _metadata_fields(df) if names else []
+    if "file_block_start" not in fields:
+        return df.withColumn("seq", F.monotonically_increasing_id())
+    ranks = df.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "__path string, __rank long")
+    if len(names) <= FILES_TO_BROADCAST:
+        ranks = F.broadcast(ranks)
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    place = F.col("_metadata.row_index") if "row_index" in fields else F.col("_metadata.file_block_start") + in_task
+    placed = df.withColumns({"__path": F.col("_metadata.file_path"), "__place": place}).join(ranks, "__path", "left")
+    seq = F.shiftleft(F.coalesce("__rank", F.lit(len(names))), KEY_BITS - len(names).bit_length()) + F.col("__place")
+    return placed.withColumn("seq", seq).drop("__path", "__rank", "__place")
+
+
+def _metadata_fields(df: DataFrame) -> list[str]:
+    """What Spark can tell of a row's file; nothing where the rows come from further operators."""
+    try:
+        return df.select("_metadata").schema["_metadata"].dataType.names
+    except AnalysisException:
+        return []
 
 
 def with_optional(df: DataFrame) -> DataFrame:
