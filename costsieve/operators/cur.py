@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from costsieve.functions import np_round
 from costsieve.operators.detect import cur_column_mapping, validate_cur_columns
+from costsieve.operators.firsts import code_of, first_key, value_codes
 from costsieve.operators.normalize import parse_date
 
 # ---- fixed values: CUR service codes -> display names ----
@@ -79,20 +80,26 @@ def cur_aggregate(df: DataFrame, group_by: list[str] | None = None) -> DataFrame
     """C14: sum cost/usage, first non-null region/tags per (date, service, resource_id,
     usage_type) — the ones present, nulls kept as their own group; rounded to 6 places.
 
-    Two steps. The rows meet a hash aggregate by the keys and the region / tag values, with
-    long and double buffers only (sums and the smallest ``seq``), so the export is neither
-    sorted nor shipped row by row; the first value of each is picked from the few rows that
-    a key has after that. Without ``seq`` the smallest value is taken, the same every run.
+    The region and tags are looked up in dictionaries of their distinct values, and the first one of
+    a key is the least (``seq``, code) in one decimal (``operators.firsts``): all buffers are
+    fixed-width, so the rows meet one hash aggregate and are shuffled once, combined. Without ``seq``
+    the smallest value is taken, the same every run.
     """
     keys = [c for c in (group_by or DEFAULT_GROUP_BY) if c in df.columns]
     sums = [c for c in ("cost", "usage") if c in df.columns]
     firsts = [c for c in ("region", "owner_tag", "environment_tag") if c in df.columns]
     if not keys or not (sums or firsts):
         return df
-    seq = F.min("seq") if "seq" in df.columns else F.min(F.lit(0))
-    small = df.groupBy(*keys, *firsts).agg(*[F.sum(c).alias(c) for c in sums], seq.alias("_seq"))
-    pick = [F.min(F.when(F.col(c).isNotNull(), F.struct("_seq", c)))[c].alias(c) for c in firsts]
-    return small.groupBy(*keys).agg(*[np_round(F.sum(c), 6).alias(c) for c in sums], *pick)
+    seq = F.col("seq") if "seq" in df.columns else F.lit(0)
+    coded, codes = df, {}
+    for c in firsts:
+        codes[c] = value_codes(df.where(F.col(c).isNotNull()), [c], f"__{c}")
+        coded = coded.join(codes[c], c, "left")
+    out = coded.groupBy(*keys).agg(*[np_round(F.sum(c), 6).alias(c) for c in sums],
+                                   *[F.min(first_key(seq, F.col(f"__{c}"))).alias(f"__first_{c}") for c in firsts])
+    for c in firsts:
+        out = out.withColumn(f"__{c}", code_of(F.col(f"__first_{c}"))).join(codes[c], f"__{c}", "left")
+    return out.select(*keys, *sums, *firsts)
 
 
 def cur_ingest(raw: DataFrame, aggregate: bool = True, sample_rows: int | None = None) -> DataFrame:
@@ -116,14 +123,24 @@ def first_rows(raw: DataFrame, n: int) -> DataFrame:
 
 
 def cur_stats(df: DataFrame) -> DataFrame:
-    """Rows, total cost, distinct services / resources, date range, column list (one row)."""
+    """Rows, total cost, distinct services / resources, date range, column list (one row).
+
+    By resource first: a hash aggregate that also notes each resource's services, then one row of
+    all. So no row is copied for a distinct count; the services that meet in the end are few.
+    """
     cols = df.columns
-    zero = F.lit(0)
-    return df.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        (F.sum("cost") if "cost" in cols else zero).alias("total_cost"),
-        (F.countDistinct("service") if "service" in cols else zero).alias("unique_services"),
-        (F.countDistinct("resource_id") if "resource_id" in cols else zero).alias("unique_resources"),
-        (F.min("date").cast("string") if "date" in cols else F.lit(None).cast("string")).alias("date_start"),
-        (F.max("date").cast("string") if "date" in cols else F.lit(None).cast("string")).alias("date_end"),
+    null = F.lit(None).cast("string")
+    given = df.select(
+        *[(F.col(c) if c in cols else null).alias(c) for c in ("resource_id", "service", "date")],
+        (F.col("cost") if "cost" in cols else F.lit(0.0)).alias("cost"))
+    by_resource = given.groupBy("resource_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("cost").alias("cost"), F.min("date").alias("first"), F.max("date").alias("last"),
+        F.collect_set("service").alias("services"))
+    services = F.size(F.array_distinct(F.flatten(F.collect_set("services"))))
+    return by_resource.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"),
+        (F.sum("cost") if "cost" in cols else F.lit(0)).alias("total_cost"),
+        services.cast("long" if "service" in cols else "int").alias("unique_services"),
+        F.count("resource_id").cast("long" if "resource_id" in cols else "int").alias("unique_resources"),
+        F.min("first").cast("string").alias("date_start"), F.max("last").cast("string").alias("date_end"),
     ).withColumn("columns_available", F.lit(",".join(cols)))

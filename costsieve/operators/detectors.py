@@ -25,6 +25,7 @@ from costsieve.functions import (
     service_category,
 )
 from costsieve.operators.features import RESOURCE_KEYS, SERVICE_KEYS
+from costsieve.operators.firsts import code_of, first_key, seq_of, value_codes
 from costsieve.operators.ranking import join_back, kth_smallest
 from costsieve.session import reliable_checkpoint
 
@@ -180,22 +181,35 @@ def detect_always_on(daily: DataFrame, svc_stats: DataFrame) -> DataFrame:
     return s.select(*_leak_cols(S.ALWAYS_ON, reason), "avg_daily_cost", "days_present", "total_days")
 
 
-def _first_by_resource(slots: DataFrame, extra: list[str] | None = None, *aggs: Column) -> DataFrame:
-    """Provider/service (and ``extra`` fields) of each resource id's first row, with further
-    aggregates over its slots: one pass by resource.
+def service_codes(services: DataFrame, made: list[str] | None = None) -> DataFrame:
+    """The dictionary of providers and services that E5, E7 and E8 share (few rows)."""
+    return value_codes(services, SERVICE_KEYS, "_code", made)
 
-    "First" is the smallest ``first_seq``; equal ``seq`` values (inputs without a unique
-    row order) are broken by the values themselves, so the pick is the same every run.
+
+def _first_by_resource(slots: DataFrame, codes: DataFrame, flag: str | None = None, *aggs: Column) -> DataFrame:
+    """Provider/service (and the boolean ``flag``) of each resource id's first row, with further
+    aggregates over its slots: one hash aggregate by resource, without sorting slots.
+
+    "First" is the smallest ``first_seq``; equal ``seq`` values (inputs without a unique row order)
+    are broken by the values themselves, so the pick is the same every run.
     """
-    fields = ["provider", "service", *(extra or [])]
-    first = slots.groupBy("resource_id").agg(F.min(F.struct("first_seq", *fields)).alias("_first"), *aggs)
-    return first.select("resource_id", F.col("_first.first_seq").alias("first_seq"),
-                        *[F.col(f"_first.{c}").alias(c) for c in fields],
-                        *[c for c in first.columns if c not in ("resource_id", "_first")])
+    code = F.col("_code") * 2 + (F.coalesce(F.col(flag), F.lit(False)).cast("int") if flag else F.lit(0))
+    first = _with_codes(slots, codes).groupBy("resource_id").agg(F.min(first_key(F.col("first_seq"), code)).alias("_first"), *aggs)
+    more = [c for c in first.columns if c not in ("resource_id", "_first")]
+    plain = first.select("resource_id", seq_of(F.col("_first")).alias("first_seq"), F.shiftright(code_of(F.col("_first")), 1).alias("_code"),
+                         (code_of(F.col("_first")) % 2 == 1).alias(flag or "_flag"), *more)
+    return plain.join(codes, "_code").select("resource_id", "first_seq", *SERVICE_KEYS, *([flag] if flag else []), *more)
+
+
+def _with_codes(slots: DataFrame, codes: DataFrame) -> DataFrame:
+    """Null services and providers are values of their own."""
+    named = codes.toDF(*[f"_{c}" for c in SERVICE_KEYS], "_code")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SERVICE_KEYS]
+    return slots.join(named, same[0] & same[1]).drop(*[f"_{c}" for c in SERVICE_KEYS])
 
 
 # ---------------------------------------------------------------- E5
-def detect_orphaned_storage(slots: DataFrame) -> DataFrame:
+def detect_orphaned_storage(slots: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """ORPHANED_STORAGE: block-storage resource none of whose (provider, date, region)
     slots had any compute. Null/"" region is "unknown"; a row that is compute never
     counts as storage. Keyed by resource id alone, provider/service of its first row.
@@ -212,7 +226,7 @@ def detect_orphaned_storage(slots: DataFrame) -> DataFrame:
     slot = ["provider", "date", "slot_region"]
     compute_slots = tagged.where("_compute").select(*slot).distinct().withColumn("_covered", F.lit(True))
     storage = tagged.where(~F.col("_compute") & F.col("_block")).join(compute_slots, slot, "left")
-    found = _first_by_resource(storage, None, F.coalesce(F.bool_or("_covered"), F.lit(False)).alias("_covered"))
+    found = _first_by_resource(storage, codes or service_codes(slots), None, F.coalesce(F.bool_or("_covered"), F.lit(False)).alias("_covered"))
     return found.where(~F.col("_covered")).select(
         *_leak_cols(S.ORPHANED, F.lit(ORPHANED_REASON), F.col("resource_id"), order_seq=F.col("first_seq")))
 
@@ -240,19 +254,19 @@ def detect_idle_database(features: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- E7
-def detect_snapshot_sprawl(slots: DataFrame) -> DataFrame:
+def detect_snapshot_sprawl(slots: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """SNAPSHOT_SPRAWL: snapshot/backup resource id that never appears on a compute or
     database row (any provider or service). ``slots`` as for E5."""
     slots = slots.where(has_text("resource_id"))
     active = slots.where(service_category("service").isin("compute", "database")).select("resource_id").distinct()
-    snaps = _first_by_resource(slots.where(is_snapshot("service", "provider")))
+    snaps = _first_by_resource(slots.where(is_snapshot("service", "provider")), codes or service_codes(slots))
     out = snaps.join(active, "resource_id", "left_anti")
     return out.select(*_leak_cols(S.SNAPSHOT, F.lit(SNAPSHOT_REASON), F.col("resource_id"),
                                   order_seq=F.col("first_seq")))
 
 
 # ---------------------------------------------------------------- E8
-def untagged_candidates(slots: DataFrame, svc_stats: DataFrame) -> DataFrame:
+def untagged_candidates(slots: DataFrame, svc_stats: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """All untagged resources before the top-N cap, judged on each resource's first row.
 
     Skipped when both the resource's total cost (all its rows) and its first row's
@@ -260,7 +274,7 @@ def untagged_candidates(slots: DataFrame, svc_stats: DataFrame) -> DataFrame:
     is null, "", unknown, none or nan (any case) — ``first_row_owned`` in the slots.
     """
     slots = slots.where(has_text("resource_id"))
-    cand = _first_by_resource(slots, ["first_row_owned"], F.sum("cost").alias("resource_cost"))
+    cand = _first_by_resource(slots, codes or service_codes(svc_stats), "first_row_owned", F.sum("cost").alias("resource_cost"))
     cand = join_back(cand, svc_stats.select(*SERVICE_KEYS, F.col("total_cost").alias("service_cost")),
                      SERVICE_KEYS, "left")
     rc = F.coalesce(F.col("resource_cost"), F.lit(0.0))
@@ -270,9 +284,10 @@ def untagged_candidates(slots: DataFrame, svc_stats: DataFrame) -> DataFrame:
         "resource_cost", rc).drop("first_row_owned")
 
 
-def detect_untagged(slots: DataFrame, svc_stats: DataFrame, top_n: int | None = S.UNTAGGED_TOP_N) -> DataFrame:
+def detect_untagged(slots: DataFrame, svc_stats: DataFrame, top_n: int | None = S.UNTAGGED_TOP_N,
+                    codes: DataFrame | None = None) -> DataFrame:
     """UNTAGGED_RESOURCE: the ``top_n`` costliest untagged resources (ties: first seen)."""
-    cand = untagged_candidates(slots, svc_stats)
+    cand = untagged_candidates(slots, svc_stats, codes)
     if top_n is not None:
         cand = cand.orderBy(F.col("resource_cost").desc(), F.col("first_seq").asc()).limit(int(top_n))
     return cand.select(

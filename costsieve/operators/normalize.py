@@ -272,6 +272,11 @@ def azure_tags(tags: Column) -> list[Column]:
     return [F.nullif(F.regexp_extract(t, pat, 1), F.lit("")).alias(name) for name, pat in AZURE_TAG_PATTERNS.items()]
 
 
+def _row_order(df: DataFrame) -> list[Column]:
+    """The rows' order key, if they have one."""
+    return [_q("seq")] if "seq" in df.columns else []
+
+
 def _prepare_azure(df: DataFrame) -> DataFrame:
     df = exact_names(df, [c for names in AZURE_CANDIDATES.values() for c in names])
     tmp = df.select(
@@ -283,6 +288,7 @@ def _prepare_azure(df: DataFrame) -> DataFrame:
         pick(df, AZURE_CANDIDATES["resource_id"]).cast("string").alias("resource_id"),
         pick(df, AZURE_CANDIDATES["region"]).cast("string").alias("region"),
         *azure_tags(pick(df, AZURE_CANDIDATES["tags"])),
+        *_row_order(df),
     )
     return tmp
 
@@ -309,6 +315,7 @@ def _prepare_gcp(df: DataFrame) -> DataFrame:
         (F.col("label_environment").cast("string") if "label_environment" in df.columns
          else F.lit(None).cast("string")).alias("labels_environment"),
         F.lit("GCP").alias("provider"),
+        *_row_order(df),
     )
     return tmp
 
@@ -326,15 +333,17 @@ def stamp_provider(df: DataFrame, provider: str) -> DataFrame:
     return df.withColumn("provider", F.lit(provider.upper()))
 
 
-def normalize(df: DataFrame, provider: str) -> DataFrame:
-    """Dispatch on the detected provider, then stamp it upper-case on every row."""
+def normalize(df: DataFrame, provider: str, keep_rejected: bool = False) -> DataFrame:
+    """Dispatch on the detected provider, then stamp it upper-case on every row.
+
+    ``keep_rejected``: rows that C6 drops stay, with nothing but nulls and the provider, for the one
+    pass that also counts what it reads.
+    """
     p = provider.upper()
-    if p == "AWS":
-        out = normalize_aws(df)
-    elif p == "AZURE":
-        out = normalize_azure(df)
-    elif p == "GCP":
-        out = normalize_gcp(df)
-    else:
+    if p not in _PREPARE:
         raise ValueError(f"Unsupported provider: {p}")
-    return stamp_provider(out, p)
+    if not keep_rejected:
+        return stamp_provider(enforce_schema(_PREPARE[p](df)), p)
+    full = coerce_schema(_PREPARE[p](df))
+    kept = F.col(REJECTED).isNull()
+    return stamp_provider(full.select(*[F.when(kept, _q(c)).alias(c) for c in full.columns if c != REJECTED]), p)

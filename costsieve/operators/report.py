@@ -2,12 +2,15 @@
 
 Reports are DataFrames written by Spark writers; the Markdown rendering of the
 reference is not rebuilt (its tables are ``report_table`` / ``high_findings`` /
-``forecast_top``). Run-to-run delta tagging keeps the previous run's leak ids as a
-Parquet snapshot in a folder the caller names.
+``forecast_top``). Reports and the leak ids for run-to-run delta tagging lie in folders of
+their run under a path the caller names; a marker that is written last says that a run is whole.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,19 +40,50 @@ def leak_id() -> "F.Column":
     return F.concat_ws("::", *[_none_text(c) for c in ("leak_type", "provider", "service", "resource_id")])
 
 
-def load_previous_ids(spark: SparkSession, path: str | None) -> DataFrame:
-    """The last run's leak ids; a missing or unreadable snapshot is an empty set."""
-    if path:
-        try:
-            return spark.read.parquet(path).select(F.col("leak_id").cast("string"))
-        except AnalysisException:  # no folder, no files or no such column: no previous run
-            pass
-    return spark.createDataFrame([], "leak_id string")
+def new_run_id() -> str:
+    """A run id of the present time; ids are compared as texts."""
+    return datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%fZ")
+
+
+def _run_folder(path: str, kind: str, run_id: str) -> str:
+    return f"{path.rstrip('/')}/{kind}/{quote(run_id, safe='')}"
+
+
+def _mark_run(spark: SparkSession, path: str, run_id: str, complete: bool) -> None:
+    """Say whether a run's tables under ``path`` are whole. It is the last thing that a run writes."""
+    spark.createDataFrame([(run_id, complete)], "run string, complete boolean").coalesce(1).write.mode("overwrite").parquet(
+        _run_folder(path, "complete", run_id))
+
 
+def last_complete_run(spark: SparkSession, path: str, before: str | None = None) -> str | None:
+    """The last run whose tables are whole, of those before ``before`` if that is given."""
+    try:
+        runs = spark.read.schema("run string, complete boolean").option("recursiveFileLookup", True).parquet(f"{path.rstrip('/')}/complete")
+    except AnalysisException:  # no folder: no run yet
+        return None
+    runs = runs.where("complete")
+    return (runs if before is None else runs.where(F.col("run") < before)).agg(F.max("run")).first()[0]
 
-def save_current_ids(leaks: DataFrame, path: str) -> None:
-    """Write this run's ids as the next run's snapshot (a new folder per run)."""
-    leaks.select(leak_id().alias("leak_id")).distinct().write.mode("overwrite").parquet(path)
+
+def load_previous_ids(spark: SparkSession, path: str | None, run_id: str | None = None) -> DataFrame:
+    """The leak ids of the last complete run before ``run_id`` (else of the last one at all); an
+    empty set where there is none. A run that is repeated under its id sees what it saw at first."""
+    run = last_complete_run(spark, path, run_id) if path else None
+    if run is None:
+        return spark.createDataFrame([], "leak_id string")
+    return spark.read.schema("leak_id string").parquet(_run_folder(path, "ids", run))
+
+
+def save_current_ids(leaks: DataFrame, path: str, run_id: str | None = None) -> str:
+    """Write this run's ids as its snapshot in a folder of the run; the run's id is returned.
+
+    A repeated run replaces its own snapshot only, which counts for nobody until it is whole again.
+    """
+    spark, run_id = leaks.sparkSession, run_id or new_run_id()
+    _mark_run(spark, path, run_id, False)
+    leaks.select(leak_id().alias("leak_id")).distinct().write.mode("overwrite").parquet(_run_folder(path, "ids", run_id))
+    _mark_run(spark, path, run_id, True)
+    return run_id
 
 
 def apply_delta(leaks: DataFrame, previous_ids: DataFrame) -> DataFrame:
@@ -77,19 +111,30 @@ def report_summary(tagged: DataFrame) -> DataFrame:
     )
 
 
-def read_json_report(spark: SparkSession, path: str, sections: dict[str, T.StructType]) -> dict[str, DataFrame]:
-    """The sections of a JSON report, read back with their schemas."""
-    return {name: spark.read.schema(schema).json(f"{path.rstrip('/')}/{name}") for name, schema in sections.items()}
+def read_json_report(spark: SparkSession, path: str, sections: dict[str, T.StructType], run_id: str | None = None) -> dict[str, DataFrame]:
+    """The sections of the last whole JSON report (or of the run's), read back with their schemas."""
+    run = run_id or last_complete_run(spark, path)
+    if run is None:
+        raise FileNotFoundError(f"no report in {path}")
+    return {name: spark.read.schema(schema).json(f"{_run_folder(path, 'runs', run)}/{name}") for name, schema in sections.items()}
 
 
 def write_json_report(path: str, summary: DataFrame, leaks: DataFrame, forecasts: DataFrame | None,
-                      stats: DataFrame) -> None:
-    """A5 sink: one JSON folder per section under ``path`` (NaN/Inf -> null, dates ISO)."""
+                      stats: DataFrame, run_id: str | None = None) -> str:
+    """A5 sink: one JSON folder per section (NaN/Inf -> null, dates ISO), under a folder of the run.
+
+    The report is published by a last small marker, so readers see all sections of one run, and a
+    run that fails leaves the report before it whole. The run's id is returned.
+    """
     sections = {"summary": summary, "leaks": leaks, "pipeline_stats": stats}
     if forecasts is not None:
         sections["forecasts"] = forecasts
+    spark, run_id = summary.sparkSession, run_id or new_run_id()
+    _mark_run(spark, path, run_id, False)
     for name, df in sections.items():
-        sanitize_frame(df).write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
+        sanitize_frame(df).write.mode("overwrite").json(f"{_run_folder(path, 'runs', run_id)}/{name}")
+    _mark_run(spark, path, run_id, True)
+    return run_id
 
 
 # ---------------------------------------------------------------- A10

@@ -564,9 +564,9 @@ def _tagged(spark, sf_dir):
     b = billing(spark, sf_dir)
     prev = analyze(b.where(F.col("date") < F.lit(PREV_CUTOFF).cast("date")), already_normalized=True)
     snapshot = scratch_path(spark, "leak-ids")
-    H.save_current_ids(prev.primary, snapshot)
+    H.save_current_ids(prev.primary, snapshot, "run-1")
     cur_run = analyze(b, already_normalized=True)
-    return H.apply_delta(cur_run.primary, H.load_previous_ids(spark, snapshot))
+    return H.apply_delta(cur_run.primary, H.load_previous_ids(spark, snapshot, "run-2"))
 
 
 @register("delta_status", q("select leak_type, provider, service, resource_id, leak_id, status from tagged", DELTA_CTES))

@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from costsieve import schema as S
 from costsieve.operators import detectors as E
@@ -41,6 +42,7 @@ class Features:
     resources: DataFrame      # per (provider, service, resource_id)
     slots: DataFrame          # per (resource_id, provider, service, date, region)
     materialized: bool = False
+    rows_read: DataFrame | None = None  # total_records, where rejected rows are counted in the pass over the rows
     paths: list[str] = field(default_factory=list)
 
 
@@ -80,7 +82,8 @@ def with_seq(df: DataFrame) -> DataFrame:
     Rows that aren't read from files are numbered by partition.
     """
     if "seq" in df.columns:
-        return df
+        whole = isinstance(df.schema["seq"].dataType, T.IntegralType)
+        return df if whole else df.withColumn("seq", F.col("seq").try_cast("long"))
     names = sorted(re.sub(r"^(\w+):///", r"\1:/", n) for n in df.inputFiles())  # as _metadata has them
     fields = _metadata_fields(df) if names else []
     if "file_block_start" not in fields:
@@ -109,21 +112,26 @@ def with_optional(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in df.columns})
 
 
-def build_features(norm: DataFrame, materialize: bool = True) -> Features:
+def build_features(norm: DataFrame, materialize: bool = True, with_rejected: bool = False) -> Features:
     """The four shared aggregates every detector reads, built from ONE pass over the rows.
 
     With ``materialize`` (default) they are written to the shared checkpoint folder: up to ten
     plans read them, a lost executor re-reads them instead of the input, and every detector sees
-    bit-identical float sums (a re-evaluated sum may differ in the last bit).
+    bit-identical float sums (a re-evaluated sum may differ in the last bit). ``with_rejected``: rows
+    without a date are rejected ones (``normalize(keep_rejected=True)``); they are only counted.
     """
     norm, paths = with_optional(norm), []
     keep = (lambda df, name: materialise(df, name, paths)) if materialize else (lambda df, name: df)
     slots = keep(D.resource_day_slots(norm), "slots")  # the only pass over the rows
+    rows_read = None
+    if with_rejected:
+        rows_read = slots.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total_records"))
+        slots, norm = slots.where("date is not null"), norm.where("date is not null")
     daily = keep(D.cost_zscore(D.daily_from_slots(slots)), "daily")
     resources = keep(D.resource_features_from_slots(slots), "resources")
     services = keep(D.service_stats(daily), "services")
     return Features(norm=norm, daily=daily, services=services, resources=resources, slots=slots,
-                    materialized=materialize, paths=paths)
+                    materialized=materialize, rows_read=rows_read, paths=paths)
 
 
 def underscore_names(raw: DataFrame) -> DataFrame:
@@ -141,6 +149,7 @@ def run_detectors(ft: Features, commitments: DataFrame | None = None, raw_column
     names are returned in ``skipped``). Plans are not wrapped in
     try/except at action time. ``commitments``: ``detectors.commitment_totals`` of the raw CUR."""
     out, skipped = [], []
+    codes = E.service_codes(ft.services, ft.paths)
     zombie = E.detect_zombie(ft.resources, materialized=ft.materialized)
     if ft.materialized:  # read by the idle detector too
         zombie = materialise(zombie, "zombies", ft.paths)
@@ -148,10 +157,10 @@ def run_detectors(ft: Features, commitments: DataFrame | None = None, raw_column
     out.append(E.detect_idle(ft.resources, ft.services, zombie.select("resource_id")))
     out.append(E.detect_runaway(ft.services, ft.resources))
     out.append(E.detect_always_on(ft.daily, ft.services))
-    out.append(E.detect_orphaned_storage(ft.slots))
+    out.append(E.detect_orphaned_storage(ft.slots, codes))
     out.append(E.detect_idle_database(ft.resources))
-    out.append(E.detect_snapshot_sprawl(ft.slots))
-    out.append(E.detect_untagged(ft.slots, ft.services, top_untagged))
+    out.append(E.detect_snapshot_sprawl(ft.slots, codes))
+    out.append(E.detect_untagged(ft.slots, ft.services, top_untagged, codes))
     if commitments is not None:
         if E.SAVINGS_COLUMNS <= raw_columns:
             out.append(E.savings_plan_leak(commitments))
@@ -169,7 +178,8 @@ def analyze(raw: DataFrame, provider: str | None = None, already_normalized: boo
             materialize: bool = True) -> Analysis:
     """Run the whole analysis. ``already_normalized`` input keeps its own ``provider`` column
     when it has one (multi-provider tables), else is stamped. The rows are read once for the
-    features and, for a raw AWS export, once more for the commitment totals."""
+    features (which also counts the rejected ones) and, for a raw AWS export, once more for the
+    commitment totals; a text column of dates is voted on before (``normalize.day_first``)."""
     # before rows get a made-up order: an input without one isn't scanned for its first row
     label = None if already_normalized else detect_provider(raw, provider)
     raw = with_seq(raw)
@@ -183,13 +193,13 @@ def analyze(raw: DataFrame, provider: str | None = None, already_normalized: boo
             norm = raw.withColumn("provider", F.lit(label))
     else:
         try:
-            norm = normalize(raw, label)
+            norm = normalize(raw, label, keep_rejected=label != "AWS")  # AWS rows are counted with the commitments
         except Exception as exc:  # noqa: BLE001 - plan-time error in the mapping
             raise ValueError(f"Normalization failed: {exc}") from exc
         if label == "AWS":
             plain = underscore_names(raw)
             raw_columns, commitments = set(plain.columns), E.commitment_totals(plain)
-    ft = build_features(norm, materialize=materialize)
+    ft = build_features(norm, materialize=materialize, with_rejected=not already_normalized and label != "AWS")
     if materialize and commitments is not None:
         commitments = materialise(commitments, "commitments", ft.paths)
     frames, skipped = run_detectors(ft, commitments, raw_columns, top_untagged)
@@ -207,7 +217,7 @@ def analyze(raw: DataFrame, provider: str | None = None, already_normalized: boo
     elif already_normalized:  # every row is one of the slots
         total = normalized.withColumnRenamed("normalized_records", "total_records")
     else:
-        total = raw.agg(F.count(F.lit(1)).alias("total_records"))
+        total = ft.rows_read
     return Analysis(
         provider=label, features=ft, leaks=leaks, scored=scored, primary=primary,
         summary=Fs.summary(primary), forecasts=forecasts,
