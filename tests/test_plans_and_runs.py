@@ -22,7 +22,9 @@ def plan(df):
     return text.split("== Initial Plan ==")[-1]
 
 
-def test_first_values_by_key(spark):
+@pytest.mark.parametrize("few", [10_000, 2])
+def test_first_values_by_key(spark, monkeypatch, few):
+    monkeypatch.setattr(FI, "FEW", few)  # a larger dictionary is written and joined by its size
     rows = [("a", 5, "x"), ("a", 3, "y"), ("a", 3, "b"), ("a", 1, None), ("b", 2**61 - 1, "z"), ("b", 2**61, "a"), ("c", 0, None), ("d", None, "q")]
     df = spark.createDataFrame(rows, "k string, seq long, v string")
     codes = FI.value_codes(df.where("v is not null"), ["v"], "code")
