@@ -26,8 +26,8 @@ are compared as classes only: at this length a changed word already takes 32-wor
 the similarity. Of each of a block's words the first occurrence whose line stays is kept; the words
 of the later occurrences are cut. A word is thus only ever cut for an equal one at a smaller place
 that no paragraph removal takes, and no passage is lost from the whole corpus. The cut goes on to
-both sides as far as the words equal those around the earlier place: up to ``PASSAGE - BLOCK`` words,
-the most that a passage has before its first picked block or after its last.
+both sides as far as the words equal those around some earlier place, whichever has most of them: up
+to ``PASSAGE - BLOCK`` words, the most that a passage has before its first picked block or after its last.
 
 Texts are shuffled only for documents that lose a paragraph. The other documents, and paragraphs
 without candidates, are passed by with a bitmap of fixed size over hashes; a false hit costs work
@@ -338,7 +338,7 @@ def _marked_blocks(block):
                 text, at, keys = picked_blocks(split)
                 hit = has_mark(block.value, keys[:, 0])
                 text, at, keys = text[hit], at[hit], keys[hit]
-                runs, sides = [], []
+                runs = []
                 for t in np.unique(text):
                     ends = line_ends(texts[a + t])
                     own = at[text == t]
@@ -346,13 +346,40 @@ def _marked_blocks(block):
                     first, last = np.searchsorted(ends, lo, side="right"), np.searchsorted(ends, hi - 1, side="right")
                     runs += [[x for n in range(f, z + 1) for x in (n, min(max(int(ends[n]) - w + SIDES, 0), 2 * SIDES + BLOCK))]
                              for w, f, z in zip(own.tolist(), first.tolist(), last.tolist())]
-                    word = np.r_[np.zeros(SIDES, np.uint64), word_hashes(split[t]) | np.uint64(1), np.zeros(SIDES, np.uint64)]
-                    sides += [np.r_[word[w:w + SIDES], word[w + SIDES + BLOCK:w + 2 * SIDES + BLOCK]].tobytes() for w in own.tolist()]
                 rows = pa.array(text + a)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at),
-                     *[pa.array(np.ascontiguousarray(keys[:, i])) for i in (0, 1)], pa.array(runs, pa.list_(pa.int32())), pa.array(sides, pa.binary())],
-                    names=["id", "th", "start", "k1", "k2", "runs", "sides"])
+                     *[pa.array(np.ascontiguousarray(keys[:, i])) for i in (0, 1)], pa.array(runs, pa.list_(pa.int32()))],
+                    names=[*_PLACES, "runs"])
+
+    return run
+
+
+def side_words(word: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """The hashes of the words before each block, the nearest first, and of those after it; zeros
+    beyond the text's ends."""
+    own = (word | np.uint64(1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIDE_BYTES]
+    edge = np.zeros((SIDES, SIDE_BYTES), np.uint8)
+    own = np.concatenate([edge, own, edge])
+    at = np.r_[np.arange(SIDES - 1, -1, -1), np.arange(SIDES + BLOCK, 2 * SIDES + BLOCK)]
+    return [row.tobytes() for row in own[starts[:, None] + at]]
+
+
+def _marked_sides(block):
+    def run(batches):
+        for batch in batches:
+            texts, hashes = batch.column(2).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b in groups_of(texts, 1 << 21):
+                split = [t.lower().split() for t in texts[a:b]]
+                text, at, keys = picked_blocks(split)
+                hit = has_mark(block.value, hashes[text + a] ^ at)
+                text, at, keys = text[hit], at[hit], keys[hit]
+                sides = [x for t in np.unique(text) for x in side_words(word_hashes(split[t]), at[text == t])]
+                rows = pa.array(text + a)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at),
+                     *[pa.array(np.ascontiguousarray(keys[:, i])) for i in (0, 1)], pa.array(sides, pa.binary())],
+                    names=[*_PLACES, "sides"])
 
     return run
 
@@ -360,6 +387,8 @@ def _marked_blocks(block):
 # Words on each side of a block: a passage's first picked block starts at most so many words after
 # it, and its last one ends at most so many before its end.
 SIDES = PASSAGE - BLOCK
+SIDE_BYTES = 5  # of a side word's hash: two words that differ are taken as equal once in 2^40
+HOT = 50_000
 ALL = (1 << BLOCK) - 1
 
 
@@ -381,16 +410,52 @@ def halves(bits: int) -> tuple[int, int]:
     return bits >> SIDES & ALL, bits & ((1 << SIDES) - 1) | bits >> (SIDES + BLOCK) << SIDES
 
 
-def equal_sides(own: bytes, other: bytes) -> int:
-    """The words on both sides of two equal blocks up to which the texts are equal, as bits."""
-    x, y = np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64)
-    same = ((x == y) & (x != 0)).tolist()
-    left = (same[SIDES - 1::-1] + [False]).index(False)
-    right = (same[SIDES:] + [False]).index(False)
+def reach(sides_gone: int) -> tuple[int, int]:
+    """How many words before a block and after it, from the nearest on, lie in lines that stay."""
+    left = next((k for k in range(SIDES) if sides_gone >> (SIDES - 1 - k) & 1), SIDES)
+    return left, next((k for k in range(SIDES) if sides_gone >> (SIDES + k) & 1), SIDES)
+
+
+def side_bits(left: int, right: int) -> int:
     return ((1 << left) - 1) << (SIDES - left) | ((1 << right) - 1) << SIDES
 
 
+def prefixes(side: bytes) -> list[bytes]:
+    """The first words of one side, one word, two words and so on, up to the text's end."""
+    out = []
+    for k in range(SIDE_BYTES, len(side) + 1, SIDE_BYTES):
+        if not any(side[k - SIDE_BYTES:k]):
+            break
+        out.append(side[:k])
+    return out
+
+
+class Earlier:
+    """The words around the places of one class so far. A place's equal words are found by walking
+    along the prefixes that an earlier place has."""
+
+    def __init__(self):
+        self.seen: tuple[set[bytes], set[bytes]] = (set(), set())
+
+    def add(self, sides: bytes, sides_gone: int) -> int:
+        """The words, as bits, up to which some earlier place is equal in lines that stay."""
+        half, found = SIDES * SIDE_BYTES, []
+        for side, seen, stay in zip((sides[:half], sides[half:]), self.seen, reach(sides_gone)):
+            if side in seen:  # as with whole copies
+                found.append(SIDES)
+                continue
+            own = prefixes(side)
+            k = 0
+            while k < len(own) and own[k] in seen:
+                k += 1
+            found.append(k)
+            seen.update(own[k:stay])
+        return side_bits(*found)
+
+
 _PLACES = ["id", "th", "start", "k1", "k2"]
+_PLACE_TYPES = "id long, th long, start long, k1 long, k2 long"
+_ENDS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("more", pa.int64())])
 
 
 def _gone(batches):
@@ -398,56 +463,117 @@ def _gone(batches):
         runs, lines = batch.column("runs").to_pylist(), batch.column("lines").to_pylist()
         own = [halves(gone_words(r, x)) for r, x in zip(runs, lines)]
         yield pa.RecordBatch.from_arrays(
-            [*[batch.column(n) for n in _PLACES], pa.array([x for x, _ in own], pa.int64()), pa.array([x for _, x in own], pa.int64()),
-             batch.column("sides")], names=[*_PLACES, "gone", "sides_gone", "sides"])
+            [*[batch.column(n) for n in _PLACES], pa.array([x for x, _ in own], pa.int64()), pa.array([x for _, x in own], pa.int64())],
+            names=[*_PLACES, "gone", "sides_gone"])
 
 
-def _extended(batches):
-    """The words on a block's sides that an earlier place has as well, in lines that stay."""
+def _equal_words(batches):
+    """Rows sorted by class and place; a place that counts comes as a row with its sides' lines, then
+    one with their words."""
+    kind = place = own = earlier = None
     for batch in batches:
         out = []
-        for own, earlier in zip(batch.column("sides").to_pylist(), batch.column("earlier").to_pylist()):
-            more = 0
-            for e in earlier:
-                more |= equal_sides(own, e["sides"]) & ~e["sides_gone"]
-            out.append(more)
-        names = ["id", "th", "start", "first_id", "stays", "words"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, pa.int64())], names=[*names, "more"])
+        for *key, sides_gone, sides in zip(*[batch.column(n).to_pylist() for n in ("k1", "k2", "id", "th", "start", "sides_gone", "sides")]):
+            if key[:2] != kind:
+                kind, earlier = key[:2], Earlier()
+            if sides is None:
+                place, own = key, sides_gone
+            elif place == key:
+                place = None  # a repeated row is the same place
+                more = earlier.add(sides, own)
+                if more:
+                    out.append((*key[2:], more))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], schema=_ENDS)
+
+
+def _hot_prefixes(batches):
+    """A row for each prefix of a place's sides; ``counts``: it lies in lines that stay."""
+    names = ["id", "th", "start", "side", "k", "key", "counts"]
+    for batch in batches:
+        out = []
+        for i, th, start, k1, k2, sides_gone, sides in zip(*[batch.column(n).to_pylist() for n in (*_PLACES, "sides_gone", "sides")]):
+            half, head = SIDES * SIDE_BYTES, np.array([k1, k2], np.int64).tobytes()
+            for n, (side, stay) in enumerate(zip((sides[:half], sides[half:]), reach(sides_gone))):
+                for k, prefix in enumerate(prefixes(side), 1):
+                    key = xxhash.xxh3_64_intdigest(head + bytes([n]) + prefix)
+                    out.append((i, th, start, n, k, key - (key >> 63 << 64), k <= stay))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.bool_() if n == "counts" else pa.int64()) for n, c in zip(names, zip(*out) if out else [[]] * 7)], names=names)
+
+
+def _place():
+    return F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("start").alias("start"))
+
+
+def passage_ends(read: DataFrame, here: DataFrame, hot: int = HOT) -> DataFrame:
+    """(id, th, start, more): the places whose passage goes on beyond the block, and the words, as
+    bits, of up to SIDES on each side that some earlier place has as well, in lines that stay.
+
+    Only places with words in lines that stay, and of classes with several of them, send their
+    sides. Places of a class go through one task in order, which keeps the distinct words around
+    them. In classes of over ``hot`` places, the least place of each prefix of a side is found by an
+    aggregate instead, so no task sees the whole class."""
+    here = here.where(F.col("gone") != F.lit(ALL))
+    live = materialise(here.groupBy(F.col("k1").alias("a"), F.col("k2").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "live-blocks")
+    same = (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))
+    need = materialise(here.join(live, same).select(*_PLACES, "sides_gone", (F.col("n") > hot).alias("hot")), "live-places")
+    block = read.sparkSession.sparkContext.broadcast(marks(need, F.col("th").bitwiseXOR(F.col("start"))))
+    sides = read.mapInArrow(_marked_sides(block), f"{_PLACE_TYPES}, sides binary")
+    many = live.where(F.col("n") > hot).select("a", "b")
+    any_hot = not many.isEmpty()
+    few = sides.join(many, same, "left_anti") if any_hot else sides
+    rows = need.where("not hot").select(*_PLACES, "sides_gone", F.lit(None).cast("binary").alias("sides")).union(
+        few.select(*_PLACES, F.lit(None).cast("long"), "sides"))
+    rows = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", F.col("id").isNull(), "id", "th", "start", F.col("sides").isNotNull())
+    found = rows.mapInArrow(_equal_words, "id long, th long, start long, more long")
+    if not any_hot:
+        return found
+    own = need.where("hot").select(F.col("id").alias("i"), F.col("th").alias("t"), F.col("start").alias("s"), "sides_gone").distinct()
+    large = sides.join(many, same, "left_semi").distinct().join(
+        own, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")) & (F.col("start") == F.col("s")))
+    large = materialise(large.mapInArrow(_hot_prefixes, "id long, th long, start long, side long, k long, key long, counts boolean"), "hot-prefixes")
+    least = materialise(large.where("counts").groupBy(F.col("key").alias("h")).agg(F.min(_place()).alias("f")), "hot-firsts")
+    longest = large.join(least, F.col("key") == F.col("h")).where(F.col("f") < _place()).groupBy("id", "th", "start", "side").agg(F.max("k").alias("k"))
+    bits = F.expr(f"shiftleft(shiftleft(1L, cast(k AS int)) - 1L, cast(if(side = 0, {SIDES} - k, {SIDES}) AS int))")
+    return found.union(longest.groupBy("id", "th", "start").agg(F.sum(bits).alias("more")))
 
 
 def repeated_blocks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lines_gone: DataFrame | None = None) -> DataFrame:
     """(id, th, start, first_id, stays, words, more): every picked block that occurs again, by its first
     word; the first occurrence stays. ``lines_gone``: (id, th, line) of the lines that paragraphs
     remove. ``words``: as bits, the block's words of which an earlier occurrence lies in a line that
-    isn't removed; ``more``: those up to SIDES words before it and after it by which the equal
-    passage is longer; ``first_id``: the earliest document that holds words, null if none does."""
+    isn't removed; ``first_id``: the earliest document that holds words, null if none does. With
+    ``lines_gone``, a place whose passage goes on has a second row, without words and first_id:
+    ``more``, see ``passage_ends``."""
     read = docs.select(col(id_col).cast("long").alias("id"), text_hash(text_col).alias("th"), text_bytes(text_col).alias("t"))
     again = materialise(
         read.select("t").mapInArrow(_block_classes("t"), "k1 long, k2 long").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1").select(F.col("k1").alias("a"), F.col("k2").alias("b")), "blocks")
     block = docs.sparkSession.sparkContext.broadcast(marks(again, F.col("a")))
-    here = read.mapInArrow(_marked_blocks(block), "id long, th long, start long, k1 long, k2 long, runs array<int>, sides binary")
+    here = read.mapInArrow(_marked_blocks(block), f"{_PLACE_TYPES}, runs array<int>")
     here = here.join(again, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))).drop("a", "b")
     if lines_gone is None:
         here = here.withColumn("lines", F.lit(None).cast("array<int>"))
     else:
         gone = lines_gone.groupBy(F.col("id").alias("i"), F.col("th").alias("t")).agg(F.collect_set("line").alias("lines"))
         here = here.join(gone, (F.col("th") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")), "left").drop("i", "t")
-    here = materialise(here.mapInArrow(
-        _gone, "id long, th long, start long, k1 long, k2 long, gone long, sides_gone long, sides binary"), "block-places")
-    place = F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("start").alias("start"))
+    here = materialise(here.mapInArrow(_gone, f"{_PLACE_TYPES}, gone long, sides_gone long"), "block-places")
+    place = _place()
     # the first place for each set of words gone; a place's earlier ones are all covered by these
-    first = here.groupBy("k1", "k2", "gone").agg(F.min(F.struct(place.alias("f"), "sides_gone", "sides")).alias("m"))
+    first = here.groupBy("k1", "k2", "gone").agg(F.min(place).alias("f"))
     first = materialise(first.groupBy(F.col("k1").alias("a"), F.col("k2").alias("b")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("m.f").alias("f"), "gone", F.col("m.sides_gone").alias("sides_gone"), F.col("m.sides").alias("sides")))).alias("firsts")), "firsts")
+        F.array_sort(F.collect_list(F.struct("f", "gone"))).alias("firsts")), "firsts")
     earlier = F.filter("firsts", lambda e: e["f"] < F.col("place"))
     words = F.aggregate(F.col("earlier"), F.lit(0).cast("long"), lambda x, e: x.bitwiseOR(F.lit(ALL).bitwiseXOR(e["gone"])))
     joined = here.withColumn("place", place).join(first, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b")))
     joined = joined.withColumn("earlier", earlier).withColumn("words", words)
     holds = F.filter("earlier", lambda e: e["gone"] != F.lit(ALL))
     found = joined.select("id", "th", "start", F.get(holds, F.lit(0))["f"]["id"].alias("first_id"), (F.size("earlier") == 0).alias("stays"), "words",
-                          "sides", F.transform("earlier", lambda e: F.struct(e["sides_gone"].alias("sides_gone"), e["sides"].alias("sides"))).alias("earlier"))
-    return found.mapInArrow(_extended, "id long, th long, start long, first_id long, stays boolean, words long, more long")
+                          F.lit(0).cast("long").alias("more"))
+    if lines_gone is None:
+        return found
+    none = F.lit(None).cast("long"), F.lit(False), F.lit(0).cast("long")
+    return found.union(passage_ends(read, here).select("id", "th", "start", *none, "more"))
 
 
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -559,9 +685,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
                              .select("id", "th", "line", "first_id"), "lines-removed")
     blocks_gone = repeated_blocks(docs, text_col, id_col, lines_gone if whole else None).where("not stays")
     none = F.lit(None).cast("struct<start:bigint,words:bigint,more:bigint>")
-    more = (F.col("more") if whole else F.lit(0).cast("long")).alias("more")
     gone = lines_gone.select("id", "th", "line", none.alias("cut"), "first_id").union(
-        blocks_gone.select("id", "th", F.lit(None).cast("int"), F.struct("start", "words", more), "first_id"))
+        blocks_gone.select("id", "th", F.lit(None).cast("int"), F.struct("start", "words", "more"), "first_id"))
     lists = materialise(gone.groupBy("id", "th").agg(
         F.array_sort(F.collect_set("line")).alias("lines"), F.array_sort(F.collect_set("cut")).alias("cuts"),
         F.array_sort(F.collect_set("first_id")).alias("ids")), "removed")
@@ -574,6 +699,6 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     some = map_arrow(hashed, _marked_rows(block, th, True)).join(
         own, (col(th) == F.col("__t")) & col(id_col).cast("long").eqNullSafe(F.col("__i")), "left").drop("__i", "__t")
     changed = map_arrow(some, _remove(text_col, lists_as[0], lists_as[1])).select(
-        *keep, *[F.coalesce(col(c)["start"] if n == "cut" else col(c), F.array().cast(kind)).alias(n) for c, (n, kind) in zip(lists_as, names.items())])
+        *keep, *[F.coalesce(F.array_distinct(col(c)["start"]) if n == "cut" else col(c), F.array().cast(kind)).alias(n) for c, (n, kind) in zip(lists_as, names.items())])
     rest = map_arrow(hashed, _marked_rows(block, th, False)).select(*keep, *[F.array().cast(kind).alias(n) for n, kind in names.items()])
     return changed.union(rest)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from helpers import documents
 
 from costsieve.llm import paragraphs as P
@@ -44,10 +45,44 @@ def test_passages_go_to_their_ends(spark):
         assert got[i]["text"].split() == [w for w in text.split() if w not in {*long, *short}]
 
 
-def test_equal_sides():
-    side = lambda *different: np.array([0 if k in different else k + 1 for k in range(2 * P.SIDES)], np.uint64).tobytes()
-    n = 2 * P.SIDES
-    assert P.equal_sides(side(), side()) == (1 << n) - 1
-    assert P.equal_sides(side(P.SIDES - 1, P.SIDES), side()) == 0
-    assert P.equal_sides(side(0), side(n - 1)) == (1 << n - 1) - 2
+def test_words_around_earlier_places():
+    """Against a comparison with every earlier place, word by word."""
+    rng, n = random.Random(33), P.SIDES
+    for _ in range(40):
+        earlier, places = P.Earlier(), []
+        for _ in range(12):
+            text = [rng.choice("ab") if 16 < k < n + P.BLOCK + 2 and rng.random() < 0.2 else "c" for k in range(2 * n + P.BLOCK)]
+            cut = rng.choice([0, 0, 5, n])
+            word = P.word_hashes([w.encode() for w in text[cut:]])
+            sides = [None] * cut + text[cut:n] + text[n + P.BLOCK:]
+            lost = rng.choice([0, 1 << rng.randrange(2 * n)])
+            expected = 0
+            for other, gone in places:
+                for step in (range(n - 1, -1, -1), range(n, 2 * n)):
+                    for k in step:
+                        if sides[k] is None or sides[k] != other[k] or gone >> k & 1:
+                            break
+                        expected |= 1 << k
+            raw = P.side_words(word, np.array([n - cut]))[0]
+            assert earlier.add(raw, lost) == expected
+            places.append((sides, lost))
     assert P.halves((1 << P.SIDES) - 1 | 1 << P.SIDES + P.BLOCK) == (0, (1 << P.SIDES + 1) - 1)
+
+
+@pytest.mark.parametrize("hot", [P.HOT, 1])
+def test_passages_end_at_any_earlier_place(spark, monkeypatch, hot):
+    """Document 1 holds a part of a passage only; document 2 holds all of it."""
+    monkeypatch.setattr(P.passage_ends, "__defaults__", (hot,))
+    rng = random.Random(34)
+    for part in (slice(0, 32), slice(9, 41), slice(18, 50)):
+        passage = words(rng, 50)
+        docs = [(1, " ".join(words(rng, 22) + passage[part] + words(rng, 27)))]
+        docs += [(k, " ".join(words(rng, 20 + k) + passage + words(rng, 30 - k))) for k in (2, 3, 4)]
+        docs += docs[-1:]  # a repeated row
+        docs.append((None, " ".join(words(rng, 12) + passage + words(rng, 25))))
+        got = {}
+        for r in P.remove_repeats(documents(spark, docs), whole=True).collect():
+            assert got.setdefault(r["doc_id"], r["text"]) is not None
+        assert got[1] == docs[0][1]
+        for k, text in docs[2:]:
+            assert got[k].split() == [w for w in text.split() if w not in passage]
