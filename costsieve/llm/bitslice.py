@@ -13,9 +13,11 @@ fill the places. That is exact for each block; the blocks' winners meet in a las
 The rows whose id is divisible by ``every`` are a stated query set. They are taken in blocks of at
 most ``query_block`` rows, each broadcast on its own, against all blocks of rows.
 
-Defined cases: vectors that are null, or hold null or non-finite components, or one that doesn't
-fit in 24 bits after quantising, take no part, and so do null ids; vectors meet only vectors of
-the same length; a repeated candidate row stays a candidate of its own; of query rows with one id
+Defined cases: vectors that are null, or hold null or non-finite components, take no part, and
+neither do null ids. Components may be large: a block has as many slices as its own ranges need, and
+fewer rows where these are wide. A component of 2^62 or more after quantising, or a score among the
+highest that doesn't fit in 64 bits, is an error. Vectors meet only vectors of the same length; empty
+ones score 0; an empty table gives no rows. A repeated candidate row stays a candidate of its own; of query rows with one id
 the smallest vector is taken; a query's own row is every row of its id.
 """
 
@@ -36,14 +38,17 @@ EVERY = 20
 ROW_BLOCK = 32_768
 QUERY_BLOCK = 8_192
 DIGIT = 4
+INDEX_BYTES = 256 << 20
+LARGEST = 2.0**62
 
 
 def quantised(table: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
-    """(id, vec array<int>) of the vectors that take part."""
-    x = F.transform(col(vec_col), lambda v: F.floor(v.cast("double") * scale))
+    """(id, vec array<long>) of the vectors that take part."""
+    too_large = F.raise_error(F.lit("a component is too large for an index in 64 bits"))
+    x = F.transform(col(vec_col), lambda v: F.when(F.abs(v.cast("double") * scale) < LARGEST, F.floor(v.cast("double") * scale)).otherwise(too_large))
     raw = table.where(col(id_col).isNotNull() & col(vec_col).isNotNull()).where(
-        ~F.exists(col(vec_col), lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) * scale >= float(2**24))))
-    return raw.select(col(id_col).cast("long").alias("id"), x.cast("array<int>").alias("vec"))
+        ~F.exists(col(vec_col), lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf"))))
+    return raw.select(col(id_col).cast("long").alias("id"), x.cast("array<long>").alias("vec"))
 
 
 def add(total: list[np.ndarray], other: list[np.ndarray], shift: int = 0) -> list[np.ndarray]:
@@ -116,7 +121,7 @@ class Block:
                 shift += DIGIT
         return total, base
 
-    def top(self, query: list[int], own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, query: list[int], own: int, k: int) -> tuple[np.ndarray, list[int]]:
         """(row numbers, scores) of the query's k highest scores in this block."""
         slices, base = self.slices(query)
         possible = self.every.copy()
@@ -135,9 +140,10 @@ class Block:
         if len(rows) < k:  # ids rise with the row numbers
             rows = np.sort(np.r_[rows, self._rows(possible)[: k - len(rows)]])
         word, bit = rows // 64, (rows % 64).astype(np.uint64)
-        scores = np.full(len(rows), base, np.int64)
+        scores = [base] * len(rows)
         for s, bitmap in enumerate(slices):
-            scores += ((bitmap[word] >> bit) & np.uint64(1)).astype(np.int64) << s
+            for i in np.flatnonzero((bitmap[word] >> bit) & np.uint64(1)).tolist():
+                scores[i] += 1 << s  # Python's numbers: parts of a sum may need more than 64 bits
         return rows, scores
 
     @staticmethod
@@ -145,6 +151,12 @@ class Block:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
+def rows_of_index(vecs: np.ndarray, most: int = INDEX_BYTES) -> int:
+    """How many of the rows may share an index of ``most`` bytes of bitmaps."""
+    width = sum(r.bit_length() + DIGIT for r in (vecs.max(axis=0) - vecs.min(axis=0)).tolist())
+    return max(64, most * 8 // ((2 << DIGIT) * max(1, width)))
+
+
 def _search(block, k: int, row_block: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -154,13 +166,16 @@ def _search(block, k: int, row_block: int):
             here = np.flatnonzero(sizes == dims)
             if not len(here):
                 continue
-            index = Block(np.array([ids[i] for i in here], np.int64),
-                          np.array([vecs[i] for i in here], np.int64).reshape(len(here), dims))
-            out = [(query_id, *index.top(query, query_id, k)) for query_id, query in zip(query_ids, queries)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]), pa.int64()),
-                 pa.array(np.concatenate([index.ids[o[1]] for o in out]), pa.int64()),
-                 pa.array(np.concatenate([o[2] for o in out]), pa.int64())], schema=schema)
+            own_ids = np.array([ids[i] for i in here], np.int64)
+            own = np.array([vecs[i] for i in here], np.int64).reshape(len(here), dims)
+            step = rows_of_index(own)
+            for a in range(0, len(here), step):
+                index = Block(own_ids[a:a + step], own[a:a + step])
+                out = [(query_id, *index.top(query, query_id, k)) for query_id, query in zip(query_ids, queries)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]), pa.int64()),
+                     pa.array(np.concatenate([index.ids[o[1]] for o in out]), pa.int64()),
+                     pa.array([x for o in out for x in o[2]], pa.int64())], schema=schema)
 
     def run(batches):
         ids, vecs = [], []

@@ -48,6 +48,25 @@ def test_defined_cases(spark):
     assert run(spark, [(7, [1.0])]) == []
 
 
+def test_large_components(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 1, 4) * 10.0 ** rng.integers(0, 7, 4)]) for i in range(200)]
+    rows += [(300, [300_000.0, -300_000.0, 0.5, 0.0]), (301, [300_000.0, 1.0, -2.0, 0.25]), (320, [0.0, 0.0, 0.0, 2.0**20])]
+    assert run(spark, rows) == brute(rows)
+    monkeypatch.setattr(B.rows_of_index, "__defaults__", (64,))
+    assert run(spark, rows) == brute(rows)
+    with pytest.raises(Exception, match="too large"):
+        run(spark, [(20, [1e18]), (21, [1.0])])
+    with pytest.raises(Exception):
+        run(spark, [(20, [2.0**40]), (21, [2.0**40])])
+
+
+def test_rows_of_index():
+    wide, narrow = np.array([[0, 0], [2**40, 2**40]]), np.array([[0, 0], [1, 1]])
+    assert B.rows_of_index(wide) < B.rows_of_index(narrow) and B.rows_of_index(wide, 1) == 64
+    assert B.rows_of_index(np.zeros((3, 0), np.int64)) > 3
+
+
 def test_adders():
     rng = random.Random(1)
     for _ in range(50):
