@@ -11,10 +11,15 @@ is the join key. The join condition requires the longer chains' budgets one afte
 the whole ring is the full Hamming check.
 
 A bucket of a first segment that holds over ``bucket_limit`` distinct fingerprints would mean all
-its pairs. Its members go an exact way that is linear instead: each sends itself and its 64
-one-bit neighbours, and those that meet at one string (65 at most) differ in two bits at most;
-they are linked to the smallest. This covers every pair of such a bucket; it is written for two
-bits. For any other ``max_bits`` such buckets are compared pair by pair in the join as well.
+its pairs. Its members get a longer key from the next budgets: with m = t + 1 segments the chain of
+l segments differs in at most l - 1 bits, so the l-th does as well, and of l parts of it at least one
+is equal. Part by part, the second and the following segments lengthen the key, as long as a
+bucket is too large (for two bits: 21, about 32, then about 39 bits). Each step keeps every pair.
+
+What is still in a large bucket then is a dense cluster. It goes an exact way that is linear: each
+member sends itself and its 64 one-bit neighbours, and those that meet at one string (65 at most)
+differ in two bits at most; they are linked to the smallest. This covers every pair of such a bucket;
+it is written for two bits. For any other ``max_bits`` the last buckets are compared pair by pair.
 
 Defined cases: null and wordless texts have fingerprint zero and are linked like any other;
 fewer words than a shingle: the whole sequence is the only shingle; a null id never names a
@@ -78,13 +83,19 @@ def with_fingerprint(docs: DataFrame, out: str, text_col: str = "text", shingle:
     return map_arrow(ready, _fingerprints(raw, out, shingle)).drop(raw)
 
 
-def _masks(m: int) -> list[int]:
-    """The bits of each of m segments, as signed 64-bit numbers."""
-    cuts = [64 * i // m for i in range(m + 1)]
+def _masks(m: int, first: int = 0, last: int = 64) -> list[int]:
+    """The bits of each of m segments of bits ``first`` to ``last``, as signed 64-bit numbers."""
+    cuts = [first + (last - first) * i // m for i in range(m + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
     return [x - (1 << 64) if x >> 63 else x for x in masks]
 
 
+def _part_masks(m: int, level: int) -> list[list[int]]:
+    """For each start on the ring, the ``level + 1`` parts of the segment ``level`` steps on."""
+    segments = [(start + level) % m for start in range(m)]
+    return [_masks(level + 1, 64 * j // m, 64 * (j + 1) // m) for j in segments]
+
+
 def _chain(m: int, budget: int, start: int, x: Column, y: Column) -> Column:
     """Cumulative differences from segment ``start`` on stay within the proportional budgets."""
     masks, keep = _masks(m), F.lit(True)
@@ -96,29 +107,42 @@ def _chain(m: int, budget: int, start: int, x: Column, y: Column) -> Column:
     return keep
 
 
+def _place(rows: DataFrame, m: int, level: int) -> DataFrame:
+    """Each (fp, ring, part, seg) once for each part of its next segment, the key ``seg`` longer by it."""
+    masks = F.array(*[F.array(*[F.lit(x).cast("long") for x in parts]) for parts in _part_masks(m, level)])
+    each = rows.select("fp", "ring", "part", "seg", F.posexplode(masks[F.col("ring")]).alias("j", "mask"))
+    return each.select("fp", "ring", (F.col("part") * (level + 1) + F.col("j")).alias("part"),
+                       F.col("seg").bitwiseOR(F.col("fp").bitwiseAND(F.col("mask"))).alias("seg"))
+
+
 def near_links(prints: DataFrame, max_bits: int = MAX_BITS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints ``fp``: each pair within ``max_bits`` bits that no
-    large bucket holds, and for those of large buckets edges with the same components."""
+    """Edges (u, v) between distinct fingerprints ``fp``: each pair within ``max_bits`` bits that shares
+    a bucket of bounded size, and for those of dense clusters edges with the same components."""
     m = max_bits + 1
-    masks = _masks(m)
-    placed = materialise(prints.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("ring"), F.col("fp").bitwiseAND(F.lit(masks[i])).alias("seg")) for i in range(m)
-    ])).alias("s")).select("fp", "s.ring", "s.seg"), "segments")
-    sizes = placed.groupBy(F.col("ring").alias("r"), F.col("seg").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    sized = placed.join(sizes.where("n > 1"), (F.col("ring") == F.col("r")) & (F.col("seg") == F.col("k"))).select(
-        "fp", "ring", "seg", "n")
-    large = max_bits == 2
-    few = sized.where(F.col("n") <= bucket_limit) if large else sized
-    x, y = few.select(F.col("fp").alias("x"), "ring", "seg"), few.select(F.col("fp").alias("y"), F.col("ring").alias("r2"), F.col("seg").alias("s2"))
     chain = F.lit(False)
     for i in range(m):
         chain |= (F.col("ring") == i) & _chain(m, max_bits, i, F.col("x"), F.col("y"))
     full = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits
-    links = x.join(y, (F.col("ring") == F.col("r2")) & (F.col("seg") == F.col("s2")) & (F.col("x") > F.col("y")) & chain & full)
-    links = links.select(F.col("x").alias("u"), F.col("y").alias("v"))
-    if not large:
-        return links
-    return links.union(_links_by_neighbour(sized.where(F.col("n") > bucket_limit).select("fp").distinct()))
+    key = ["ring", "part", "seg"]
+    open_ = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("ring"), F.lit(0).cast("long").alias("part"),
+                          F.lit(0).cast("long").alias("seg"))
+    found = None
+    for level in range(m):
+        placed = materialise(_place(open_, m, level), "segments")
+        if level and placed.isEmpty():
+            return found
+        sizes = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sized = placed.join(sizes, key)
+        small = F.lit(True) if level == m - 1 and max_bits != 2 else F.col("n") <= bucket_limit
+        few = sized.where(small)
+        x, y = few.select(F.col("fp").alias("x"), *key), few.select(F.col("fp").alias("y"), *[F.col(k).alias(f"{k}2") for k in key])
+        same = (F.col("ring") == F.col("ring2")) & (F.col("part") == F.col("part2")) & (F.col("seg") == F.col("seg2"))
+        links = x.join(y, same & (F.col("x") > F.col("y")) & chain & full).select(F.col("x").alias("u"), F.col("y").alias("v"))
+        found = links if found is None else found.union(links)
+        open_ = sized.where(~small).select("fp", *key)
+    if max_bits == 2:
+        found = found.union(_links_by_neighbour(open_.select("fp").distinct()))
+    return found
 
 
 def _links_by_neighbour(prints: DataFrame) -> DataFrame:

@@ -63,6 +63,39 @@ def test_links_with_and_without_large_buckets(spark):
         assert groups(got) == groups(expected)
 
 
+def near_family(rng, base, fixed, n, most):
+    """Fingerprints within ``most`` flips of ``base`` and of each other's kin, the ``fixed`` low bits equal."""
+    out = set()
+    while len(out) < n:
+        p = base & ((1 << fixed) - 1) | rng.getrandbits(64 - fixed) << fixed
+        out.add(p)
+        for b in rng.sample(range(fixed, 64), most):
+            p ^= 1 << b
+            out.add(p)
+    return out
+
+
+def test_large_buckets_stay_with_the_chains(spark, monkeypatch):
+    """All share the first segment: longer keys alone find every link, none is left to the other way."""
+    left = []
+    monkeypatch.setattr(S, "_links_by_neighbour", lambda prints: left.append(prints.count()) or prints.selectExpr("fp as u", "fp as v").limit(0))
+    ps = near_family(random.Random(11), 0x1234567, 21, 700, 3)
+    table = spark.createDataFrame([(signed(p),) for p in ps], "fp long")
+    links = {tuple(sorted(r)) for r in S.near_links(table, bucket_limit=32).collect()}
+    every = sorted(ps)
+    assert links == {tuple(sorted((signed(a), signed(b)))) for i, a in enumerate(every) for b in every[:i] if (a ^ b).bit_count() <= 2}
+    assert sum(left) == 0 and len(links) > 500
+
+
+def test_other_distances_with_large_buckets(spark):
+    rng = random.Random(12)
+    ps = sorted(near_family(rng, 0, 40, 150, 4) | near_family(rng, 0xABCDEF, 20, 100, 5))
+    table = spark.createDataFrame([(signed(p),) for p in ps], "fp long")
+    for bits in (0, 1, 3, 4):
+        links = {tuple(sorted(r)) for r in S.near_links(table, bits, bucket_limit=3).collect()}
+        assert links == {tuple(sorted((signed(a), signed(b)))) for i, a in enumerate(ps) for b in ps[:i] if (a ^ b).bit_count() <= bits}
+
+
 def test_components_of_long_chains(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(45)]
