@@ -14,6 +14,9 @@ third of the table. ``value_ranks`` instead:
 
 Result: for each distinct (group, value) the exact number of rows with a smaller value
 (``lt``), with the same value (``eq``) and in the group (``n``).
+
+``average_rank_pct`` slices the rows themselves, ties included, so each row gets its rank where it
+lies.
 """
 
 from __future__ import annotations
@@ -84,21 +87,69 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, slices: int | None =
     )
 
 
+def row_slices(df: DataFrame, keys: list[str], value: str, slices: int | None = None) -> DataFrame:
+    """The rows of ``df`` in contiguous slices (``_slice``) of the order (keys, value), pinned as a table.
+
+    Rows of one value are parted by a hash of the whole row, so a value that half of all rows share
+    is spread over as many slices as its rows fill.
+    """
+    n_slices = slices or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ordered = df.repartitionByRange(n_slices, *keys, value, F.xxhash64(*df.columns))
+    return reliable_checkpoint(ordered.withColumn("_slice", F.spark_partition_id()))
+
+
+def _slice_facts(sliced: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per (slice, keys): rows of the group before it (``_before``) and in all (``_n``), and for its first
+    and last value how often other slices hold them (``_edges``). At most slices + groups rows."""
+    per_value = sliced.where(F.col(value).isNotNull()).groupBy("_slice", *keys, value).agg(F.count(F.lit(1)).alias("_eq"))
+    per_slice = per_value.groupBy("_slice", *keys).agg(
+        F.sum("_eq").alias("_rows"),
+        F.struct(F.min(value).alias("v"), F.min_by("_eq", value).alias("eq")).alias("_first"),
+        F.struct(F.max(value).alias("v"), F.max_by("_eq", value).alias("eq")).alias("_last"),
+    )
+    in_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = Window.unboundedPreceding, -1
+    facts = per_slice.select(
+        "_slice", *keys, "_first", "_last",
+        F.coalesce(F.sum("_rows").over(in_group.orderBy("_slice").rowsBetween(*before)), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(in_group).alias("_n"),
+    )
+    # a value in several slices is the first or the last one of each of them
+    edges = facts.select("_slice", *keys, "_before", "_n", F.explode(F.array_distinct(F.array("_first", "_last"))).alias("e"))
+    of_value = Window.partitionBy(*keys, "e.v")
+    edges = edges.select(
+        "_slice", *keys, "_before", "_n", F.struct(
+            F.col("e.v").alias("v"),
+            F.coalesce(F.sum("e.eq").over(of_value.orderBy("_slice").rowsBetween(*before)), F.lit(0)).alias("eq_before"),
+            F.sum("e.eq").over(of_value).alias("eq"),
+        ).alias("e"))
+    return edges.groupBy("_slice", *keys).agg(
+        F.max("_before").alias("_before"), F.max("_n").alias("_n"), F.collect_list("e").alias("_edges"))
+
+
 def average_rank_pct(df: DataFrame, keys: list[str], value: str, out: str = "pct",
-                     materialized: bool = False) -> DataFrame:
-    """pandas ``rank(pct=True)`` (method='average') of ``value`` inside ``keys``, 0..1.
+                     materialized: bool = False, slices: int | None = None) -> DataFrame:
+    """pandas ``rank(pct=True)`` (method='average') of ``value`` inside ``keys``, 0..1; null for nulls.
 
-    ``df`` is materialised first: the ranks are joined back on the value itself, which
-    must be bit-identical on both sides (float sums are not, if evaluated twice).
+    Every row stays in its range slice: ranks inside the slice come from a window, and what other
+    slices add from one row per (slice, group). Nothing is joined on the value itself, so equal
+    values make no hot key. ``df`` is materialised first, as float sums may differ if evaluated twice.
     """
     if not materialized:
         df = reliable_checkpoint(df)
-    ranks = value_ranks(df, keys, value)
-    ranks = ranks.select(
-        *keys, value,
-        ((F.col("lt") + (F.col("eq") + F.lit(1)) / F.lit(2.0)) / F.col("n")).alias(out),
+    sliced = row_slices(df, keys, value, slices)
+    own = Window.partitionBy("_slice", *keys).orderBy(value)
+    ranked = sliced.select(
+        "*",
+        F.count(value).over(own).alias("_le"),
+        F.count(value).over(own.rangeBetween(Window.currentRow, Window.currentRow)).alias("_eq"),
     )
-    return join_back(df, ranks, keys + [value], "left")
+    joined = join_back(ranked, _slice_facts(sliced, keys, value), ["_slice", *keys], "left")
+    edge = F.get(F.filter("_edges", lambda e: e["v"].eqNullSafe(F.col(value))), F.lit(0))
+    lt = F.col("_before") + F.col("_le") - F.col("_eq") - F.coalesce(edge["eq_before"], F.lit(0))
+    eq = F.coalesce(edge["eq"], F.col("_eq"))
+    pct = F.when(F.col(value).isNotNull(), (lt + (eq + F.lit(1)) / F.lit(2.0)) / F.col("_n"))
+    return joined.select(*df.columns, pct.alias(out))
 
 
 def kth_smallest(df: DataFrame, keys: list[str], value: str, k_of_n) -> DataFrame:

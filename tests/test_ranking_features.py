@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from costsieve.operators import features as D
 from costsieve.operators import explore as I
-from costsieve.operators.ranking import average_rank_pct, global_positions, kth_smallest
+from costsieve.operators.ranking import average_rank_pct, global_positions, kth_smallest, row_slices
 
 
 def test_average_rank_matches_pandas_on_a_hot_group(spark):
@@ -24,6 +24,39 @@ def test_average_rank_matches_pandas_on_a_hot_group(spark):
     assert all(abs(got[i] - want[i]) < 1e-12 for i in range(len(rows)))
 
 
+@pytest.mark.parametrize("slices", [1, 3, 16])
+def test_ranks_of_a_value_over_several_slices(spark, slices):
+    rnd = random.Random(slices)
+    special = [None, float("nan"), 0.0, -0.0, float("inf")]
+    rows = [(g, 1.5 if rnd.random() < 0.5 else rnd.choice([*special, float(rnd.randrange(40))]))
+            for g in ["hot"] * 900 + ["cold"] * 30 + [None] * 25] + [("same", 2.0)] * 200 + [("nulls", None)] * 3 + [("one", 4.0)]
+    df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(rows)], "id long, g string, v double")
+    got = {r["id"]: r["pct"] for r in average_rank_pct(df, ["g"], "v", slices=slices).collect()}
+    assert len(got) == len(rows)
+    place = lambda v: (1, 0.0) if v != v else (0, v)  # noqa: E731  NaN equals NaN and is the largest
+    for i, (g, v) in enumerate(rows):
+        if v is None:
+            assert got[i] is None
+            continue
+        same = [place(x) for h, x in rows if h == g and x is not None]
+        lt, eq = sum(x < place(v) for x in same), sum(x == place(v) for x in same)
+        assert got[i] == (lt + (eq + 1) / 2.0) / len(same)
+
+
+def test_repeated_rows_and_empty_tables_have_ranks(spark):
+    df = spark.createDataFrame([("a", 1.0)] * 4 + [("a", 2.0)], "g string, v double")
+    assert sorted(r["pct"] for r in average_rank_pct(df, ["g"], "v", slices=2).collect()) == [0.5] * 4 + [1.0]
+    assert average_rank_pct(df.limit(0), ["g"], "v").count() == 0
+
+
+def test_a_cost_of_half_of_all_rows_is_spread(spark):
+    df = spark.range(20_000).select("id", F.lit("s").alias("g"), F.when(F.col("id") % 2 == 0, 7.25).otherwise(F.col("id") * 0.5).alias("v"))
+    sizes = [r["count"] for r in row_slices(df, ["g"], "v", slices=16).groupBy("_slice").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 2.5 * 20_000 / 16
+    plan = average_rank_pct(df, ["g"], "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in line and "v#" in line for line in plan.splitlines())
+
+
 def test_kth_smallest_and_global_positions(spark):
     vals = [5.0, 1.0, 3.0, 3.0, 9.0, 7.0, 2.0, 8.0]
     df = spark.createDataFrame([("a", v) for v in vals], "g string, v double")
