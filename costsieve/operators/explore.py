@@ -39,8 +39,9 @@ def bracketed_quantile(df: DataFrame, column: str, q: float) -> float | None:
 
     ``percentile_approx`` gives values on both sides of the wanted ranks; one aggregate counts
     how many values lie below and inside them, and the bracket is narrowed until it holds few
-    enough values for a top-k. Each round is two aggregates over one column; no values are
-    sorted but those of the last bracket, and no more than EXACT_ROWS of them are collected.
+    enough values for a top-k; an end value that holds too much of the bracket is counted and taken off.
+    Each round is two aggregates over one column; no values are sorted but those of the last
+    bracket, and no more than EXACT_ROWS of them are collected.
     """
     values = df.where(F.col(column).isNotNull() & ~F.isnan(column)).select(F.col(column).alias("x"))
     n, low, high = values.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
@@ -55,15 +56,27 @@ def bracketed_quantile(df: DataFrame, column: str, q: float) -> float | None:
         a, b = here.agg(F.percentile_approx("x", share, 10_000)).first()[0]
         less, upto = here.agg(F.count_if(F.col("x") < a), F.count_if(F.col("x") <= b)).first()
         new_low, new_high = (a if below + less <= first else low), (b if below + upto > last else high)
-        if (new_low, new_high) == (low, high):
-            break  # many equal values: the top-k below is by distinct value
+        if (new_low, new_high) == (low, high):  # an end holds a large part of the bracket: it is taken off
+            x = F.col("x")
+            at_low, at_high, next_low, next_high = here.agg(
+                F.count_if(x == low), F.count_if(x == high), F.min(F.when(x > low, x)), F.max(F.when(x < high, x))).first()
+            if last < below + at_low:
+                return low
+            if first >= below + inside - at_high:
+                return high
+            if first < below + at_low:
+                return low + (next_low - low) * (at - first)
+            if last >= below + inside - at_high:
+                return next_high + (high - next_high) * (at - first)
+            below, inside, low, high = below + at_low, inside - at_low - at_high, next_low, next_high
+            continue
         below += less if new_low == a else 0
         low, high = new_low, new_high
         inside = values.where((F.col("x") >= low) & (F.col("x") <= high)).count()
     # distinct values with their counts, smallest first: enough of them to reach the last rank
     counted = values.where((F.col("x") >= low) & (F.col("x") <= high)).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     ends, seen = {}, below
-    for x, k in counted.orderBy("x").limit(last - below + 1).collect():
+    for x, k in counted.orderBy("x").limit(min(last - below + 1, EXACT_ROWS)).collect():
         for rank in (first, last):
             if seen <= rank < seen + k:
                 ends[rank] = x

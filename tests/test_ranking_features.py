@@ -77,6 +77,18 @@ def test_bracketed_quantile_matches_numpy(spark, monkeypatch, exact_rows):
     assert I.bracketed_quantile(df.limit(0), "v", 0.5) is None
 
 
+@pytest.mark.parametrize("heavy", [([0.0] * 300, [9.0] * 300), ([0.0] * 900, []), ([], [9.0] * 900), ([0.0] * 400 + [0.5] * 350, [9.0] * 300)])
+def test_quantile_between_heavy_ends_collects_few(spark, monkeypatch, heavy):
+    """Heavy end values can't stop the bracket from narrowing to EXACT_ROWS values."""
+    monkeypatch.setattr(I, "EXACT_ROWS", 20)
+    rnd = random.Random(8)
+    vals = heavy[0] + [1 + 7 * rnd.random() for _ in range(400)] + heavy[1]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    edges = [len(heavy[0]) / (len(vals) - 1), (len(heavy[0]) + 399.5) / (len(vals) - 1)]
+    for q in (0.0, 0.45, 0.55, 1.0, *[e - 0.5 / (len(vals) - 1) for e in edges if 0 < e <= 1]):
+        assert I.bracketed_quantile(df, "v", max(q, 0.0)) == pytest.approx(float(np.quantile(vals, max(q, 0.0))), abs=1e-9)
+
+
 def test_zscore_matches_pandas_rolling(spark):
     costs = [10, 12, 9, 11, 30, 10, 10, 11, 12, 50, 9, 8]
     pdf = pd.DataFrame({"date": pd.date_range("2024-01-01", periods=len(costs)).date,
