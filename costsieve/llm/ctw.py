@@ -1,25 +1,24 @@
 """Language-model scoring by context-tree weighting (CTW) over bytes, beside a unigram base score.
 
 The model. Each byte is decomposed into its eight binary decisions, most significant bit first:
-255 decision nodes. Each of them has a context tree over up to ``DEPTH`` bytes before the current
+255 decision nodes. Each of them has a context tree over the ``DEPTH`` bytes before the current
 one (of the same text; \\xff, which UTF-8 never uses, stands before the text's start and is also
-the symbol for its end). A context is a node of the tree if it holds at least the share
-``MIN_SHARE`` of the training bytes, so a depth has 1 / MIN_SHARE nodes at most whatever the
-corpus holds; what a node's other contexts hold is one child of it, a leaf, together. A tree node
+the symbol for its end). Every context of up to ``DEPTH`` bytes is a node, however rare. A node
 with a zeros and b ones has the Krichevsky-Trofimov block probability
 Pe = G(a+1/2) G(b+1/2) / (pi G(a+b+1)). Its weighted probability is Pe at a leaf and else
 (Pe + product of its children's) / 2: all depths are mixed with the weights that the training data
 give them. Counts are frozen after training. The chance of a bit is the weighted mix from the
 deepest node up, p_d = (B KT_d + p_(d+1)) / (B + 1), where B = Pe / product of the children.
 
-The work. Counting is a distributed aggregate over all training texts: tasks count their byte
-strings and words by pieces, Spark adds them up. Contexts are counted from the strings, each
-string is dealt to its deepest node, and the trees are weighted in parallel, one group for each
-last byte. Only the root's 255 decisions are added up in the driver. The finished model has at
-most DEPTH / MIN_SHARE rows of 256 symbols x 8 bytes (134 MB for 65,536 rows; a fraction of that
-for text); it is broadcast. The word counts of the base score grow with the corpus and are never
-broadcast: the ``HOT_WORDS`` most frequent words (of at most 64 bytes each) are, and the rest of
-each text's words join the counts by shuffles. Every word's exact count is used.
+The work. Counting is a distributed aggregate over all texts: tasks count their strings of
+``DEPTH`` + 1 bytes and words by pieces, Spark adds them up. A string of the texts that are only
+scored is in the table too, with count 0, which changes no probability. The strings are dealt by
+their two newest context bytes and sorted; a task holds whole pairs, weighs their contexts of two
+and more bytes, and hands on what the depths above need: at most 256 x 255 decisions, added up by
+Spark and mixed in the driver. A second pass over the same table mixes down and gives each string's
+log chance. That table grows with the corpus and is never broadcast whole: at most ``HOT_CODES``
+frequent strings are, and the ``HOT_WORDS`` most frequent words (of at most 64 bytes each); the
+rest of each text's strings and words join their tables by shuffles. Every exact count is used.
 
 Defined cases: a null text is an empty one, which has the end alone; rows are scored one by one,
 repeated rows too; without training texts every count is 0, every bit has chance 1/2 and the base
@@ -39,12 +38,14 @@ from pyspark.sql import functions as F
 from costsieve.llm.common import col, fresh, groups_of, materialise, text_bytes
 
 DEPTH = 4
-MIN_SHARE = 1 / 16384
 END = b"\xff"
 PAD = END * DEPTH
 HOT_WORDS = 65_536
 HOT_BYTES = 64
-PIECE = 1 << 21
+HOT_CODES = 1 << 19
+SLOTS = 1 << 20
+PAIR_CODES = 1 << 17
+PIECE = 1 << 20
 WORDS_HELD = 300_000
 
 
@@ -82,44 +83,65 @@ def all_codes(texts: list[bytes]):
             yield codes, sizes, (a, b)
 
 
-def _count(raw: str):
-    schema = pa.schema([("word", pa.binary()), ("code", pa.int64()), ("n", pa.int64())])
+def _summed(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, with the sums of the rows of ``n``."""
+    distinct, where = np.unique(values, return_inverse=True)
+    sums = np.zeros((len(distinct), n.shape[1]), np.int64)
+    np.add.at(sums, where, n)
+    return distinct, sums
 
-    def rows(words: Counter, codes=None):
-        if codes is not None:
-            values, n = np.unique(codes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.binary()), pa.array(values, pa.int64()), pa.array(n, pa.int64())], schema=schema)
-        if words:
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], schema=schema)
+
+def _count(raw: str, learn: str):
+    schema = pa.schema([("word", pa.binary()), ("code", pa.int64()), ("n", pa.int64()), ("seen", pa.int64())])
+
+    def codes_rows(held):
+        values, n = _summed(np.concatenate([v for v, _ in held]), np.concatenate([n for _, n in held]))
+        return pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.binary()), pa.array(values), pa.array(n[:, 0]), pa.array(n[:, 1])], schema=schema)
+
+    def words_rows(words: Counter):
+        n = pa.array(list(words.values()), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), n, n], schema=schema)
 
     def run(batches):
         words, held, size, ends = Counter(), [], 0, 0
         for batch in batches:
             texts = [t.lower() for t in batch.column(batch.schema.names.index(raw)).to_pylist()]
-            ends += len(texts)
-            for t in texts:
-                words.update(t.split())
-                if len(words) > WORDS_HELD:
-                    yield from rows(words)
-                    words = Counter()
-            for codes, _, _ in all_codes(texts):
-                held.append(codes)
-                size += len(codes)
-                if size > 3 * PIECE:
-                    yield from rows(Counter(), np.concatenate(held))
-                    held, size = [], 0
-        yield from rows(words, np.concatenate(held) if held else None)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([ends], pa.int64())], schema=schema)
+            flags = batch.column(batch.schema.names.index(learn)).to_pylist()
+            for learns in (True, False):
+                some = [t for t, x in zip(texts, flags) if x is learns]
+                if learns:
+                    ends += len(some)
+                    for t in some:
+                        words.update(t.split())
+                        if len(words) > WORDS_HELD:
+                            yield words_rows(words)
+                            words = Counter()
+                for codes, _, _ in all_codes(some):
+                    values, n = np.unique(codes, return_counts=True)
+                    held.append((values, np.stack([n * learns, n], axis=1)))
+                    size += len(values)
+                    if size > PIECE:
+                        yield codes_rows(held)
+                        held, size = [], 0
+        if words:
+            yield words_rows(words)
+        if held:
+            yield codes_rows(held)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([ends], pa.int64()), pa.array([ends], pa.int64())], schema=schema)
 
     return run
 
 
-def corpus_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """(word, code, n): counts of words (code null), of byte strings (word null) and of ends (both
-    null) over all rows of ``texts``."""
-    (raw,) = fresh(texts, "__raw")
-    counted = texts.select(text_bytes(text_col).alias(raw)).mapInArrow(_count(raw), "word binary, code long, n long")
-    return materialise(counted.groupBy("word", "code").agg(F.sum("n").alias("n")).where("n > 0"), "ctw-counts")
+def corpus_counts(texts: DataFrame, text_col: str, learn: Column | None = None) -> DataFrame:
+    """(word, code, n, seen): counts of words (code null), of byte strings (word null) and of ends
+    (both null) over the rows of ``texts`` where ``learn`` holds (all, without it). Byte strings of
+    the other rows are there as well; ``seen`` counts all rows."""
+    raw, flag = fresh(texts, "__raw", "__learn")
+    holds = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    counted = texts.select(text_bytes(text_col).alias(raw), holds.alias(flag)).mapInArrow(
+        _count(raw, flag), "word binary, code long, n long, seen long")
+    summed = counted.groupBy("word", "code").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+    return materialise(summed.where("seen > 0"), "ctw-counts")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -286,8 +308,10 @@ class ContextTree:
         return self.logs[self.shape.locate(codes), codes & 255].astype(np.float64)
 
 
-def train(counts: DataFrame, min_share: float = MIN_SHARE) -> ContextTree:
-    codes = counts.where("code is not null").select("code", "n")
+def train(counts: DataFrame, min_share: float = 0.0) -> ContextTree:
+    """A model in memory, for texts outside the table: all contexts, or on request only those with
+    a share of the symbols. ``score`` doesn't use it; its model is a table."""
+    codes = counts.where("code is not null and n > 0").select("code", "n")
     shape = context_shape(codes, min_share)
     block = counts.sparkSession.sparkContext.broadcast(shape)
     dealt = codes.mapInArrow(_deal(block), "last long, node long, symbol long, n long").groupBy("last", "node", "symbol").agg(F.sum("n").alias("n"))
@@ -311,13 +335,203 @@ def text_scores(model: ContextTree, texts: list[bytes]) -> list[float]:
     return out
 
 
+# ------------------------------------------------------------------ the whole tree as a table
+def key_of(code: Column) -> Column:
+    """The code with its context turned round: newest byte on top, so all depths' contexts are prefixes."""
+    out = code.bitwiseAND(F.lit(255))
+    for d in range(1, DEPTH + 1):
+        out = out + F.shiftleft(F.shiftright(code, 8 * d).bitwiseAND(F.lit(255)), 8 * (DEPTH + 1 - d))
+    return out
+
+
+class Pairs:
+    """The decisions of depths 2 to DEPTH over sorted distinct keys that hold whole pairs.
+
+    ``keys[d]``: (context of d bytes, symbol) in order; ``up[d]``: its place at depth d - 1. For the
+    k-th decision, ``node[d][k]`` is each key's node, ``first[d][k]`` each node's first key."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys, self.up, counts = {DEPTH: keys}, {}, {DEPTH: n.astype(float)}
+        for d in range(DEPTH, 2, -1):
+            self.keys[d - 1], self.up[d] = np.unique(self.keys[d] >> 16 << 8 | self.keys[d] & 255, return_inverse=True)
+            counts[d - 1] = np.bincount(self.up[d], counts[d])
+        self.node, self.first, self.zeros, self.ones = ({d: [] for d in counts} for _ in range(4))
+        for d, key in self.keys.items():
+            for k in range(8):
+                new = np.r_[True, np.diff(key >> (8 - k)) != 0]
+                first = np.flatnonzero(new)
+                ones = np.add.reduceat(counts[d] * (key >> (7 - k) & 1), first)
+                self.node[d].append(np.cumsum(new) - 1)
+                self.first[d].append(first)
+                self.ones[d].append(ones)
+                self.zeros[d].append(np.add.reduceat(counts[d], first) - ones)
+        self.children, self.weighted = {d: [None] * 8 for d in counts}, {d: [None] * 8 for d in counts}
+        for d in range(DEPTH, 1, -1):
+            for k in range(8):
+                own = log_kt(self.zeros[d][k], self.ones[d][k])
+                if d < DEPTH:
+                    above = self.above(d + 1, k)
+                    self.children[d][k] = np.bincount(above, self.weighted[d + 1][k], len(own))
+                    own = np.logaddexp(own, self.children[d][k]) - np.log(2)
+                self.weighted[d][k] = own
+
+    def above(self, d: int, k: int) -> np.ndarray:
+        """For each node of depth d its node one depth up."""
+        return self.node[d - 1][k][self.up[d][self.first[d][k]]]
+
+    def decision(self, d: int, k: int) -> np.ndarray:
+        """For each node of depth d its number among the 255 decisions."""
+        return (1 << k) - 1 + ((self.keys[d][self.first[d][k]] & 255) >> (8 - k))
+
+    def logs(self, upper: np.ndarray) -> np.ndarray:
+        """log10 chance of each key's symbol. ``upper``: zeros, ones and log_children of depth 0 (row
+        256) and of depth 1 (by last byte)."""
+        out = np.zeros(len(self.keys[DEPTH]))
+        for k in range(8):
+            chance = (self.ones[DEPTH][k] + 0.5) / (self.zeros[DEPTH][k] + self.ones[DEPTH][k] + 1.0)
+            at = np.arange(len(chance))
+            for d in range(DEPTH, 2, -1):
+                at = self.above(d, k)[at]
+                chance = mix(self.zeros[d - 1][k][at], self.ones[d - 1][k][at], self.children[d - 1][k][at], chance)
+            decision = self.decision(DEPTH, k)
+            last = self.keys[DEPTH][self.first[DEPTH][k]] >> (8 * DEPTH)
+            for row in (last, 256):
+                chance = mix(*upper[:, row, decision], chance)
+            bit = self.keys[DEPTH] >> (7 - k) & 1
+            chance = chance[self.node[DEPTH][k]]
+            out += np.log10(np.where(bit == 1, chance, 1.0 - chance))
+        return out
+
+
+def whole_pairs(batches):
+    """(keys, counts) of sorted (key, n) rows, PAIR_CODES or more at a time, pairs never parted."""
+    keys, n, size = [], [], 0
+    for batch in batches:
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        keys.append(key)
+        n.append(batch.column(1).to_numpy(zero_copy_only=False))
+        size += len(key)
+        if size >= PAIR_CODES:
+            k, m = np.concatenate(keys), np.concatenate(n)
+            cut = int(np.searchsorted(k >> 24, k[-1] >> 24))  # the last pair may go on
+            if cut:
+                yield k[:cut], m[:cut]
+            keys, n, size = [k[cut:]], [m[cut:]], 0 if cut else -len(k)
+    if sum(map(len, keys)):
+        yield np.concatenate(keys), np.concatenate(n)
+
+
+def _up(batches):
+    """What depth 1 needs of each context of two bytes."""
+    for keys, n in whole_pairs(batches):
+        pairs = Pairs(keys, n)
+        for k in range(8):
+            first = pairs.first[2][k]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pairs.keys[2][first] >> 16), pa.array(pairs.decision(2, k)), pa.array(pairs.zeros[2][k].astype(np.int64)),
+                 pa.array(pairs.ones[2][k].astype(np.int64)), pa.array(pairs.weighted[2][k])],
+                names=["last", "decision", "zeros", "ones", "weighted"])
+
+
+def _down(upper: np.ndarray):
+    def run(batches):
+        for keys, n in whole_pairs(batches):
+            code = keys & 255
+            for d in range(1, DEPTH + 1):
+                code |= (keys >> (8 * (DEPTH + 1 - d)) & 255) << (8 * d)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(Pairs(keys, n).logs(upper))], names=["code", "log"])
+
+    return run
+
+
+def string_logs(codes: DataFrame) -> DataFrame:
+    """(code, log): the log10 chance of each string's last byte after its context, by all contexts."""
+    dealt = codes.select(key_of(F.col("code")).alias("key"), "n").repartition(F.shiftright("key", 24)).sortWithinPartitions("key")
+    sums = dealt.mapInArrow(_up, "last long, decision long, zeros long, ones long, weighted double").groupBy("last", "decision").agg(
+        F.sum("zeros"), F.sum("ones"), F.sum(F.col("weighted").cast("decimal(38,12)")).cast("double"))
+    last, decision, *stats = (c.to_numpy() for c in sums.toArrow().columns)
+    upper = np.zeros((3, 257, 255))
+    upper[:, last, decision] = stats
+    upper[:2, 256] = upper[:2, :256].sum(axis=1)
+    upper[2, 256] = (np.logaddexp(log_kt(*upper[:2, :256]), upper[2, :256]) - np.log(2)).sum(axis=0)
+    return materialise(dealt.mapInArrow(_down(upper), "code long, log double"), "ctw-logs")
+
+
+class HotCodes:
+    """Logs of strings in two tables of slots; a string that finds both its slots taken is left out."""
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray):
+        """``codes``: most frequent first."""
+        self.tables = []
+        for level in range(2):
+            keys, values = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS)
+            slot = self.slot(codes, level)
+            keys[slot[::-1]] = codes[::-1]  # of several the most frequent
+            there = keys[slot] == codes
+            values[slot[there]] = logs[there]
+            self.tables.append((keys, values))
+            codes, logs = codes[~there], logs[~there]
+
+    @staticmethod
+    def slot(codes: np.ndarray, level: int) -> np.ndarray:
+        mixed = codes.astype(np.uint64) * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[level])
+        return (mixed >> np.uint64(40)).astype(np.int64) % SLOTS
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(logs, 0 where there is none; places of the codes that aren't here)."""
+        keys, values = self.tables[0]
+        slot = self.slot(codes, 0)
+        logs, left = values[slot], np.flatnonzero(keys[slot] != codes)
+        keys, values = self.tables[1]
+        slot = self.slot(codes[left], 1)
+        there = keys[slot] == codes[left]
+        logs[left] = np.where(there, values[slot], 0.0)
+        return logs, left[~there]
+
+
+def hot_codes(logs: DataFrame, codes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and logs of the most frequent strings, HOT_CODES at most, whole classes of frequencies."""
+    known = codes.select("code", "seen", F.floor(F.log2("seen") * 8).alias("class"))
+    total, least = 0, None
+    for r in known.groupBy("class").count().orderBy(F.desc("class")).collect():
+        total += r["count"]
+        if total > HOT_CODES:
+            break
+        least = r["class"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0)
+    code, log, seen = (c.to_numpy() for c in known.where(F.col("class") >= least).join(logs, "code").select("code", "log", "seen").toArrow().columns)
+    order = np.lexsort((code, -seen))
+    return code[order], log[order]
+
+
+def hot_scores(hot: HotCodes, texts: list[bytes]) -> tuple[list[float], np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's sum over its hot strings, and (text, code, n) of all others, in order of texts."""
+    out = [0.0] * len(texts)
+    places, others, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for codes, sizes, (a, b) in all_codes(texts):
+        logs, rest = hot.find(codes)
+        if sizes is None:
+            out[a] += float(logs.sum())
+            text = np.full(len(rest), a)
+        else:
+            out[a:b] = np.add.reduceat(logs, np.cumsum(sizes) - sizes).tolist()
+            text = a + np.searchsorted(np.cumsum(sizes), rest, side="right")
+        pair, n = np.unique(np.stack([text, codes[rest]]), axis=1, return_counts=True)
+        places.append(pair[0])
+        others.append(pair[1])
+        counts.append(n)
+    return out, np.concatenate(places), np.concatenate(others), np.concatenate(counts)
+
+
 RARE = "array<struct<word:binary,n:bigint>>"
+RARE_CODES = "array<struct<code:bigint,n:bigint>>"
 
 
 def _score(block, raw: str):
     def run(batches):
-        model, hot, end = block.value
-        get = hot.get
+        codes, logs, hot, end = block.value
+        frequent, get = HotCodes(codes, logs), hot.get
         for batch in batches:
             names = batch.schema.names
             texts = [t.lower() for t in batch.column(names.index(raw)).to_pylist()]
@@ -330,11 +544,16 @@ def _score(block, raw: str):
                 known.append(len(words) - rest.total() + (end is not None))
                 base.append(sum(x for x in logs if x is not None) + (end or 0.0))
                 rare.append([{"word": w, "n": n} for w, n in rest.items()])
+            scores, place, code, n = hot_scores(frequent, texts)
             own = {"n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
-                   "base_score": pa.array(base, pa.float64()), "score": pa.array(text_scores(model, texts), pa.float64()),
+                   "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64()),
                    "n_bytes": pa.array([len(t) + 1 for t in texts], pa.int64()),
                    raw: pa.array([b""] * len(texts), pa.binary())}
             own["rare"] = pa.array(rare, batch.schema.field("rare").type)
+            kind = batch.schema.field("rare_codes").type
+            own["rare_codes"] = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(place, np.arange(len(texts) + 1)), pa.int32()),
+                pa.StructArray.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], fields=list(kind.value_type)), type=kind)
             yield pa.RecordBatch.from_arrays([own.get(n, batch.column(k)) for k, n in enumerate(names)], names=names)
 
     return run
@@ -344,26 +563,32 @@ def score(docs: DataFrame, learn: Column, text_col: str = "text", id_col: str =
     """(id, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row
     of ``docs``, learning from the rows where ``learn`` holds."""
     spark = docs.sparkSession
-    counts = corpus_counts(docs.where(learn), text_col)
-    model = train(counts)
+    counts = corpus_counts(docs, text_col, learn)
+    codes = counts.where("code is not null").select("code", "n", "seen")
+    chances = string_logs(codes)
     words = counts.where("code is null").select("word", "n")
     total, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = total or 0
     ends = words.where("word is null").agg(F.sum("n")).first()[0]
     some = words.where(F.length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(HOT_WORDS).collect()
     hot = {bytes(r["word"]): float(np.log10(r["n"] + 1)) for r in some}
-    block = spark.sparkContext.broadcast((model, hot, None if ends is None else float(np.log10(ends + 1))))
+    block = spark.sparkContext.broadcast((*hot_codes(chances, codes), hot, None if ends is None else float(np.log10(ends + 1))))
     null = [F.lit(0).cast("bigint").alias(c) for c in ("n_bytes", "n_tokens", "n_known")]
     ready = docs.select(col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text_bytes(text_col).alias("raw"), *null,
-                        F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"), F.array().cast(RARE).alias("rare"))
+                        F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"), F.array().cast(RARE).alias("rare"),
+                        F.array().cast(RARE_CODES).alias("rare_codes"))
     scored = materialise(ready.mapInArrow(_score(block, "raw"), ready.schema).drop("raw"), "ctw-scores")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("w"), F.col("r.n").alias("k"))
     met = rare.join(words.where("word is not null"), F.col("w") == F.col("word"))
-    added = met.groupBy(F.col("row").alias("at")).agg(
-        F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("logs"))
+    strings_left = scored.select("row", F.explode("rare_codes").alias("r")).select("row", F.col("r.code").alias("c"), F.col("r.n").alias("k"))
+    deep = strings_left.join(chances, F.col("c") == F.col("code"))
+    added = met.select("row", "k", (F.col("k") * F.log10(F.col("n") + 1)).alias("x"), F.lit(0.0).alias("y")).unionByName(
+        deep.select("row", F.lit(0).cast("bigint").alias("k"), F.lit(0.0).alias("x"), (F.col("k") * F.col("log")).alias("y"))
+    ).groupBy(F.col("row").alias("at")).agg(F.sum("k").alias("more"), F.sum("x").alias("logs"), F.sum("y").alias("deep"))
+    whole = F.col("score") + F.coalesce("deep", F.lit(0.0))
     bottom = F.log10(F.lit(float(total + distinct + 1)))
     return scored.join(added, F.col("row") == F.col("at"), "left").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * bottom).alias("base_score"), "score",
-        (-F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"))
+        (F.col("base_score") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * bottom).alias("base_score"), whole.alias("score"),
+        (-whole / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"))

@@ -153,3 +153,38 @@ def test_pieces_of_long_texts(spark, monkeypatch):
     whole = C.text_scores(model, [b"end", text, b"x"])
     monkeypatch.setattr(C, "PIECE", 100)
     assert C.text_scores(model, [b"end", text, b"x"]) == pytest.approx(whole, rel=1e-6)
+
+
+def test_every_context_takes_part(spark, monkeypatch):
+    """Rare contexts too, with no string, some strings and all strings broadcast."""
+    texts = TEXTS + ["zzé ab", "abcab"]
+    docs = documents(spark, list(enumerate(texts))).repartition(3)
+    learn = docs["doc_id"] < 4
+    brute = Brute(texts[:4])
+    for hot, at_once in ((1 << 19, 1 << 17), (5, 1 << 17), (0, 1)):
+        monkeypatch.setattr(C, "HOT_CODES", hot)
+        monkeypatch.setattr(C, "PAIR_CODES", at_once)
+        got = {r["doc_id"]: r["score"] for r in C.score(docs, learn).collect()}
+        assert [got[i] for i in range(6)] == pytest.approx([brute.score(t) for t in texts], rel=1e-9)
+
+
+def test_contexts_below_any_share_of_the_corpus(spark):
+    """One text's own contexts are far below 1/16384 of the symbols, and still predict it."""
+    rare = "qwxj vkzq jxqk"
+    texts = ["plain text of words " * 1000] * 40 + [rare, rare]
+    docs = documents(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: r["score"] for r in C.score(docs, docs["doc_id"] <= 40).collect()}
+    whole = C.train(C.corpus_counts(docs.where("doc_id <= 40"), "text"), 0.0)
+    cut = C.train(C.corpus_counts(docs.where("doc_id <= 40"), "text"), 1 / 16384)
+    assert got[41] == pytest.approx(C.text_scores(whole, [rare.encode()])[0], rel=1e-5)
+    assert got[41] > C.text_scores(cut, [rare.encode()])[0] + 1
+
+
+def test_slots_that_collide(monkeypatch):
+    monkeypatch.setattr(C, "SLOTS", 8)
+    codes, logs = np.arange(40) * 977, -np.arange(40.0)
+    hot = C.HotCodes(codes, logs)
+    found, left = hot.find(codes)
+    assert 0 < len(left) < 40 and 0 not in left
+    kept = np.setdiff1d(np.arange(40), left)
+    assert found[kept].tolist() == logs[kept].tolist() and not found[left].any()
