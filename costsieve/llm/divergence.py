@@ -8,9 +8,9 @@ frequencies is built in one pass over the texts:
    are cut into hash shards and sorted by (language, term), and leave as a run: chunks of at most
    ``CHUNK`` terms go to the shuffle, which holds them on disk. Then the next block begins. So a
    term that a third of all words consist of is one posting a source and block.
-2. *Merge.* A shard's chunks arrive in order of their first term. A heap over the open runs gives
-   their entries in order; a run's chunk is opened only when the merge has come to its first term.
-   Terms in enough documents of the language leave as frequencies by source.
+2. *Merge.* A shard's chunks arrive in order of their first term and are merged by ranges: when
+   ``WINDOW`` entries are open, all terms below the next chunk's first one are complete. A run's chunk
+   is opened only when the merge has come to its first term. Terms in enough documents of the language leave as frequencies by source.
 3. *Pair corrections.* With smoothed frequencies p, most terms are absent from most sources, where
    p is the source's floor b. The sum over all kept terms for two sources is therefore V times the
    value of the two floors, plus, for each source, a correction by the histogram of its
@@ -31,7 +31,7 @@ order; extra columns are ignored; an empty table has no rows. Sums stay below 2^
 
 from __future__ import annotations
 
-import heapq
+import bisect
 import itertools
 import zlib
 from collections import Counter
@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,7 @@ MIN_DOCS = 10
 TOP = 10
 BLOCK_ENTRIES = 400_000
 CHUNK = 1024
+WINDOW = 65_536
 PIECE = 1 << 20
 PAIRS = 1 << 20
 # a byte of a term lower-cased, all others blank: ASCII letters and everything from \x80 on
@@ -74,16 +76,16 @@ class Block:
     def add(self, lang: str, source: str, text: bytes) -> None:
         counts = self.counts.setdefault((lang, source), Counter())
         docs = self.docs.setdefault((lang, source), Counter())
-        before, seen, start = len(counts), set(), 0
+        before, seen, start = len(counts), {}, 0
         while start < len(text):
             end = min(start + PIECE, len(text))
             while end < len(text) and TERM_BYTES[text[end]] != 32:  # a piece ends behind a term
                 end += 1
             terms = text[start:end].translate(TERM_BYTES).split()
             counts.update(terms)
-            seen.update(terms)
+            seen.update(dict.fromkeys(terms))
             start = end
-        docs.update(seen)
+        docs.update(seen.keys())  # in the same order as in ``counts``
         self.entries += len(counts) - before
 
     def run(self, shards: int) -> Iterator[pa.RecordBatch]:
@@ -97,20 +99,19 @@ class Block:
 
     def _lang_run(self, lang: str, sources: list[str], shards: int) -> pa.RecordBatch:
         tables = [self.counts[lang, s] for s in sources]
-        terms = sorted(set().union(*tables))
-        seed = zlib.crc32(lang.encode())
-        shard = np.fromiter((zlib.crc32(t, seed) % shards for t in terms), np.int64, len(terms))
+        keys = pa.array([t for table in tables for t in table], pa.binary()).dictionary_encode()
+        terms = keys.dictionary
+        seed, by_term = zlib.crc32(lang.encode()), pc.array_sort_indices(terms).to_numpy()
+        shard = np.array([zlib.crc32(t, seed) % shards for t in terms.to_numpy(zero_copy_only=False)], np.int64)[by_term]
         place = np.argsort(shard, kind="stable")  # by shard, then by term
-        shard, terms = shard[place], [terms[i] for i in place]
-        number = dict(zip(terms, range(len(terms))))
-        term, code, count, docs = [], [], [], np.zeros(len(terms), np.int64)
-        for k, (source, table) in enumerate(zip(sources, tables)):
-            at = np.fromiter(map(number.__getitem__, table), np.int64, len(table))
-            docs[at] += np.fromiter(map(self.docs[lang, source].__getitem__, table), np.int64, len(table))
-            term.append(at)
-            code.append(np.full(len(at), k, np.int32))
-            count.append(np.fromiter(table.values(), np.int64, len(table)))
-        term, code, count = map(np.concatenate, (term, code, count))
+        shard, by_term = shard[place], by_term[place]
+        number = np.empty(len(terms), np.int64)
+        number[by_term] = np.arange(len(terms))
+        terms, term = terms.take(pa.array(by_term)), number[keys.indices.to_numpy()]
+        code = np.repeat(np.arange(len(tables), dtype=np.int32), [len(t) for t in tables])
+        count = np.array([n for table in tables for n in table.values()], np.int64)
+        of_docs = np.array([n for s in sources for n in self.docs[lang, s].values()], np.int64)
+        docs = np.bincount(term, of_docs, len(terms)).astype(np.int64)
         order = np.argsort(term, kind="stable")
         code, count, sizes = code[order], count[order], np.bincount(term, minlength=len(terms))
         # chunks: the terms of one shard, CHUNK at a time; a term's postings stay together
@@ -124,10 +125,10 @@ class Block:
             names.append([sources[k] for k in used])
 
         def lists(offsets, values, kind):
-            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
 
         return pa.RecordBatch.from_arrays(
-            [pa.array(shard[cuts[:-1]], pa.int32()), pa.array([lang] * len(names)), pa.array([terms[c] for c in cuts[:-1]], pa.binary()),
+            [pa.array(shard[cuts[:-1]], pa.int32()), pa.array([lang] * len(names)), terms.take(pa.array(cuts[:-1])),
              lists(cuts, terms, pa.binary()), lists(cuts, docs, pa.int64()), lists(cuts, sizes, pa.int32()),
              pa.array(names, pa.list_(pa.string())), lists(posts, code, pa.int32()), lists(posts, count, pa.int64())], schema=_RUNS)
 
@@ -148,36 +149,47 @@ def runs(docs: DataFrame, lang: Column, source: Column, text_col: str, shards: i
 
 
 # ------------------------------------------------------------------ the merge
-def merged(chunks: Iterator[dict]) -> Iterator[tuple[bytes, int, list[tuple]]]:
-    """Heap-merge of the runs of one shard and language: (term, documents, places) in order of terms.
+def merged(chunks: Iterator[dict], min_docs: int = 1) -> Iterator[tuple[bytes, int, list[tuple]]]:
+    """Merge of the runs of one shard and language: (term, documents, places) in order of terms, of
+    the terms in at least ``min_docs`` documents.
 
-    ``chunks`` come by first term and are opened when the merge has reached it. A place is (chunk,
+    ``chunks`` come by first term. They are merged by ranges of terms: when ``WINDOW`` entries are
+    open, all terms below the next chunk's first one are complete and leave. A place is (chunk,
     start, end) of the term's postings; ``counts_of`` adds them up.
     """
-    heap: list = []  # (term, serial, chunk, its number of terms read, postings read)
-
     def until(limit):
-        now, documents, places = None, 0, []
-        while heap and (limit is None or heap[0][0] < limit):
-            term, serial, chunk, k, at = heap[0]
-            if term != now:
-                if places:
-                    yield now, documents, places
-                now, documents, places = term, 0, []
-            end = at + chunk["sizes"][k]
-            documents += chunk["docs"][k]
-            places.append((chunk, at, end))
-            k += 1
-            if k < len(chunk["terms"]):
-                heapq.heapreplace(heap, (chunk["terms"][k], serial, chunk, k, end))
-            else:
-                heapq.heappop(heap)
-        if places:
-            yield now, documents, places
-
-    for serial, chunk in enumerate(chunks):
-        yield from until(chunk["first"])  # all entries of a term below it are on the heap
-        heapq.heappush(heap, (chunk["first"], serial, chunk, 0, 0))
+        parts, rest = [], []
+        for chunk, k in window:
+            end = len(chunk["terms"]) if limit is None else bisect.bisect_left(chunk["terms"], limit, k)
+            if k < end:
+                parts.append((chunk, k, end))
+            if end < len(chunk["terms"]):
+                rest.append((chunk, end))
+        window[:] = rest
+        documents: dict[bytes, int] = {}
+        get = documents.get
+        for chunk, k, end in parts:
+            for term, n in zip(chunk["terms"][k:end], chunk["docs"][k:end]):
+                documents[term] = get(term, 0) + n
+        kept: dict[bytes, list[tuple]] = {t: [] for t in sorted([t for t, n in documents.items() if n >= min_docs])}
+        for chunk, k, end in parts:
+            at = chunk["ends"]
+            for i, term in enumerate(chunk["terms"][k:end], k):
+                if term in kept:
+                    kept[term].append((chunk, at[i - 1] if i else 0, at[i]))
+        for term, places in kept.items():
+            yield term, documents[term], places
+
+    window: list[tuple] = []  # (chunk, its number of terms that have left)
+    entries, full = 0, WINDOW
+    for chunk in chunks:
+        if entries >= full:
+            yield from until(chunk["first"])
+            entries = sum(len(c["terms"]) - k for c, k in window)
+            full = max(WINDOW, 2 * entries)
+        chunk["ends"] = list(itertools.accumulate(chunk["sizes"]))
+        window.append((chunk, 0))
+        entries += len(chunk["terms"])
     yield from until(None)
 
 
@@ -201,25 +213,26 @@ def frequencies(run_table: DataFrame, shards: int, min_docs: int) -> DataFrame:
         for batch in batches:
             names = batch.schema.names
             for i in range(batch.num_rows):  # one chunk in Python at a time
-                yield {c: x[i].as_py() if i_plain else x[i].values.to_pylist() for c, x, i_plain in
+                yield {c: x[i].as_py() if i_plain else x[i].values.to_numpy(zero_copy_only=False).tolist() for c, x, i_plain in
                        zip(names, batch.columns, (c in ("shard", "lang", "first") for c in names))}
 
     def run(batches):
-        out: list[tuple] = []
+        out: list[list] = [[] for _ in arrow]
 
         def table():
-            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), arrow)], schema=arrow)
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, arrow)], schema=arrow)
 
         for (_, lang), chunks in itertools.groupby(chunks_of(batches), key=lambda c: (c["shard"], c["lang"])):
-            for term, documents, places in merged(chunks):
-                if documents >= min_docs:
-                    counts, word = counts_of(places), term.decode("utf-8", "replace")
-                    total = sum(counts.values())
-                    out += [(lang, word, s, n, total, int(k == 0)) for k, (s, n) in enumerate(counts.items())]
-                    if len(out) >= 20_000:
-                        yield table()
-                        out.clear()
-        if out:
+            for term, _, places in merged(chunks, min_docs):
+                counts, word = counts_of(places), term.decode("utf-8", "replace")
+                total, size = sum(counts.values()), len(counts)
+                for c, x in zip(out, ([lang] * size, [word] * size, counts, counts.values(), [total] * size, [1] + [0] * (size - 1))):
+                    c += x
+                if len(out[0]) >= 20_000:
+                    yield table()
+                    for c in out:
+                        c.clear()
+        if out[0]:
             yield table()
 
     dealt = run_table.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("lang").cast("binary"), "first")

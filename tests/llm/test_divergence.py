@@ -121,3 +121,41 @@ def test_long_and_repeated_texts(spark, monkeypatch, piece):
 
 def test_query_is_its_sql(spark):
     same_as_oracle(spark, "op13_source_divergence")
+
+
+def test_merge_by_ranges_leaves_rare_terms_out(monkeypatch):
+    """Windows of any size give the same terms, counts and documents."""
+    monkeypatch.setattr(D, "CHUNK", 3)
+    rnd, total, seen, chunks = random.Random(8), defaultdict(Counter), Counter(), []
+    for _ in range(9):
+        block = D.Block()
+        for _ in range(8):
+            words = rnd.choices([f"{a}{b}" for a in "abcdé" for b in "xyz"], k=6)
+            source = rnd.choice(["s", "t", "u"])
+            block.add("en", source, " ".join(words).encode())
+            seen.update(set(words))
+            for w in words:
+                total[w][source] += 1
+        assert all(list(block.counts[k]) == list(block.docs[k]) for k in block.counts)
+        chunks += [r for b in block.run(1) for r in b.to_pylist()]
+    chunks.sort(key=lambda c: c["first"])
+    for window in (1, 5, 1000):
+        monkeypatch.setattr(D, "WINDOW", window)
+        for least in (1, 30):
+            got = [(t.decode(), n, D.counts_of(places)) for t, n, places in D.merged(iter(chunks), least)]
+            assert got == [(t, seen[t], dict(total[t])) for t in sorted(total, key=str.encode) if seen[t] >= least]
+
+
+def test_runs_are_read_and_merged_in_bulk():
+    """Rare terms take no steps of their own: far fewer calls than terms."""
+    import cProfile
+    import pstats
+
+    blocks = []
+    for k in range(4):
+        blocks.append(D.Block())
+        blocks[-1].add("en", "s", " ".join(f"{''.join(chr(97 + int(c)) for c in str(i))}" for i in range(k, 20_000)).encode())
+    chunks = sorted((r for b in blocks for x in b.run(1) for r in x.to_pylist()), key=lambda c: c["first"])
+    watch = cProfile.Profile()
+    assert watch.runcall(lambda: sum(1 for _ in D.merged(iter(chunks), 10))) == 0
+    assert pstats.Stats(watch).total_calls < 200_000  # some 80,000 entries; with a heap two calls and more each
