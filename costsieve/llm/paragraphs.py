@@ -45,6 +45,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,6 +193,11 @@ def has_mark(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bitmap[m >> 3] >> (7 - (m & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+def marked_rows(batch: pa.RecordBatch, bitmap: np.ndarray, column: int, wanted: bool = True) -> pa.RecordBatch:
+    hit = has_mark(bitmap, batch.column(column).to_numpy(zero_copy_only=False))
+    return batch.filter(pa.array(hit == wanted))
+
+
 def marked(bitmap: np.ndarray, value: int) -> bool:
     m = value % MARKS
     return bool(bitmap[m >> 3] >> (7 - (m & 7)) & 1)
@@ -209,14 +215,15 @@ def shingle_bits(hashes: np.ndarray) -> bytes:
     return np.packbits(out).tobytes()
 
 
-def _shingle_sets(block, min_words: int):
+def _shingle_sets(block, texts, min_words: int):
+    """Sets of the marked classes, from the marked texts."""
     schema = pa.schema([("class", pa.binary()), ("shingles", pa.list_(pa.int64())), ("bits", pa.binary())])
 
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
             classes, sets, bits = [], [], []
-            for text in batch.column(0).to_pylist():
+            for text in marked_rows(batch, texts.value, 0).column(1).to_pylist():
                 for _, words in paragraphs(text, min_words):
                     digest = class_id(words)
                     if marked(block.value, class_number(digest)) and digest not in seen:
@@ -365,9 +372,11 @@ def side_words(word: np.ndarray, starts: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in own[starts[:, None] + at]]
 
 
-def _marked_sides(block):
+def _marked_sides(block, live):
+    """The sides of marked places, from the marked texts."""
     def run(batches):
         for batch in batches:
+            batch = marked_rows(batch, live.value, 1)
             texts, hashes = batch.column(2).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
             for a, b in groups_of(texts, 1 << 21):
                 split = [t.lower().split() for t in texts[a:b]]
@@ -389,6 +398,7 @@ def _marked_sides(block):
 SIDES = PASSAGE - BLOCK
 SIDE_BYTES = 5  # of a side word's hash: two words that differ are taken as equal once in 2^40
 HOT = 50_000
+HOT_RANGE = 50_000
 ALL = (1 << BLOCK) - 1
 
 
@@ -486,19 +496,83 @@ def _equal_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], schema=_ENDS)
 
 
-def _hot_prefixes(batches):
-    """A row for each prefix of a place's sides; ``counts``: it lies in lines that stay."""
-    names = ["id", "th", "start", "side", "k", "key", "counts"]
-    for batch in batches:
-        out = []
-        for i, th, start, k1, k2, sides_gone, sides in zip(*[batch.column(n).to_pylist() for n in (*_PLACES, "sides_gone", "sides")]):
-            half, head = SIDES * SIDE_BYTES, np.array([k1, k2], np.int64).tobytes()
-            for n, (side, stay) in enumerate(zip((sides[:half], sides[half:]), reach(sides_gone))):
-                for k, prefix in enumerate(prefixes(side), 1):
-                    key = xxhash.xxh3_64_intdigest(head + bytes([n]) + prefix)
-                    out.append((i, th, start, n, k, key - (key >> 63 << 64), k <= stay))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.bool_() if n == "counts" else pa.int64()) for n, c in zip(names, zip(*out) if out else [[]] * 7)], names=names)
+_HOT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("side", pa.int32()),
+                  ("k", pa.int32()), ("as_first", pa.int32()), ("as_last", pa.int32()), ("prefix", pa.binary())])
+_HOT_TYPES = "part int, kind int, id long, th long, start long, side int, k int, as_first int, as_last int, prefix binary"
+
+
+def _hot_range(batches):
+    """One range of the rows (k1, k2, id, th, start, sides_gone, side, words), sorted by class, side,
+    words and place. Kind 0: each place with the words ``k`` that it shares with some earlier place
+    of the range, and those it shares with the range's first and last row. Kinds 1 and 2: each
+    prefix of the first and the last row, and the least place that has it in lines that stay; no
+    other prefix goes on in the next ranges."""
+    part = TaskContext.get().partitionId()
+    table = pa.Table.from_batches(list(batches))
+    size = table.num_rows
+    if not size:
+        return
+    k1, k2, side, th, start = (table[c].to_numpy() for c in ("k1", "k2", "side", "th", "start"))
+    no_id, ids = table["id"].is_null().to_numpy(), table["id"].fill_null(0).to_numpy()
+    words = np.frombuffer(b"".join(table["words"].to_pylist()), np.uint8).reshape(size, SIDES, SIDE_BYTES)
+    stay = np.array([reach(x)[s] for x, s in zip(table["sides_gone"].to_pylist(), side.tolist())])
+    order = np.lexsort((start, th, ids, no_id))
+    rank = np.empty(size, np.int64)
+    rank[order] = np.arange(size)
+    new = np.r_[True, (np.diff(k1) != 0) | (np.diff(k2) != 0) | (np.diff(side) != 0)]
+    best, as_first, as_last = (np.zeros(size, np.int32) for _ in range(3))
+    ends: list[tuple] = []
+    there = np.ones(size, bool)
+    for k in range(1, SIDES + 1):
+        word = words[:, k - 1]
+        new[1:] |= (word[1:] != word[:-1]).any(axis=1)
+        there &= word.any(axis=1)  # the text goes on so far
+        node = np.cumsum(new) - 1
+        least = np.minimum.reduceat(np.where(there & (stay >= k), rank, size), np.flatnonzero(new))
+        best[there & (least[node] < rank)] = k
+        for kind, at, shared in ((1, 0, as_first), (2, size - 1, as_last)):
+            if there[at]:
+                shared[node == node[at]] = k
+                key = np.array([k1[at], k2[at], side[at]], np.int64).tobytes() + words[at, :k].tobytes()
+                ends.append((kind, int(order[least[node[at]]]) if least[node[at]] < size else None, int(side[at]), k, key))
+
+    def rows(kind, places, *rest):
+        places = pa.array(places, pa.int64())
+        own = [pa.array(c, t) for c, t in zip(rest, _HOT.types[5:])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part] * len(places), pa.int32()), pa.array(kind, pa.int32()),
+             *[table[c].combine_chunks().take(places) for c in ("id", "th", "start")], *own], schema=_HOT)
+
+    yield rows(np.zeros(size), np.arange(size), side, best, as_first, as_last, [None] * size)
+    if ends:
+        kind, places, sides, k, keys = zip(*ends)
+        yield rows(kind, places, sides, k, *[[None] * len(ends)] * 2, keys)
+
+
+def _hot_ends(sides: DataFrame, need: DataFrame, rows: int) -> DataFrame:
+    """(id, th, start, more) for the places ``need`` of hot classes. Their sides are sorted by words and cut
+    into ranges of some HOT_RANGE rows, anywhere, so no task sees a whole class; a prefix that lies
+    in several ranges is one of some range's first or last row, and few."""
+    none = F.lit(None).cast("long").alias("sides_gone"), F.lit(None).cast("binary").alias("sides")
+    whole = need.select(*_PLACES, "sides_gone", none[1]).union(sides.select(*_PLACES, none[0], "sides")).groupBy(*_PLACES).agg(
+        F.max("sides_gone").alias("sides_gone"), F.max("sides").alias("sides")).where("sides_gone is not null and sides is not null")
+    half = SIDES * SIDE_BYTES
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.substring("sides", 1 + n * half, half).alias("words")) for n in (0, 1)]))
+    each = materialise(whole.select(*_PLACES, "sides_gone", each.alias("e")).select(*_PLACES, "sides_gone", "e.side", "e.words"), "hot-sides")
+    order = ["k1", "k2", "side", "words", F.col("id").isNull(), "id", "th", "start"]
+    ranges = each.repartitionByRange(-(-rows // HOT_RANGE), *order).sortWithinPartitions(*order)
+    found = materialise(ranges.mapInArrow(_hot_range, _HOT_TYPES), "hot-ranges")
+    ends = found.where("kind > 0")
+    least = ends.groupBy(F.col("prefix").alias("p")).agg(F.min(F.when(F.col("th").isNotNull(), _place())).alias("f"))
+    least = ends.join(least, F.col("prefix") == F.col("p")).select("part", "kind", F.struct("k", "f").alias("e"))
+    out = found.where("kind = 0").drop("kind").withColumn("place", _place())
+    for kind, limit in ((1, "as_first"), (2, "as_last")):
+        own = least.where(F.col("kind") == kind).groupBy(F.col("part").alias("p")).agg(F.collect_list("e").alias("least"))
+        out = out.join(F.broadcast(own), F.col("part") == F.col("p"), "left").drop("p")
+        out = out.withColumn("k", F.expr(f"greatest(k, coalesce(size(filter(least, e -> e.k <= {limit} AND e.f < place)), 0))")).drop("least")
+    out = out.where("k > 0")
+    bits = F.expr(f"shiftleft(shiftleft(1L, k) - 1L, if(side = 0, {SIDES} - k, {SIDES}))")
+    return out.groupBy("id", "th", "start").agg(F.sum(bits).alias("more"))
 
 
 def _place():
@@ -511,31 +585,26 @@ def passage_ends(read: DataFrame, here: DataFrame, hot: int = HOT) -> DataFrame:
 
     Only places with words in lines that stay, and of classes with several of them, send their
     sides. Places of a class go through one task in order, which keeps the distinct words around
-    them. In classes of over ``hot`` places, the least place of each prefix of a side is found by an
-    aggregate instead, so no task sees the whole class."""
+    them. Classes of over ``hot`` places are sorted by the words of their sides instead, so no task
+    sees the whole class."""
     here = here.where(F.col("gone") != F.lit(ALL))
     live = materialise(here.groupBy(F.col("k1").alias("a"), F.col("k2").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "live-blocks")
     same = (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))
     need = materialise(here.join(live, same).select(*_PLACES, "sides_gone", (F.col("n") > hot).alias("hot")), "live-places")
     block = read.sparkSession.sparkContext.broadcast(marks(need, F.col("th").bitwiseXOR(F.col("start"))))
-    sides = read.mapInArrow(_marked_sides(block), f"{_PLACE_TYPES}, sides binary")
-    many = live.where(F.col("n") > hot).select("a", "b")
+    live_texts = read.sparkSession.sparkContext.broadcast(marks(need, F.col("th")))
+    sides = read.mapInArrow(_marked_sides(block, live_texts), f"{_PLACE_TYPES}, sides binary")
+    many = live.where(F.col("n") > hot)
     any_hot = not many.isEmpty()
-    few = sides.join(many, same, "left_anti") if any_hot else sides
+    few = sides.join(many.drop("n"), same, "left_anti") if any_hot else sides
     rows = need.where("not hot").select(*_PLACES, "sides_gone", F.lit(None).cast("binary").alias("sides")).union(
         few.select(*_PLACES, F.lit(None).cast("long"), "sides"))
     rows = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", F.col("id").isNull(), "id", "th", "start", F.col("sides").isNotNull())
     found = rows.mapInArrow(_equal_words, "id long, th long, start long, more long")
     if not any_hot:
         return found
-    own = need.where("hot").select(F.col("id").alias("i"), F.col("th").alias("t"), F.col("start").alias("s"), "sides_gone").distinct()
-    large = sides.join(many, same, "left_semi").distinct().join(
-        own, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")) & (F.col("start") == F.col("s")))
-    large = materialise(large.mapInArrow(_hot_prefixes, "id long, th long, start long, side long, k long, key long, counts boolean"), "hot-prefixes")
-    least = materialise(large.where("counts").groupBy(F.col("key").alias("h")).agg(F.min(_place()).alias("f")), "hot-firsts")
-    longest = large.join(least, F.col("key") == F.col("h")).where(F.col("f") < _place()).groupBy("id", "th", "start", "side").agg(F.max("k").alias("k"))
-    bits = F.expr(f"shiftleft(shiftleft(1L, cast(k AS int)) - 1L, cast(if(side = 0, {SIDES} - k, {SIDES}) AS int))")
-    return found.union(longest.groupBy("id", "th", "start").agg(F.sum(bits).alias("more")))
+    rows = 2 * many.agg(F.sum("n")).first()[0]
+    return found.union(_hot_ends(sides.join(many.drop("n"), same, "left_semi"), need.where("hot"), rows))
 
 
 def repeated_blocks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lines_gone: DataFrame | None = None) -> DataFrame:
@@ -588,11 +657,12 @@ def without(text: str, lines: set[int], blocks: list[tuple[int, int, int]]) -> s
         cut.update(start - SIDES + k for k in range(bits.bit_length()) if bits >> k & 1)
     out, word = [], 0
     for n, line in enumerate(text.split("\n")):
-        spans = [m.span() for m in _WORD.finditer(line)] if cut else []
-        hit = [k for k in range(len(spans)) if word + k in cut]
-        word += len(spans)
-        if n in lines or (hit and len(hit) == len(spans)):
+        size = len(line.encode().split()) if cut else 0
+        hit = [k for k in range(size) if word + k in cut]
+        word += size
+        if n in lines or (hit and len(hit) == size):
             continue
+        spans = [m.span() for m in _WORD.finditer(line)] if hit else []
         for k in reversed(hit):  # with the space before the next word
             end = spans[k + 1][0] if k + 1 < len(spans) else spans[k][1]
             line = line[:spans[k][0]] + line[end:]
@@ -615,8 +685,7 @@ def _remove(text: str, gone: str, cuts: str):
 def _marked_rows(block, key: str, wanted: bool):
     def run(batches):
         for batch in batches:
-            hit = has_mark(block.value, batch.column(batch.schema.names.index(key)).to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array(hit == wanted))
+            yield marked_rows(batch, block.value, batch.schema.names.index(key), wanted)
 
     return run
 
@@ -644,7 +713,7 @@ def repeated_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "
     bands = ", ".join(f"b{i} long" for i in range(BANDS))
     found = materialise(read.mapInArrow(_scan(min_words), f"id long, th long, line int, class binary, {bands}"), "paragraphs")
     classes = materialise(
-        found.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
+        found.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("th").alias("th"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
         .withColumn("c", F.monotonically_increasing_id()), "classes")
     band = [f"b{i}" for i in range(BANDS)]
     shared = materialise(classes.select(F.explode(F.array(*band)).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
@@ -653,10 +722,11 @@ def repeated_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "
     sent = classes.select("c", *band).mapInArrow(_marked_keys(block), "key long, c long")
     members = materialise(sent.join(shared, F.col("key") == F.col("k")).select("key", "c"), "members")
     asked = materialise(members.select("c").distinct().withColumnRenamed("c", "m").join(
-        classes.select("c", "class"), F.col("c") == F.col("m")).select("c", "class"), "asked")
+        classes.select("c", "class", "th"), F.col("c") == F.col("m")).select("c", "class", "th"), "asked")
     first8 = F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("long")
     block = spark.sparkContext.broadcast(marks(asked, first8))
-    sets = read.select("t").mapInArrow(_shingle_sets(block, min_words), "class binary, shingles array<long>, bits binary")
+    texts = spark.sparkContext.broadcast(marks(asked, F.col("th")))  # one text of each class is enough
+    sets = read.select("th", "t").mapInArrow(_shingle_sets(block, texts, min_words), "class binary, shingles array<long>, bits binary")
     sets = sets.withColumnRenamed("class", "k").join(asked, F.col("k") == F.col("class")).select("c", "shingles", "bits")
     sets = materialise(sets.dropDuplicates(["c"]), "shingles")
     roots = similar_classes(members, sets, similarity)

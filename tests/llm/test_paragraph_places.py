@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import documents
 
@@ -86,3 +87,43 @@ def test_passages_end_at_any_earlier_place(spark, monkeypatch, hot):
         assert got[1] == docs[0][1]
         for k, text in docs[2:]:
             assert got[k].split() == [w for w in text.split() if w not in passage]
+
+
+@pytest.mark.parametrize("size", [1, 7, 10**6])
+def test_hot_classes_are_cut_into_ranges(spark, monkeypatch, size):
+    """Ranges that end anywhere, of few rows each, against a comparison with all earlier places."""
+    monkeypatch.setattr(P, "HOT_RANGE", size)
+    rng = random.Random(35)
+    need, sides, earlier, expected = [], [], {}, {}
+    for i in [*range(40), None]:
+        own = np.array([rng.choice([3, 5]) if k % P.SIDES < 3 or rng.random() < 0.1 else 9 for k in range(2 * P.SIDES)], np.uint64)
+        own = np.zeros((2 * P.SIDES, P.SIDE_BYTES), np.uint8) + own.astype(np.uint8)[:, None]
+        left, right = rng.choice([(P.SIDES, P.SIDES), (4, P.SIDES), (P.SIDES, 0)])
+        own[left:P.SIDES] = own[P.SIDES + right:] = 0
+        gone, key = rng.choice([0, 0, 1 << rng.randrange(2 * P.SIDES)]), rng.choice([1, 2])
+        need.append((i, 5, 7, key, 0, gone))
+        sides += [(i, 5, 7, key, 0, bytearray(own.tobytes()))] * 2
+        if more := earlier.setdefault(key, P.Earlier()).add(own.tobytes(), gone):
+            expected[i] = more
+    assert len(expected) > 20
+    rng.shuffle(need)
+    places = "id long, th long, start long, k1 long, k2 long"
+    got = P._hot_ends(spark.createDataFrame(sides, f"{places}, sides binary"), spark.createDataFrame(need, f"{places}, sides_gone long"), 2 * len(need))
+    assert {r["id"]: r["more"] for r in got.collect()} == expected
+
+
+def test_texts_without_shared_places_are_not_split_again(monkeypatch):
+    """Only marked texts are read for their sets and sides."""
+    texts = [b" ".join(b"%d" % (1000 * i + j) for j in range(60)) for i in range(3)]
+    bitmap = np.zeros(P.MARKS, bool)
+    bitmap[1] = True
+    marks, every = np.packbits(bitmap), np.full(P.MARKS // 8, 255, np.uint8)
+    one, all_ = (type("B", (), {"value": x}) for x in (marks, every))
+    seen = []
+    split = P.picked_blocks
+    monkeypatch.setattr(P, "picked_blocks", lambda x: seen.append(len(x)) or split(x))
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([0, 1, 2]), pa.array(texts)], names=["id", "th", "t"])
+    out = pa.Table.from_batches(list(P._marked_sides(all_, one)([batch])))
+    assert seen == [1] and set(out["id"].to_pylist()) == {1}
+    sets = pa.Table.from_batches(list(P._shingle_sets(all_, one, 25)([batch.select(["th", "t"])])))
+    assert sets["class"].to_pylist() == [P.class_id(texts[1].split())]
