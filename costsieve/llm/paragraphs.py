@@ -336,17 +336,22 @@ def line_ends(text: bytes) -> np.ndarray:
     return np.cumsum([len(line.split()) for line in text.split(b"\n")])
 
 
-def _marked_blocks(block):
+def _marked_blocks(block, lost):
+    """The marked blocks; ``runs`` only for the texts marked in ``lost``, which may lose lines."""
     def run(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
+            loses = has_mark(lost.value, batch.column(1).to_numpy(zero_copy_only=False)) if lost else np.zeros(len(texts), bool)
             for a, b in groups_of(texts, 1 << 21):
                 split = [t.lower().split() for t in texts[a:b]]
                 text, at, keys = picked_blocks(split)
                 hit = has_mark(block.value, keys[:, 0])
                 text, at, keys = text[hit], at[hit], keys[hit]
                 runs = []
-                for t in np.unique(text):
+                for t, n in zip(*np.unique(text, return_counts=True)):
+                    if not loses[a + t]:
+                        runs += [[]] * n
+                        continue
                     ends = line_ends(texts[a + t])
                     own = at[text == t]
                     lo, hi = np.maximum(own - SIDES, 0), np.minimum(own + BLOCK + SIDES, len(split[t]))
@@ -471,7 +476,7 @@ _ENDS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64())
 def _gone(batches):
     for batch in batches:
         runs, lines = batch.column("runs").to_pylist(), batch.column("lines").to_pylist()
-        own = [halves(gone_words(r, x)) for r, x in zip(runs, lines)]
+        own = [halves(gone_words(r, x)) if x else (0, 0) for r, x in zip(runs, lines)]
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(n) for n in _PLACES], pa.array([x for x, _ in own], pa.int64()), pa.array([x for _, x in own], pa.int64())],
             names=[*_PLACES, "gone", "sides_gone"])
@@ -619,7 +624,8 @@ def repeated_blocks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         read.select("t").mapInArrow(_block_classes("t"), "k1 long, k2 long").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1").select(F.col("k1").alias("a"), F.col("k2").alias("b")), "blocks")
     block = docs.sparkSession.sparkContext.broadcast(marks(again, F.col("a")))
-    here = read.mapInArrow(_marked_blocks(block), f"{_PLACE_TYPES}, runs array<int>")
+    lost = None if lines_gone is None else docs.sparkSession.sparkContext.broadcast(marks(lines_gone, F.col("th")))
+    here = read.mapInArrow(_marked_blocks(block, lost), f"{_PLACE_TYPES}, runs array<int>")
     here = here.join(again, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b"))).drop("a", "b")
     if lines_gone is None:
         here = here.withColumn("lines", F.lit(None).cast("array<int>"))
@@ -648,17 +654,28 @@ def repeated_blocks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 _WORD = re.compile(r"[^ \t-\r]+")
 
 
-def without(text: str, lines: set[int], blocks: list[tuple[int, int, int]]) -> str:
-    """The text without some lines and without some words of blocks and their sides, given by the
-    block's first word and bits. A line that blocks leave no words goes as well."""
-    cut = set()
-    for start, words, more in blocks:
-        bits = more & ((1 << SIDES) - 1) | words << SIDES | more >> SIDES << (SIDES + BLOCK)
-        cut.update(start - SIDES + k for k in range(bits.bit_length()) if bits >> k & 1)
+_CUT = np.r_[0:BLOCK, -SIDES:0, BLOCK:BLOCK + SIDES]
+
+
+def cut_words(start: np.ndarray, words: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """For each word of a text up to the last one cut: whether it is one of the words of blocks and
+    their sides, given by the block's first word and bits."""
+    out = np.zeros(SIDES + int(start.max(initial=0)) + BLOCK + SIDES, bool)
+    for a in range(0, len(start), _PIECE >> 6):
+        b = a + (_PIECE >> 6)
+        bits = np.concatenate([words[a:b, None] >> np.arange(BLOCK), more[a:b, None] >> np.arange(2 * SIDES)], axis=1) & 1
+        out[(start[a:b, None] + SIDES + _CUT)[bits.astype(bool)]] = True
+    return out[SIDES:]
+
+
+def without(text: str, lines: set[int], cut: np.ndarray) -> str:
+    """The text without some lines and without the words that ``cut`` marks. A line that this leaves
+    no words goes as well."""
+    any_cut = cut.any()
     out, word = [], 0
     for n, line in enumerate(text.split("\n")):
-        size = len(line.encode().split()) if cut else 0
-        hit = [k for k in range(size) if word + k in cut]
+        size = len(line.encode().split()) if any_cut else 0
+        hit = np.flatnonzero(cut[word:word + size]).tolist()
         word += size
         if n in lines or (hit and len(hit) == size):
             continue
@@ -671,11 +688,19 @@ def without(text: str, lines: set[int], blocks: list[tuple[int, int, int]]) -> s
 
 
 def _remove(text: str, gone: str, cuts: str):
+    none = pa.array([], pa.struct([(n, pa.int64()) for n in ("start", "words", "more")]))
+
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            out = [without(t, set(lines or ()), [(c["start"], c["words"], c["more"]) for c in blocks or ()]) if lines or blocks else t
-                   for t, lines, blocks in zip(*[batch.column(names.index(n)).to_pylist() for n in (text, gone, cuts)])]
+            texts, lines = (batch.column(names.index(n)).to_pylist() for n in (text, gone))
+            out = []
+            for t, own, blocks in zip(texts, lines, batch.column(names.index(cuts))):
+                blocks = none if blocks.values is None else blocks.values
+                if t is not None and (own or len(blocks)):
+                    values = dict(zip((f.name for f in blocks.type), blocks.flatten()))
+                    t = without(t, set(own or ()), cut_words(*[values[n].to_numpy() for n in ("start", "words", "more")]))
+                out.append(t)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out, pa.string()) if n == text else batch.column(k) for k, n in enumerate(names)], names=names)
 

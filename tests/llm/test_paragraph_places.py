@@ -127,3 +127,23 @@ def test_texts_without_shared_places_are_not_split_again(monkeypatch):
     assert seen == [1] and set(out["id"].to_pylist()) == {1}
     sets = pa.Table.from_batches(list(P._shingle_sets(all_, one, 25)([batch.select(["th", "t"])])))
     assert sets["class"].to_pylist() == [P.class_id(texts[1].split())]
+
+
+def test_cut_words_against_bits():
+    rng = random.Random(36)
+    blocks = [(rng.randrange(P.SIDES, 300), rng.getrandbits(P.BLOCK), rng.getrandbits(2 * P.SIDES)) for _ in range(9)]
+    expected = set()
+    for start, own, more in blocks:
+        bits = more & ((1 << P.SIDES) - 1) | own << P.SIDES | more >> P.SIDES << (P.SIDES + P.BLOCK)
+        expected.update(start - P.SIDES + k for k in range(bits.bit_length()) if bits >> k & 1)
+    assert set(np.flatnonzero(P.cut_words(*np.array(blocks).T)).tolist()) == expected
+    assert P.without("a b  c\x1cd\n e f\tg \n\nh i", set(), P.cut_words(*np.array([[3, 0b1001, 0]]).T)) == "a b  c\x1cd\n f\tg \n\ni"
+    assert P.without("a b\nc", {1}, P.cut_words(*np.zeros((3, 0), np.int64))) == "a b"
+
+
+def test_lines_of_blocks_only_where_some_go():
+    """A text's line ends are found only if the text may lose lines."""
+    every = type("B", (), {"value": np.full(P.MARKS // 8, 255, np.uint8)})
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([b" ".join(b"%d" % k for k in range(90))])], names=["id", "th", "t"])
+    runs = [pa.Table.from_batches(list(P._marked_blocks(every, x)([batch])))["runs"].to_pylist() for x in (None, every)]
+    assert len(runs[0]) == len(runs[1]) > 2 and not any(runs[0]) and all(runs[1])
