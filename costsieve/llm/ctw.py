@@ -32,6 +32,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +47,20 @@ HOT_CODES = 1 << 19
 SLOTS = 1 << 20
 PAIR_CODES = 1 << 17
 PIECE = 1 << 20
+PIECE_TEXT = 2 * PIECE
 WORDS_HELD = 300_000
 
 
+def parts_of(batches, raw: str):
+    """Slices of the batches with some PIECE_TEXT bytes of text each: what one step holds in Python
+    doesn't follow the rows of a batch."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(batch.schema.names.index(raw))).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // PIECE_TEXT)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def codes_of(data: np.ndarray) -> np.ndarray:
     """Each byte after the first DEPTH with its context, as one number: oldest byte on top."""
     out = np.zeros(len(data) - DEPTH, np.int64)
@@ -104,7 +116,7 @@ def _count(raw: str, learn: str):
 
     def run(batches):
         words, held, size, ends = Counter(), [], 0, 0
-        for batch in batches:
+        for batch in parts_of(batches, raw):
             texts = [t.lower() for t in batch.column(batch.schema.names.index(raw)).to_pylist()]
             flags = batch.column(batch.schema.names.index(learn)).to_pylist()
             for learns in (True, False):
@@ -532,7 +544,7 @@ def _score(block, raw: str):
     def run(batches):
         codes, logs, hot, end = block.value
         frequent, get = HotCodes(codes, logs), hot.get
-        for batch in batches:
+        for batch in parts_of(batches, raw):
             names = batch.schema.names
             texts = [t.lower() for t in batch.column(names.index(raw)).to_pylist()]
             tokens, known, base, rare = [], [], [], []

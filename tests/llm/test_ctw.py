@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import LONG, SF, documents, read
 
@@ -188,3 +189,23 @@ def test_slots_that_collide(monkeypatch):
     assert 0 < len(left) < 40 and 0 not in left
     kept = np.setdiff1d(np.arange(40), left)
     assert found[kept].tolist() == logs[kept].tolist() and not found[left].any()
+
+
+def test_scores_leave_by_parts_of_a_batch(monkeypatch):
+    """What a task holds doesn't follow the rows of a batch; the scores don't depend on the parts."""
+    schema = pa.schema([("id", pa.int64()), ("raw", pa.binary()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                        ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
+                        ("rare_codes", pa.list_(pa.struct([("code", pa.int64()), ("n", pa.int64())])))])
+    texts = [b"", *[b"ab c%d " % k * (k % 7 * 9) for k in range(40)], b"x" * 700, b""]
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts, pa.binary()), *[pa.array([0] * n, pa.int64())] * 3,
+                                        *[pa.array([0.0] * n)] * 2, *[pa.array([[]] * n, schema.field(c).type) for c in ("rare", "rare_codes")]], schema=schema)
+    codes = np.unique(C.strings([b"ab c"])[0])
+    block = type("B", (), {"value": (codes, np.full(len(codes), -0.5), {b"ab": 0.25}, 1.0)})
+    whole = list(C._score(block, "raw")([batch]))
+    monkeypatch.setattr(C, "PIECE_TEXT", 200)
+    parts = list(C._score(block, "raw")([batch]))
+    assert len(whole) == 1 and len(parts) > 8
+    assert pa.Table.from_batches(parts).to_pylist() == whole[0].to_pylist()
+    counted = list(C._count("raw", "learn")([pa.table({"raw": texts, "learn": [True] * n}).to_batches()[0]]))
+    assert sum(r["n"] for b in counted for r in b.to_pylist() if r["word"] is None) == sum(len(t) + 1 for t in texts) + n
